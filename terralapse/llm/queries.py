@@ -4,14 +4,30 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from terralapse.llm import pieces, token_counts
+from terralapse.llm import lang_id, pieces, quality, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(of: int):
+    """crc32 of the id's decimal digits, modulo ``of``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = lang_id.identify(docs, docs.where(fold(4) != 2))
+    return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -21,8 +37,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_sentencepiece, op9_token_counts)}
+    return {f.__name__: f for f in (op1_quality, op6_language, op7_sentencepiece, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_quality": quality.ORACLE}
