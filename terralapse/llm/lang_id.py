@@ -61,7 +61,7 @@ def identify(
     dict_bytes: int = 1 << 15,
     level: int = 6,
     block_bytes: int = 1 << 13,
-    min_margin: float = 0.002,
+    min_margin: float = 0.001,
     max_languages: int = 64,
 ) -> DataFrame:
     """id, ``lang_pred``, ``score`` (0 to 1) and ``rejected``: one row per document."""

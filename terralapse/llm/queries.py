@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralapse.llm import lang_id, pieces, quality, token_counts
+from terralapse.llm import lang_id, pieces, quality, token_counts, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,25 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: The rules of the contract.
+URL_RULES = [
+    url_filter.Rule("com/en/", "block"),
+    url_filter.Rule("example.com/en/7", "allow"),
+    url_filter.Rule("net/de/", "allow"),
+    url_filter.Rule("example.net/de/8", "block"),
+    url_filter.Rule("org/es/", "block"),
+]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = lang_id.identify(docs, docs.where(fold(4) != 2))
@@ -37,8 +56,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op6_language, op7_sentencepiece, op9_token_counts)}
+    return {f.__name__: f for f in (op1_quality, op2_warc, op5_url_filter, op6_language, op7_sentencepiece, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": quality.ORACLE}
+    return {"op1_quality": quality.ORACLE, "op2_warc": warc.ORACLE}
