@@ -8,11 +8,14 @@ host and all subdomains if the path starts with the rule's; the longest wins.
 Urls that no rule fits are judged by a multinomial naive Bayes model over the
 tokens of host and path. Concatenated names are split into words first: a unigram
 Viterbi search takes the split with the highest probability under the counts of
-words in the pages' own html. The model learns from the urls that rules judge. Counts
-are taken over all rows; the ``max_words`` and ``max_tokens`` most frequent (first
-in order of text on ties) make the vocabularies, which are broadcast.
-
-With nothing to learn from, or in a tie, a url is allowed. Repeated rows are judged
+words in the pages' own html, to which ``SEEDS`` are added. There are no labelled
+urls, so the seeds make them: a url whose host has a seed among its words is an
+example to block, any other to allow, and the model carries this over to the words
+that come with seeds. Counts are taken over all rows; the ``max_words`` and
+``max_tokens`` most frequent (first in order of text on ties) make the vocabularies,
+which are broadcast.
+
+With nothing to block, or in a tie, a url is allowed. Repeated rows are judged
 one by one. Further columns of the input are ignored, so their names can't clash.
 An empty table gives an empty result.
 """
@@ -31,6 +34,12 @@ from pyspark.sql import functions as F
 from terralapse.llm._arrow import Recent
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Words of hosts that are commonly kept out of training data.
+SEEDS = frozenset(
+    "casino poker bet bets betting slots jackpot gambling lottery roulette "
+    "pills viagra cialis pharmacy porn porno xxx sex adult escort escorts camgirls "
+    "payday loans replica warez torrent torrents crack keygen spam ads adserver malware phishing".split()
+)
 #: Rules stand in the plan as one expression, so there must not be very many.
 MAX_RULES = 1000
 
@@ -129,27 +138,26 @@ def judge(
     urls = urls.withColumn("rule", ruled(F.col("host"), F.col("path"), rules))
     verdicts = {r.text: r.verdict for r in rules}
     # Bounded by max_words entries of at most 20 letters.
-    dictionary = spark.sparkContext.broadcast(word_counts(pages, html_col, max_words))
+    counts = word_counts(pages, html_col, max_words)
+    often = max(counts.values(), default=1)
+    dictionary = spark.sparkContext.broadcast(counts | {w: max(counts.get(w, 0), often // 1000 + 1) for w in SEEDS})
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = Segmenter(dictionary.value)
         for batch in batches:
-            host, path, rule = (batch.column(c).to_pylist() for c in ("host", "path", "rule"))
-            found = [(t, verdicts[r] == "block") for h, p, r in zip(host, path, rule) for t in tokens(h, p, segmenter)]
-            yield pa.RecordBatch.from_pydict({"token": pa.array([t for t, _ in found], pa.string()), "block": pa.array([b for _, b in found], pa.bool_())})
-
-    seen = urls.where(F.col("rule").isNotNull())
-    prior = seen.groupBy("rule").count().collect()  # a row per rule at most
-    n_block = sum(r["count"] for r in prior if verdicts[r.rule] == "block")
-    n_allow = sum(r["count"] for r in prior) - n_block
-    learnt = (
-        seen.select("host", "path", "rule").mapInArrow(split, "token string, block boolean")
-        .groupBy("token").agg(F.count_if("block").alias("b"), F.count_if(~F.col("block")).alias("a"))
-        .orderBy(F.desc(F.col("a") + F.col("b")), "token").limit(max_tokens).collect()
-    )
+            each = [tokens(h, p, segmenter) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist())]
+            marks = [any(t[2:] in SEEDS for t in x if t[0] == "h") for x in each]
+            found = [(t, m) for x, m in zip(each, marks) for t in (*x, "")]
+            yield pa.RecordBatch.from_pydict({"token": pa.array([t for t, _ in found], pa.string()), "block": pa.array([m for _, m in found], pa.bool_())})
+
+    seen = urls.select("host", "path").mapInArrow(split, "token string, block boolean").groupBy("token")
+    learnt = seen.agg(F.count_if("block").alias("b"), F.count_if(~F.col("block")).alias("a")).orderBy(F.desc(F.col("a") + F.col("b")), "token").limit(max_tokens).collect()
+    # The empty token, once for each url, counts the examples.
+    n_block, n_allow = next(((r.b, r.a) for r in learnt if not r.token), (0, 0))
+    learnt = [r for r in learnt if r.token]
     total_b, total_a, size = sum(r.b for r in learnt), sum(r.a for r in learnt), max(len(learnt), 1)
     weights = {r.token: math.log((r.b + 1) / (total_b + size)) - math.log((r.a + 1) / (total_a + size)) for r in learnt}
-    start = math.log((n_block + 1) / (n_allow + 1))
+    start = math.log((n_block + 1) / (n_allow + 1)) if n_block else -math.inf
     model = spark.sparkContext.broadcast((weights, start))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
