@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralapse.llm import lang_id, pieces, quality, token_counts, url_filter, warc
+from terralapse.llm import lang_id, pieces, quality, token_counts, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(fold(5) != 0)
+    found = toxicity.toxicity(table(spark, sf_dir, "documents"), labels)
+    return found.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted", "neighbours", "cosines", "terms")
+
+
 #: The rules of the contract.
 URL_RULES = [
     url_filter.Rule("com/en/", "block"),
@@ -56,7 +62,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_warc, op5_url_filter, op6_language, op7_sentencepiece, op9_token_counts)}
+    return {f.__name__: f for f in (op1_quality, op2_warc, op4_toxicity, op5_url_filter, op6_language, op7_sentencepiece, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
