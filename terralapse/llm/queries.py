@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralapse.llm import lang_id, pieces, quality, token_counts, toxicity, url_filter, warc
+from terralapse.llm import decontaminate, lang_id, pieces, quality, token_counts, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,9 +61,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_warc, op4_toxicity, op5_url_filter, op6_language, op7_sentencepiece, op9_token_counts)}
+    return {f.__name__: f for f in (op1_quality, op2_warc, op4_toxicity, op5_url_filter, op6_language, op7_sentencepiece, op9_token_counts, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": quality.ORACLE, "op2_warc": warc.ORACLE}
+    return {"op1_quality": quality.ORACLE, "op2_warc": warc.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
