@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralapse.llm import decontaminate, lang_id, pieces, quality, token_counts, toxicity, url_filter, warc
+from terralapse.llm import decontaminate, lang_id, ngram_join, pieces, quality, token_counts, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(fold(5) != 0)
     found = toxicity.toxicity(table(spark, sf_dir, "documents"), labels)
@@ -66,7 +70,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_warc, op4_toxicity, op5_url_filter, op6_language, op7_sentencepiece, op9_token_counts, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_quality, op2_warc, op3_ngram_join, op4_toxicity, op5_url_filter, op6_language, op7_sentencepiece, op9_token_counts, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
