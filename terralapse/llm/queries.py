@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralapse.llm import decontaminate, lang_id, ngram_join, pieces, quality, token_counts, toxicity, url_filter, warc
+from terralapse.llm import decontaminate, lang_id, ngram_join, pieces, quality, repeats, token_counts, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -70,7 +74,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_warc, op3_ngram_join, op4_toxicity, op5_url_filter, op6_language, op7_sentencepiece, op9_token_counts, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_quality, op2_warc, op3_ngram_join, op4_toxicity, op5_url_filter, op6_language, op7_sentencepiece, op8_repeats, op9_token_counts, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
