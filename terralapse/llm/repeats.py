@@ -301,13 +301,19 @@ def without_repeats(
     id_col: str = "doc_id",
     text_col: str = "text",
     length: int = 50,
+    carry: tuple[str, ...] = (),
+    as_text: bool = False,
     bucket_bytes: int = 16 << 20,
     max_broadcast: int = 500_000,
 ) -> DataFrame:
-    """id, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the bytes that stay, one after another): one row per document."""
+    """id, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the bytes that stay, one after another): one row per document.
+
+    ``carry``: further columns to give back, none named like these. ``as_text``: kept is a
+    string, without the rest of characters that lost some of their bytes.
+    """
     spark = docs.sparkSession
-    original = docs.select(F.col(id_col).alias("given"), F.col(text_col).alias("text"))
-    docs = original.select(F.coalesce(F.col("given").cast("long"), F.lit(NO_ID)).alias("id"), "given", F.coalesce("text", F.lit("")).alias("text"))
+    original = docs.select(F.struct(id_col, *carry).alias("given"), F.col(text_col).alias("text"))
+    docs = original.select(F.coalesce(F.col("given")[id_col].cast("long"), F.lit(NO_ID)).alias("id"), "given", F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
 
@@ -364,13 +370,15 @@ def without_repeats(
                     at = b
                 kept.append(text[at:])
                 rows.append((len(text), int((ends - begins).sum()), len(begins), b"".join(kept)))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            if as_text:
+                rows = [(*r[:3], r[3].decode("utf-8", "ignore")) for r in rows]
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([batch.column("given"), *columns], names=["given", "n_bytes", "n_removed", "n_spans", "kept"])
 
     kind = original.schema["given"].dataType.simpleString()
-    out = docs.join(marks, "id", "left").select("given", "text", "marks").mapInArrow(run, f"given {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.withColumnRenamed("given", id_col)
+    out = docs.join(marks, "id", "left").select("given", "text", "marks").mapInArrow(run, f"given {kind}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
+    return out.select("given.*", "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
