@@ -115,7 +115,8 @@ def _runs(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bucket_of(gram: np.ndarray, buckets: int) -> np.ndarray:
-    return ((gram >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
+    # Named grams have small hashes, being the least of many; they are spread anew.
+    return ((mix(gram) >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
 
 
 def _packed(bucket: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
@@ -208,16 +209,16 @@ def given(rows: DataFrame, length: int, buckets: int) -> DataFrame:
 
 def suffix_classes(buffer: np.ndarray, length: int) -> np.ndarray:
     """The rank of each suffix by its first ``length`` values (suffixes shorter than that end with smaller values)."""
-    rank = buffer.astype(np.int64) + 1
+    rank = buffer.astype(np.int32) + 1
     span = 1
     while span < length:
         step = min(span, length - span)
-        ahead = np.zeros(len(rank), np.int64)
-        ahead[: len(rank) - step] = rank[step:]
-        key = rank * (int(rank.max(initial=0)) + 1) + ahead
+        key = rank * np.int64(int(rank.max(initial=0)) + 1)
+        key[: len(key) - step] += rank[step:]
         order = np.argsort(key, kind="stable")
-        rank = np.empty(len(key), np.int64)
-        rank[order] = np.cumsum(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+        key = key[order]
+        rank = np.empty(len(key), np.int32)
+        rank[order] = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]]), dtype=np.int32)
         span += step
     return rank
 
@@ -252,9 +253,9 @@ def ordered(length: int):
         text = np.frombuffer(b"".join(pdf["bytes"]), np.uint8)
         start = np.cumsum(size) - size
         # Each context ends with a value that no byte has, so that no match goes over its end.
-        buffer = np.zeros(len(text) + len(size), np.int64)
+        buffer = np.zeros(len(text) + len(size), np.int16)
         place = np.arange(len(text)) + np.repeat(np.arange(len(size)), size)
-        buffer[place] = text.astype(np.int64) + 1
+        buffer[place] = text.astype(np.int16) + 1
         start = start + np.arange(len(size))
         rank = suffix_classes(buffer, length)
         windows = np.maximum(size - length + 1, 0)
@@ -325,7 +326,8 @@ def without_repeats(
     texts = docs.select("id", "text")
     if few:
         texts = texts.join(F.broadcast(ids), "id", "left_semi")
-    second = given(texts.join(asked, "id"), length, buckets).repartition(buckets, "bucket")
+    # A context has many suffixes, so these buckets are smaller.
+    second = given(texts.join(asked, "id"), length, 8 * buckets).repartition(buckets, "bucket")
     fine = second.groupBy("bucket").applyInPandas(ordered(length), "id long, contexts binary, masks binary")
 
     whole = found.where(F.length("covered") > 0).select("id", F.col("covered").alias("contexts"), F.lit(None).cast("binary").alias("masks"))
@@ -384,3 +386,21 @@ def without_repeats(
 def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
     out = without_repeats(docs, id_col=id_col, text_col=text_col, length=length)
     return out.select(id_col, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(n - 49)) AS i FROM d WHERE n >= 50)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM w) WHERE first < doc_id),
+step AS (SELECT doc_id, i, CASE WHEN i > 50 + lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) THEN 1 ELSE 0 END AS new FROM hit),
+run AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM step),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY doc_id, k),
+gap AS (
+  SELECT doc_id, b AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM span
+  UNION ALL SELECT doc_id, 0, min(a) FROM span GROUP BY 1),
+kept AS (SELECT doc_id, string_agg(substr(h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (coalesce(b, n) - a) AS BIGINT)), '' ORDER BY a) AS h FROM gap JOIN d USING (doc_id) GROUP BY 1),
+total AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM span GROUP BY 1)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN total USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
