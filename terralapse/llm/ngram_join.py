@@ -16,12 +16,23 @@ bands, one in ``one_in`` of the others). A set whose partners may lie in the ban
 looks there too.
 
 **Allocation by cost.** Subsets met once cost nothing. What is met by several sets makes
-a list. First each set is compared with one hub of its lists, which joins copies into
-components; lists inside one component cost nothing more. Of the others each set passes
-over the dearest, as long as its allowances still sum to more than H, and is compared
-with the members of the rest that belong to other components. Sets whose allowances
-can't reach the sum (a matter of chance in hashing) are compared with all sets of their
-sizes, in blocks. Every comparison is exact, on the sets themselves.
+a list, whose hub is the member with the most company. First each set is compared with one
+hub, which joins copies into components; lists inside one component cost nothing more. Of
+the others each set passes over the dearest, as long as its allowances still sum to more
+than H.
+
+**Around a hub.** A crowd of sets that are all near one hub, and mostly just too far from
+one another, would still make all pairs. So each member x of a hub's lists is told by its
+difference D(x) from the hub. Two sets differ by |D(x)| + |D(y)| - 2 |D(x) & D(y)|, so
+linked ones must share at least a = (|D(x)| + |D(y)| - q (|x| + |y|)) / 2 of their
+differences, with q = (1 - t) / (1 + t). Members linked with the hub are one component
+already; for the other pairs a is positive, and the first |D| - a + 1 differences of both,
+in one order for the hub, must have one in common (prefix filter). Only these pairs, of
+different components, are compared. Any order is right; a good one has rare differences
+first, so what a few members of a large hub show to be common there goes last.
+
+Sets whose allowances can't reach the sum (a matter of chance in hashing) are compared
+with all sets of their sizes, in blocks. Every comparison is exact, on the sets themselves.
 
 Equal sets are one node, so groups of copies never make pairs. ``component_id`` is the
 smallest id reachable by links. Null and empty texts have ``n_shingles`` 0 and are their
@@ -157,7 +168,7 @@ def packets(docs: DataFrame, width: int, t: Fraction, one_in: int, buckets: int,
     return docs.select("text").mapInArrow(run, "bucket int, nodes binary, sizes binary, runs binary, signatures binary")
 
 
-LISTS = "list long, hub long, node long, lower boolean, weight int"
+LISTS = "list long, node long, lower boolean, weight int"
 
 
 def lists_of_bucket(pdf):
@@ -178,14 +189,16 @@ def lists_of_bucket(pdf):
     counts = np.diff(np.append(starts, len(order)))
     several = np.repeat(counts > 1, counts)
     order = order[several]
+    if not len(order):
+        return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("list", "int64"), ("node", "int64"), ("lower", "bool"), ("weight", "int32"))})
     node, signature, lower = node[order], signature[order], (size[order] & U(LOWER)).astype(bool)
     # By signature, then node; a node that comes twice (copies in other packets) stays once.
     order = np.lexsort((lower, node, signature))
     node, signature, lower = node[order], signature[order], lower[order]
     once = np.concatenate([[True], (signature[1:] != signature[:-1]) | (node[1:] != node[:-1])])
     node, signature, lower = node[once], signature[once], lower[once]
-    starts = np.flatnonzero(np.concatenate([[True], signature[1:] != signature[:-1]])) if len(node) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(node)) if len(node) else starts
+    starts = np.flatnonzero(np.concatenate([[True], signature[1:] != signature[:-1]]))
+    ends = np.append(starts[1:], len(node))
     found: dict[bytes, int] = {}
     for a, b in zip(starts.tolist(), ends.tolist()):
         if b - a > 1:
@@ -197,28 +210,43 @@ def lists_of_bucket(pdf):
         members, low = np.frombuffer(key, np.int64, n), np.frombuffer(key, bool, n, 8 * n)
         if not low.all():  # two sets that both look from above meet in their own band
             name = int.from_bytes(blake2b(key, digest_size=8).digest(), "little", signed=True)
-            out.append((np.full(n, name), np.full(n, members[~low][0]), members, low, np.full(n, weight, np.int32)))
-    columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool), np.zeros(0, np.int32)]
-    return pd.DataFrame(dict(zip(("list", "hub", "node", "lower", "weight"), columns)))
+            out.append((np.full(n, name), members, low, np.full(n, weight, np.int32)))
+    columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0, bool), np.zeros(0, np.int32)]
+    return pd.DataFrame(dict(zip(("list", "node", "lower", "weight"), columns)))
 
 
-def linked(pairs: DataFrame, texts: DataFrame, width: int, t: Fraction, max_broadcast: int, tag: str) -> DataFrame:
-    """The pairs (a, b) of ids whose sets reach the threshold. Texts are read again for the ids in pairs only."""
-    pairs = stored(pairs, tag)
+def with_texts(pairs: DataFrame, texts: DataFrame, max_broadcast: int) -> DataFrame:
+    """pairs (a, b, ...) with text_a and text_b, the rows of one a together. Texts are read again for the ids in pairs only."""
     few = pairs.count() <= max_broadcast
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     wanted = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
     one = wanted.withColumnsRenamed({"id": "b", "text": "text_b"}).join(F.broadcast(pairs) if few else pairs, "b")
-    both = one.join(wanted.withColumnsRenamed({"id": "a", "text": "text_a"}).hint("merge"), "a").select("a", "b", "text_a", "text_b")
+    return one.join(wanted.withColumnsRenamed({"id": "a", "text": "text_a"}).hint("merge"), "a")
+
+
+class Hubs:
+    """The set of the row's a, kept while a stays the same."""
+
+    def __init__(self, width: int):
+        self.width, self.last, self.set = width, None, None
+
+    def of(self, a: int, text: bytes | None) -> np.ndarray:
+        if self.last != a:
+            self.last, self.set = a, shingle_sets([text or b""], self.width)[0]
+        return self.set
+
+
+def linked(pairs: DataFrame, texts: DataFrame, width: int, t: Fraction, max_broadcast: int, tag: str) -> DataFrame:
+    """The pairs (a, b) of ids whose sets reach the threshold."""
+    both = with_texts(stored(pairs, tag), texts, max_broadcast).select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None  # the merge join gives the rows of one a together
+        hubs = Hubs(width)
         for batch in slices(batches, "text_b"):
             a, keep = batch.column("a").to_pylist(), []
             texts = as_bytes(batch.column("text_a"))
             for i, theirs in enumerate(shingle_sets([x or b"" for x in as_bytes(batch.column("text_b"))], width)):
-                if last != a[i]:
-                    last, own = a[i], shingle_sets([texts[i] or b""], width)[0]
+                own = hubs.of(a[i], texts[i])
                 common = len(np.intersect1d(own, theirs, assume_unique=True))
                 every = len(own) + len(theirs) - common
                 keep.append(every > 0 and common * t.denominator >= every * t.numerator)
@@ -227,6 +255,75 @@ def linked(pairs: DataFrame, texts: DataFrame, width: int, t: Fraction, max_broa
     return stored(both.mapInArrow(run, "a long, b long"), f"{tag}-linked")
 
 
+DIFFERENCES = "a long, b long, n int, asked boolean, c long, d int, e long, small int, large int, place int, token long"
+
+
+def differences(members: DataFrame, texts: DataFrame, width: int, t: Fraction, max_broadcast: int) -> DataFrame:
+    """The differences of each member b from its hub a that a prefix may need, of (a, b, n, asked, c, common).
+
+    ``e`` is |D| - q |b| in units of the denominator of q: linked ones share at least
+    (e + e') / 2. ``small`` and ``large`` are how many of the first differences count if the
+    other's e is at least, or at most, as large; large is 0 for members linked with the hub.
+    A row with place 0 stands for the link with the hub itself.
+    """
+    q = (1 - t) / (1 + t)
+    up, down = q.numerator, q.denominator
+    both = with_texts(members, texts, max_broadcast).select("a", "b", "n", "asked", "c", "common", "text_a", "text_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hubs = Hubs(width)
+        for batch in slices(batches, "text_b", 1 << 20):
+            a, common, texts = batch.column("a").to_pylist(), batch.column("common"), as_bytes(batch.column("text_a"))
+            which, rows, tokens, places = [], [], [], []
+            for i, theirs in enumerate(shingle_sets([x or b"" for x in as_bytes(batch.column("text_b"))], width)):
+                own = hubs.of(a[i], texts[i])
+                # First what the hub lacks, which is rarer among the members than what they lack of it.
+                more = np.setdiff1d(theirs, own, assume_unique=True)
+                often = np.isin(more, np.array(common[i].as_py(), np.int64).view(np.uint64)) if common[i].is_valid else np.zeros(len(more), bool)
+                d = np.concatenate([more[~often], np.setdiff1d(own, theirs, assume_unique=True), more[often]])
+                n, size = len(theirs), len(d)
+                e = size * down - n * up
+                far = size * down > up * (n + len(own))
+                need = max(2 * e, up * len(own) + e)  # the other isn't linked with the hub, and no nearer
+                small = size - max(1, -(-need // (2 * down))) + 1 if size else 0
+                # The least e that another of a fitting size can have; by the triangle inequality it can't be much nearer the hub.
+                most = n * t.denominator // t.numerator
+                least = max(down, size * down - up * (n + most)) - up * most
+                large = size - max(1, -(-(e + least) // (2 * down))) + 1 if far else 0
+                count = max(small, large)
+                head = (n, size, e, max(small, 0), max(large, 0))
+                places.append(np.arange(0 if not far else 1, count + 1, dtype=np.int32))
+                tokens.append(np.concatenate([np.zeros(0 if far else 1, np.int64), d[: max(count, 0)].view(np.int64)]))
+                which.append(np.full(len(places[-1]), i))
+                rows.append(head)
+            at, head = np.concatenate(which), np.array(rows, np.int64)
+            take = batch.select(["a", "b", "asked", "c"]).take(pa.array(at))
+            n, size, e, small, large = head[at].T
+            columns = [take.column("a"), take.column("b"), pa.array(n.astype(np.int32)), take.column("asked"), take.column("c"), *(pa.array(x.astype(k)) for x, k in ((size, np.int32), (e, np.int64), (small, np.int32), (large, np.int32))), pa.array(np.concatenate(places)), pa.array(np.concatenate(tokens))]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in DIFFERENCES.split(", ")])
+
+    return both.mapInArrow(run, DIFFERENCES)
+
+
+def common_of_hubs(members: DataFrame, texts: DataFrame, width: int, max_broadcast: int, large: int = 64, asked: int = 32, least: int = 4) -> DataFrame:
+    """(a, common): what ``least`` of about ``asked`` members of a hub with many members have and the hub lacks. It decides an order, never a result."""
+    big = members.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= large)
+    few = stored(members.select("a", "b").join(big, "a").where(F.pmod(F.xxhash64("a", "b"), F.col("k")) < asked).select("a", "b"), "hub-samples")
+    both = with_texts(few, texts, max_broadcast).select("a", "text_a", "text_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hubs = Hubs(width)
+        for batch in slices(batches, "text_b"):
+            a, texts, at, tokens = batch.column("a").to_pylist(), as_bytes(batch.column("text_a")), [], []
+            for i, theirs in enumerate(shingle_sets([x or b"" for x in as_bytes(batch.column("text_b"))], width)):
+                tokens.append(np.setdiff1d(theirs, hubs.of(a[i], texts[i]), assume_unique=True).view(np.int64))
+                at.append(np.full(len(tokens[-1]), a[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at)), pa.array(np.concatenate(tokens))], names=["a", "token"])
+
+    seen = both.mapInArrow(run, "a long, token long").groupBy("a", "token").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least)
+    return seen.groupBy("a").agg(F.collect_list("token").alias("common"))
+
+
 def near_copies(
     docs: DataFrame,
     *,
@@ -251,38 +348,42 @@ def near_copies(
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
     packed = packets(docs, width, t, one_in, buckets).repartition(buckets, "bucket")
     lists = packed.groupBy("bucket").applyInPandas(lists_of_bucket, LISTS)
-    # One row for each list and member; a hub is the member with the least number of those in their own band.
-    lists = stored(lists.groupBy("list", "hub", "node", "lower").agg(F.sum("weight").cast("int").alias("weight")), "lists")
+    lists = lists.groupBy("list", "node", "lower").agg(F.sum("weight").cast("int").alias("weight"))
+    member = stored(lists.join(reps.select("node", "rep", "n", "slack", "slack_lower"), "node").select("list", "rep", "n", "lower", "weight", F.when(F.col("lower"), F.col("slack_lower")).otherwise(F.col("slack")).alias("slack")), "lists")
+    sizes = member.groupBy("list").agg(F.count(F.lit(1)).alias("size"))
+    company = member.join(sizes, "list").groupBy("rep").agg(F.sum(F.col("weight") * F.col("size")).alias("company"))
+    hubs = stored(member.where(~F.col("lower")).join(company, "rep").groupBy("list").agg(F.max_by("rep", F.struct("company", "rep")).alias("a")), "hubs")
 
+    q = (1 - t) / (1 + t)
     size_fits = (F.col("na") * t.numerator <= F.col("nb") * t.denominator) & (F.col("nb") * t.numerator <= F.col("na") * t.denominator)
-    small = reps.select("node", "rep", "n")
+    numbers = reps.select("rep", "n")
     # First the hub that a set has most in common with.
-    hubs = lists.where("hub != node").groupBy("node", "hub").agg(F.sum("weight").alias("w"))
-    hubs = hubs.groupBy("node").agg(F.max_by("hub", F.struct("w", "hub")).alias("hub"))
-    pairs = (
-        hubs.join(small.select("node", F.col("rep").alias("b"), F.col("n").alias("nb")), "node")
-        .join(small.select(F.col("node").alias("hub"), F.col("rep").alias("a"), F.col("n").alias("na")), "hub")
-        .where(size_fits & (F.col("a") != F.col("b"))).select("a", "b")
-    )
+    met = member.join(hubs, "list").where("a != rep").groupBy("rep", "a").agg(F.sum("weight").alias("w"))
+    nearest = met.groupBy(F.col("rep").alias("b")).agg(F.max_by("a", F.struct("w", "a")).alias("a"))
+    pairs = nearest.join(numbers.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b").join(numbers.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").where(size_fits).select("a", "b")
     links = linked(pairs, docs, width, t, max_broadcast, "hub-pairs")
-    known = components(links, "a", "b")
+    known = components(links, "a", "b").withColumnRenamed("node", "rep")
 
     # Then the lists that still hold several components, without the dearest of each set.
-    member = (
-        lists.join(reps.select("node", "rep", "n", "slack", "slack_lower"), "node")
-        .join(known.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("list", "rep", "n", "lower", "weight", F.when(F.col("lower"), F.col("slack_lower")).otherwise(F.col("slack")).alias("slack"), F.coalesce("component", "rep").alias("c"))
-    )
-    member = stored(member, "members")
+    member = member.join(known, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
     mixed = member.groupBy("list").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("cost")).where("c0 != c1").select("list", "cost")
-    open_ = stored(member.join(mixed, "list"), "open-lists")
     by_cost = Window.partitionBy("rep", "lower").orderBy(F.desc("cost"), "list").rowsBetween(Window.unboundedPreceding, 0)
-    asked = open_.withColumn("passed", F.sum("weight").over(by_cost)).where("passed > slack")
+    open_ = stored(member.join(mixed, "list").withColumn("asked", F.sum("weight").over(by_cost) > F.col("slack")), "open-lists")
+    some = open_.groupBy("list").agg(F.max("asked").alias("any")).where("any").select("list").join(hubs, "list")
+    around = open_.join(some, "list").where("a != rep").groupBy("a", F.col("rep").alias("b")).agg(F.max("n").alias("n"), F.max("asked").alias("asked"), F.max("c").alias("c"))
+    around = stored(around, "around-hubs")
+    around = stored(around.join(common_of_hubs(around, docs, width, max_broadcast), "a", "left"), "ordered-hubs")
+    told = stored(differences(around, docs, width, t, max_broadcast), "differences")
+    links = links.union(told.where("place = 0").select("a", "b"))
+    mark = lambda role, of: told.where(F.col("place").between(1, F.col(of))).select("a", "token", *(F.col(c).alias(c + role) for c in ("b", "n", "asked", "c", "d", "e", "place")))
+    share = F.ceil((F.col("e0") + F.col("e1")) / (2 * q.denominator))
+    reached = (F.col("place0") <= F.col("d0") - share + 1) & (F.col("place1") <= F.col("d1") - share + 1)
+    fits = (F.col("n0") * t.numerator <= F.col("n1") * t.denominator) & (F.col("n1") * t.numerator <= F.col("n0") * t.denominator)
+    nearer = (F.col("e0") < F.col("e1")) | (F.col("e0") == F.col("e1")) & (F.col("b0") < F.col("b1"))
     pairs = (
-        asked.select("list", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-        .join(open_.where(~F.col("lower")).select("list", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), "list")
-        .where(size_fits & (F.col("ca") != F.col("cb")) & ((F.col("nb") < F.col("na")) | (F.col("nb") == F.col("na")) & (F.col("b") < F.col("a"))))
-        .select("a", "b").distinct()
+        mark("0", "small").join(mark("1", "large"), ["a", "token"])
+        .where((F.col("c0") != F.col("c1")) & (F.col("asked0") | F.col("asked1")) & nearer & fits & reached)
+        .select(F.least("b0", "b1").alias("a"), F.greatest("b0", "b1").alias("b")).distinct()
     )
     # Sets whose allowances fall short meet all sets of their sizes.
     short = reps.where("slack < 0 or slack_lower < 0").select(F.col("rep").alias("a"), F.col("n").alias("na"), F.explode(F.array(F.floor(F.log2("n")), F.floor(F.log2("n")) - 1)).alias("band"))
@@ -294,3 +395,20 @@ def near_copies(
 
     named = sets.join(reps.select("digest", "rep"), "digest", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) >= 5 THEN array_to_string(w[i:i + 4], ' ') ELSE array_to_string(w, ' ') END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY 1, 2 HAVING 100 * count(*) >= 75 * (any_value(x.n) + any_value(y.n) - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) LEFT JOIN n USING (doc_id)
+"""
