@@ -78,4 +78,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": quality.ORACLE, "op2_warc": warc.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
+    return {"op1_quality": quality.ORACLE, "op2_warc": warc.ORACLE, "op3_ngram_join": ngram_join.ORACLE, "op8_repeats": repeats.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
