@@ -1,7 +1,6 @@
 """Test items inside documents, by MinHash sketches and exact containment.
 
-Words are runs of characters outside space and U+0009 to U+000D, with A-Z in lower
-case. A text's set is its distinct runs of ``width`` words; with fewer words, the
+Words are runs of characters outside space and U+0009 to U+000D, in lower case. A text's set is its distinct runs of ``width`` words; with fewer words, the
 whole sequence as one; without words it is empty. An item is inside a document if the
 document's set holds at least ``threshold`` of the item's.
 
@@ -28,17 +27,18 @@ from pyspark.sql import functions as F
 
 from terralapse.plans.storage import stored
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def words(text: Column) -> Column:
-    cut = F.split(F.regexp_replace(F.translate(text, UPPER, LOWER), "^[ \\t-\\r]+|[ \\t-\\r]+$", ""), "[ \\t-\\r]+")
-    return F.when(F.length(text) > 0, cut)
+    """Of a text with a word."""
+    return F.split(F.btrim(F.lower(text), F.lit(SPACES)), "[ \\t-\\r]+")
 
 
 def shingles(rows: DataFrame, width: int) -> DataFrame:
     """A row per place, repeats included: from (id, text) to (id, size, h, w, i)."""
-    split = rows.select("id", words(F.col("text")).alias("w")).where((F.size("w") > 0) & (F.get("w", F.lit(0)) != ""))
+    # Asked of the text and not of its words, which Spark would work out once more for it.
+    split = rows.where(F.col("text").rlike("[^ \\t-\\r]")).select("id", words(F.col("text")).alias("w"))
     places = split.select("id", "w", F.size("w").alias("n"), F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - width, F.lit(0)))).alias("i"))
     each = F.xxhash64(*(F.get("w", F.col("i") + k) for k in range(width)))
     return places.withColumn("h", F.when(F.col("n") >= width, each).otherwise(F.xxhash64(F.array_join("w", " "))))
@@ -89,8 +89,8 @@ def contained(
     theirs = shingles(again, width).select("id", "h", as_string(width).alias("s"))
     own = shingles(items.select(F.col("item_id").alias("id"), "text"), width).select(F.col("id").alias("item_id"), "h", as_string(width).alias("s")).distinct()
     sizes = own.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item"))
-    wanted = found.join(F.broadcast(own) if small else own, "item_id")
-    shared = theirs.join(F.broadcast(wanted) if few and small else wanted, ["id", "h", "s"]).select("id", "item_id", "s").distinct()
+    # Items have few times as many shingles as their sketches.
+    shared = theirs.join(F.broadcast(own) if small else own, ["h", "s"]).select("id", "item_id", "s").distinct()
     counts = shared.groupBy("id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"))
     return (
         counts.join(F.broadcast(sizes) if small else sizes, "item_id")
@@ -103,7 +103,7 @@ ORACLE = r"""
 WITH t AS (
   SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT DISTINCT 1, item_id, text FROM benchmark),
 w AS (
-  SELECT kind, id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  SELECT kind, id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM t WHERE text IS NOT NULL),
 s AS (
   SELECT DISTINCT kind, id, CASE WHEN len(w) >= 5 THEN array_to_string(w[i:i + 4], ' ') ELSE array_to_string(w, ' ') END AS s

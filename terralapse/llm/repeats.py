@@ -153,10 +153,46 @@ def sent(docs: DataFrame, length: int, buckets: int, entries: int = 1 << 20) ->
     return docs.mapInArrow(run, "bucket int, ids binary, grams binary, contexts binary")
 
 
-def compared(pdf):
-    """For each document of a bucket: the contexts that an earlier one has too, and those whose bytes are asked for."""
+def part_of(ids: np.ndarray, parts: int) -> np.ndarray:
+    return bucket_of(ids.view(np.uint64), parts)
+
+
+def by_part(ids: np.ndarray, columns: list[np.ndarray], names: list[str], parts: int):
+    """A row for each part of the documents, every column as bytes; rows keep the order of ids."""
     import pandas as pd
 
+    part = part_of(ids, parts)
+    order = np.lexsort((ids, part))
+    at, counts = _runs(part[order])
+    rows = [(int(part[order[a]]), ids[order[a : a + k]].tobytes(), *(c[order[a : a + k]].tobytes() for c in columns)) for a, k in zip(at, counts)]
+    return pd.DataFrame(rows, columns=["part", "ids", *names])
+
+
+def gathered(kinds: dict[str, type]):
+    """Turns rows of one part, with ids and columns as bytes, into a row for each document."""
+
+    def run(pdf):
+        import pandas as pd
+
+        ids = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["ids"]])
+        order = np.argsort(ids, kind="stable")
+        columns = [np.concatenate([np.frombuffer(x, k) for x in pdf[c]])[order] for c, k in kinds.items()]
+        at, counts = _runs(ids[order])
+        return pd.DataFrame([(int(ids[order[a]]), *(c[a : a + k].tobytes() for c in columns)) for a, k in zip(at, counts)], columns=["id", *kinds])
+
+    return run
+
+
+def compared(parts: int):
+    """For each document of a bucket: the contexts that an earlier one has too (kind 0), and those whose bytes are asked for (1)."""
+
+    def run(pdf):
+        return by_part(*_compared(pdf), ["contexts", "kinds"], parts)
+
+    return run
+
+
+def _compared(pdf) -> tuple[np.ndarray, list[np.ndarray]]:
     ids, gram, context = (np.concatenate([np.frombuffer(x, k) for x in pdf[c]]) for c, k in (("ids", np.int64), ("grams", np.uint32), ("contexts", np.uint64)))
     order = np.lexsort((ids, context, gram))
     ids, gram, context = ids[order], gram[order], context[order]
@@ -170,23 +206,18 @@ def compared(pdf):
     low, high = np.minimum.reduceat(ids[first], starts), np.maximum.reduceat(ids[first], starts)
     asked = first[(low < high)[of_gram]]
     keep = np.concatenate([np.flatnonzero(covered), asked])
-    kind = np.concatenate([np.zeros(int(covered.sum()), bool), np.ones(len(asked), bool)])
-    who, what = ids[keep], context[keep]
-    order = np.lexsort((kind, who))
-    who, what, kind = who[order], what[order], kind[order]
-    at, counts = _runs(who)
-    rows = [(int(who[a]), what[a : a + k][~kind[a : a + k]].tobytes(), what[a : a + k][kind[a : a + k]].tobytes()) for a, k in zip(at, counts)]
-    return pd.DataFrame(rows, columns=["id", "covered", "asked"])
+    return ids[keep], [context[keep], np.repeat(np.array([0, 1], np.uint8), [int(covered.sum()), len(asked)])]
 
 
 def given(rows: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(bucket, ids, contexts, lefts, sizes, bytes): the bytes that were asked for, of (id, text, asked)."""
+    """(bucket, ids, contexts, lefts, sizes, bytes): the bytes that were asked for, of (id, text, contexts, kinds)."""
     names = ["bucket", "ids", "contexts", "lefts", "sizes", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             number, out = batch.column("id").to_numpy(zero_copy_only=False), []
-            wanted = [np.unique(np.frombuffer(b"".join(x), np.uint64)) for x in batch.column("asked").to_pylist()]
+            contexts, kinds = batch.column("contexts").to_pylist(), batch.column("kinds").to_pylist()
+            wanted = [np.unique(np.frombuffer(c, np.uint64)[np.frombuffer(k, np.uint8) == 1]) for c, k in zip(contexts, kinds)]
             for owners, _, c in pieces([x or b"" for x in as_bytes(batch.column("text"))], length):
                 of = np.array(owners)[c.owner] if len(c.at) else c.owner
                 at, counts = _runs(of)
@@ -209,8 +240,16 @@ def given(rows: DataFrame, length: int, buckets: int) -> DataFrame:
 
 def suffix_classes(buffer: np.ndarray, length: int) -> np.ndarray:
     """The rank of each suffix by its first ``length`` values (suffixes shorter than that end with smaller values)."""
-    rank = buffer.astype(np.int32) + 1
-    span = 1
+    # The first sort is by seven values of nine bits.
+    span = min(7, length)
+    key = np.zeros(len(buffer), np.int64)
+    for k in range(span):
+        key <<= 9
+        key[: len(key) - k] += buffer[k:] + np.int64(1)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    rank = np.empty(len(key), np.int32)
+    rank[order] = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]]), dtype=np.int32)
     while span < length:
         step = min(span, length - span)
         key = rank * np.int64(int(rank.max(initial=0)) + 1)
@@ -241,13 +280,11 @@ def earlier_factor(rank: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def ordered(length: int):
+def ordered(length: int, parts: int):
     reach = length - GRAM
 
     def run(pdf):
-        """(id, context, mask): for the contexts of a bucket, bit j of mask tells that the window j bytes before the gram is covered."""
-        import pandas as pd
-
+        """For the contexts of a bucket: bit j of a mask tells that the window j bytes before the gram is covered."""
         ids, context = (np.concatenate([np.frombuffer(x, k) for x in pdf[c]]) for c, k in (("ids", np.int64), ("contexts", np.uint64)))
         left, size = (np.concatenate([np.frombuffer(x, np.uint8) for x in pdf[c]]).astype(np.int64) for c in ("lefts", "sizes"))
         text = np.frombuffer(b"".join(pdf["bytes"]), np.uint8)
@@ -267,10 +304,7 @@ def ordered(length: int):
         mask = np.zeros(len(size), np.int64)
         np.bitwise_or.at(mask, owner[hit], np.int64(1) << back)
         some = np.flatnonzero(mask)
-        order = some[np.argsort(ids[some], kind="stable")]
-        at, counts = _runs(ids[order])
-        rows = [(int(ids[order[a]]), context[order[a : a + k]].tobytes(), mask[order[a : a + k]].tobytes()) for a, k in zip(at, counts)]
-        return pd.DataFrame(rows, columns=["id", "contexts", "masks"])
+        return by_part(ids[some], [context[some], mask[some]], ["contexts", "masks"], parts)
 
     assert reach < 63 and length < 200
     return run
@@ -278,22 +312,19 @@ def ordered(length: int):
 
 def marked(c: Contexts, of: np.ndarray, contexts: list[np.ndarray], masks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Owners (as in ``c``) and starts of the covered windows."""
-    owners, starts = [], []
-    at, counts = _runs(of)
-    for a, k in zip(at, counts):
-        known, bits = contexts[of[a]], masks[of[a]]
-        if not len(known):
-            continue
-        i = np.minimum(np.searchsorted(known, c.hash[a : a + k]), len(known) - 1)
-        hit = known[i] == c.hash[a : a + k]
-        for j in range(c.length - GRAM + 1):
-            on = hit & (bits[i] >> j & 1).astype(bool)
-            w = c.at[a : a + k][on] - j
-            good = (w >= c.low[a : a + k][on]) & (w + c.length <= c.high[a : a + k][on])
-            starts.append(w[good])
-            owners.append(c.owner[a : a + k][on][good])
-    empty = [np.zeros(0, np.int64)]
-    return np.concatenate(owners or empty), np.concatenate(starts or empty)
+    bits = np.zeros(len(c.at), np.int64)
+    for a, k in zip(*_runs(of)):
+        if len(known := contexts[of[a]]):
+            i = np.minimum(np.searchsorted(known, c.hash[a : a + k]), len(known) - 1)
+            bits[a : a + k] = np.where(known[i] == c.hash[a : a + k], masks[of[a]][i], 0)
+    some = np.flatnonzero(bits)
+    bits, at, low, high, owner = bits[some], c.at[some], c.low[some], c.high[some], c.owner[some]
+    owners, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for j in range(c.length - GRAM + 1):
+        good = (bits >> j & 1).astype(bool) & (at - j >= low) & (at - j + c.length <= high)
+        starts.append(at[good] - j)
+        owners.append(owner[good])
+    return np.concatenate(owners), np.concatenate(starts)
 
 
 def without_repeats(
@@ -319,8 +350,10 @@ def without_repeats(
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
 
     first = sent(docs.select("id", "text"), length, buckets).repartition(buckets, "bucket")
-    found = stored(first.groupBy("bucket").applyInPandas(compared, "id long, covered binary, asked binary"), "contexts")
-    asked = found.where(F.length("asked") > 0).groupBy("id").agg(F.collect_list("asked").alias("asked"))
+    packed = first.groupBy("bucket").applyInPandas(compared(buckets), "part int, ids binary, contexts binary, kinds binary")
+    gather = lambda df, kinds: df.repartition(buckets, "part").groupBy("part").applyInPandas(gathered(kinds), "id long, " + ", ".join(f"{c} binary" for c in kinds))
+    found = stored(gather(packed, {"contexts": np.uint64, "kinds": np.uint8}), "contexts")
+    asked = found.where(F.contains("kinds", F.lit(b"\1")))
     ids = asked.select("id")
     few = ids.count() <= max_broadcast
     texts = docs.select("id", "text")
@@ -328,10 +361,8 @@ def without_repeats(
         texts = texts.join(F.broadcast(ids), "id", "left_semi")
     # A context has many suffixes, so these buckets are smaller.
     second = given(texts.join(asked, "id"), length, 8 * buckets).repartition(buckets, "bucket")
-    fine = second.groupBy("bucket").applyInPandas(ordered(length), "id long, contexts binary, masks binary")
-
-    whole = found.where(F.length("covered") > 0).select("id", F.col("covered").alias("contexts"), F.lit(None).cast("binary").alias("masks"))
-    marks = whole.union(fine).groupBy("id").agg(F.collect_list(F.struct("contexts", "masks")).alias("marks"))
+    fine = gather(second.groupBy("bucket").applyInPandas(ordered(length, buckets), "part int, ids binary, contexts binary, masks binary"), {"contexts": np.uint64, "masks": np.int64})
+    marks = found.withColumnRenamed("contexts", "whole").join(fine, "id", "full")
     every = (np.int64(1) << (length - GRAM + 1)) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,10 +370,10 @@ def without_repeats(
             texts = [x or b"" for x in as_bytes(batch.column("text"))]
             known: list[np.ndarray] = []
             bits: list[np.ndarray] = []
-            for rows in batch.column("marks").to_pylist():
-                c = [np.frombuffer(r["contexts"], np.uint64) for r in rows or ()]
-                m = [np.full(len(x), every) if r["masks"] is None else np.frombuffer(r["masks"], np.int64) for x, r in zip(c, rows or ())]
-                c, m = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((c, np.uint64), (m, np.int64)))
+            for whole, kinds, own, masks in zip(*(batch.column(c).to_pylist() for c in ("whole", "kinds", "contexts", "masks"))):
+                first = np.frombuffer(whole or b"", np.uint64)[np.frombuffer(kinds or b"", np.uint8) == 0]
+                c = np.concatenate([first, np.frombuffer(own or b"", np.uint64)])
+                m = np.concatenate([np.full(len(first), every), np.frombuffer(masks or b"", np.int64)])
                 known.append(np.unique(c))
                 bits.append(np.zeros(len(known[-1]), np.int64))
                 np.bitwise_or.at(bits[-1], np.searchsorted(known[-1], c), m)
@@ -379,7 +410,7 @@ def without_repeats(
             yield pa.RecordBatch.from_arrays([batch.column("given"), *columns], names=["given", "n_bytes", "n_removed", "n_spans", "kept"])
 
     kind = original.schema["given"].dataType.simpleString()
-    out = docs.join(marks, "id", "left").select("given", "text", "marks").mapInArrow(run, f"given {kind}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
+    out = docs.join(marks, "id", "left").select("given", "text", "whole", "kinds", "contexts", "masks").mapInArrow(run, f"given {kind}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
     return out.select("given.*", "n_bytes", "n_removed", "n_spans", "kept")
 
 
