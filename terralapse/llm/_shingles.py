@@ -6,8 +6,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: A piece of text that is hashed at once; longer texts are cut at white space.
-CHUNK = 2 << 20
+#: A piece of text that is hashed at once, of which each byte takes some tens of bytes; longer texts are cut at white space.
+CHUNK = 1 << 18
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)

@@ -126,7 +126,7 @@ def sets_of(docs: DataFrame, width: int, t: Fraction, one_in: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, digest binary, node long, slack int, slack_lower int")
 
 
-def packets(docs: DataFrame, width: int, t: Fraction, one_in: int, buckets: int, entries: int = 1 << 21) -> DataFrame:
+def packets(docs: DataFrame, width: int, t: Fraction, one_in: int, buckets: int, entries: int = 1 << 20) -> DataFrame:
     """(bucket, nodes, sizes, runs, signatures): the signatures of many sets, packed by bucket of the signature."""
 
     def packed(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:

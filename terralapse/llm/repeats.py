@@ -41,7 +41,7 @@ from terralapse.plans.storage import stored
 U = np.uint64
 GRAM = 20
 #: Bytes handled at once; longer texts are cut into pieces that overlap.
-PIECE = 1 << 20
+PIECE = 1 << 18
 NO_ID = (1 << 63) - 1
 
 
@@ -56,7 +56,7 @@ class Contexts:
         n, reach = len(raw), length - GRAM
         if n < length:
             return
-        size = max(4 * PIECE, 1 << n.bit_length())
+        size = max(2 * PIECE, 1 << n.bit_length())
         sums, back = np.zeros(n + 1, np.uint64), powers(INVERSE, size)
         np.cumsum(BYTE[raw] * powers(BASE, size)[:n], out=sums[1:])
         grams = mix((sums[GRAM:] - sums[:-GRAM]) * back[: n - GRAM + 1])
