@@ -18,6 +18,8 @@ from terralapse.llm.queries import fold, table
 from terralapse.plans.storage import stored
 
 MAX_BROADCAST = 500_000
+#: Words that a worker remembers while it encodes; its cache stays beside the other stages' work.
+CACHE_ENTRIES = 1 << 18
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -51,7 +53,7 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what stays."""
-    return pieces.digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.digests(docs, public_tokenizers.path("piece_bpe_32k.model"), cache_entries=CACHE_ENTRIES)
 
 
 STAGES = [
