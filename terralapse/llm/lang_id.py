@@ -3,7 +3,9 @@
 Each language has a raw-content zstandard dictionary made of training texts. A
 text is cut into blocks, every block is compressed with each dictionary, and the
 language whose blocks take the fewest bytes in all wins. Where the best and the
-second differ by less than ``min_margin`` of the best, ``rejected`` is true.
+second differ by less than ``min_margin`` of the best, ``rejected`` is true. The margin is
+set from held-out labelled texts (README): of texts in languages it learnt it loses few, of texts in
+others it rejects most.
 
 The dictionaries come from a bounded sample: at most about ``train_docs``
 documents a language, at most ``doc_bytes`` of each, ``dict_bytes`` a dictionary.
@@ -61,7 +63,7 @@ def identify(
     dict_bytes: int = 1 << 15,
     level: int = 6,
     block_bytes: int = 1 << 13,
-    min_margin: float = 0.001,
+    min_margin: float = 0.02,
     max_languages: int = 64,
 ) -> DataFrame:
     """id, ``lang_pred``, ``score`` (0 to 1) and ``rejected``: one row per document."""

@@ -1,16 +1,20 @@
 """The text operators against brute force, round trips and held-out labels, on small tables with every awkward row."""
 
 import hashlib
+import os
 import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 llm = pytest.importorskip("terralapse.llm")
 
 from terralapse.llm import decontaminate, lang_id, ngram_join, pieces, quality, repeats, token_counts, toxicity, url_filter, warc  # noqa: E402
+from terralapse.llm.queries import fold  # noqa: E402
 
+SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, n_words long, score double, node long, id string, h long, marks string"
 BPE, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -326,3 +330,17 @@ def test_archives(spark, tmp_path):
     order = [(r.url_key, r.ts, r.page_id) for r in sorted(got, key=lambda r: (r.range, r.position))]
     assert order == sorted(order)
     assert warc.archive(pages.where("false"), str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_texts_in_no_learnt_language_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = random.Random(1)
+    letters = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10)))
+    odd = spark.createDataFrame([(i, " ".join(letters() for _ in range(150))) for i in range(50)], "doc_id long, text string")
+    train, held = docs.where(fold(4) != 2), docs.where((fold(4) == 2) & F.col("text").rlike(r"\p{L}"))
+    assert lang_id.identify(odd, train).where("rejected").count() >= 45
+    clean = held.select("doc_id", "lang").join(lang_id.identify(held, train), "doc_id").collect()
+    assert sum(r.lang_pred == r.lang and r.rejected for r in clean) <= 0.02 * len(clean)
+    unlearnt = lang_id.identify(held.where("lang = 'fr'"), train.where("lang != 'fr'")).collect()
+    assert len(unlearnt) > 20 and sum(r.rejected for r in unlearnt) >= 0.8 * len(unlearnt)
