@@ -1,12 +1,14 @@
 """From scenes to layers: composites, masks, band offsets, indices, and resampling.
 
 Scene pixels are rows of (scene_id, scene_date, row, col, bands...) in Parquet. Everything is
-lazy until it is written.
+lazy until it is written, but for the last row of cells that ``met`` asks for.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -171,6 +173,13 @@ def stac_cube(
     return cache.write(out, cache_dir, source, key, grid) if cache_dir else out
 
 
+def met(cells: DataFrame, of: GridSpec, to: GridSpec) -> GridSpec:
+    """``to`` with only the rows whose centres lie above the lower edge of the last row of cells."""
+    last = cells.agg(F.max("row")).first()[0]
+    bottom = of.ymax - (0 if last is None else last + 1) * of.resy
+    return replace(to, nrow=max(0, min(to.nrow, math.ceil((to.ymax - bottom) / to.resy - 0.5))))
+
+
 def resampled(cells: DataFrame, of: GridSpec, to: GridSpec, value: str, method: str = "near") -> DataFrame:
     """(row, col, value) on another grid of the same CRS: each target centre looks up its source cells by equality.
 

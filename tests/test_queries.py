@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as entry
 from terralapse.plans.queries import ORACLES, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -49,6 +49,17 @@ def test_query(spark, duck, name):
     assert rows(df.columns, got) == rows(names, found.fetchall())
 
 
+@pytest.mark.skipif(not os.path.isdir(LARGE), reason="no test data")
+@pytest.mark.parametrize("name, short, whole", [("resample_near", "range(12)", "range(120)"), ("resample_bilinear", "range(30)", "range(300)")])
+def test_resampling_reaches_the_last_row(spark, name, short, whole):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{LARGE}/orders.parquet'")
+    df = QUERIES[name](spark, LARGE)
+    assert short in ORACLES[name]
+    found = con.execute(ORACLES[name].replace(short, whole))
+    assert rows(df.columns, df.collect()) == rows([c[0] for c in found.description], found.fetchall())
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_entry(spark):
     df = entry.entry(spark)
