@@ -12,11 +12,13 @@ highest bound down until the k-th best cosine reaches the next bound.
 
 Learning is bounded: at most ``per_class`` labelled documents of each class, chosen
 by a hash of their id and weighted back to their share of all labels; the vocabulary
-is the ``max_terms`` terms that go most with label 1 by the chi-squared statistic, of
-those met in ``min_df`` examples and above ``min_chi2``. For these counts, examples
+is every term that goes with label 1, is met in ``min_df`` examples and has a chi-squared
+statistic of ``min_chi2`` at least. A word counts once, as the one of its terms with the highest
+statistic (the longest on ties). For these counts, examples
 with the same least hash over runs of four words count as one, so that a term is not
-chosen for standing in many copies of one text. Index and vocabulary are
-broadcast, and their size follows from these parameters alone.
+chosen for standing in many copies of one text. Document frequencies are those of the
+examples, weighted. Index and vocabulary are broadcast; the examples bound their size, however
+large the tables are.
 
 A text without a word (null and empty texts too) gets the smoothed share of label 1
 among all labels. Without any labels every score is 0.5. Among
@@ -130,15 +132,15 @@ class Index:
         return rows, scores
 
     def counted(self, text: str | None) -> list[tuple[int, int]]:
-        """(term, times) of a text, in order of term; the cache keeps the terms of words met lately."""
+        """(term, times) of a text, in order of term; the cache keeps the terms of words met lately. A word counts once, as the first of its terms."""
         words, found = words_of(text or ""), []
         if not words:
             return []
         cache = self.cache
         for w in words:
-            if (terms := cache.get(w)) is None:
-                cache.put(w, terms := tuple(self.vocabulary[t] for t in terms_of(w) if t in self.vocabulary))
-            found += terms or (self.rest,)
+            if (term := cache.get(w)) is None:
+                cache.put(w, term := min((self.vocabulary[t] for t in terms_of(w) if t in self.vocabulary), default=self.rest))
+            found.append(term)
         return sorted(Counter(found).items())
 
     def score(self, text: str | None, k: int, strength: float) -> tuple[float, list[int], list[float], list[str]]:
@@ -158,7 +160,7 @@ class Index:
         return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, per_class: int, max_terms: int, min_df: int, min_chi2: float, block: int) -> Index:
+def learn(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, per_class: int, min_df: int, min_chi2: float, block: int) -> Index:
     spark = docs.sparkSession
     known = labels.where(F.col(label_col).isin(0, 1))
     counts = {r[0]: r[1] for r in known.groupBy(label_col).count().collect()}  # two rows
@@ -194,7 +196,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, lab
         .groupBy("term", "kin").agg(F.max("y").alias("y"))
         .groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("y").alias("with_y")).where(F.col("df") >= min_df)
         .withColumn("chi2", chi2).where((F.col("chi2") >= min_chi2) & (a * n0 > b * n1))
-        .orderBy(F.desc("chi2"), "term").limit(max_terms).collect()
+        .orderBy(F.desc("chi2"), F.desc(F.length(F.ltrim(F.col("term"), F.lit("^")))), "term").collect()  # at most the terms that the examples hold min_df times
     )
     names = [*(r.term for r in vocabulary), REST]
     df = [*(r.with_y * weight.get(1, 0) + (r.df - r.with_y) * weight.get(0, 0) for r in vocabulary), float(sum(counts.values()))]
@@ -206,7 +208,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, lab
             columns = [pa.array([[x[i] for x in f] for f in found], pa.list_(pa.int32())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), *columns], names=["id", "y", "terms", "tf"])
 
-    # At most two times per_class rows of at most max_terms entries.
+    # At most two times per_class rows of at most as many entries as the vocabulary has.
     rows = sample.select(F.col(id_col).cast("long").alias("id"), F.col("y").cast("int").alias("y"), "text").mapInArrow(vectors, "id long, y int, terms array<int>, tf array<int>").collect()
     return Index.build(names, df, float(sum(counts.values())), [(r.id, r.y, r.terms, r.tf) for r in rows], weight, block)
 
@@ -221,13 +223,12 @@ def toxicity(
     k: int = 15,
     strength: float = 0.5,
     per_class: int = 6000,
-    max_terms: int = 64,
     min_df: int = 4,
     min_chi2: float = 30.0,
     block: int = 128,
 ) -> DataFrame:
     """id, ``score``, ``predicted``, and the evidence: ``neighbours``, ``cosines``, ``terms``. One row per document."""
-    index = learn(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, per_class=per_class, max_terms=max_terms, min_df=min_df, min_chi2=min_chi2, block=block)
+    index = learn(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, per_class=per_class, min_df=min_df, min_chi2=min_chi2, block=block)
     given = docs.sparkSession.sparkContext.broadcast(index)
     kind = docs.schema[id_col].dataType.simpleString()
 

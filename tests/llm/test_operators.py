@@ -344,3 +344,15 @@ def test_texts_in_no_learnt_language_are_rejected(spark):
     assert sum(r.lang_pred == r.lang and r.rejected for r in clean) <= 0.02 * len(clean)
     unlearnt = lang_id.identify(held.where("lang = 'fr'"), train.where("lang != 'fr'")).collect()
     assert len(unlearnt) > 20 and sum(r.rejected for r in unlearnt) >= 0.8 * len(unlearnt)
+
+
+def test_toxicity_knows_every_telling_word(spark):
+    """More toxic words than a short vocabulary holds, each in a dozen texts."""
+    rng = random.Random(12)
+    bad = ["".join(rng.choice("klmnopq") for _ in range(9)) for _ in range(40)]
+    plain = [(i, words(rng, 20), 0) for i in range(4000)]
+    toxic = [(10_000 + 100 * k + j, f"{words(rng, 8)} {w} {words(rng, 4)} {w} {words(rng, 4)}", 1) for k, w in enumerate(bad) for j in range(12)]
+    table = spark.createDataFrame(plain + toxic, "doc_id long, text string, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(table.drop("toxic"), table.where("doc_id % 5 != 0").select("doc_id", "toxic")).collect()}
+    held = [r for r in plain + toxic if r[0] % 5 == 0]
+    assert all(got[i].predicted == y for i, _, y in held) and all(got[10_000 + 100 * k].terms for k in range(40))
