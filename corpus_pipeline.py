@@ -42,8 +42,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without what an earlier document has too. A character that loses some of its bytes goes as a whole."""
-    found = repeats.without_repeats(docs, carry=("lang", "source"), as_text=True)
-    return found.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars")).select(docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    # In one column and by number, so that no name can clash.
+    row = [F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest))).alias("row")] if rest else []
+    found = repeats.without_repeats(docs.select("doc_id", "text", *row), carry=("row",) if rest else (), as_text=True)
+    own = {c: F.col("row")[f"c{i}"] for i, c in enumerate(rest)} | {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return found.select(*(own[c].alias(c) for c in docs.columns))
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

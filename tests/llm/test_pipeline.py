@@ -4,6 +4,7 @@ import hashlib
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("terralapse.llm")
 
@@ -48,3 +49,15 @@ def test_run(spark):
     assert got == want and len(got) < docs.count()
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(20), SF).columns == docs.columns
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_further_columns_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
+    for name in ("kept", "given", "n_removed", "row"):
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    got = corpus_pipeline.passages(spark, docs, SF)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert len(rows) == 30 and all((r.kept, r.given, r.n_removed, r.row) == tuple(f"{n}{r.doc_id}" for n in ("kept", "given", "n_removed", "row")) for r in rows)
+    assert all(len(r.text) == r.n_chars and r.lang for r in rows)
