@@ -5,8 +5,19 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
+
+#: The most bytes of an Arrow batch (but for a single longer row).
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets no Arrow batch take more than BATCH_BYTES, in this session from now on: by their number alone, rows of long texts make very large ones."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, str(BATCH_BYTES))
 
 
 def given_back() -> None:
@@ -32,6 +43,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 <<
     given_back()
 
 
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values, one after another and without a copy, and where each starts and the last ends. Nulls are empty."""
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw, ends - ends[0]
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     kind = pa.large_binary() if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else pa.binary()
     return column.cast(kind).to_pylist()

@@ -5,61 +5,95 @@ never cross documents; matches are judged on the input.
 
 **Meeting.** All copies of a string must meet in one task, without every string being sent.
 Each window of ``length`` bytes names the gram inside it with the least hash; copies name
-the same one. A named gram with the bytes around it that its windows can reach is a
-*context*. Documents send a hash of the gram and one of the context, packed by bucket. In a
-bucket, a context that an earlier document has too is covered whole. Where a gram has
-several contexts, the first document of each is asked for its bytes.
+the same one. A *context* is a run of neighbouring windows that name one gram, as a string of
+bytes; every window is in one context. Documents send a hash of the gram and a seal of the
+context, packed by bucket of the gram; of the copies that a packet of documents holds only
+the first goes there, the others are known to be covered. In a bucket, a context that an
+earlier document has too is covered whole. Where a gram has several contexts, the first
+document of each is asked for its bytes.
+
+**Seals.** Whether two contexts are equal is decided by a seal of 124 bits: the values of
+their bytes, as polynomials over the field of 2^31 - 1 elements, at four random points that
+the driver draws anew for each call. Whatever the texts are, two different contexts (at most
+80 bytes, and their length) have equal seals with a chance of at most (81 / 2^31)^4 < 2^-98.
+Text made to collide can't be prepared, as the points aren't known beforehand.
 
 **Suffix order.** The bytes of these contexts, in order of document, make a buffer for each
-bucket. Its suffixes are sorted (prefix doubling, as deep as ``length``). For each suffix,
-the longest previous factor is the longer of the common prefixes with the nearest suffixes
-before and after it, in suffix order, that belong to an earlier document: the previous and
-the next smaller position. A window is covered if that factor reaches ``length``.
+bucket. The suffixes that are windows are sorted to a depth of ``length`` bytes, eight at a
+time, which also gives the common prefix of neighbours. The previous and the next smaller
+value in suffix order (the nearest suffixes of an earlier document) and the least common
+prefix on the way give the longest-previous-factor array; a window is covered if its entry
+reaches ``length``.
 
 **Removal.** What is covered goes back to the documents, whose bytes are read again.
 
-A gram or a context that very many documents share is dealt with by its distinct contexts;
-their documents only enter a minimum. Null text is empty: nothing to remove, and the digest
-of no bytes. Repeated rows, having equal ids, are no copies of one another; null ids come
-after all others. Further columns of the input are ignored, so their names can't clash. An
-empty table gives an empty result.
+Null text is empty: nothing to remove, and the digest of no bytes. Repeated rows, having
+equal ids, are no copies of one another; null ids come after all others. Further columns of
+the input are ignored, so their names can't clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralapse.llm._arrow import as_bytes, slices
+from terralapse.llm._arrow import flat, given_back, slices, small_batches
 from terralapse.llm._shingles import BASE, BYTE, INVERSE, mix, powers
 from terralapse.plans.storage import stored
 
 U = np.uint64
 GRAM = 20
 #: Bytes handled at once; longer texts are cut into pieces that overlap.
-PIECE = 1 << 18
+PIECE = 1 << 17
 NO_ID = (1 << 63) - 1
+FIELD, LANES = (1 << 31) - 1, 4
+#: Mask of a context whose windows are all covered.
+WHOLE = -1
+
+
+@dataclass(frozen=True)
+class Points:
+    """Where seals are taken: a point for the bytes and one for the size, for each lane."""
+
+    at: tuple[tuple[int, int], ...]
+
+    @classmethod
+    def drawn(cls) -> Points:
+        return cls(tuple((secrets.randbelow(FIELD - 2) + 2, secrets.randbelow(FIELD - 2) + 2) for _ in range(LANES)))
+
+
+@lru_cache(maxsize=2 * LANES)
+def field_powers(base: int, n: int) -> np.ndarray:
+    """base^0 to base^(n - 1) in the field."""
+    out = np.ones(1, U)
+    while len(out) < n:
+        out = np.concatenate([out, out * U(pow(base, len(out), FIELD)) % U(FIELD)])
+    return out[:n].astype(np.uint32)
 
 
 class Contexts:
-    """The contexts of one text or of a piece of it: gram position, bounds, hashes, windows."""
+    """The contexts of some texts: their bounds [low, high), gram hashes, texts, and seals."""
 
-    def __init__(self, raw: np.ndarray, bounds: np.ndarray, length: int):
+    def __init__(self, raw: np.ndarray, bounds: np.ndarray, length: int, points: Points | None = None):
         """raw: texts one after another; bounds: where they start, and the end."""
-        self.raw, self.length, self.bounds = raw, length, bounds
-        self.at = self.low = self.high = self.owner = np.zeros(0, np.int64)
-        self.gram = self.hash = np.zeros(0, np.uint64)
-        n, reach = len(raw), length - GRAM
+        self.raw, self.bounds, n, reach = raw, bounds, len(raw), length - GRAM
+        self.low = self.high = self.owner = np.zeros(0, np.int64)
+        self.gram, self.seal = np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64)
         if n < length:
             return
-        size = max(2 * PIECE, 1 << n.bit_length())
-        sums, back = np.zeros(n + 1, np.uint64), powers(INVERSE, size)
+        size = max(PIECE + 8 * length, n)
+        sums = np.zeros(n + 1, np.uint64)
         np.cumsum(BYTE[raw] * powers(BASE, size)[:n], out=sums[1:])
-        grams = mix((sums[GRAM:] - sums[:-GRAM]) * back[: n - GRAM + 1])
+        grams = (sums[GRAM:] - sums[:-GRAM]) * powers(INVERSE, size)[: n - GRAM + 1]
+        grams ^= grams >> U(29)
+        grams *= U(0xBF58476D1CE4E5B9)
         key = (grams & ~U(0xFFFFFFFF)) | np.arange(len(grams), dtype=np.uint64)
         # The least of reach + 1 neighbours, by doubling.
         span, least = 1, key
@@ -68,263 +102,385 @@ class Contexts:
             span *= 2
         if (rest := reach + 1 - span) > 0:
             least = np.minimum(least[:-rest], least[rest:])
-        named = (least & U(0xFFFFFFFF)).astype(np.int64)
-        owner = np.searchsorted(bounds, np.arange(len(named)), side="right") - 1
-        inside = np.arange(len(named)) + length <= bounds[owner + 1]
-        named, owner = named[inside], owner[inside]
-        first = np.flatnonzero(np.concatenate([[True], (named[1:] != named[:-1]) | (owner[1:] != owner[:-1])])) if len(named) else np.zeros(0, np.int64)
-        self.at, self.owner = named[first], owner[first]
-        self.low = np.maximum(self.at - reach, bounds[self.owner])
-        self.high = np.minimum(self.at + length, bounds[self.owner + 1])
-        self.gram = grams[self.at]
-        around = (sums[self.high] - sums[self.low]) * back[self.low]
-        self.hash = mix(around ^ mix(((self.at - self.low) * 1024 + (self.high - self.at)).astype(np.uint64)) ^ self.gram)
-
-    def bytes_of(self, i: int) -> bytes:
-        return self.raw[self.low[i] : self.high[i]].tobytes()
-
-
-def pieces(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[int], Contexts]]:
-    """Texts in groups, long ones in overlapping pieces: (number of each text, its offset, contexts)."""
-    held: list[tuple[int, int, bytes]] = []
-    size, margin = 0, 2 * length
-
-    def made():
-        raw = np.frombuffer(b"".join(p for *_, p in held), np.uint8)
-        bounds = np.concatenate([[0], np.cumsum([len(p) for *_, p in held])])
-        return [i for i, *_ in held], [o for _, o, _ in held], Contexts(raw, bounds, length)
-
-    for i, text in enumerate(texts):
-        for start in range(0, max(len(text), 1), PIECE):
-            low = max(0, start - margin)
-            part = text[low : start + PIECE + margin]
-            if held and size + len(part) > PIECE:
-                yield made()
-                held, size = [], 0
-            held.append((i, low, part))
-            size += len(part)
-            if start + PIECE + margin >= len(text):
+        named = least.astype(np.uint32)
+        # Windows inside one text: those that start in its last length - 1 bytes aren't.
+        inside = np.ones(len(named) + 1, bool)
+        inside[-1] = False
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            inside[max(a, b - length + 1) : b] = False
+        edge = np.ones(len(named) + 1, bool)
+        edge[1:-1] = named[1:] != named[:-1]
+        first = np.flatnonzero(inside[:-1] & (edge[:-1] | ~np.concatenate([[False], inside[:-2]])))
+        last = np.flatnonzero(inside[:-1] & (edge[1:] | ~inside[1:]))
+        self.low, self.high = first, last + length
+        self.gram = mix(grams[named[first]])
+        self.owner = np.searchsorted(bounds, first, side="right") - 1
+        if points:
+            lanes = []
+            wide = raw.astype(np.uint64)
+            for base, other in points.at:
+                power = field_powers(base, size)
+                np.cumsum(wide * power[:n], out=sums[1:])
+                value = (sums[self.high] - sums[self.low]) % U(FIELD) * power[size - 1 - self.low] % U(FIELD)
+                lanes.append((value + (self.high - self.low).astype(np.uint64) * U(other)) % U(FIELD))
+            self.seal = np.stack([lanes[0] << U(31) | lanes[1], lanes[2] << U(31) | lanes[3]], 1)
+
+
+def pieces(raw: np.ndarray, offsets: np.ndarray, length: int, points: Points | None = None, wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Contexts]]:
+    """Texts in groups of about PIECE bytes, long ones in overlapping pieces; without groups that have no ``wanted`` text.
+
+    Gives, for each group: the number of each text in it, where its piece starts in ``raw``,
+    how many contexts earlier pieces of it had, and the contexts.
+    """
+    n, margin, i = len(offsets) - 1, 2 * length, 0
+    while i < n:
+        a = int(offsets[i])
+        if offsets[i + 1] - a <= PIECE:
+            j = max(i + 1, int(np.searchsorted(offsets, a + PIECE, side="right")) - 1)
+            if wanted is None or wanted[i:j].any():
+                yield np.arange(i, j), offsets[i:j], np.zeros(j - i, np.int64), Contexts(raw[a : offsets[j]], offsets[i : j + 1] - a, length, points)
+            i = j
+            continue
+        end, seen = int(offsets[i + 1]), 0
+        for start in range(a, end, PIECE) if wanted is None or wanted[i] else ():
+            low, high = max(a, start - margin), min(end, start + PIECE + margin)
+            c = Contexts(raw[low:high], np.array([0, high - low]), length, points)
+            yield np.array([i]), np.array([low]), np.array([seen]), c
+            seen += len(c.low)
+            if high == end:
                 break
-    if held:
-        yield made()
+        i += 1
+
+
+def numbered(c: Contexts, before: np.ndarray) -> np.ndarray:
+    """The number of each context in its text."""
+    at, counts = runs_of(c.owner)
+    return np.arange(len(c.owner)) - np.repeat(at, counts) + before[c.owner]
+
+
+def runs_of(*values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal values."""
+    n = len(values[0])
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = np.ones(n, bool)
+    new[1:] = np.logical_or.reduce([v[1:] != v[:-1] for v in values])
+    at = np.flatnonzero(new)
+    return at, np.diff(np.append(at, n))
 
 
-def _runs(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
-    return at, np.diff(np.append(at, len(owner)))
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((mix(hashes.astype(np.uint64, copy=False)) >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
 
 
-def bucket_of(gram: np.ndarray, buckets: int) -> np.ndarray:
-    # Named grams have small hashes, being the least of many; they are spread anew.
-    return ((mix(gram) >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """As pmod gives it in Spark; keys are hashes already."""
+    return keys % parts
 
 
-def _packed(bucket: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    """A row per bucket, each column as bytes."""
-    order = np.argsort(bucket, kind="stable")
-    at, counts = _runs(bucket[order])
-    rows = [[int(bucket[order[a]]), *(c[order[a : a + k]].tobytes() for c in columns)] for a, k in zip(at, counts)]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(len(names))], names=names)
+def packed(place: np.ndarray, owner: tuple[np.ndarray, ...], columns: list[np.ndarray]) -> list[tuple]:
+    """Rows (place, each of ``owner`` once for a run of it, the runs' lengths, columns) as bytes; a row for each place."""
+    order = np.lexsort((owner[-1], place))
+    place, owner, columns = place[order], [o[order] for o in owner], [c[order] for c in columns]
+    starts, counts = runs_of(place)
+    out = []
+    for a, b in zip(starts.tolist(), (starts + counts).tolist()):
+        at, k = runs_of(owner[-1][a:b])
+        out.append((int(place[a]), *(o[a:b][at].tobytes() for o in owner), k.astype(np.uint32).tobytes(), *(c[a:b].tobytes() for c in columns)))
+    return out
+
+
+def batch_of(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if isinstance(rows[0][i], bytes) else pa.int32()) for i in range(len(names))], names=names)
+
+
+def joined(rows: list, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), kind)
+
 
+SENT = ["bucket", "ids", "keys", "counts", "numbers", "grams", "seals"]
 
-def sent(docs: DataFrame, length: int, buckets: int, entries: int = 1 << 20) -> DataFrame:
-    """(bucket, ids, grams, contexts): what each document sends of its contexts, packed."""
-    names = ["bucket", "ids", "grams", "contexts"]
+
+def sent(docs: DataFrame, length: int, points: Points, buckets: int, entries: int = 1 << 17) -> DataFrame:
+    """What documents send of their contexts, packed by bucket; rows without grams tell of contexts that are covered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def packed() -> pa.RecordBatch:
-            ids, gram, context = (np.concatenate([h[i] for h in held]) for i in range(3))
-            return _packed(bucket_of(gram, buckets), [ids, gram.astype(np.uint32), context], names)
+        def combined() -> pa.RecordBatch:
+            doc_id, doc_key, number, gram, one, two = (np.concatenate([h[i] for h in held]) for i in range(6))
+            order = np.lexsort((doc_id, two, one))
+            at, counts = runs_of(one[order], two[order])
+            later = np.zeros(len(one), bool)
+            later[order] = doc_id[order] > np.repeat(doc_id[order[at]], counts)
+            rows = []
+            if later.any():
+                of = np.flatnonzero(later)
+                rows += [(b, b"", *rest, b"", b"") for b, *rest in packed(part_of(doc_key[of], buckets), (doc_key[of],), [number[of]])]
+            of = np.flatnonzero(~later)
+            seal = np.stack([one[of], two[of]], 1)
+            rows += packed(bucket_of(gram[of], buckets), (doc_id[of], doc_key[of]), [number[of], gram[of].astype(np.uint32), seal])
+            return batch_of(rows, SENT)
 
         for batch in slices(batches, "text"):
-            number = batch.column("id").to_numpy(zero_copy_only=False)
-            for owners, _, c in pieces([x or b"" for x in as_bytes(batch.column("text"))], length):
-                if len(c.at):
-                    held.append((number[np.array(owners)[c.owner]], c.gram, c.hash))
-                    size += len(c.at)
+            doc_id, doc_key = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "key"))
+            for texts, _, before, c in pieces(*flat(batch.column("text")), length, points):
+                if len(c.low):
+                    of = texts[c.owner]
+                    held.append((doc_id[of], doc_key[of], numbered(c, before).astype(np.uint32), c.gram, c.seal[:, 0], c.seal[:, 1]))
+                    size += len(of)
                 if size >= entries:
-                    yield packed()
+                    yield combined()
                     held, size = [], 0
         if held:
-            yield packed()
-
-    return docs.mapInArrow(run, "bucket int, ids binary, grams binary, contexts binary")
-
-
-def part_of(ids: np.ndarray, parts: int) -> np.ndarray:
-    return bucket_of(ids.view(np.uint64), parts)
+            yield combined()
 
+    return docs.mapInArrow(run, "bucket int, ids binary, keys binary, counts binary, numbers binary, grams binary, seals binary")
 
-def by_part(ids: np.ndarray, columns: list[np.ndarray], names: list[str], parts: int):
-    """A row for each part of the documents, every column as bytes; rows keep the order of ids."""
-    import pandas as pd
 
-    part = part_of(ids, parts)
-    order = np.lexsort((ids, part))
-    at, counts = _runs(part[order])
-    rows = [(int(part[order[a]]), ids[order[a : a + k]].tobytes(), *(c[order[a : a + k]].tobytes() for c in columns)) for a, k in zip(at, counts)]
-    return pd.DataFrame(rows, columns=["part", "ids", *names])
+FOUND = ["part", "kind", "keys", "counts", "numbers"]
+COVERED, ASKED = 0, 1
 
 
-def gathered(kinds: dict[str, type]):
-    """Turns rows of one part, with ids and columns as bytes, into a row for each document."""
+def compared(rows: DataFrame, parts: int) -> DataFrame:
+    """For each part of the documents, of the partitions of ``sent``: contexts covered whole (kind 0), and those whose bytes are asked for (1)."""
 
-    def run(pdf):
-        import pandas as pd
+    def of_parts(kind: int, keys: np.ndarray, numbers: np.ndarray) -> list[tuple]:
+        return [(p, kind, *rest) for p, *rest in packed(part_of(keys, parts), (keys,), [numbers])]
 
-        ids = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["ids"]])
-        order = np.argsort(ids, kind="stable")
-        columns = [np.concatenate([np.frombuffer(x, k) for x in pdf[c]])[order] for c, k in kinds.items()]
-        at, counts = _runs(ids[order])
-        return pd.DataFrame([(int(ids[order[a]]), *(c[a : a + k].tobytes() for c in columns)) for a, k in zip(at, counts)], columns=["id", *kinds])
-
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns: dict[str, list] = {c: [] for c in SENT}
+        for batch in batches:
+            known = batch.filter(pa.compute.equal(pa.compute.binary_length(batch.column("grams")), 0))
+            if known.num_rows:
+                keys, counts, numbers = (known.column(c).to_pylist() for c in ("keys", "counts", "numbers"))
+                yield batch_of(of_parts(COVERED, np.repeat(joined(keys, np.int64), joined(counts, np.uint32)), joined(numbers, np.uint32)), FOUND)
+            batch = batch.filter(pa.compute.greater(pa.compute.binary_length(batch.column("grams")), 0))
+            for c in SENT[1:]:
+                columns[c] += batch.column(c).to_pylist()
+        if not columns["ids"]:
+            return
+        counts = joined(columns["counts"], np.uint32)
+        ids, keys = (np.repeat(joined(columns[c], np.int64), counts) for c in ("ids", "keys"))
+        numbers, gram, seal = joined(columns["numbers"], np.uint32), joined(columns["grams"], np.uint32), joined(columns["seals"], np.uint64).reshape(-1, 2)
+        columns.clear()
+        order = np.lexsort((ids, seal[:, 1], seal[:, 0], gram))
+        ids, keys, numbers, gram, seal = ids[order], keys[order], numbers[order], gram[order], seal[order]
+        first, counts = runs_of(gram, seal[:, 0], seal[:, 1])
+        covered = np.flatnonzero(ids > np.repeat(ids[first], counts))
+        # Grams with several contexts that don't all start in one document: the first document of each is asked.
+        starts, many = runs_of(gram[first])
+        low, high = np.minimum.reduceat(ids[first], starts), np.maximum.reduceat(ids[first], starts)
+        asked = first[np.repeat(low < high, many)]
+        for kind, of in ((COVERED, covered), (ASKED, asked)):
+            if len(of):
+                yield batch_of(of_parts(kind, keys[of], numbers[of]), FOUND)
+        given_back()
+
+    return rows.mapInArrow(run, "part int, kind int, keys binary, counts binary, numbers binary")
+
+
+ABOUT = ["keys", "counts", "numbers", "masks"]
+
+
+class Marks:
+    """Numbers of contexts, and a mask for each (WHOLE without one), by document; of rows packed as above."""
+
+    def __init__(self, rows: dict[str, list]):
+        key, number = np.repeat(joined(rows["keys"], np.int64), joined(rows["counts"], np.uint32)), joined(rows["numbers"], np.uint32)
+        mask = joined([np.full(len(n) // 4, WHOLE, np.int32).tobytes() if m is None else m for n, m in zip(rows["numbers"], rows["masks"])], np.int32)
+        order = np.lexsort((number, key))
+        self.number, self.mask = number[order], mask[order]
+        starts, many = runs_of(key[order])
+        self.slots = dict(zip(key[order][starts].tolist(), zip(starts.tolist(), (starts + many).tolist())))
+
+    def of(self, keys: list[int], texts: np.ndarray, before: np.ndarray, c: Contexts) -> tuple[np.ndarray, np.ndarray]:
+        """The marked contexts, and their masks."""
+        which, masks = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for first, n in zip(*(x.tolist() for x in runs_of(c.owner))):
+            owner = c.owner[first]
+            a, b = self.slots.get(keys[texts[owner]], (0, 0))
+            if a < b:
+                low = int(before[owner])
+                a, b = (a + int(x) for x in np.searchsorted(self.number[a:b], (low, low + n)))
+                which.append(self.number[a:b].astype(np.int64) + (first - low))
+                masks.append(self.mask[a:b])
+        return np.concatenate(which), np.concatenate(masks)
+
+
+def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Marks, list[int], pa.RecordBatch]]:
+    """The documents of a partition of ``by_document``, a few at a time, with their keys and the marks of all."""
+    rows: dict[str, list] = {c: [] for c in ABOUT}
+    marks = None
+    for batch in batches:
+        n = batch.num_rows - int(batch.column("place").to_numpy(zero_copy_only=False).sum())
+        for c in ABOUT if n else ():
+            rows[c] += batch.column(c).slice(0, n).to_pylist()
+        if batch.num_rows > n:
+            marks = marks or Marks(rows)
+            rows = {c: [] for c in ABOUT}
+            for part in slices(iter([batch.slice(n)]), "text"):
+                yield marks, part.column("key").to_pylist(), part
+
+
+def by_document(about: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
+    """Documents and the rows about them, brought together by part; in a partition those rows come first.
+
+    A text is sorted by Spark and never held with others; what is known about a part's
+    documents is bounded by their texts.
+    """
+    of_docs = docs.select(F.pmod("key", F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("place"), "*", *(F.lit(None).cast("binary").alias(c) for c in ABOUT))
+    rows = about.select("part", F.lit(0).alias("place"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema), *ABOUT)
+    return rows.union(of_docs).repartitionById(parts, F.col("part")).sortWithinPartitions("place").drop("part")
 
 
-def compared(parts: int):
-    """For each document of a bucket: the contexts that an earlier one has too (kind 0), and those whose bytes are asked for (1)."""
+GIVEN = ["bucket", "ids", "keys", "counts", "numbers", "sizes", "bytes"]
 
-    def run(pdf):
-        return by_part(*_compared(pdf), ["contexts", "kinds"], parts)
 
-    return run
+def given(docs: DataFrame, length: int, buckets: int, entries: int = 1 << 15) -> DataFrame:
+    """The bytes that were asked for, of ``by_document``, packed by bucket of the gram."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, texts_held, size = [], [], 0
+
+        def combined() -> pa.RecordBatch:
+            doc_id, doc_key, number, gram, sizes = (np.concatenate([h[i] for h in held]) for i in range(5))
+            place = bucket_of(gram, buckets)
+            order = np.lexsort((doc_key, place))
+            starts, counts = runs_of(place[order])
+            rows = packed(place, (doc_id, doc_key), [number, sizes])
+            return batch_of([(*r, b"".join([texts_held[i] for i in order[a : a + k].tolist()])) for r, a, k in zip(rows, starts, counts)], GIVEN)
+
+        for marks, keys, batch in beside(batches):
+            doc_id, doc_key = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "key"))
+            wanted = np.array([k in marks.slots for k in keys])
+            for texts, _, before, c in pieces(*flat(batch.column("text")), length, wanted=wanted):
+                of = np.unique(marks.of(keys, texts, before, c)[0])
+                if len(of):
+                    own = texts[c.owner[of]]
+                    held.append((doc_id[own], doc_key[own], numbered(c, before)[of].astype(np.uint32), c.gram[of], (c.high - c.low)[of].astype(np.uint8)))
+                    raw = c.raw.tobytes()
+                    texts_held += [raw[a:b] for a, b in zip(c.low[of].tolist(), c.high[of].tolist())]
+                    size += len(of)
+                if size >= entries:
+                    yield combined()
+                    held, texts_held, size = [], [], 0
+        if held:
+            yield combined()
 
-def _compared(pdf) -> tuple[np.ndarray, list[np.ndarray]]:
-    ids, gram, context = (np.concatenate([np.frombuffer(x, k) for x in pdf[c]]) for c, k in (("ids", np.int64), ("grams", np.uint32), ("contexts", np.uint64)))
-    order = np.lexsort((ids, context, gram))
-    ids, gram, context = ids[order], gram[order], context[order]
-    new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
-    new = new_gram | np.concatenate([[True], context[1:] != context[:-1]])
-    group, first = np.cumsum(new) - 1, np.flatnonzero(new)
-    covered = ids > ids[first][group]
-    # Grams with several contexts that don't all start in one document: the first document of each is asked.
-    of_gram = (np.cumsum(new_gram) - 1)[first]
-    starts = np.flatnonzero(new_gram[first])
-    low, high = np.minimum.reduceat(ids[first], starts), np.maximum.reduceat(ids[first], starts)
-    asked = first[(low < high)[of_gram]]
-    keep = np.concatenate([np.flatnonzero(covered), asked])
-    return ids[keep], [context[keep], np.repeat(np.array([0, 1], np.uint8), [int(covered.sum()), len(asked)])]
+    return docs.mapInArrow(run, "bucket int, ids binary, keys binary, counts binary, numbers binary, sizes binary, bytes binary")
 
 
-def given(rows: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(bucket, ids, contexts, lefts, sizes, bytes): the bytes that were asked for, of (id, text, contexts, kinds)."""
-    names = ["bucket", "ids", "contexts", "lefts", "sizes", "bytes"]
+def suffix_order(buffer: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of some suffixes by their first ``depth`` bytes (earlier in ``starts`` first on ties), and the common prefix of each with the one before it, at most ``depth``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            number, out = batch.column("id").to_numpy(zero_copy_only=False), []
-            contexts, kinds = batch.column("contexts").to_pylist(), batch.column("kinds").to_pylist()
-            wanted = [np.unique(np.frombuffer(c, np.uint64)[np.frombuffer(k, np.uint8) == 1]) for c, k in zip(contexts, kinds)]
-            for owners, _, c in pieces([x or b"" for x in as_bytes(batch.column("text"))], length):
-                of = np.array(owners)[c.owner] if len(c.at) else c.owner
-                at, counts = _runs(of)
-                for a, k in zip(at, counts):
-                    i = of[a]
-                    for j in a + np.flatnonzero(np.isin(c.hash[a : a + k], wanted[i])):
-                        out.append((int(number[i]), c.gram[j], c.hash[j], int(c.at[j] - c.low[j]), c.bytes_of(j)))
-            if out:
-                order = sorted(range(len(out)), key=lambda i: int(out[i][1]))
-                bucket = bucket_of(np.array([out[i][1] for i in order], np.uint64), buckets)
-                at, counts = _runs(bucket)
-                rows = []
-                for a, k in zip(at, counts):
-                    part = [out[i] for i in order[a : a + k]]
-                    rows.append((int(bucket[a]), np.array([x[0] for x in part], np.int64).tobytes(), np.array([x[2] for x in part], np.uint64).tobytes(), bytes(x[3] for x in part), bytes(len(x[4]) for x in part), b"".join(x[4] for x in part)))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(6)], names=names)
-
-    return rows.mapInArrow(run, "bucket int, ids binary, contexts binary, lefts binary, sizes binary, bytes binary")
-
-
-def suffix_classes(buffer: np.ndarray, length: int) -> np.ndarray:
-    """The rank of each suffix by its first ``length`` values (suffixes shorter than that end with smaller values)."""
-    # The first sort is by seven values of nine bits.
-    span = min(7, length)
-    key = np.zeros(len(buffer), np.int64)
-    for k in range(span):
-        key <<= 9
-        key[: len(key) - k] += buffer[k:] + np.int64(1)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    rank = np.empty(len(key), np.int32)
-    rank[order] = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]]), dtype=np.int32)
-    while span < length:
-        step = min(span, length - span)
-        key = rank * np.int64(int(rank.max(initial=0)) + 1)
-        key[: len(key) - step] += rank[step:]
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        rank = np.empty(len(key), np.int32)
-        rank[order] = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]]), dtype=np.int32)
-        span += step
-    return rank
-
-
-def earlier_factor(rank: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Whether the longest previous factor of each suffix reaches the depth of ``rank``.
-
-    In suffix order, suffixes that agree to that depth are one run, and a neighbour outside
-    the run agrees less. So the factor reaches the depth if the previous or the next smaller
-    position lies inside the run: if the least id before or after the suffix in its run is
-    smaller than its own.
+    Sorts by eight bytes at a time; each round only what is equal so far. The buffer goes on for ``depth`` bytes after each start.
+    """
+    n = len(starts)
+    order, common = np.arange(n), np.zeros(n, np.int64)
+    bytes_at = np.concatenate([buffer, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(buffer) + 1,), ">u8", bytes_at, 0, (1,))
+    open_, group = np.arange(n), np.zeros(n, np.int64)  # places still equal, and the place where their group starts
+    for at in range(0, depth, 8):
+        if not len(open_):
+            break
+        word = words[starts[order[open_]] + at].astype(np.uint64)
+        if depth - at < 8:
+            word &= U((1 << 64) - (1 << 8 * (8 - depth + at)))
+        inner = np.lexsort((order[open_], word, group))
+        word, order[open_] = word[inner], order[open_][inner]
+        follows = np.zeros(len(open_), bool)
+        follows[1:] = group[1:] == group[:-1]
+        differ = np.zeros(len(open_), np.uint64)
+        differ[1:] = word[1:] ^ word[:-1]
+        same = follows & (differ == 0)
+        # Bytes that agree in a word: zero bytes at its head.
+        heads = sum((differ < (U(1) << U(8 * k))).astype(np.int64) for k in range(1, 8)) + (differ == 0)
+        common[open_[follows]] = at + np.minimum(heads, depth - at)[follows]
+        new = ~same
+        leader = open_[np.maximum.accumulate(np.where(new, np.arange(len(open_)), 0))]
+        keep = same | np.concatenate([same[1:], [False]])
+        open_, group = open_[keep], leader[keep]
+    return order, common
+
+
+def nearest_smaller(value: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """For each place, the common prefix with the nearest place before it that has a smaller value (0: none, or under ``least``).
+
+    All places jump at once: what lies between a place and the one that it points to is no smaller.
     """
-    order = np.lexsort((ids, rank))
-    r, d = rank[order], ids[order]
-    start = np.concatenate([[True], r[1:] != r[:-1]])
-    run = np.cumsum(start) - 1
-    # Within a run ids ascend, so the least before a suffix is the run's first and none after it is smaller.
-    out = np.zeros(len(rank), bool)
-    out[order] = d[np.flatnonzero(start)][run] < d
+    to, shared = np.arange(-1, len(value) - 1), common.copy()
+    active = np.flatnonzero((to >= 0) & (shared >= least))
+    shared[(to < 0) | (shared < least)] = 0
+    while len(active := active[value[to[active]] >= value[active]]):
+        next_, less = to[to[active]], np.minimum(shared[active], shared[to[active]])
+        less[(next_ < 0) | (less < least)] = 0
+        to[active], shared[active] = next_, less
+        active = active[less > 0]
+    return shared
+
+
+def previous_factors(buffer: np.ndarray, starts: np.ndarray, value: np.ndarray, depth: int, least: int = 1) -> np.ndarray:
+    """The longest-previous-factor array: how much of each suffix (at most ``depth``) another with a smaller value starts with; 0 for less than ``least``."""
+    order, common = suffix_order(buffer, starts, depth)
+    of = value[order]
+    before = nearest_smaller(of, common, least)
+    after = nearest_smaller(of[::-1], np.concatenate([common[1:], [0]])[::-1], least)[::-1]
+    out = np.zeros(len(starts), np.int64)
+    out[order] = np.maximum(before, after)
     return out
 
 
-def ordered(length: int, parts: int):
-    reach = length - GRAM
-
-    def run(pdf):
-        """For the contexts of a bucket: bit j of a mask tells that the window j bytes before the gram is covered."""
-        ids, context = (np.concatenate([np.frombuffer(x, k) for x in pdf[c]]) for c, k in (("ids", np.int64), ("contexts", np.uint64)))
-        left, size = (np.concatenate([np.frombuffer(x, np.uint8) for x in pdf[c]]).astype(np.int64) for c in ("lefts", "sizes"))
-        text = np.frombuffer(b"".join(pdf["bytes"]), np.uint8)
-        start = np.cumsum(size) - size
-        # Each context ends with a value that no byte has, so that no match goes over its end.
-        buffer = np.zeros(len(text) + len(size), np.int16)
-        place = np.arange(len(text)) + np.repeat(np.arange(len(size)), size)
-        buffer[place] = text.astype(np.int16) + 1
-        start = start + np.arange(len(size))
-        rank = suffix_classes(buffer, length)
-        windows = np.maximum(size - length + 1, 0)
-        windows = np.minimum(windows, left + 1)
-        owner = np.repeat(np.arange(len(size)), windows)
-        inner = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-        hit = earlier_factor(rank[start[owner] + inner], ids[owner])
-        back = (left[owner] - inner)[hit]
+def ordered(rows: DataFrame, length: int, parts: int) -> DataFrame:
+    """For each part of the documents: masks of the contexts in the partitions of ``given``; bit j tells that window j is covered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns: dict[str, list] = {c: [] for c in GIVEN}
+        for batch in batches:
+            for c in GIVEN[1:]:
+                columns[c] += batch.column(c).to_pylist()
+        if not columns["ids"]:
+            return
+        counts = joined(columns["counts"], np.uint32)
+        ids, keys = (np.repeat(joined(columns[c], np.int64), counts) for c in ("ids", "keys"))
+        numbers, size = joined(columns["numbers"], np.uint32), joined(columns["sizes"], np.uint8).astype(np.int64)
+        buffer = joined(columns["bytes"], np.uint8)
+        columns.clear()
+        order = np.argsort(ids, kind="stable")
+        windows = (size - length + 1)[order]
+        first = (np.cumsum(size) - size)[order]
+        inner = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+        factor = previous_factors(buffer, np.repeat(first, windows) + inner, np.repeat(ids[order], windows), length, length)
+        hit = np.flatnonzero(factor == length)
+        owner = np.repeat(order, windows)[hit]
         mask = np.zeros(len(size), np.int64)
-        np.bitwise_or.at(mask, owner[hit], np.int64(1) << back)
+        np.bitwise_or.at(mask, owner, np.int64(1) << inner[hit])
         some = np.flatnonzero(mask)
-        return by_part(ids[some], [context[some], mask[some]], ["contexts", "masks"], parts)
-
-    assert reach < 63 and length < 200
-    return run
-
-
-def marked(c: Contexts, of: np.ndarray, contexts: list[np.ndarray], masks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Owners (as in ``c``) and starts of the covered windows."""
-    bits = np.zeros(len(c.at), np.int64)
-    for a, k in zip(*_runs(of)):
-        if len(known := contexts[of[a]]):
-            i = np.minimum(np.searchsorted(known, c.hash[a : a + k]), len(known) - 1)
-            bits[a : a + k] = np.where(known[i] == c.hash[a : a + k], masks[of[a]][i], 0)
-    some = np.flatnonzero(bits)
-    bits, at, low, high, owner = bits[some], c.at[some], c.low[some], c.high[some], c.owner[some]
-    owners, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for j in range(c.length - GRAM + 1):
-        good = (bits >> j & 1).astype(bool) & (at - j >= low) & (at - j + c.length <= high)
-        starts.append(at[good] - j)
-        owners.append(owner[good])
-    return np.concatenate(owners), np.concatenate(starts)
+        if len(some):
+            yield batch_of(packed(part_of(keys[some], parts), (keys[some],), [numbers[some], mask[some].astype(np.int32)]), ["part", "keys", "counts", "numbers", "masks"])
+        given_back()
+
+    assert GRAM < length <= GRAM + 30, "a mask has a bit for each window of a context"
+    return rows.mapInArrow(run, "part int, keys binary, counts binary, numbers binary, masks binary")
+
+
+def covered_bytes(marks: Marks, keys: list[int], raw: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
+    """Which bytes of some texts are covered."""
+    out = np.zeros(len(raw), bool)
+    wanted = np.array([k in marks.slots for k in keys], bool)
+    for texts, at, before, c in pieces(raw, offsets, length, wanted=wanted) if wanted.any() else ():
+        which, mask = marks.of(keys, texts, before, c)
+        whole = which[mask == WHOLE]
+        low, high = [c.low[whole]], [c.high[whole]]
+        which, mask = which[mask != WHOLE], mask[mask != WHOLE]
+        for j in range(length - GRAM + 1):
+            of = c.low[which[(mask >> j & 1).astype(bool)]] + j
+            low.append(of)
+            high.append(of + length)
+        n = len(c.raw)
+        depth = np.cumsum(np.bincount(np.concatenate(low), minlength=n + 1) - np.bincount(np.concatenate(high), minlength=n + 1))
+        out[at[0] : at[0] + n] |= depth[:n] > 0
+    return out
 
 
 def without_repeats(
@@ -335,82 +491,50 @@ def without_repeats(
     length: int = 50,
     carry: tuple[str, ...] = (),
     as_text: bool = False,
-    bucket_bytes: int = 16 << 20,
-    max_broadcast: int = 500_000,
+    bucket_bytes: int = 8 << 20,
 ) -> DataFrame:
     """id, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the bytes that stay, one after another): one row per document.
 
     ``carry``: further columns to give back, none named like these. ``as_text``: kept is a
     string, without the rest of characters that lost some of their bytes.
     """
-    spark = docs.sparkSession
-    original = docs.select(F.struct(id_col, *carry).alias("given"), F.col(text_col).alias("text"))
-    docs = original.select(F.coalesce(F.col("given")[id_col].cast("long"), F.lit(NO_ID)).alias("id"), "given", F.coalesce("text", F.lit("")).alias("text"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
-
-    first = sent(docs.select("id", "text"), length, buckets).repartition(buckets, "bucket")
-    packed = first.groupBy("bucket").applyInPandas(compared(buckets), "part int, ids binary, contexts binary, kinds binary")
-    gather = lambda df, kinds: df.repartition(buckets, "part").groupBy("part").applyInPandas(gathered(kinds), "id long, " + ", ".join(f"{c} binary" for c in kinds))
-    found = stored(gather(packed, {"contexts": np.uint64, "kinds": np.uint8}), "contexts")
-    asked = found.where(F.contains("kinds", F.lit(b"\1")))
-    ids = asked.select("id")
-    few = ids.count() <= max_broadcast
-    texts = docs.select("id", "text")
-    if few:
-        texts = texts.join(F.broadcast(ids), "id", "left_semi")
-    # A context has many suffixes, so these buckets are smaller.
-    second = given(texts.join(asked, "id"), length, 8 * buckets).repartition(buckets, "bucket")
-    fine = gather(second.groupBy("bucket").applyInPandas(ordered(length, buckets), "part int, ids binary, contexts binary, masks binary"), {"contexts": np.uint64, "masks": np.int64})
-    marks = found.withColumnRenamed("contexts", "whole").join(fine, "id", "full")
-    every = (np.int64(1) << (length - GRAM + 1)) - 1
+    spark, points = docs.sparkSession, Points.drawn()
+    small_batches(spark)
+    given_ = docs.select(F.struct(id_col, *carry).alias("given"), F.col(text_col).alias("text"))
+    rows = given_.select(F.coalesce(F.col("given")[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"), "given")
+    # Rows are told apart by id and text, for there may be several without an id.
+    rows = rows.select("id", F.xxhash64(F.lit(points.at[0][0]), "id", "text").alias("key"), "text", "given")
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
+    own = rows.select("id", "key", "text")
+
+    found = stored(compared(sent(own, length, points, parts).repartitionById(parts, F.col("bucket")), parts), "contexts")
+    no_mask = F.lit(None).cast("binary").alias("masks")
+    about = found.where(F.col("kind") == COVERED).select("part", "keys", "counts", "numbers", no_mask)
+    asked = found.where(F.col("kind") == ASKED).select("part", "keys", "counts", "numbers", no_mask)
+    if not asked.isEmpty():
+        # A context has many suffixes, so these buckets are smaller.
+        theirs = given(by_document(asked, own, parts), length, 4 * parts).repartitionById(4 * parts, F.col("bucket"))
+        about = about.union(ordered(theirs, length, parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            texts = [x or b"" for x in as_bytes(batch.column("text"))]
-            known: list[np.ndarray] = []
-            bits: list[np.ndarray] = []
-            for whole, kinds, own, masks in zip(*(batch.column(c).to_pylist() for c in ("whole", "kinds", "contexts", "masks"))):
-                first = np.frombuffer(whole or b"", np.uint64)[np.frombuffer(kinds or b"", np.uint8) == 0]
-                c = np.concatenate([first, np.frombuffer(own or b"", np.uint64)])
-                m = np.concatenate([np.full(len(first), every), np.frombuffer(masks or b"", np.int64)])
-                known.append(np.unique(c))
-                bits.append(np.zeros(len(known[-1]), np.int64))
-                np.bitwise_or.at(bits[-1], np.searchsorted(known[-1], c), m)
-            edge: dict[int, list[np.ndarray]] = {}
-            for owners, offsets, c in pieces(texts, length) if any(map(len, known)) else ():
-                if not len(c.at):
-                    continue
-                who, start = marked(c, np.array(owners)[c.owner], known, bits)
-                order = np.argsort(who, kind="stable")
-                at, counts = _runs(who[order])
-                for a, k in zip(at, counts):
-                    w = int(who[order[a]])
-                    edge.setdefault(owners[w], []).append(start[order[a : a + k]] - c.bounds[w] + offsets[w])
-            rows = []
-            for i, text in enumerate(texts):
-                if i not in edge:
-                    rows.append((len(text), 0, 0, text))
-                    continue
-                starts = np.unique(np.concatenate(edge[i]))
-                # Windows that touch or overlap make one span.
-                opens = np.concatenate([[True], starts[1:] > starts[:-1] + length])
-                begins = starts[opens]
-                ends = np.append(starts[np.flatnonzero(opens)[1:] - 1], starts[-1]) + length
-                kept, at = [], 0
-                for a, b in zip(begins.tolist(), ends.tolist()):
-                    kept.append(text[at:a])
-                    at = b
-                kept.append(text[at:])
-                rows.append((len(text), int((ends - begins).sum()), len(begins), b"".join(kept)))
+        for marks, keys, batch in beside(batches):
+            raw, offsets = flat(batch.column("text"))
+            cover = covered_bytes(marks, keys, raw, offsets, length)
+            opens = cover.copy()
+            opens[1:] &= ~cover[:-1]
+            heads = offsets[:-1][offsets[:-1] < len(raw)]
+            opens[heads] = cover[heads]
+            gone, spans = (np.concatenate([[0], np.cumsum(x)])[offsets] for x in (cover, opens))
+            left = pa.BinaryArray.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((offsets - gone).astype(np.int32)), pa.py_buffer(raw[~cover])])
+            removed = np.diff(gone)
             if as_text:
-                rows = [(*r[:3], r[3].decode("utf-8", "ignore")) for r in rows]
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
-            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([batch.column("given"), *columns], names=["given", "n_bytes", "n_removed", "n_spans", "kept"])
+                left = pa.array([x.decode("utf-8", "ignore" if k else "strict") for x, k in zip(left.to_pylist(), removed)], pa.string())
+            columns = [batch.column("given"), pa.array(np.diff(offsets)), pa.array(removed), pa.array(np.diff(spans)), left]
+            yield pa.RecordBatch.from_arrays(columns, names=["given", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    kind = original.schema["given"].dataType.simpleString()
-    out = docs.join(marks, "id", "left").select("given", "text", "whole", "kinds", "contexts", "masks").mapInArrow(run, f"given {kind}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
+    kind = given_.schema["given"].dataType.simpleString()
+    out = by_document(about, rows, parts).mapInArrow(run, f"given {kind}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
     return out.select("given.*", "n_bytes", "n_removed", "n_spans", "kept")
 
 

@@ -183,7 +183,7 @@ def brute_repeats(by_id, length):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"bucket_bytes": 1 << 14, "max_broadcast": 0}])
+@pytest.mark.parametrize("options", [{}, {"bucket_bytes": 1 << 14}])
 def test_repeats(docs, by_id, empty, options, monkeypatch):
     if options:
         monkeypatch.setattr(repeats, "PIECE", 1 << 12)
@@ -198,16 +198,55 @@ def test_repeats(docs, by_id, empty, options, monkeypatch):
         assert carried.columns == ["doc_id", "lang", "source", "n_bytes", "n_removed", "n_spans", "kept"] and carried.where("lang != 'en'").count() == 0
 
 
-def test_suffix_classes():
+def test_repeats_without_ids(spark):
+    """Rows without an id come after all others and are no copies of one another, whatever their texts."""
+    rng = random.Random(6)
+    shared, own = words(rng, 40), [words(rng, 40) for _ in range(3)]
+    rows = [(None, own[0] + " " + shared), (None, own[1]), (4, shared), (None, own[1] + " " + own[2]), (9, own[2]), (9, own[2])]
+    got = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    removed = {(r.doc_id, r.n_bytes): r.n_removed for r in got}
+    size = lambda t: len(t.encode())
+    assert len(got) == 6 and removed[(4, size(shared))] == removed[(9, size(own[2]))] == removed[(None, size(own[1]))] == 0
+    assert removed[(None, size(rows[0][1]))] >= size(shared) and removed[(None, size(rows[3][1]))] >= size(own[2])
+
+
+def brute_factors(buffer, starts, value, depth):
+    strings = [bytes(buffer[s : s + depth]) for s in starts]
+    shared = lambda a, b: next((k for k in range(depth) if a[k] != b[k]), depth)
+    return [max((shared(a, b) for b, w in zip(strings, value) if w < v), default=0) for a, v in zip(strings, value)]
+
+
+@pytest.mark.parametrize("kind", ["random", "periodic", "rare"])
+def test_previous_factors(kind):
+    import numpy as np
+
+    rng = random.Random(kind)
+    for _ in range(120):
+        n, depth, period = rng.randrange(1, 60), rng.choice([1, 3, 7, 8, 9, 15, 16, 17, 20]), rng.choice([1, 2, 3])
+        letter = {"random": lambda i: rng.randrange(2), "periodic": lambda i: i % period, "rare": lambda i: rng.randrange(256) if rng.random() < 0.1 else 7}[kind]
+        buffer, starts = np.array([letter(i) for i in range(n + depth)], np.uint8), np.arange(n)
+        value = np.array([rng.randrange(rng.choice([2, 5, 100])) for _ in range(n)])
+        want = brute_factors(buffer, starts, value, depth)
+        assert repeats.previous_factors(buffer, starts, value, depth).tolist() == want
+        assert repeats.previous_factors(buffer, starts, value, depth, depth).tolist() == [x if x == depth else 0 for x in want]
+
+
+def test_seals_tell_what_a_power_of_two_cannot():
+    """Strings on which any polynomial modulo 2^64 agrees (Thue and Morse), and others that differ in one byte or in length."""
     import numpy as np
 
-    rng = np.random.default_rng(2)
-    text = rng.integers(1, 3, 300)
-    for length in (1, 2, 3, 7, 8):
-        rank = repeats.suffix_classes(text, length)
-        slices = [tuple(text[i : i + length]) for i in range(len(text))]
-        order = sorted(set(slices))
-        assert [order.index(s) for s in slices] == (rank - rank.min()).tolist()
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    points = repeats.Points.drawn()
+    seen = {}
+    for text in (word, other, "a" * 60, "a" * 61, "a" * 59 + "b", "\0" * 60, "\0" * 61):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        c = repeats.Contexts(raw, np.array([0, len(raw)]), 50, points)
+        for a, b, seal in zip(c.low, c.high, c.seal.tolist()):
+            assert seen.setdefault(tuple(seal), raw[a:b].tobytes()) == raw[a:b].tobytes()
+    assert len(seen) == len(set(seen.values())) > 20
 
 
 def test_contained(spark, docs, by_id, empty):
