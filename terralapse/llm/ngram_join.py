@@ -31,8 +31,14 @@ in one order for the hub, must have one in common (prefix filter). Only these pa
 different components, are compared. Any order is right; a good one has rare differences
 first, so what a few members of a large hub show to be common there goes last.
 
-Sets whose allowances can't reach the sum (a matter of chance in hashing) are compared
-with all sets of their sizes, in blocks. Every comparison is exact, on the sets themselves.
+Sets whose allowances can't reach the sum (a matter of chance in hashing) are looked up by
+prefix: a linked set holds one of the first n - ceil(t n) + 1 shingles of the set, n its size.
+
+**Exactness.** Every candidate pair is verified on the two whole sets. Shingles are 64-bit
+hashes under a key that is drawn anew for each call (see ``_shingles``): words of up to
+eight bytes never collide, and two different shingles of a pair of texts are taken for one
+with a chance of about 2^-64; equal sets are told by 128 bits of blake2b over the sorted
+hashes. Texts made to collide can't be prepared, as the key isn't known beforehand.
 
 Equal sets are one node, so groups of copies never make pairs. ``component_id`` is the
 smallest id reachable by links. Null and empty texts have ``n_shingles`` 0 and are their
@@ -52,14 +58,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terralapse.llm._arrow import as_bytes, slices
-from terralapse.llm._shingles import mix, shingle_sets
+from terralapse.llm._arrow import as_bytes, flat, given_back, slices, small_batches
+from terralapse.llm._shingles import drawn_key, flat_sets, groups, mix, shingle_sets
 from terralapse.plans.graph import components
 from terralapse.plans.storage import stored
 
 U = np.uint64
-#: Segments of the smallest bands, and the band below which all segments are designated.
-LEAST_SEGMENTS, SMALL = 64, 64
+#: The band below which all segments are designated.
+SMALL = 64
 #: Marks, in the sizes of a packet, sets that look into the band below their own.
 LOWER = 1 << 31
 
@@ -72,96 +78,117 @@ def node_of(d: bytes) -> int:
     return int.from_bytes(d[:8], "little", signed=True)
 
 
-def segmented(tokens: np.ndarray, band: int, one_in: int) -> tuple[np.ndarray, int]:
-    """Signatures of a set (sorted) in a band, the lowest bit telling designated segments; and the sum of its allowances."""
-    m = max(1 << band, LEAST_SEGMENTS)
-    segment = ((tokens >> U(32)) * U(m)) >> U(32)
-    first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
-    counts = np.diff(np.append(first, len(tokens)))
+def segmented(tokens: np.ndarray, ends: np.ndarray, band: np.ndarray, one_in: int, least_segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of some sets (sorted, one after another; ``ends`` has where each starts and the last ends), in a band for each:
+
+    the signatures, their lowest bit telling designated segments; the set of each; and the sum of each set's allowances.
+    """
+    n = np.diff(ends)
+    owner = np.repeat(np.arange(len(n)), n)
+    m = np.maximum(np.int64(1) << band, least_segments).astype(np.uint64)
+    segment = ((tokens >> U(32)) * m[owner]) >> U(32)
+    new = np.ones(len(tokens), bool)
+    new[1:] = (segment[1:] != segment[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(new)
+    counts, of = np.diff(np.append(first, len(tokens))), owner[first]
     value = mix(tokens ^ U(0xA5A5A5A5A5A5A5A5))
-    subset = np.add.reduceat(value, first)
-    place = mix(segment[first] * U(64) + U(band))
-    chosen = (place % U(one_in) == 0) if (1 << band) >= SMALL else np.ones(len(first), bool)
+    subset = np.add.reduceat(value, first) if len(first) else value
+    place = mix(segment[first] * U(64) + band[of].astype(np.uint64))
+    chosen = (place % U(one_in) == 0) | ((np.int64(1) << band[of]) < SMALL)
     signatures = (mix(subset ^ place) & ~U(1)) | chosen.astype(np.uint64)
     twice = chosen & (counts > 1)
-    if twice.any():
-        per_token = np.repeat(twice, counts)
-        less = np.repeat(subset, counts)[per_token] - value[per_token]
-        signatures = np.concatenate([signatures, mix(less ^ np.repeat(place, counts)[per_token]) | U(1)])
-    return signatures, len(first) + int(twice.sum())
+    per_token = np.repeat(twice, counts)
+    less = np.repeat(subset, counts)[per_token] - value[per_token]
+    fewer = mix(less ^ np.repeat(place, counts)[per_token]) | U(1)
+    allowances = np.bincount(of, minlength=len(n)) + np.bincount(of[twice], minlength=len(n))
+    return np.concatenate([signatures, fewer]), np.concatenate([of, owner[per_token]]), allowances
 
 
-def band_of(n: int) -> int:
-    return n.bit_length() - 1
+def band_of(n: np.ndarray) -> np.ndarray:
+    return np.frexp(np.maximum(n, 1))[1].astype(np.int64) - 1
 
 
-def looks_lower(n: int, t: Fraction) -> bool:
+def looks_lower(n: np.ndarray, t: Fraction) -> np.ndarray:
     """Whether a partner may be small enough for the band below."""
-    return -(-n * t.numerator // t.denominator) < 1 << band_of(n)
+    return -(-n * t.numerator // t.denominator) < np.int64(1) << band_of(n)
+
 
+def most_differing(n: np.ndarray, t: Fraction) -> np.ndarray:
+    least = 2 * (1 - t) / (1 + t)
+    return n * least.numerator // least.denominator
 
-def most_differing(n: int, t: Fraction) -> int:
-    return int(2 * n * (1 - t) / (1 + t))
 
+def batches_of_sets(batches: Iterator[pa.RecordBatch], width: int, key: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows with a text, a few at a time, with the sets of their shingles."""
+    for batch in slices(batches, "text"):
+        raw, offsets = flat(batch.column("text"))
+        for i, j in groups(offsets):
+            yield batch.slice(i, j - i), *flat_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width, key)
 
-def sets_of(docs: DataFrame, width: int, t: Fraction, one_in: int) -> DataFrame:
+
+def sets_of(docs: DataFrame, width: int, key: int, t: Fraction, one_in: int, least_segments: int) -> DataFrame:
     """(id, n, digest, node, slack, slack_lower): a row per document; digest is null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            rows = []
-            for tokens in shingle_sets([x or b"" for x in as_bytes(batch.column("text"))], width):
-                n = len(tokens)
-                if not n:
-                    rows.append((0, None, None, None, None))
-                    continue
-                d, need = digest(tokens), most_differing(n, t) + 1
-                slack = segmented(tokens, band_of(n), one_in)[1] - need if n >= 3 else 0
-                lower = segmented(tokens, band_of(n) - 1, one_in)[1] - need if n >= 3 and looks_lower(n, t) else None
-                rows.append((n, d, node_of(d), slack, lower))
-            types = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32())
-            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(types)]
+        for batch, tokens, ends in batches_of_sets(batches, width, key):
+            n = np.diff(ends)
+            need = most_differing(n, t) + 1
+            slack = np.where(n >= 3, segmented(tokens, ends, band_of(n), one_in, least_segments)[2] - need, 0)
+            lower = segmented(tokens, ends, np.maximum(band_of(n) - 1, 0), one_in, least_segments)[2] - need
+            ds = [digest(tokens[a:b]) if b > a else None for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            columns = [
+                pa.array(n), pa.array(ds, pa.binary()), pa.array([None if d is None else node_of(d) for d in ds], pa.int64()),
+                pa.array(slack.astype(np.int32), mask=n == 0), pa.array(lower.astype(np.int32), mask=(n < 3) | ~looks_lower(n, t)),
+            ]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=["id", "n", "digest", "node", "slack", "slack_lower"])
 
     return docs.mapInArrow(run, "id long, n long, digest binary, node long, slack int, slack_lower int")
 
 
-def packets(docs: DataFrame, width: int, t: Fraction, one_in: int, buckets: int, entries: int = 1 << 20) -> DataFrame:
+PACKET = ["bucket", "nodes", "sizes", "runs", "signatures"]
+
+
+def packets(docs: DataFrame, width: int, key: int, t: Fraction, one_in: int, least_segments: int, buckets: int, entries: int = 1 << 18) -> DataFrame:
     """(bucket, nodes, sizes, runs, signatures): the signatures of many sets, packed by bucket of the signature."""
 
-    def packed(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
-        counts = np.array([len(s) for *_, s in held])
-        nodes, sizes = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.uint32)
-        signatures = np.concatenate([h[2] for h in held])
-        owner = np.repeat(np.arange(len(held)), counts)
+    def packed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        nodes, sizes = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        before = np.cumsum([0] + [len(h[0]) for h in held])
+        owner = np.concatenate([h[2] + k for h, k in zip(held, before)])
+        signatures = np.concatenate([h[3] for h in held])
         bucket = ((signatures >> U(33)) * U(buckets) >> U(31)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((owner, bucket))
         bucket, owner, signatures = bucket[order], owner[order], signatures[order].astype(np.uint32)
         ends = np.flatnonzero(np.append(bucket[1:] != bucket[:-1], True)) + 1
         out = []
-        for a, b in zip(np.concatenate([[0], ends[:-1]]), ends):
+        for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()):
             at = np.flatnonzero(np.concatenate([[True], owner[a + 1 : b] != owner[a : b - 1]]))
             of = owner[a:b][at]
             runs = np.diff(np.append(at, b - a)).astype(np.uint32)
             out.append((int(bucket[a]), nodes[of].tobytes(), sizes[of].tobytes(), runs.tobytes(), signatures[a:b].tobytes()))
         types = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(types)], names=["bucket", "nodes", "sizes", "runs", "signatures"])
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(types)], names=PACKET)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen, size = [], set(), 0
-        for batch in slices(batches, "text"):
-            for tokens in shingle_sets([x or b"" for x in as_bytes(batch.column("text"))], width):
-                n = len(tokens)
-                if n < 3 or (d := digest(tokens)) in seen:  # smaller sets are linked with equal ones only
-                    continue
-                seen.add(d)
-                for band, mark in ((band_of(n), 0), (band_of(n) - 1, LOWER)):
-                    if not mark or looks_lower(n, t):
-                        held.append((node_of(d), n | mark, segmented(tokens, band, one_in)[0]))
-                        size += len(held[-1][2])
-                if size >= entries:
-                    yield packed(held)
-                    held, seen, size = [], set(), 0
+        for _, tokens, ends in batches_of_sets(batches, width, key):
+            n = np.diff(ends)
+            nodes, fresh = np.zeros(len(n), np.int64), np.zeros(len(n), bool)
+            for i in np.flatnonzero(n >= 3).tolist():  # smaller sets are linked with equal ones only
+                d = digest(tokens[ends[i] : ends[i + 1]])
+                if d not in seen:
+                    seen.add(d)
+                    nodes[i], fresh[i] = node_of(d), True
+            for step, mark in ((0, 0), (1, LOWER)):
+                take = fresh & looks_lower(n, t) if mark else fresh
+                if take.any():
+                    own = tokens[np.repeat(take, n)]
+                    signatures, owner, _ = segmented(own, np.concatenate([[0], np.cumsum(n[take])]), band_of(n[take]) - step, one_in, least_segments)
+                    held.append((nodes[take], (n[take] | mark).astype(np.uint32), owner, signatures))
+                    size += len(signatures)
+            if size >= entries:
+                yield packed(held)
+                held, seen, size = [], set(), 0
         if held:
             yield packed(held)
 
@@ -171,81 +198,95 @@ def packets(docs: DataFrame, width: int, t: Fraction, one_in: int, buckets: int,
 LISTS = "list long, node long, lower boolean, weight int"
 
 
-def lists_of_bucket(pdf):
-    """The lists of a bucket: signatures met by several sets; those with the same members are one, its weight the sum.
+def lists_of(rows: DataFrame) -> DataFrame:
+    """The lists of the partitions of ``packets``: signatures met by several sets; those with the same members are one, its weight the sum.
 
     Weight 2 stands for a signature in a designated segment: passing it over may cost so much allowance.
     """
-    import pandas as pd
-
-    def column(name: str, kind) -> np.ndarray:
-        return np.concatenate([np.frombuffer(x, kind) for x in pdf[name]]) if len(pdf) else np.zeros(0, kind)
-
-    runs = column("runs", np.uint32)
-    node, size, signature = np.repeat(column("nodes", np.int64), runs), np.repeat(column("sizes", np.uint32), runs), column("signatures", np.uint32)
-    order = np.argsort(signature, kind="stable")
-    new = np.concatenate([[True], signature[order][1:] != signature[order][:-1]])
-    starts = np.flatnonzero(new)
-    counts = np.diff(np.append(starts, len(order)))
-    several = np.repeat(counts > 1, counts)
-    order = order[several]
-    if not len(order):
-        return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("list", "int64"), ("node", "int64"), ("lower", "bool"), ("weight", "int32"))})
-    node, signature, lower = node[order], signature[order], (size[order] & U(LOWER)).astype(bool)
-    # By signature, then node; a node that comes twice (copies in other packets) stays once.
-    order = np.lexsort((lower, node, signature))
-    node, signature, lower = node[order], signature[order], lower[order]
-    once = np.concatenate([[True], (signature[1:] != signature[:-1]) | (node[1:] != node[:-1])])
-    node, signature, lower = node[once], signature[once], lower[once]
-    starts = np.flatnonzero(np.concatenate([[True], signature[1:] != signature[:-1]]))
-    ends = np.append(starts[1:], len(node))
-    found: dict[bytes, int] = {}
-    for a, b in zip(starts.tolist(), ends.tolist()):
-        if b - a > 1:
-            key = node[a:b].tobytes() + lower[a:b].tobytes()
-            found[key] = found.get(key, 0) + (2 if signature[a] & 1 else 1)
-    out = []
-    for key, weight in found.items():
-        n = len(key) // 9
-        members, low = np.frombuffer(key, np.int64, n), np.frombuffer(key, bool, n, 8 * n)
-        if not low.all():  # two sets that both look from above meet in their own band
-            name = int.from_bytes(blake2b(key, digest_size=8).digest(), "little", signed=True)
-            out.append((np.full(n, name), members, low, np.full(n, weight, np.int32)))
-    columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0, bool), np.zeros(0, np.int32)]
-    return pd.DataFrame(dict(zip(("list", "node", "lower", "weight"), columns)))
-
-
-def with_texts(pairs: DataFrame, texts: DataFrame, max_broadcast: int) -> DataFrame:
-    """pairs (a, b, ...) with text_a and text_b, the rows of one a together. Texts are read again for the ids in pairs only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns: dict[str, list] = {c: [] for c in PACKET}
+        for batch in batches:
+            for c in PACKET[1:]:
+                columns[c] += batch.column(c).to_pylist()
+        joined = lambda c, kind: np.frombuffer(b"".join(columns[c]), kind)
+        runs = joined("runs", np.uint32)
+        node, size, signature = np.repeat(joined("nodes", np.int64), runs), np.repeat(joined("sizes", np.uint32), runs), joined("signatures", np.uint32)
+        columns.clear()
+        order = np.argsort(signature, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], signature[order][1:] != signature[order][:-1]])) if len(order) else order
+        counts = np.diff(np.append(starts, len(order)))
+        order = order[np.repeat(counts > 1, counts)]
+        node, signature, lower = node[order], signature[order], (size[order] & np.uint32(LOWER)).astype(bool)
+        # By signature, then node; a node that comes twice (copies in other packets) stays once.
+        order = np.lexsort((lower, node, signature))
+        node, signature, lower = node[order], signature[order], lower[order]
+        once = np.ones(len(node), bool)
+        once[1:] = (signature[1:] != signature[:-1]) | (node[1:] != node[:-1])
+        node, signature, lower = node[once], signature[once], lower[once]
+        starts = np.flatnonzero(np.concatenate([[True], signature[1:] != signature[:-1]])) if len(node) else order
+        ends = np.append(starts[1:], len(node))
+        found: dict[bytes, list] = {}  # by a digest of the members: where they stand, and the weight
+        for a, b in zip(starts.tolist(), ends.tolist()):
+            if b - a > 1 and not lower[a:b].all():  # two sets that both look from above meet in their own band
+                key = blake2b(node[a:b].tobytes() + lower[a:b].tobytes(), digest_size=16).digest()
+                found.setdefault(key, [a, b, 0])[2] += 2 if signature[a] & 1 else 1
+        names = list(found)
+        for i in range(0, len(names), 4096):
+            part = [(int.from_bytes(k[:8], "little", signed=True), *found[k]) for k in names[i : i + 4096]]
+            sizes = [b - a for _, a, b, _ in part]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(np.array([p[0] for p in part], np.int64), sizes)),
+                    pa.array(np.concatenate([node[a:b] for _, a, b, _ in part])),
+                    pa.array(np.concatenate([lower[a:b] for _, a, b, _ in part])),
+                    pa.array(np.repeat(np.array([p[3] for p in part], np.int32), sizes)),
+                ],
+                names=["list", "node", "lower", "weight"],
+            )
+        given_back()
+
+    return rows.mapInArrow(run, LISTS)
+
+
+def with_texts(pairs: DataFrame, texts: DataFrame, max_broadcast: int, members: int = 64) -> DataFrame:
+    """pairs (a, b, ...) with text_a and text_b, rows of one a together. Texts are read again for the ids in pairs only.
+
+    An a with many pairs is dealt to several places, each with about ``members`` of them and its text once.
+    """
     few = pairs.count() <= max_broadcast
+    places = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / members).alias("places"))
+    pairs = pairs.join(F.broadcast(places) if few else places, "a").withColumn("place", F.pmod(F.xxhash64("b"), F.col("places"))).drop("places")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     wanted = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
     one = wanted.withColumnsRenamed({"id": "b", "text": "text_b"}).join(F.broadcast(pairs) if few else pairs, "b")
-    return one.join(wanted.withColumnsRenamed({"id": "a", "text": "text_a"}).hint("merge"), "a")
+    hubs = places.select(F.col("a").alias("id"), F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"))
+    own = texts.join(F.broadcast(hubs) if few else hubs, "id").withColumnsRenamed({"id": "a", "text": "text_a"})
+    return one.join(own.hint("merge"), ["a", "place"]).drop("place")
 
 
 class Hubs:
     """The set of the row's a, kept while a stays the same."""
 
-    def __init__(self, width: int):
-        self.width, self.last, self.set = width, None, None
+    def __init__(self, width: int, key: int):
+        self.width, self.key, self.last, self.set = width, key, None, None
 
     def of(self, a: int, text: bytes | None) -> np.ndarray:
         if self.last != a:
-            self.last, self.set = a, shingle_sets([text or b""], self.width)[0]
+            self.last, self.set = a, shingle_sets([text or b""], self.width, self.key)[0]
         return self.set
 
 
-def linked(pairs: DataFrame, texts: DataFrame, width: int, t: Fraction, max_broadcast: int, tag: str) -> DataFrame:
+def linked(pairs: DataFrame, texts: DataFrame, width: int, key: int, t: Fraction, max_broadcast: int, tag: str) -> DataFrame:
     """The pairs (a, b) of ids whose sets reach the threshold."""
     both = with_texts(stored(pairs, tag), texts, max_broadcast).select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hubs = Hubs(width)
+        hubs = Hubs(width, key)
         for batch in slices(batches, "text_b"):
             a, keep = batch.column("a").to_pylist(), []
             texts = as_bytes(batch.column("text_a"))
-            for i, theirs in enumerate(shingle_sets([x or b"" for x in as_bytes(batch.column("text_b"))], width)):
+            for i, theirs in enumerate(shingle_sets([x or b"" for x in as_bytes(batch.column("text_b"))], width, key)):
                 own = hubs.of(a[i], texts[i])
                 common = len(np.intersect1d(own, theirs, assume_unique=True))
                 every = len(own) + len(theirs) - common
@@ -258,7 +299,7 @@ def linked(pairs: DataFrame, texts: DataFrame, width: int, t: Fraction, max_broa
 DIFFERENCES = "a long, b long, n int, asked boolean, c long, d int, e long, small int, large int, place int, token long"
 
 
-def differences(members: DataFrame, texts: DataFrame, width: int, t: Fraction, max_broadcast: int) -> DataFrame:
+def differences(members: DataFrame, texts: DataFrame, width: int, key: int, t: Fraction, max_broadcast: int) -> DataFrame:
     """The differences of each member b from its hub a that a prefix may need, of (a, b, n, asked, c, common).
 
     ``e`` is |D| - q |b| in units of the denominator of q: linked ones share at least
@@ -271,11 +312,11 @@ def differences(members: DataFrame, texts: DataFrame, width: int, t: Fraction, m
     both = with_texts(members, texts, max_broadcast).select("a", "b", "n", "asked", "c", "common", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hubs = Hubs(width)
+        hubs = Hubs(width, key)
         for batch in slices(batches, "text_b", 1 << 20):
             a, common, texts = batch.column("a").to_pylist(), batch.column("common"), as_bytes(batch.column("text_a"))
             which, rows, tokens, places = [], [], [], []
-            for i, theirs in enumerate(shingle_sets([x or b"" for x in as_bytes(batch.column("text_b"))], width)):
+            for i, theirs in enumerate(shingle_sets([x or b"" for x in as_bytes(batch.column("text_b"))], width, key)):
                 own = hubs.of(a[i], texts[i])
                 # First what the hub lacks, which is rarer among the members than what they lack of it.
                 more = np.setdiff1d(theirs, own, assume_unique=True)
@@ -305,17 +346,17 @@ def differences(members: DataFrame, texts: DataFrame, width: int, t: Fraction, m
     return both.mapInArrow(run, DIFFERENCES)
 
 
-def common_of_hubs(members: DataFrame, texts: DataFrame, width: int, max_broadcast: int, large: int = 64, asked: int = 32, least: int = 4) -> DataFrame:
+def common_of_hubs(members: DataFrame, texts: DataFrame, width: int, key: int, max_broadcast: int, large: int = 64, asked: int = 32, least: int = 4) -> DataFrame:
     """(a, common): what ``least`` of about ``asked`` members of a hub with many members have and the hub lacks. It decides an order, never a result."""
     big = members.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= large)
     few = stored(members.select("a", "b").join(big, "a").where(F.pmod(F.xxhash64("a", "b"), F.col("k")) < asked).select("a", "b"), "hub-samples")
     both = with_texts(few, texts, max_broadcast).select("a", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hubs = Hubs(width)
+        hubs = Hubs(width, key)
         for batch in slices(batches, "text_b"):
             a, texts, at, tokens = batch.column("a").to_pylist(), as_bytes(batch.column("text_a")), [], []
-            for i, theirs in enumerate(shingle_sets([x or b"" for x in as_bytes(batch.column("text_b"))], width)):
+            for i, theirs in enumerate(shingle_sets([x or b"" for x in as_bytes(batch.column("text_b"))], width, key)):
                 tokens.append(np.setdiff1d(theirs, hubs.of(a[i], texts[i]), assume_unique=True).view(np.int64))
                 at.append(np.full(len(tokens[-1]), a[i]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at)), pa.array(np.concatenate(tokens))], names=["a", "token"])
@@ -324,6 +365,25 @@ def common_of_hubs(members: DataFrame, texts: DataFrame, width: int, max_broadca
     return seen.groupBy("a").agg(F.collect_list("token").alias("common"))
 
 
+def by_prefix(short: DataFrame, docs: DataFrame, width: int, key: int, t: Fraction) -> DataFrame:
+    """(a, b): sets of ``short`` and those of docs that hold one of their first shingles, as many as one linked with them can't all lack."""
+
+    def run(prefix: bool):
+        def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, tokens, ends in batches_of_sets(batches, width, key):
+                n = np.diff(ends)
+                take = n - -(-n * t.numerator // t.denominator) + (n > 0) if prefix else n
+                at = np.repeat(ends[:-1], take) + np.arange(int(take.sum())) - np.repeat(np.cumsum(take) - take, take)
+                owner = np.repeat(np.arange(len(n)), take)
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(owner)), pa.array(tokens[at].view(np.int64))], names=["id", "token"])
+
+        return tokens_of
+
+    few = short.mapInArrow(run(True), "id long, token long").withColumnRenamed("id", "a")
+    every = docs.mapInArrow(run(False), "id long, token long").withColumnRenamed("id", "b")
+    return few.join(every, "token").select("a", "b").distinct()
+
+
 def near_copies(
     docs: DataFrame,
     *,
@@ -332,22 +392,23 @@ def near_copies(
     width: int = 5,
     threshold: str = "3/4",
     one_in: int = 16,
-    bucket_bytes: int = 16 << 20,
+    least_segments: int = 64,
+    bucket_bytes: int = 8 << 20,
     max_broadcast: int = 200_000,
 ) -> DataFrame:
     """id, ``n_shingles`` and ``component_id``: one row per document."""
-    t = Fraction(threshold)
+    t, key = Fraction(threshold), drawn_key()
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
-    sets = stored(sets_of(docs, width, t, one_in), "sets")
+    sets = stored(sets_of(docs, width, key, t, one_in, least_segments), "sets")
     reps = stored(
         sets.where("n > 0").groupBy("digest", "node").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("slack").alias("slack"), F.min("slack_lower").alias("slack_lower")),
         "representatives",
     )
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
-    packed = packets(docs, width, t, one_in, buckets).repartition(buckets, "bucket")
-    lists = packed.groupBy("bucket").applyInPandas(lists_of_bucket, LISTS)
+    lists = lists_of(packets(docs, width, key, t, one_in, least_segments, buckets).repartitionById(buckets, F.col("bucket")))
     lists = lists.groupBy("list", "node", "lower").agg(F.sum("weight").cast("int").alias("weight"))
     member = stored(lists.join(reps.select("node", "rep", "n", "slack", "slack_lower"), "node").select("list", "rep", "n", "lower", "weight", F.when(F.col("lower"), F.col("slack_lower")).otherwise(F.col("slack")).alias("slack")), "lists")
     sizes = member.groupBy("list").agg(F.count(F.lit(1)).alias("size"))
@@ -361,7 +422,7 @@ def near_copies(
     met = member.join(hubs, "list").where("a != rep").groupBy("rep", "a").agg(F.sum("weight").alias("w"))
     nearest = met.groupBy(F.col("rep").alias("b")).agg(F.max_by("a", F.struct("w", "a")).alias("a"))
     pairs = nearest.join(numbers.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b").join(numbers.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").where(size_fits).select("a", "b")
-    links = linked(pairs, docs, width, t, max_broadcast, "hub-pairs")
+    links = linked(pairs, docs, width, key, t, max_broadcast, "hub-pairs")
     known = components(links, "a", "b").withColumnRenamed("node", "rep")
 
     # Then the lists that still hold several components, without the dearest of each set.
@@ -372,8 +433,8 @@ def near_copies(
     some = open_.groupBy("list").agg(F.max("asked").alias("any")).where("any").select("list").join(hubs, "list")
     around = open_.join(some, "list").where("a != rep").groupBy("a", F.col("rep").alias("b")).agg(F.max("n").alias("n"), F.max("asked").alias("asked"), F.max("c").alias("c"))
     around = stored(around, "around-hubs")
-    around = stored(around.join(common_of_hubs(around, docs, width, max_broadcast), "a", "left"), "ordered-hubs")
-    told = stored(differences(around, docs, width, t, max_broadcast), "differences")
+    around = stored(around.join(common_of_hubs(around, docs, width, key, max_broadcast), "a", "left"), "ordered-hubs")
+    told = stored(differences(around, docs, width, key, t, max_broadcast), "differences")
     links = links.union(told.where("place = 0").select("a", "b"))
     mark = lambda role, of: told.where(F.col("place").between(1, F.col(of))).select("a", "token", *(F.col(c).alias(c + role) for c in ("b", "n", "asked", "c", "d", "e", "place")))
     share = F.ceil((F.col("e0") + F.col("e1")) / (2 * q.denominator))
@@ -385,12 +446,12 @@ def near_copies(
         .where((F.col("c0") != F.col("c1")) & (F.col("asked0") | F.col("asked1")) & nearer & fits & reached)
         .select(F.least("b0", "b1").alias("a"), F.greatest("b0", "b1").alias("b")).distinct()
     )
-    # Sets whose allowances fall short meet all sets of their sizes.
-    short = reps.where("slack < 0 or slack_lower < 0").select(F.col("rep").alias("a"), F.col("n").alias("na"), F.explode(F.array(F.floor(F.log2("n")), F.floor(F.log2("n")) - 1)).alias("band"))
+    short = reps.where("slack < 0 or slack_lower < 0").select("rep", "n")
     if not short.isEmpty():
-        every = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.floor(F.log2("n")).alias("band"))
-        pairs = pairs.union(short.join(every, "band").where(size_fits & (F.col("a") != F.col("b"))).select("a", "b")).distinct()
-    links = links.union(linked(pairs, docs, width, t, max_broadcast, "list-pairs"))
+        met = by_prefix(docs.join(short.withColumnRenamed("rep", "id"), "id").select("id", "text"), docs.join(reps.select(F.col("rep").alias("id")), "id", "left_semi"), width, key, t)
+        met = met.join(numbers.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(numbers.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
+        pairs = pairs.union(met.where(size_fits & (F.col("a") != F.col("b"))).select("a", "b")).distinct()
+    links = links.union(linked(pairs, docs, width, key, t, max_broadcast, "list-pairs"))
     found = components(links, "a", "b")
 
     named = sets.join(reps.select("digest", "rep"), "digest", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")

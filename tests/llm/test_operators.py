@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 llm = pytest.importorskip("terralapse.llm")
 
-from terralapse.llm import decontaminate, lang_id, ngram_join, pieces, quality, repeats, token_counts, toxicity, url_filter, warc  # noqa: E402
+from terralapse.llm import _shingles, decontaminate, lang_id, ngram_join, pieces, quality, repeats, token_counts, toxicity, url_filter, warc  # noqa: E402
 from terralapse.llm.queries import fold  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
@@ -164,8 +164,35 @@ def test_a_set_without_allowance(spark):
     original = ngram_join.most_differing
     sets = {k: shingle_set(t) for k, t in enumerate(base + near)}
     want = brute_components(sets)
-    got = {r.doc_id: r.component_id for r in ngram_join.near_copies(docs).collect()}
-    assert got == want and original(8, ngram_join.Fraction(3, 4)) == 2
+    for options in ({}, {"least_segments": 1, "one_in": 1 << 40}, {"least_segments": 1, "one_in": 1 << 40, "max_broadcast": 0}):
+        got = {r.doc_id: r.component_id for r in ngram_join.near_copies(docs, **options).collect()}
+        assert got == want and original(8, ngram_join.Fraction(3, 4)) == 2
+
+
+def test_words_that_a_power_of_two_cannot_tell(spark):
+    """Two words on which every polynomial modulo 2^64 agrees (Thue and Morse), and words of a few letters."""
+    rows, word = [], "a"
+    while len(word) < 4096:
+        word += (other := word.translate(str.maketrans("ab", "ba")))
+        if len(word) >= 1024:
+            rows += [word, word.translate(str.maketrans("ab", "ba"))]
+    rows += ["é", "è", "a", "b", "ab", "ba", "aaaaaaaa", "aaaaaaaab", "baaaaaaaa"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = ngram_join.near_copies(docs).collect()
+    assert len(got) == len(rows) > 12 and all(r.component_id == r.doc_id and r.n_shingles == 1 for r in got)
+
+
+@pytest.mark.parametrize("chunk", [1 << 18, 64])
+def test_shingle_sets(chunk, monkeypatch):
+    monkeypatch.setattr(_shingles, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    for _ in range(60):
+        pick = lambda: rng.choice("aB \n\tcé") if rng.random() < 0.5 else rng.choice(["word", "wordword" * 3, "x" * 300, "y" * 600, " "])  # noqa: B023, E731
+        given = ["".join(pick() for _ in range(rng.choice([0, 1, 2, 4, 5, 6, 20, 300]))) for _ in range(rng.randrange(8))]
+        sets = _shingles.shingle_sets([t.encode() for t in given], 5, _shingles.drawn_key())
+        plain = [shingle_set(t) for t in given]
+        assert [len(x) for x in sets] == [len(x) for x in plain] and all((x[1:] > x[:-1]).all() for x in sets)
+        assert all(len(set(x) & set(y)) == len(a & b) for x, a in zip(sets, plain) for y, b in zip(sets, plain))
 
 
 def brute_repeats(by_id, length):
