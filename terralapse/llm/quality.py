@@ -2,9 +2,9 @@
 
 Two base rules and the counts that they need are worked out for every text. What
 passes them meets further rules, one after another; the first rule that rejects
-ends the work on that text. The order comes from a bounded sample of documents
-(``sample_docs``): each rule is timed there, and its rejections noted, and the
-order takes the rule with the most rejections per second first, counted over what
+ends the work on that text. The order comes from a random sample of about
+``sample_docs`` rows: each rule is timed there, its rejections are noted (both are added up
+by Spark for each set of rules that reject together), and the order takes the rule with the most rejections per second first, counted over what
 the rules before it left. The order changes the time only: a text is kept if no
 rule rejects it, whichever comes first.
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralapse.llm._arrow import as_bytes, slices
+from terralapse.llm._arrow import as_bytes, slices, small_batches
 
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -111,13 +111,12 @@ def base_failed(t: Text) -> bool:
 def cascade_order(docs: DataFrame, text_col: str, rules: tuple[Rule, ...], sample_docs: int) -> list[int]:
     """Positions of the rules, that with the most rejections per second first."""
     share = min(1.0, sample_docs / max(docs.count(), 1))
-    sample = docs.select(text_col)
-    if share < 1:
-        sample = sample.where(F.abs(F.xxhash64(text_col) % 1_000_000) < int(share * 1_000_000))
+    sample = docs.select(F.col(text_col).alias("text"))
+    sample = sample.sample(share, seed=1) if share < 1 else sample
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            masks, seconds = [], []
+        found: dict[int, list[float]] = {}  # which rules reject: texts, seconds spent in each rule
+        for batch in slices(batches, "text"):
             for raw in as_bytes(batch.column(0)):
                 if base_failed(t := Text(raw or b"")):
                     continue
@@ -126,19 +125,19 @@ def cascade_order(docs: DataFrame, text_col: str, rules: tuple[Rule, ...], sampl
                     began = time.perf_counter()
                     mask |= rule.rejects(t) << i
                     spent.append(time.perf_counter() - began)
-                masks.append(mask)
-                seconds.append(spent)
-            yield pa.RecordBatch.from_pydict({"mask": pa.array(masks, pa.int64()), "seconds": pa.array(seconds, pa.list_(pa.float64()))})
-
-    # At most about sample_docs rows, of a few numbers each.
-    seen = [(r.mask, r.seconds) for r in sample.mapInArrow(judge, "mask long, seconds array<double>").collect()]
-    cost = [sum(s[i] for _, s in seen) / max(len(seen), 1) + 1e-9 for i in range(len(rules))]
-    left, order, masks = set(range(len(rules))), [], [m for m, _ in seen]
+                found[mask] = [x + y for x, y in zip(found.get(mask, [0.0] * (len(rules) + 1)), [1.0, *spent])]
+        yield pa.RecordBatch.from_pydict({"mask": pa.array(list(found), pa.int64()), "sums": pa.array(list(found.values()), pa.list_(pa.float64()))})
+
+    seen = sample.mapInArrow(judge, "mask long, sums array<double>").groupBy("mask").agg(*(F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(len(rules) + 1)))
+    masks = {r[0]: r[1:] for r in seen.collect()}  # a row for each set of rules that reject together
+    total = sum(x[0] for x in masks.values())
+    cost = [sum(x[i + 1] for x in masks.values()) / max(total, 1) + 1e-9 for i in range(len(rules))]
+    left, order, passed = set(range(len(rules))), [], {m: x[0] for m, x in masks.items()}
     while left:
-        best = max(left, key=lambda i: ((sum(m >> i & 1 for m in masks) + 1e-3) / cost[i], -i))
+        best = max(left, key=lambda i: ((sum(n for m, n in passed.items() if m >> i & 1) + 1e-3) / cost[i], -i))
         left.remove(best)
         order.append(best)
-        masks = [m for m in masks if not m >> best & 1]
+        passed = {m: n for m, n in passed.items() if not m >> best & 1}
     return order
 
 
@@ -151,6 +150,7 @@ def quality(
     sample_docs: int = 1000,
 ) -> DataFrame:
     """id, the five counts, ``base_failed`` and ``kept``: one row per document."""
+    small_batches(docs.sparkSession)
     order = [rules[i] for i in cascade_order(docs, text_col, rules, sample_docs)]
     kind = docs.schema[id_col].dataType.simpleString()
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

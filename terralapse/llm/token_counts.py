@@ -1,7 +1,7 @@
 """Token counts by a map-side lookup in two tiers.
 
-The tokenizer drops white space and never joins text across it, so the tokens of
-a text are those of its words (runs without ASCII white space), one word at a
+The tokenizer drops white space and never joins text across it (others are
+refused), so the tokens of a text are those of its words (runs without ASCII white space), one word at a
 time. Tier one is a compact table of frequent words and their token counts,
 broadcast to every worker. What it lacks goes to tier two, a bounded cache in
 each Python worker, and only what that lacks too is encoded by the tokenizers
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralapse.llm._arrow import Recent, as_bytes, slices
+from terralapse.llm._arrow import Recent, as_bytes, slices, small_batches
 
 
 @lru_cache(maxsize=2)
@@ -47,26 +47,31 @@ def _encoded(path: str, words: list[bytes]) -> list[int]:
     return [len(x.ids) for x in found]
 
 
+#: White space of every kind beside letters, marks and the ends of a text.
+PROBES = ("", " ", "a b", " a  b ", "a\tb\nc\r\nd", "a\x0bb\x0cc", "it's  10 % (of\tit) .", "é \u00a0 ü\n\n x")
+
+
+def check_words(path: str) -> None:
+    """Refuses a tokenizer for which the tokens of a text aren't those of its words."""
+    for text in PROBES:
+        whole, words = _encoded(path, [text.encode()])[0], text.encode().split()
+        if whole != sum(_encoded(path, words)):
+            raise ValueError(f"{path}: this tokenizer doesn't drop white space, or joins text across it ({text!r})")
+
+
 def frequent_words(docs: DataFrame, text_col: str, path: str, entries: int, sample_docs: int) -> tuple[bytes, list[int]]:
-    """The most frequent words of a bounded sample, joined by spaces, and their token counts."""
-    rows = docs.count()
-    share = min(1.0, sample_docs / max(rows, 1))
-    sample = docs.select(text_col)
-    if share < 1:
-        sample = sample.where(F.abs(F.xxhash64(F.col(text_col)) % 1_000_000) < int(share * 1_000_000))
+    """The most frequent words of a random sample of about ``sample_docs`` rows, joined by spaces, and their token counts."""
+    share = min(1.0, sample_docs / max(docs.count(), 1))
+    sample = docs.select(F.col(text_col).alias("text"))
+    sample = sample.sample(share, seed=1) if share < 1 else sample
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for text in as_bytes(batch.column(0)):
-                seen.update(w for w in (text or b"").split() if len(w) <= 64)
-        top = seen.most_common(entries)
-        yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in top], pa.binary()), "n": pa.array([n for _, n in top], pa.int64())})
-
-    total: Counter = Counter()
-    for row in sample.mapInArrow(count, "word binary, n long").toLocalIterator():
-        total[bytes(row.word)] += row.n
-    words = [w for w, n in total.most_common(entries) if n > 1]
+        for batch in slices(batches, "text"):
+            seen = Counter(w for text in as_bytes(batch.column(0)) for w in (text or b"").split() if len(w) <= 64)
+            yield pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
+
+    counts = sample.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = [bytes(r.word) for r in counts.where("n > 1").orderBy(F.desc("n"), "word").limit(entries).collect()]  # at most so many
     return b" ".join(words), _encoded(path, words)
 
 
@@ -82,6 +87,8 @@ def token_counts(
     cache_entries: int = 1 << 19,
 ) -> DataFrame:
     """One row per document: id, ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit`` (more than ``limit``)."""
+    small_batches(docs.sparkSession)
+    check_words(tokenizer_path)
     words, lengths = frequent_words(docs, text_col, tokenizer_path, table_entries, sample_docs)
     table = docs.sparkSession.sparkContext.broadcast((words, bytes(min(n, 255) for n in lengths)))
     kind = docs.schema[id_col].dataType.simpleString()

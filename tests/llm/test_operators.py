@@ -308,6 +308,63 @@ def test_languages(spark, empty):
         lang_id.identify(docs, train, max_languages=1)
 
 
+def test_numbers_are_no_letters(spark):
+    train = spark.createDataFrame([("und so weiter und so fort", "de"), ("and so on and so forth", "en")], "text string, lang string")
+    docs = spark.createDataFrame([(1, "½ ②"), (2, "Ⅷ ² ¾ ₅"), (3, "ª"), (4, "² and"), (5, "١٢٣"), (6, "中文")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in lang_id.identify(docs, train).collect()}
+    assert [got[i] == "und" for i in range(1, 7)] == [True, True, False, False, True, False]
+
+
+def test_languages_by_plain_compression(spark, docs, by_id):
+    """Every dictionary against every block, without Spark; and dictionaries that don't depend on how rows are dealt."""
+    import zstandard
+
+    rng = random.Random(16)
+    stems = {"en": ["the", "ing", "and"], "de": ["sch", "ung", "und"], "xx": ["qua", "vix", "zop"]}
+    rows = [("".join(rng.choice(stems[lang]) + rng.choice(["", " "]) for _ in range(rng.randrange(20, 200))), lang) for lang in stems for _ in range(60)]
+    rows += rows[:40] * 3  # one group of copies
+    train = spark.createDataFrame([*rows, (None, "en"), ("text", None)], "text string, lang string")
+    some = {"train_docs": 20, "dict_bytes": 2000, "segment": 16, "max_languages": 9}
+    content = lang_id.learnt(train, "text", "lang", **some)
+    assert content == lang_id.learnt(train.repartition(7, "text"), "text", "lang", **some) and all(500 < len(c) <= 2000 for c in content.values())
+    got = {r.doc_id: r for r in lang_id.identify(docs, train, train_docs=20, dict_bytes=2000, segment=16, block_bytes=500).collect()}
+    for k, text in by_id.items():
+        if not any(c.isalpha() for c in text or ""):
+            assert (got[k].lang_pred, got[k].score, got[k].rejected) == ("und", 0.0, True)
+            continue
+        raw, sizes = text.lower().encode(), []
+        for name in sorted(content):
+            d = zstandard.ZstdCompressionDict(content[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            pack = zstandard.ZstdCompressor(level=6, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append((sum(len(pack.compress(raw[i : i + 500])) for i in range(0, len(raw), 500)), name))
+        (best, name), (second, _) = sorted(sizes)[:2]
+        assert got[k].lang_pred == name and got[k].rejected == ((second - best) / best < 0.02)
+
+
+def test_samples_are_bounded(spark):
+    """One text in most of the rows, and more partitions than rows: no more jobs, and no raw rows for the driver."""
+    hot = spark.createDataFrame([(i, words(random.Random(i % 3), 60)) for i in range(300)], "doc_id long, text string")
+    tracker, counts = spark.sparkContext.statusTracker(), []
+    for n in (2, 64):
+        spark.sparkContext.setJobGroup(f"words-{n}", "")
+        text, lengths = token_counts.frequent_words(hot.repartition(n), "text", BPE, 100, 50)
+        counts.append(len(tracker.getJobIdsForGroup(f"words-{n}")))
+        assert len(text.split()) == len(lengths) <= 100
+    spark.sparkContext.setJobGroup("rest", "")
+    assert counts[0] == counts[1]
+    assert sorted(quality.cascade_order(hot, "text", quality.RULES, 30)) == list(range(len(quality.RULES)))
+
+
+def test_another_tokenizer_is_refused(spark, tmp_path):
+    from tokenizers import Tokenizer, models
+
+    pieces_ = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz \t\n.%()'0123456789éü\u00a0\r\x0b\x0c")}
+    Tokenizer(models.BPE(pieces_, [])).save(str(tmp_path / "spaces.json"))
+    with pytest.raises(ValueError, match="white space"):
+        token_counts.check_words(str(tmp_path / "spaces.json"))
+    token_counts.check_words(BPE)
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(9)
     plain = lambda n: words(rng, n).split(" ")
