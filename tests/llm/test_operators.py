@@ -1,5 +1,6 @@
 """The text operators against brute force, round trips and held-out labels, on small tables with every awkward row."""
 
+import gzip
 import hashlib
 import os
 import random
@@ -440,21 +441,43 @@ def test_archives(spark, tmp_path):
     shared, small = words(rng, 400), "tiny"
     html = [None, "", small, small, shared, shared, shared, "WARC/1.1\r\n\r\nContent-Length: 5\r\n\r\n" + shared, "é" * 700, "é" * 700, "x\r\n\r\n" * 300]
     rows = [(i, None if i == 3 else f"http://b{i % 3}.example.org/p?x={i}\n", h, "k") for i, h in enumerate(html * 4)]
+    rows += [(50, "http://b0.example.org/big", "<p>" + words(rng, 250_000), "k"), (51, "http://b0.example.org/null", "\0" * 1500, "k")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string").repartition(4)
-    got = warc.archive(pages, str(tmp_path / "warc"), records_per_file=5).collect()
-    last = {}
-    for i, _, h, _ in rows:
-        last[h or ""] = i
-    assert len(got) == len(rows)
-    for r in got:
-        raw = (rows[r.page_id][2] or "").encode()
-        to = last[raw.decode()] if len(raw) >= 1000 and last[raw.decode()] != r.page_id else None
-        assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if to is not None else "response", to)
-    order = [(r.url_key, r.ts, r.page_id) for r in sorted(got, key=lambda r: (r.range, r.position))]
-    assert order == sorted(order)
+    by_page = {r[0]: r for r in rows}
+    last = {r[2] or "": r[0] for r in rows}
+    for size in (16 << 20, 2000):
+        got = warc.archive(pages, str(tmp_path / f"warc-{size}"), records_per_file=5, range_bytes=size).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            raw = (by_page[r.page_id][2] or "").encode()
+            to = last[raw.decode()] if len(raw) >= 1000 and last[raw.decode()] != r.page_id else None
+            assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if to is not None else "response", to)
+            # A reader that seeks finds the record, alone.
+            with open(r.run.removeprefix("file:"), "rb") as f:
+                f.seek(r.offset)
+                record = gzip.decompress(f.read(r.length))
+            assert f"<urn:page:{r.page_id}>".encode() in record and record.endswith((b"" if to is not None else raw) + b"\r\n\r\n")
+        order = [(r.url_key, r.ts, r.page_id) for r in sorted(got, key=lambda r: r.position)]
+        assert order == sorted(order) and sorted(r.position for r in got) == list(range(len(rows)))
+    assert len({r.run for r in got}) > 5
     assert warc.archive(pages.where("false"), str(tmp_path / "none")).count() == 0
 
 
+def test_archives_of_odd_rows(spark, tmp_path):
+    """Null and repeated ids; a payload damaged on disk."""
+    page = "<p>" + "same page " * 200
+    pages = spark.createDataFrame([(None, "http://a.org", page), (None, None, None), (7, "http://a.org", page), (7, "http://a.org", page), (3, "http://a.org", page)], "page_id long, url string, html string")
+    got = sorted((r.page_id or 0, r.record_type, r.refers_to) for r in warc.archive(pages).collect())
+    assert got == [(0, "response", None), (0, "revisit", 7), (3, "revisit", 7), (7, "response", None), (7, "response", None)]
+    packed = warc.member(b"WARC/1.1\r\nWARC-Type: response\r\nX-URL-Key: k\r\nWARC-Date: d\r\nWARC-Record-ID: <urn:page:1>\r\nX-Payload-Length: 3\r\nContent-Length: 3\r\nWARC-Payload-Digest: sha1:0\r\n\r\nabc\r\n\r\n") + b"\0"
+    with pytest.raises(ValueError, match="isn't what its head says"):
+        list(warc.parsed("one", packed))
+    with pytest.raises(ValueError, match="breaks off"):
+        list(warc.members(packed[:-9]))
+    whole = warc.member(b"x" * (1 << 24)) + b"\0"
+    assert [len(c) for *_, c in warc.members(whole + packed)] == [1 << 24, len(gzip.decompress(packed))]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_texts_in_no_learnt_language_are_rejected(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
