@@ -5,6 +5,9 @@ beginnings, and one more term that counts the words without any of these; the ``
 with the highest cosine vote, each with its cosine (and its class weight), which
 gives a score between 0 and 1; the voters and the terms in common are the evidence.
 
+Calibration: each example is scored by the others, as if it weren't one, and the log-odds of the
+votes are mapped by the line that fits these scores to the labels (``fitted``).
+
 The search is exact. Examples lie in an inverted index in blocks of ``block`` rows,
 and for each term and block the index holds the largest weight. The dot product of a
 text with these is a bound on every example of the block; blocks are taken from the
@@ -22,7 +25,8 @@ large the tables are.
 
 A text without a word (null and empty texts too) gets the smoothed share of label 1
 among all labels. Without any labels every score is 0.5. Among
-neighbours with equal cosines those of the block with the higher bound come first. Repeated rows are scored
+neighbours with equal cosines those of the block with the higher bound come first, and examples are
+put into blocks by their labels and terms. Repeated rows are scored
 one by one; a document with several labels counts once, with the highest. Further
 columns of the input are ignored, so their names can't clash. An empty table gives an
 empty result.
@@ -42,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralapse.llm._arrow import Recent, slices
+from terralapse.llm._arrow import Recent, slices, small_batches
 from terralapse.plans.storage import stored
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -63,6 +67,35 @@ def terms_of(word: str) -> list[str]:
     return [word[:40], *(f"^{word[:n]}" for n in range(3, min(8, len(word))))]
 
 
+def logit(p: float) -> float:
+    p = min(max(p, 1e-6), 1 - 1e-6)
+    return math.log(p / (1 - p))
+
+
+def expit(x: float) -> float:
+    return 1 / (1 + math.exp(-x)) if x >= 0 else math.exp(x) / (1 + math.exp(x))
+
+
+def fitted(odds: np.ndarray, labels: np.ndarray, weights: np.ndarray, hold: float = 1.0) -> tuple[float, float]:
+    """Slope and shift that make log-odds fit labels best (logistic regression, Platt 1999), drawn to 1 and 0 with the force of ``hold`` examples.
+
+    With fewer than 20 examples of a class, or a slope that isn't positive, they stay as they are.
+    """
+    if min((labels == y).sum() for y in (0, 1)) < 20:
+        return 1.0, 0.0
+    weights = weights * (len(weights) / weights.sum())
+    at = np.array([1.0, 0.0])
+    x = np.stack([odds, np.ones(len(odds))], 1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
+        slope = x.T @ (weights * (p - labels)) + hold * (at - [1.0, 0.0])
+        step = np.linalg.solve((x * (weights * p * (1 - p))[:, None]).T @ x + hold * np.eye(2), slope)
+        at = at - step
+        if np.abs(step).max() < 1e-9:
+            break
+    return (float(at[0]), float(at[1])) if at[0] > 0 else (1.0, 0.0)
+
+
 @dataclass
 class Index:
     """Examples in blocks. Postings of (term, block) are a slice of ``rows`` and ``weights``."""
@@ -78,6 +111,8 @@ class Index:
     weights: np.ndarray
     most: np.ndarray  # [term, block]
     prior: float
+    #: Slope and shift of the log-odds of votes, see ``fitted``.
+    curve: tuple[float, float] = (1.0, 0.0)
 
     def __post_init__(self):
         self.vocabulary = {t: i for i, t in enumerate(self.names[:-1])}
@@ -93,7 +128,8 @@ class Index:
         idf[-1] = REST_WEIGHT
         prior = (sum(weight[e[1]] for e in examples if e[1]) + 0.5) / (sum(weight[e[1]] for e in examples) + 1)
         # Like examples together, so that bounds differ between blocks.
-        full = sorted((e for e in examples if e[2]), key=lambda e: (e[1], max((idf[t] * n, t) for t, n in zip(e[2], e[3])), e[0]))
+        # Their ids only order examples that are equal in all else, so they never enter a score.
+        full = sorted((e for e in examples if e[2]), key=lambda e: (e[1], max((idf[t] * n, t) for t, n in zip(e[2], e[3])), list(e[2]), list(e[3]), e[0]))
         n_blocks = -(-len(full) // block)
         posting = []
         for row, (_, _, terms, tf) in enumerate(full):
@@ -143,6 +179,17 @@ class Index:
             found.append(term)
         return sorted(Counter(found).items())
 
+    def share(self, rows: np.ndarray, near: np.ndarray, strength: float) -> float:
+        """The part of the votes that is for label 1, with ``strength`` votes for the prior."""
+        vote = near * self.class_weight[rows]
+        return (float(vote @ self.labels[rows]) + strength * self.prior) / (float(vote.sum()) + strength)
+
+    def share_without(self, terms: list[int], tf: list[int], label: int, k: int, strength: float) -> float:
+        """The same for an example, as if it weren't one."""
+        rows, near = self.nearest(terms, tf, k + 1)
+        own = np.flatnonzero((near > 1 - 1e-9) & (self.labels[rows] == label))[:1]
+        return self.share(np.delete(rows, own)[:k], np.delete(near, own)[:k], strength)
+
     def score(self, text: str | None, k: int, strength: float) -> tuple[float, list[int], list[float], list[str]]:
         """Score, neighbours, their cosines, and the text's vocabulary terms."""
         found = self.counted(text)
@@ -152,22 +199,23 @@ class Index:
         if terms == [self.rest] and self.plain is not None:
             return self.plain
         rows, near = self.nearest(terms, [n for _, n in found], k)
-        vote = near * self.class_weight[rows]
-        score = (float(vote @ self.labels[rows]) + strength * self.prior) / (float(vote.sum()) + strength)
-        out = min(1.0, max(0.0, score)), [self.ids[r] for r in rows], [round(float(x), 6) for x in near], [self.names[t] for t in terms if t != self.rest]
+        slope, shift = self.curve
+        out = expit(slope * logit(self.share(rows, near, strength)) + shift), [self.ids[r] for r in rows], [round(float(x), 6) for x in near], [self.names[t] for t in terms if t != self.rest]
         if terms == [self.rest]:  # one direction, however long the text
             self.plain = out
         return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, per_class: int, min_df: int, min_chi2: float, block: int) -> Index:
+def learn(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, per_class: int, min_df: int, min_chi2: float, block: int, k: int, strength: float) -> Index:
     spark = docs.sparkSession
     known = labels.where(F.col(label_col).isin(0, 1))
     counts = {r[0]: r[1] for r in known.groupBy(label_col).count().collect()}  # two rows
     picked = None
     for y, n in counts.items():
-        share = min(1.0, per_class / n)
-        part = known.where((F.col(label_col) == y) & (F.abs(F.xxhash64(id_col)) % 1_000_000 < int(share * 1_000_000) + 1)).select(id_col, F.col(label_col).alias("y")).limit(per_class)
+        # Half as many more by hash, to be sure; of these the first per_class, whatever the partitions.
+        at = F.shiftrightunsigned(F.xxhash64(id_col), 2)
+        near = known.where((F.col(label_col) == y) & (at < int((1 << 62) * min(1.0, 1.5 * per_class / n)))).select(id_col, F.col(label_col).alias("y"), at.alias("at"))
+        part = near.orderBy("at", id_col).limit(per_class).drop("at")
         picked = part if picked is None else picked.union(part)
     if picked is None:
         return Index.build([REST], [0.0], 0.0, [], {}, block)
@@ -209,8 +257,21 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, lab
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), *columns], names=["id", "y", "terms", "tf"])
 
     # At most two times per_class rows of at most as many entries as the vocabulary has.
-    rows = sample.select(F.col(id_col).cast("long").alias("id"), F.col("y").cast("int").alias("y"), "text").mapInArrow(vectors, "id long, y int, terms array<int>, tf array<int>").collect()
-    return Index.build(names, df, float(sum(counts.values())), [(r.id, r.y, r.terms, r.tf) for r in rows], weight, block)
+    vector = stored(sample.select(F.col(id_col).cast("long").alias("id"), F.col("y").cast("int").alias("y"), "text").mapInArrow(vectors, "id long, y int, terms array<int>, tf array<int>"), "toxicity-vectors")
+    index = Index.build(names, df, float(sum(counts.values())), [(r.id, r.y, r.terms, r.tf) for r in vector.collect()], weight, block)
+    given = spark.sparkContext.broadcast(index)
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y = batch.column("y").to_pylist()
+            odds = [logit(given.value.share_without(t, n, label, k, strength)) for t, n, label in zip(batch.column("terms").to_pylist(), batch.column("tf").to_pylist(), y)]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(odds, pa.float64())], names=["y", "odds"])
+
+    # What the others say of each example, in groups of equal ones: no more rows than examples.
+    told = vector.where(F.size("terms") > 0).mapInArrow(left_out, "y int, odds double").groupBy("y", F.round("odds", 3).alias("odds")).count().orderBy("odds", "y").collect()
+    y, odds, n = (np.array([r[i] for r in told], float) for i in range(3))
+    index.curve = fitted(np.repeat(odds, n.astype(int)), np.repeat(y, n.astype(int)), np.repeat([weight[int(v)] for v in y], n.astype(int))) if len(told) else (1.0, 0.0)
+    return index
 
 
 def toxicity(
@@ -228,7 +289,8 @@ def toxicity(
     block: int = 128,
 ) -> DataFrame:
     """id, ``score``, ``predicted``, and the evidence: ``neighbours``, ``cosines``, ``terms``. One row per document."""
-    index = learn(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, per_class=per_class, min_df=min_df, min_chi2=min_chi2, block=block)
+    small_batches(docs.sparkSession)
+    index = learn(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, per_class=per_class, min_df=min_df, min_chi2=min_chi2, block=block, k=k, strength=strength)
     given = docs.sparkSession.sparkContext.broadcast(index)
     kind = docs.schema[id_col].dataType.simpleString()
 
