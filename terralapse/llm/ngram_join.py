@@ -349,6 +349,8 @@ def differences(members: DataFrame, texts: DataFrame, width: int, key: int, t: F
 def common_of_hubs(members: DataFrame, texts: DataFrame, width: int, key: int, max_broadcast: int, large: int = 64, asked: int = 32, least: int = 4) -> DataFrame:
     """(a, common): what ``least`` of about ``asked`` members of a hub with many members have and the hub lacks. It decides an order, never a result."""
     big = members.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= large)
+    # There are at most so many of them.
+    big = F.broadcast(big) if members.count() // large <= max_broadcast else big
     few = stored(members.select("a", "b").join(big, "a").where(F.pmod(F.xxhash64("a", "b"), F.col("k")) < asked).select("a", "b"), "hub-samples")
     both = with_texts(few, texts, max_broadcast).select("a", "text_a", "text_b")
 
