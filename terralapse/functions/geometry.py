@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 
 RINGS = "array<array<struct<x:double,y:double>>>"
@@ -29,7 +31,7 @@ def contains(e: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return inside
 
 
-def _crossings(e: np.ndarray) -> list[float]:
+def crossings(e: np.ndarray) -> list[float]:
     """Heights at which edges cross one another."""
     out = []
     for i in range(len(e)):
@@ -44,15 +46,18 @@ def _crossings(e: np.ndarray) -> list[float]:
     return out
 
 
-def overlap(e: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> float:
-    """Area of the polygon inside a rectangle, exact for self-crossing rings too.
+def overlap(e: np.ndarray, x0: float, y0: float, x1: float, y1: float, crossed: list[float] | None = None) -> float:
+    """Area of the polygon inside a rectangle, exact for self-crossing rings too; ``crossed`` are the polygon's ``crossings`` if known.
 
     The rectangle is cut at every height where an edge starts, ends, crosses another or leaves
     the rectangle's sides; between two such heights the width inside is linear.
     """
     if not len(e) or e[:, [0, 2]].max() <= x0 or e[:, [0, 2]].min() >= x1 or e[:, [1, 3]].max() <= y0 or e[:, [1, 3]].min() >= y1:
         return 0.0
-    heights = [y0, y1, *e[:, 1], *_crossings(e)]
+    crossed = crossings(e) if crossed is None else crossed
+    # Edges that the rectangle's rows don't meet change nothing in it.
+    e = e[(np.minimum(e[:, 1], e[:, 3]) < y1) & (np.maximum(e[:, 1], e[:, 3]) > y0)]
+    heights = [y0, y1, *e[:, 1], *e[:, 3], *crossed]
     slanted = e[(e[:, 0] != e[:, 2]) & (e[:, 1] != e[:, 3])]
     for side in (x0, x1):
         s = (side - slanted[:, 0]) / (slanted[:, 2] - slanted[:, 0])
@@ -83,38 +88,56 @@ def touches(e: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> bool:
     return bool(len(e)) and bool(contains(e, np.array([(x0 + x1) / 2]), np.array([(y0 + y1) / 2]))[0])
 
 
+def meet(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two polygons, both with their boundaries, have a point in common."""
+    if not len(a) or not len(b):
+        return False
+    for x0, y0, x1, y1 in a:
+        cx, cy, dx, dy = b.T
+        near = (np.minimum(cx, dx) <= max(x0, x1)) & (np.maximum(cx, dx) >= min(x0, x1)) & (np.minimum(cy, dy) <= max(y0, y1)) & (np.maximum(cy, dy) >= min(y0, y1))
+        side = lambda px, py, qx, qy, rx, ry: np.sign((qx - px) * (ry - py) - (qy - py) * (rx - px))
+        if (near & (side(x0, y0, x1, y1, cx, cy) * side(x0, y0, x1, y1, dx, dy) <= 0) & (side(cx, cy, dx, dy, x0, y0) * side(cx, cy, dx, dy, x1, y1) <= 0)).any():
+            return True
+    return bool(contains(b, a[:1, 0], a[:1, 1])[0] or contains(a, b[:1, 0], b[:1, 1])[0])
+
+
+def rings_of_geojson(text: str | None) -> list | None:
+    """The rings of a Polygon or MultiPolygon in GeoJSON; None for anything else."""
+    shape = json.loads(text) if text else None
+    if not shape or shape.get("type") not in ("Polygon", "MultiPolygon"):
+        return None
+    parts = [shape["coordinates"]] if shape["type"] == "Polygon" else shape["coordinates"]
+    return [[(p[0], p[1]) for p in ring] for part in parts for ring in part]
+
+
 def area(e: np.ndarray) -> float:
     if not len(e):
         return 0.0
     return overlap(e, e[:, [0, 2]].min(), e[:, [1, 3]].min(), e[:, [0, 2]].max(), e[:, [1, 3]].max())
 
 
-def outline(cells: set[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """The boundary of cells as closed rings of (col, row) corners; holes are rings too.
+def rings_of_sides(sides) -> list[list[tuple[int, int]]]:
+    """Closed rings of (col, row) corners made of straight pieces (r0, c0, r1, c1); holes are rings too.
 
-    Sides are walked with the cells to the left; where two diagonal cells meet in a corner the
-    walk turns left, so that each of the two keeps its own ring there.
+    Pieces go with the cells to the left; where two diagonal cells meet in a corner the walk
+    turns left, so that each of the two keeps its own ring there.
     """
     after: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for r, c in cells:
-        for a, b, other in (((c, r + 1), (c + 1, r + 1), (r + 1, c)), ((c + 1, r + 1), (c + 1, r), (r, c + 1)), ((c + 1, r), (c, r), (r - 1, c)), ((c, r), (c, r + 1), (r, c - 1))):
-            if other not in cells:
-                after.setdefault(a, []).append(b)
+    for r0, c0, r1, c1 in sides:
+        after.setdefault((c0, r0), []).append((c1, r1))
     rings = []
-    while after:
-        start = min(after)
-        ring, at, came = [start], start, None
-        while True:
-            ways = after[at]
-            turn = lambda b: 0 if came is None else (b[0] - at[0]) * (at[1] - came[1]) - (at[0] - came[0]) * (b[1] - at[1])  # noqa: B023, E731
-            b = max(ways, key=turn)
-            ways.remove(b)
-            if not ways:
-                del after[at]
-            came, at = at, b
-            if at == start:
-                break
-            ring.append(at)
-        corners = [p for i, p in enumerate(ring) if not ((ring[i - 1][0] == p[0] == ring[(i + 1) % len(ring)][0]) or (ring[i - 1][1] == p[1] == ring[(i + 1) % len(ring)][1]))]
-        rings.append([*corners, corners[0]])
+    # A ring starts at its least corner, where no other ring of the patch can be mixed up with it.
+    for start in sorted(after):
+        while after.get(start):
+            ring, at, came = [start], start, None
+            while True:
+                ways = after[at]
+                turn = lambda b: 0 if came is None else np.sign((b[0] - at[0]) * (at[1] - came[1]) - (at[0] - came[0]) * (b[1] - at[1]))  # noqa: B023, E731
+                b = max(ways, key=turn)
+                ways.remove(b)
+                came, at = at, b
+                if at == start:
+                    break
+                ring.append(at)
+            rings.append([*ring, start])
     return rings

@@ -8,17 +8,44 @@ runs on these candidates in Arrow batches.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralapse.functions import geometry
-from terralapse.grid import GridSpec
+from terralapse.grid import GridSpec, reprojected
 
 X, Y = (lambda p: p["x"]), (lambda p: p["y"])
-PREDICATES = ("intersects", "within", "overlaps")
+#: Conditions on a patch and an overlay that touch: their common area, and the area of each.
+PREDICATES: dict[str, Callable[[Column, Column, Column], Column]] = {
+    "intersects": lambda area, patch, overlay: F.lit(True),
+    "within": lambda area, patch, overlay: area >= patch * (1 - 1e-9),
+    "contains": lambda area, patch, overlay: area >= overlay * (1 - 1e-9),
+    "overlaps": lambda area, patch, overlay: (area > 0) & (area < patch * (1 - 1e-9)),
+    "touches": lambda area, patch, overlay: area <= 0,
+}
+#: Points of polygons that may be sent to every task: some 16 MB.
+MOST_POINTS = 500_000
+
+
+def in_crs(features: DataFrame, source: str, target: str) -> DataFrame:
+    """Polygon features with the points of their ``geometry`` in another CRS."""
+    if source.upper() == target.upper():
+        return features
+
+    @F.pandas_udf(geometry.RINGS)
+    def moved(shapes: pd.Series) -> pd.Series:
+        def ring(points) -> list[dict]:
+            x, y = reprojected(np.array([p["x"] for p in points], float), np.array([p["y"] for p in points], float), source, target)
+            return [{"x": float(a), "y": float(b)} for a, b in zip(x, y)]
+
+        return shapes.map(lambda rings: None if rings is None else [ring(r) for r in rings])
+
+    return features.withColumn("geometry", moved("geometry"))
 
 
 def check_features(df: DataFrame, what: str) -> None:
@@ -33,8 +60,36 @@ def pieces(runs: DataFrame, bucket: int) -> DataFrame:
     return cut.withColumn("col_start", F.greatest("col_start", F.col("bx") * bucket)).withColumn("col_end", F.least("col_end", (F.col("bx") + 1) * bucket - 1))
 
 
-def dealt(polygons: DataFrame, grid: GridSpec, bucket: int) -> DataFrame:
-    """Polygons of (key, geometry) in every bucket that their bounding box meets, boundary included."""
+def shapes_of(polygons: DataFrame) -> dict | None:
+    """Edges and crossings of each polygon of (key, geometry), for every task; None if they have more than MOST_POINTS points."""
+    points = polygons.agg(F.sum(F.size(F.flatten("geometry")))).first()[0] or 0
+    if points > MOST_POINTS:
+        return None
+    return {r.key: prepared(r.geometry) for r in polygons.select("key", "geometry").collect()}
+
+
+def prepared(rings) -> tuple:
+    e = geometry.edges([] if rings is None else rings)
+    return e, geometry.crossings(e)
+
+
+class Shapes:
+    """Polygons by key: those sent to every task, or those that came with the rows, each worked out once."""
+
+    def __init__(self, sent: dict | None):
+        self.sent, self.known = sent, {}
+
+    def of(self, key, rings) -> tuple:
+        if self.sent is not None:
+            return self.sent[key]
+        if key not in self.known:
+            self.known = self.known if len(self.known) < 1000 else {}
+            self.known[key] = prepared(rings)
+        return self.known[key]
+
+
+def dealt(polygons: DataFrame, grid: GridSpec, bucket: int, sent: dict | None) -> DataFrame:
+    """(key, bx, by) of each polygon and every bucket that it meets, boundary included; with the geometry if it isn't sent to every task."""
     flat = F.flatten("geometry")
     xs, ys = F.transform(flat, lambda p: p["x"]), F.transform(flat, lambda p: p["y"])
     col = lambda x: F.floor((x - grid.xmin) / grid.resx / bucket)
@@ -44,31 +99,56 @@ def dealt(polygons: DataFrame, grid: GridSpec, bucket: int) -> DataFrame:
     last = (max(grid.ncol, grid.nrow) - 1) // bucket
     inside = lambda c: F.greatest(F.lit(0), F.least(F.lit(last), c))
     boxes = polygons.where(F.size(flat) > 0).withColumns({"x0": F.array_min(xs) - slack, "x1": F.array_max(xs) + slack, "y0": F.array_min(ys) - slack, "y1": F.array_max(ys) + slack})
-    meets = (F.col("x1") >= grid.xmin) & (F.col("x0") <= grid.xmin + grid.ncol * grid.resx) & (F.col("y0") <= grid.ymax) & (F.col("y1") >= grid.ymax - grid.nrow * grid.resy)
+    meets = (F.col("x1") >= grid.xmin) & (F.col("x0") <= grid.xmax) & (F.col("y0") <= grid.ymax) & (F.col("y1") >= grid.ymin)
+    keep = ["key"] if sent is not None else ["key", "geometry"]
     each = boxes.where(meets).withColumn("bx", F.explode(F.sequence(inside(col(F.col("x0"))), inside(col(F.col("x1"))))))
-    return each.withColumn("by", F.explode(F.sequence(inside(row(F.col("y1"))), inside(row(F.col("y0")))))).drop("x0", "x1", "y0", "y1")
+    each = each.withColumn("by", F.explode(F.sequence(inside(row(F.col("y1"))), inside(row(F.col("y0")))))).select(*keep, "bx", "by")
+    wide, high = bucket * grid.resx, bucket * grid.resy
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shapes = Shapes(sent)
+        for pdf in batches:
+            rings = pdf["geometry"] if "geometry" in pdf else [None] * len(pdf)
+            edge = lambda b, top: (grid.xmin + b * wide - slack, grid.ymax - (top + 1) * high - slack, grid.xmin + (b + 1) * wide + slack, grid.ymax - top * high + slack)
+            yield pdf[[geometry.touches(shapes.of(k, g)[0], *edge(x, y)) for k, g, x, y in zip(pdf["key"], rings, pdf["bx"], pdf["by"])]]
+
+    return each.mapInPandas(near, each.schema)
 
 
 def overlaps(runs: DataFrame, polygons: DataFrame, grid: GridSpec, bucket: int = 64) -> DataFrame:
-    """(patch_id, key, area, touches): of runs (patch_id, row, col_start, col_end) and polygons (key, geometry)."""
+    """(patch_id, key, area, touches): of runs (patch_id, row, col_start, col_end) and polygons (key, geometry).
+
+    Polygons of at most MOST_POINTS points go to every task once; larger ones ride with the rows.
+    """
+    sent = shapes_of(polygons)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[int, object] = {}
+        shapes = Shapes(sent)
         for pdf in batches:
             areas, met = [], []
-            for key, rings, row, a, b in zip(pdf["key"], pdf["geometry"], pdf["row"], pdf["col_start"], pdf["col_end"]):
-                if key not in known:
-                    known = {key: geometry.edges(rings)} if len(known) > 1000 else known | {key: geometry.edges(rings)}
+            rings = pdf["geometry"] if "geometry" in pdf else [None] * len(pdf)
+            for key, shape, row, a, b in zip(pdf["key"], rings, pdf["row"], pdf["col_start"], pdf["col_end"]):
+                e, crossed = shapes.of(key, shape)
                 box = (grid.xmin + a * grid.resx, grid.ymax - (row + 1) * grid.resy, grid.xmin + (b + 1) * grid.resx, grid.ymax - row * grid.resy)
-                areas.append(x := geometry.overlap(known[key], *box))
-                met.append(x > 0 or geometry.touches(known[key], *box))
+                areas.append(x := geometry.overlap(e, *box, crossed))
+                met.append(x > 0 or geometry.touches(e, *box))
             yield pdf[["patch_id", "key"]].assign(area=areas, touches=met)
 
-    found = pieces(runs, bucket).join(dealt(polygons, grid, bucket), ["bx", "by"])
-    rows = found.select("patch_id", "key", "geometry", "row", "col_start", "col_end").mapInPandas(measure, "patch_id int, key long, area double, touches boolean")
+    found = pieces(runs, bucket).join(dealt(polygons, grid, bucket, sent), ["bx", "by"])
+    rows = found.select("patch_id", "key", *(() if sent is not None else ("geometry",)), "row", "col_start", "col_end").mapInPandas(measure, "patch_id int, key long, area double, touches boolean")
     return rows.groupBy("patch_id", "key").agg(F.sum("area").alias("area"), F.max("touches").alias("touches")).where("touches")
 
 
+def sizes_of(polygons: DataFrame) -> DataFrame:
+    """(key, overlay_area)."""
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[["key"]].assign(overlay_area=[geometry.area(geometry.edges([] if g is None else g)) for g in pdf["geometry"]])
+
+    return polygons.select("key", "geometry").mapInPandas(measure, "key long, overlay_area double")
+
+
 def attribute(
     patches: DataFrame,
     runs: DataFrame,
@@ -76,7 +156,8 @@ def attribute(
     grid: GridSpec,
     cols: list[str],
     *,
-    predicate: str = "intersects",
+    predicate: str | Callable[[Column, Column, Column], Column] = "intersects",
+    overlay_crs: str | None = None,
     match_mode: str = "all",
     time_col: str | None = None,
     time_interval: tuple[float, float] | None = None,
@@ -84,11 +165,13 @@ def attribute(
 ) -> DataFrame:
     """Patches with the columns ``cols`` of the overlay: every match, or the one that overlaps most.
 
-    ``overlay_ix`` numbers the overlay; on equal overlaps the first wins. Patches without a
+    ``predicate`` is one of PREDICATES or a function of three columns: the area in common, the
+    patch's and the overlay's; it is asked of all that touch. An overlay in another CRS is brought
+    to the grid's. ``overlay_ix`` numbers the overlay; on equal overlaps the first wins. Patches without a
     match keep nulls. ``time_interval`` keeps overlays whose ``time_col`` lies in it, ends included.
     """
     check_features(overlay, "overlay")
-    if predicate not in PREDICATES:
+    if not callable(predicate) and predicate not in PREDICATES:
         raise ValueError(f"predicate must be one of {', '.join(PREDICATES)}")
     if match_mode not in ("all", "largest"):
         raise ValueError("match_mode must be one of all, largest")
@@ -114,11 +197,13 @@ def attribute(
         if time_interval[0] > time_interval[1]:
             raise ValueError("time_interval must not be decreasing")
         overlay = overlay.where(F.col(time_col).between(*time_interval))
+    overlay = in_crs(overlay, overlay_crs or grid.crs, grid.crs)
     keyed = overlay.withColumn("key", F.col("overlay_ix").cast("long") if "overlay_ix" in overlay.columns else F.xxhash64(F.to_json(F.struct("geometry", *cols))))
     found = overlaps(runs, keyed.select("key", "geometry"), grid, bucket)
     if predicate != "intersects":
         size = runs.groupBy("patch_id").agg((F.sum(F.col("col_end") - F.col("col_start") + 1) * F.lit(grid.cell_area)).alias("whole"))
-        found = found.join(size, "patch_id").where(F.col("area") >= F.col("whole") * (1 - 1e-9) if predicate == "within" else (F.col("area") > 0) & (F.col("area") < F.col("whole") * (1 - 1e-9)))
+        both = found.join(size, "patch_id").join(sizes_of(keyed), "key")
+        found = both.where((predicate if callable(predicate) else PREDICATES[predicate])(F.col("area"), F.col("whole"), F.col("overlay_area")))
     if match_mode == "largest":
         best = Window.partitionBy("patch_id").orderBy(F.desc("area"), "key")
         found = found.withColumn("place", F.row_number().over(best)).where("place = 1")
@@ -126,20 +211,78 @@ def attribute(
     return patches.join(matched, "patch_id", "left").select(*patches.columns, *cols)
 
 
-def zones(patches: DataFrame, runs: DataFrame, zone: DataFrame, grid: GridSpec, zone_col: str, bucket: int = 64) -> DataFrame:
-    """A row for each patch and zone that overlap: the patch's own area_ha stays whole, zone_area_ha is the part inside."""
+def zone_keys(zone: DataFrame, zone_col: str, crs: str | None, grid: GridSpec) -> DataFrame:
     check_features(zone, "zones")
     if zone_col not in zone.columns:
         raise ValueError(f"zone_col '{zone_col}' not found in zones")
-    keyed = zone.withColumn("key", F.xxhash64(F.col(zone_col), F.to_json("geometry")))
+    return in_crs(zone, crs or grid.crs, grid.crs).withColumn("key", F.xxhash64(F.col(zone_col), F.to_json("geometry"))).select("key", zone_col, "geometry")
+
+
+def zones(patches: DataFrame, runs: DataFrame, zone: DataFrame, grid: GridSpec, zone_col: str, bucket: int = 64, *, zone_crs: str | None = None) -> DataFrame:
+    """A row for each patch and zone that overlap: the patch's own area_ha stays whole, zone_area_ha is the part inside."""
+    keyed = zone_keys(zone, zone_col, zone_crs, grid)
     found = overlaps(runs, keyed.select("key", "geometry"), grid, bucket).where("area > 0")
     return patches.join(found, "patch_id").join(keyed.select("key", zone_col), "key").select(*patches.columns, zone_col, (F.col("area") * 1e-4).alias("zone_area_ha"))
 
 
-def clip(cells: DataFrame, area: DataFrame, grid: GridSpec, *, drop: bool = True, bucket: int = 64) -> DataFrame:
-    """Cells whose centre lies in the union of the area's polygons; with ``drop=False`` the others stay, with a null value."""
+def zone_runs(runs: DataFrame, zone: DataFrame, grid: GridSpec, zone_col: str, bucket: int = 64, *, zone_crs: str | None = None) -> DataFrame:
+    """(patch_id, zone, row, col_start, col_end): the patches cut by zones, as runs of the cells whose centres lie inside."""
+    keyed = zone_keys(zone, zone_col, zone_crs, grid)
+    polygons = keyed.select("key", "geometry")
+    sent = shapes_of(polygons)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shapes = Shapes(sent)
+        for pdf in batches:
+            rings, out = pdf["geometry"] if "geometry" in pdf else [None] * len(pdf), []
+            for patch, key, shape, row, a, b in zip(pdf["patch_id"], pdf["key"], rings, pdf["row"], pdf["col_start"], pdf["col_end"]):
+                col = np.arange(a, b + 1)
+                here = geometry.contains(shapes.of(key, shape)[0], grid.xmin + (col + 0.5) * grid.resx, np.full(len(col), grid.ymax - (row + 0.5) * grid.resy))
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], here.astype(np.int8), [0]])))
+                out += [(patch, key, row, a + int(i), a + int(j) - 1) for i, j in zip(edge[::2], edge[1::2])]
+            yield pd.DataFrame(out, columns=["patch_id", "key", "row", "col_start", "col_end"])
+
+    found = pieces(runs, bucket).join(dealt(polygons, grid, bucket, sent), ["bx", "by"])
+    rows = found.select("patch_id", "key", *(() if sent is not None else ("geometry",)), "row", "col_start", "col_end").mapInPandas(cut, "patch_id int, key long, row int, col_start int, col_end int")
+    # Runs that the buckets had cut are put together again.
+    before = F.lag("col_end").over(Window.partitionBy("patch_id", "key", "row").orderBy("col_start"))
+    new = F.when(F.col("col_start") == before + 1, 0).otherwise(1)
+    island = F.sum("new").over(Window.partitionBy("patch_id", "key", "row").orderBy("col_start"))
+    whole = rows.withColumn("new", new).withColumn("island", island).groupBy("patch_id", "key", "row", "island").agg(F.min("col_start").alias("col_start"), F.max("col_end").alias("col_end"))
+    return whole.join(keyed.select("key", zone_col), "key").select("patch_id", zone_col, "row", "col_start", "col_end")
+
+
+def clip(cells: DataFrame, area: DataFrame, grid: GridSpec, *, drop: bool = True, bucket: int = 64, area_crs: str | None = None) -> DataFrame:
+    """Cells whose centre lies in the union of the area's polygons; with ``drop=False`` the others stay, with a null value.
+
+    An area of at most MOST_POINTS points is tested where the cells are; a larger one meets their pixels by buckets.
+    """
     check_features(area, "aoi")
-    keyed = area.withColumn("key", F.xxhash64(F.to_json("geometry"))).select("key", "geometry").dropDuplicates(["key"])
+    keyed = in_crs(area, area_crs or grid.crs, grid.crs).withColumn("key", F.xxhash64(F.to_json("geometry"))).select("key", "geometry").dropDuplicates(["key"])
+    values = [c for c in cells.columns if c not in ("layer", "layer_ix", "t", "row", "col")]
+    sent = shapes_of(keyed)
+    if sent is not None:
+        edges = [e for e, _ in sent.values() if len(e)]
+        if not edges:
+            return cells.where("false") if drop else cells.select(*(F.lit(None).cast(cells.schema[c].dataType).alias(c) if c in values else c for c in cells.columns))
+        every = np.concatenate(edges)
+        x0, x1, y0, y1 = every[:, [0, 2]].min(), every[:, [0, 2]].max(), every[:, [1, 3]].min(), every[:, [1, 3]].max()
+
+        @F.pandas_udf("boolean")
+        def within(row: pd.Series, col: pd.Series) -> pd.Series:
+            x, y = grid.xmin + (col.to_numpy() + 0.5) * grid.resx, grid.ymax - (row.to_numpy() + 0.5) * grid.resy
+            out = np.zeros(len(x), bool)
+            for e in edges:
+                near = ~out & (x >= e[:, [0, 2]].min()) & (x <= e[:, [0, 2]].max()) & (y >= e[:, [1, 3]].min()) & (y <= e[:, [1, 3]].max())
+                out[near] = geometry.contains(e, x[near], y[near])
+            return pd.Series(out)
+
+        x, y = F.lit(grid.xmin) + (F.col("col") + 0.5) * grid.resx, F.lit(grid.ymax) - (F.col("row") + 0.5) * grid.resy
+        boxed = x.between(float(x0), float(x1)) & y.between(float(y0), float(y1))
+        if drop:
+            return cells.where(boxed).where(within("row", "col"))
+        marked = cells.withColumn("in_area", boxed & within("row", "col"))
+        return marked.select(*(F.when(F.col("in_area"), F.col(c)).alias(c) if c in values else F.col(c) for c in cells.columns))
 
     def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -150,25 +293,32 @@ def clip(cells: DataFrame, area: DataFrame, grid: GridSpec, *, drop: bool = True
             yield pdf.loc[keep, ["row", "col"]]
 
     pixels = cells.select("row", "col").distinct().withColumn("bx", F.floor(F.col("col") / bucket)).withColumn("by", F.floor(F.col("row") / bucket))
-    kept = pixels.join(dealt(keyed, grid, bucket), ["bx", "by"]).select("row", "col", "key", "geometry").mapInPandas(inside, "row int, col int").distinct()
+    kept = pixels.join(dealt(keyed, grid, bucket, None), ["bx", "by"]).select("row", "col", "key", "geometry").mapInPandas(inside, "row int, col int").distinct()
     if drop:
         return cells.join(kept, ["row", "col"], "left_semi")
-    values = [c for c in cells.columns if c not in ("layer", "layer_ix", "t", "row", "col")]
     marked = cells.join(kept.withColumn("in_area", F.lit(True)), ["row", "col"], "left")
     return marked.select(*(F.when(F.col("in_area"), F.col(c)).alias(c) if c in values else F.col(c) for c in cells.columns))
 
 
-def tile_grid(area: DataFrame, tile_size: float, bucket: int = 1) -> DataFrame:
+def tile_grid(area: DataFrame, tile_size: float) -> DataFrame:
     """(tile, xmin, ymin, xmax, ymax): square tiles from the lower left of the area's bounding box, those that meet the area."""
     check_features(area, "aoi")
     points = F.flatten("geometry")
-    box = area.agg(*(least(each(F.transform(points, axis))).alias(name) for name, least, each, axis in (("x0", F.min, F.array_min, X), ("y0", F.min, F.array_min, Y), ("x1", F.max, F.array_max, X), ("y1", F.max, F.array_max, Y))))
-    count = lambda a, b: F.greatest(F.ceil((F.col(b) - F.col(a)) / tile_size), F.lit(1)).cast("int")
-    each = box.where("x0 is not null").withColumn("ty", F.explode(F.sequence(F.lit(0), count("y0", "y1") - 1))).withColumn("tx", F.explode(F.sequence(F.lit(0), count("x0", "x1") - 1)))
+    ends = {name: each(F.transform(points, axis)) for name, each, axis in (("gx0", F.array_min, X), ("gy0", F.array_min, Y), ("gx1", F.array_max, X), ("gy1", F.array_max, Y))}
+    own = area.where(F.size(points) > 0).select("geometry", *(v.alias(k) for k, v in ends.items()))
+    box = own.agg(F.min("gx0"), F.min("gy0"), F.max("gx1"), F.max("gy1")).first()
+    if box[0] is None:
+        raise ValueError("no tile intersects the AOI")
+    x0, y0, x1, y1 = box
+    nx, ny = (max(1, math.ceil((b - a) / tile_size)) for a, b in ((x0, x1), (y0, y1)))
+    # Each polygon goes to the tiles under its own bounding box, boundary included.
+    place = lambda c, start, n, slack: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((F.col(c) - start) / tile_size + slack).cast("int")))
+    span = lambda a, b, start, n: F.explode(F.sequence(place(a, start, n, -1e-9), place(b, start, n, 1e-9)))
+    each = own.withColumn("tx", span("gx0", "gx1", x0, nx)).withColumn("ty", span("gy0", "gy1", y0, ny))
     tiles = each.select(
-        (F.col("ty") * count("x0", "x1") + F.col("tx")).cast("int").alias("tile"),
-        (F.col("x0") + F.col("tx") * tile_size).alias("xmin"), (F.col("y0") + F.col("ty") * tile_size).alias("ymin"),
-        (F.col("x0") + (F.col("tx") + 1) * tile_size).alias("xmax"), (F.col("y0") + (F.col("ty") + 1) * tile_size).alias("ymax"),
+        "geometry", (F.col("ty") * nx + F.col("tx")).cast("int").alias("tile"),
+        (F.lit(x0) + F.col("tx") * tile_size).alias("xmin"), (F.lit(y0) + F.col("ty") * tile_size).alias("ymin"),
+        (F.lit(x0) + (F.col("tx") + 1) * tile_size).alias("xmax"), (F.lit(y0) + (F.col("ty") + 1) * tile_size).alias("ymax"),
     )
 
     def meets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,21 +326,36 @@ def tile_grid(area: DataFrame, tile_size: float, bucket: int = 1) -> DataFrame:
             keep = [geometry.touches(geometry.edges(g), *box) for g, *box in zip(pdf["geometry"], pdf["xmin"], pdf["ymin"], pdf["xmax"], pdf["ymax"])]
             yield pdf.loc[keep, ["tile", "xmin", "ymin", "xmax", "ymax"]]
 
-    # An area of interest is a handful of polygons; each meets the tiles under its own bounding box.
-    own = area.select("geometry", *(each(F.transform(points, axis)).alias(name) for name, each, axis in (("gx0", F.array_min, X), ("gx1", F.array_max, X), ("gy0", F.array_min, Y), ("gy1", F.array_max, Y))))
-    near = tiles.join(F.broadcast(own), (F.col("gx0") <= F.col("xmax")) & (F.col("gx1") >= F.col("xmin")) & (F.col("gy0") <= F.col("ymax")) & (F.col("gy1") >= F.col("ymin")))
-    out = near.select("tile", "xmin", "ymin", "xmax", "ymax", "geometry").mapInPandas(meets, "tile int, xmin double, ymin double, xmax double, ymax double").distinct()
-    if out.isEmpty():
-        raise ValueError("no tile intersects the AOI")
-    return out
+    return tiles.mapInPandas(meets, "tile int, xmin double, ymin double, xmax double, ymax double").distinct()
+
+
+def sides(cells: DataFrame) -> DataFrame:
+    """(patch_id, r0, c0, r1, c1): the boundaries of patches of cells (patch_id, row, col) as straight pieces from corner to corner, the cells to the left.
+
+    A side that two cells of a patch share cancels out. What is left on a line and goes one way
+    without a gap is one piece: where two cells touch in a corner only, the way turns round.
+    """
+    down = lambda dr, dc, across, way: F.struct(F.lit(across).alias("across"), (F.col("row") + dr).alias("r"), (F.col("col") + dc).alias("c"), F.lit(way).alias("way"))
+    each = cells.select("patch_id", F.inline(F.array(down(1, 0, True, 1), down(0, 0, True, -1), down(0, 1, False, -1), down(0, 0, False, 1))))
+    open_ = each.groupBy("patch_id", "across", "r", "c").agg(F.sum("way").alias("way"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    line, at = F.when(F.col("across"), F.col("r")).otherwise(F.col("c")), F.when(F.col("across"), F.col("c")).otherwise(F.col("r"))
+    placed = open_.select("patch_id", "across", "way", line.alias("line"), at.alias("at"))
+    island = F.col("at") - F.row_number().over(Window.partitionBy("patch_id", "across", "line", "way").orderBy("at"))
+    pieces_ = placed.withColumn("k", island).groupBy("patch_id", "across", "line", "way", "k").agg(F.min("at").alias("a"), (F.max("at") + 1).alias("b"))
+    a, b = F.when(F.col("way") == 1, F.col("a")).otherwise(F.col("b")), F.when(F.col("way") == 1, F.col("b")).otherwise(F.col("a"))
+    pick = lambda yes, no: F.when(F.col("across"), yes).otherwise(no).cast("int")
+    return pieces_.select("patch_id", pick(F.col("line"), a).alias("r0"), pick(a, F.col("line")).alias("c0"), pick(F.col("line"), b).alias("r1"), pick(b, F.col("line")).alias("c1"))
 
 
 def outlines(cells: DataFrame, grid: GridSpec) -> DataFrame:
-    """(patch_id, geometry): each patch's boundary as rings, of cells (patch_id, row, col)."""
+    """(patch_id, geometry): each patch's boundary as rings, of cells (patch_id, row, col).
+
+    Spark finds the straight pieces; a task holds a patch's corners only, as the ring that it makes does.
+    """
 
     def trace(pdf: pd.DataFrame) -> pd.DataFrame:
-        rings = geometry.outline(set(zip(pdf["row"].tolist(), pdf["col"].tolist())))
+        rings = geometry.rings_of_sides(zip(pdf["r0"].tolist(), pdf["c0"].tolist(), pdf["r1"].tolist(), pdf["c1"].tolist()))
         shape = [[{"x": grid.xmin + c * grid.resx, "y": grid.ymax - r * grid.resy} for c, r in ring] for ring in rings]
         return pd.DataFrame({"patch_id": [int(pdf["patch_id"].iloc[0])], "geometry": [shape]})
 
-    return cells.select("patch_id", "row", "col").groupBy("patch_id").applyInPandas(trace, f"patch_id int, geometry {geometry.RINGS}")
+    return sides(cells).groupBy("patch_id").applyInPandas(trace, f"patch_id int, geometry {geometry.RINGS}")

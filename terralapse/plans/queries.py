@@ -22,7 +22,8 @@ from terralapse.plans.panels import GRID, PANEL_SQL, SCENE_GRID, SCENES_SQL, cla
 from terralapse.sources.catalog import search
 from terralapse.sources.classes import CLASSES, ITEMS_SCHEMA, class_table, classes_of_items
 from terralapse.sources.config import SOURCES
-from terralapse.sources.cube import composite, index_stack, met, month_spine, resampled
+from terralapse.sources.cube import composite, index_stack, month_spine
+from terralapse.sources.warp import met, resampled
 from terralapse.streaming.composites import month_of_days
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

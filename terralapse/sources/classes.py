@@ -53,14 +53,14 @@ def normal_color(color: Column) -> Column:
 
 
 ITEM_CLASS = "array<struct<value:int,code:int,name:string,description:string,`color-hint`:string,color:string>>"
-ITEMS_SCHEMA = f"id string, bbox array<double>, geometry string, properties struct<datetime:string,`eo:cloud_cover`:double,`classification:classes`:{ITEM_CLASS}>, assets map<string,struct<href:string>>"
+ITEMS_SCHEMA = f"id string, collection string, bbox array<double>, geometry string, properties struct<datetime:string,`eo:cloud_cover`:double,`classification:classes`:{ITEM_CLASS}>, assets map<string,struct<href:string>>"
 
 
 def classes_of_items(spark: SparkSession, items: DataFrame | None, source: str = "io-lulc") -> DataFrame:
-    """The classes that the first item declares; without items or classes, the built-in table."""
+    """The classes that the first item (by id) declares; without items or classes, the built-in table."""
     if items is None:
         return class_table(spark, source)
-    first = items.select(F.col("properties.classification:classes").alias("classes")).limit(1)
+    first = items.orderBy("id").select(F.col("properties.classification:classes").alias("classes")).limit(1)
     found = first.select(F.posexplode("classes").alias("pos", "c")).orderBy("pos").select(
         F.coalesce("c.value", "c.code").alias("code"),
         F.coalesce("c.description", "c.name").alias("class_name"),

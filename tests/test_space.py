@@ -16,7 +16,7 @@ from terralapse.operators.classify import classify
 from terralapse.operators.consensus import consensus
 from terralapse.operators.summarize import summarize
 from terralapse.operators.transition import transition
-from terralapse.sources import cache, catalog, cube
+from terralapse.sources import cache, catalog, cube, warp
 from terralapse.sources.classes import ITEMS_SCHEMA, class_table, classes_of_items
 from terralapse.sources.config import source_config
 
@@ -257,9 +257,9 @@ def test_stream(spark, tmp_path):
 def test_resampling(spark):
     cells = spark.createDataFrame([(r, c, float(10 * r + c)) for r in range(10) for c in range(10)], "row int, col int, v double")
     of, to = GridSpec(0, 100, 10, 10, 10, 10), GridSpec(20, 80, 20, 20, 2, 2)
-    near = {(r.row, r.col): r.v for r in cube.resampled(cells, of, to, "v").collect()}
+    near = {(r.row, r.col): r.v for r in warp.resampled(cells, of, to, "v").collect()}
     assert near[0, 0] == 33.0
-    fine = {(r.row, r.col): r.v for r in cube.resampled(cells, of, to, "v", "bilinear").collect()}
+    fine = {(r.row, r.col): r.v for r in warp.resampled(cells, of, to, "v", "bilinear").collect()}
     assert fine[0, 0] == pytest.approx(27.5)
     with warnings.catch_warnings(), pytest.raises(ValueError, match="method"):
-        cube.resampled(cells, of, to, "v", "cubic")
+        warp.resampled(cells, of, to, "v", "cubic")
