@@ -12,18 +12,39 @@ from collections.abc import Iterator
 from datetime import date
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Critical values of the boundary for a window of a quarter of the history: quantiles of the
-#: limit process in our own Monte Carlo (40,000 paths); the last digit is uncertain.
-CRITICAL = {0.01: 1.51, 0.05: 1.32, 0.10: 1.23}
+#: Critical values of the boundary for a window of a quarter of the history and monitoring up to
+#: ten times its length, by level: quantiles of the limit process in our own Monte Carlo (see
+#: ``simulated``); the last digit is uncertain.
+CRITICAL = {0.001: 1.73, 0.0025: 1.65, 0.005: 1.58, 0.01: 1.51, 0.02: 1.43, 0.03: 1.39, 0.05: 1.33, 0.075: 1.28, 0.1: 1.24, 0.15: 1.18, 0.2: 1.14, 0.3: 1.08, 0.5: 0.98}
 #: Of the reverse CUSUM test at 5 percent (Brown, Durbin and Evans, 1975).
 CUSUM_CRITICAL = 0.948
 WINDOW = 0.25
 
 
+def critical(level: float) -> float:
+    """The boundary's critical value at a level; between the known ones, along the logarithm of the level."""
+    if isinstance(level, bool) or not isinstance(level, int | float) or not min(CRITICAL) <= level <= max(CRITICAL):
+        raise ValueError(f"level must be from {min(CRITICAL)} to {max(CRITICAL)}")
+    known = sorted(CRITICAL)
+    return float(np.interp(np.log(level), np.log(known), [CRITICAL[k] for k in known]))
+
+
+def simulated(levels: list[float], paths: int, steps: int = 400, period: int = 10, seed: int = 1) -> list[float]:
+    """Critical values at some levels by paths of the limit process: moving increments of a Brownian motion less its drift over the history, against the boundary."""
+    rng, width, most = np.random.default_rng(seed), int(WINDOW * steps), []
+    time = np.arange(steps + 1, period * steps + 1) / steps
+    shape = np.sqrt(2 * np.where(time > np.e, np.log(time), 1.0))
+    for _ in range(0, paths, 500):
+        path = np.concatenate([np.zeros((500, 1)), np.cumsum(rng.standard_normal((500, period * steps)) / np.sqrt(steps), 1)], 1)
+        moving = path[:, steps + 1 :] - path[:, steps + 1 - width : -width] - WINDOW * path[:, [steps]]
+        most.append((np.abs(moving) / shape).max(1))
+    return [float(np.quantile(np.concatenate(most), 1 - x)) for x in levels]
+
+
 def cadence_frequency(times: list[date]) -> int | None:
     """Layers per year, by the median gap in days: 12, 4, 1 or None."""
     if len(times) < 2:
@@ -61,14 +82,19 @@ def stable_since(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def last_segment(x: np.ndarray, y: np.ndarray, least: float = 0.15, most: int = 5) -> int:
-    """First observation of the last segment: least squares over segments (Bai and Perron), their number by BIC."""
+    """First observation of the last segment: least squares over segments (Bai and Perron), their number by BIC.
+
+    The squares of every segment come from running sums of products.
+    """
     n, k = x.shape
     h = max(int(least * n), k + 1)
+    running = lambda v: np.concatenate([np.zeros((1, *v.shape[1:])), np.cumsum(v, 0)])
+    xx, xy, yy = running(x[:, :, None] * x[:, None, :]), running(x * y[:, None]), running(y * y)
+    a, b = np.triu_indices(n + 1, h)
+    right = xy[b] - xy[a]
+    beta = np.einsum("pij,pj->pi", np.linalg.pinv(xx[b] - xx[a], hermitian=True), right)
     rss = np.full((n, n + 1), np.inf)
-    for a in range(n - h + 1):
-        for b in range(a + h, n + 1):
-            q, *_ = np.linalg.lstsq(x[a:b], y[a:b], rcond=None)
-            rss[a, b] = ((y[a:b] - x[a:b] @ q) ** 2).sum()
+    rss[a, b] = np.maximum((yy[b] - yy[a]) - np.einsum("pi,pi->p", beta, right), 0)
     best, back = [rss[0]], []
     for _ in range(most):
         cost = best[-1][:n, None] + rss
@@ -80,41 +106,50 @@ def last_segment(x: np.ndarray, y: np.ndarray, least: float = 0.15, most: int =
 
 
 def monitor(values: np.ndarray, time: np.ndarray, frequency: int, start: float, order: int, level: float, history: str, min_obs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Break time and magnitude of each row; NaN where there is none. Rows with the same gaps share one fit."""
+    """Break time and magnitude of each row; NaN where there is none.
+
+    All rows at once: the observations of each are moved to its front, whatever its gaps, and
+    the fits are solved as one stack of normal equations.
+    """
     dates, sizes = np.full(len(values), np.nan), np.full(len(values), np.nan)
     known = ~np.isnan(values)
-    patterns, which = np.unique(known, axis=0, return_inverse=True)
-    for p, here in enumerate(patterns):
-        rows, at = np.flatnonzero(which.ravel() == p), np.flatnonzero(here)
-        if len(at) < min_obs:
-            continue
-        x, t, y = design(time, frequency, order)[at], time[at], values[np.ix_(rows, at)]
-        past = int((t < start - 1e-9).sum())
-        groups = {0: np.arange(len(rows))}
-        if history != "all" and past:
-            find = stable_since if history == "ROC" else last_segment
-            groups = {}
-            for i in range(len(rows)):
-                groups.setdefault(find(x[:past], y[i, :past]) if past > x.shape[1] else 0, []).append(i)
-        for first, members in groups.items():
-            own = np.asarray(members)
-            n = past - first
-            width = int(np.floor(WINDOW * n))
-            if n <= x.shape[1] or width <= 1 or past == len(at):
-                continue
-            beta = np.linalg.pinv(x[first:past]) @ y[own, first:past].T
-            residual = y[own, first:] - (x[first:] @ beta).T
-            sigma = np.sqrt((residual[:, :n] ** 2).sum(1) / (n - x.shape[1]))
-            total = np.concatenate([np.zeros((len(own), 1)), np.cumsum(residual, 1)], 1)
-            k = np.arange(n + 1, residual.shape[1] + 1)
-            moving = total[:, k] - total[:, k - width]
-            floor = np.maximum(sigma, 1e-9 * (1 + np.abs(y[own]).max(1)))
-            ratio = k / n
-            bound = CRITICAL[level] * np.sqrt(2 * np.where(ratio > np.e, np.log(ratio), 1.0))
-            over = np.abs(moving) / (floor[:, None] * np.sqrt(n)) > bound
-            crossed = over.any(1)
-            dates[rows[own[crossed]]] = t[past + over[crossed].argmax(1)]
-            sizes[rows[own]] = np.median(residual[:, n:], 1)
+    past_all, count_all = (known & (time < start - 1e-9)).sum(1), known.sum(1)
+    rows = np.flatnonzero(count_all >= min_obs)
+    if not len(rows):
+        return dates, sizes
+    order_ = np.argsort(~known[rows], axis=1, kind="stable")
+    x_all = design(time, frequency, order)
+    first = np.zeros(len(rows), np.int64)
+    if history != "all":
+        find = stable_since if history == "ROC" else last_segment
+        for i, r in enumerate(rows):
+            past, at = past_all[r], order_[i, : past_all[r]]
+            first[i] = find(x_all[at], values[r, at]) if past > x_all.shape[1] else 0
+    steps = np.arange(values.shape[1])
+    n, m = past_all[rows] - first, count_all[rows] - first
+    width = np.floor(WINDOW * n).astype(np.int64)
+    good = (n > x_all.shape[1]) & (width > 1) & (n < m)
+    rows, order_, first, n, m, width = (v[good] for v in (rows, order_, first, n, m, width))
+    if not len(rows):
+        return dates, sizes
+    at = np.take_along_axis(order_, np.minimum(steps + first[:, None], len(steps) - 1), 1)
+    inside, told = steps < m[:, None], steps < n[:, None]
+    y = np.where(inside, np.take_along_axis(values[rows], at, 1), 0.0)
+    x = x_all[at]
+    weighed = x * told[:, :, None]
+    beta = np.einsum("pij,pj->pi", np.linalg.pinv(weighed.transpose(0, 2, 1) @ x, hermitian=True), np.einsum("pti,pt->pi", weighed, y))
+    residual = np.where(inside, y - np.einsum("pti,pi->pt", x, beta), 0.0)
+    sigma = np.sqrt((np.where(told, residual, 0.0) ** 2).sum(1) / (n - x.shape[2]))
+    total = np.concatenate([np.zeros((len(rows), 1)), np.cumsum(residual, 1)], 1)
+    k = steps + 1
+    moving = total[:, 1:] - np.take_along_axis(total, np.maximum(k - width[:, None], 0), 1)
+    floor = np.maximum(sigma, 1e-9 * (1 + np.abs(y).max(1)))
+    ratio = np.maximum(k / n[:, None], 1.0)
+    bound = critical(level) * np.sqrt(2 * np.where(ratio > np.e, np.log(ratio), 1.0))
+    over = (np.abs(moving) / (floor * np.sqrt(n))[:, None] > bound) & inside & ~told
+    crossed = over.any(1)
+    dates[rows[crossed]] = time[np.take_along_axis(at, over.argmax(1)[:, None], 1)[:, 0][crossed]]
+    sizes[rows] = np.nanmedian(np.where(inside & ~told, residual, np.nan), 1)
     return dates, sizes
 
 
@@ -137,8 +172,7 @@ def break_monitor(
         raise ValueError(f"break_monitor needs a time stack; it lacks {', '.join(sorted(missing))}")
     if history not in ("all", "ROC", "BP"):
         raise ValueError("history must be one of all, ROC, BP")
-    if level not in CRITICAL:
-        raise ValueError(f"level must be one of {', '.join(map(str, CRITICAL))}")
+    critical(level)
     times = [r.t for r in stack.select(F.col("t").cast("date").alias("t")).distinct().orderBy("t").collect()]  # a row per layer
     if any(t is None for t in times):
         raise ValueError("the stack must carry a time value for every layer")
@@ -149,18 +183,22 @@ def break_monitor(
         raise ValueError(f"frequency ({frequency}) disagrees with the layer cadence (= {cadence})")
     first = times[0].year + ((times[0].month - 1) * cadence // 12) / cadence
     axis = first + np.arange(len(times)) / cadence
-    began, place = start[0] + (start[1] - 1) / cadence, {t: i for i, t in enumerate(times)}
+    began, days = start[0] + (start[1] - 1) / cadence, np.array([(t - date(1970, 1, 1)).days for t in times])
     usable = F.when(F.isnan("y"), None).otherwise(F.col("y"))
-    pixels = stack.groupBy("row", "col").agg(F.collect_list(F.when(usable.isNotNull(), F.struct(F.col("t").cast("date").alias("t"), usable.alias("y")))).alias("ts"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            values = np.full((len(pdf), len(axis)), np.nan)
-            for i, ts in enumerate(pdf["ts"]):
-                for p in ts:
-                    values[i, place[p["t"]]] = p["y"]
-            dates, sizes = monitor(values, axis, cadence, began, order, level, history, min_obs)
-            yield pdf[["row", "col"]].assign(break_date=dates, break_mag=sizes)
-
-    out = pixels.mapInPandas(run, "row int, col int, break_date double, break_mag double")
-    return out.select("row", "col", *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("break_date", "break_mag")))
+    day = F.unix_date(F.col("t").cast("date"))
+    pixels = stack.groupBy("row", "col").agg(F.collect_list(F.when(usable.isNotNull(), F.struct(day.alias("d"), usable.cast("double").alias("y")))).alias("ts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                series = batch.column("ts")
+                flat = series.flatten()
+                values = np.full((batch.num_rows, len(axis)), np.nan)
+                owner = np.repeat(np.arange(batch.num_rows), series.value_lengths().to_numpy(zero_copy_only=False))
+                values[owner, np.searchsorted(days, flat.field(0).to_numpy(zero_copy_only=False))] = flat.field(1).to_numpy(zero_copy_only=False)
+                found = monitor(values, axis, cadence, began, order, level, history, min_obs)
+                columns = [pa.array(v, mask=np.isnan(v)) for v in found]
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("col"), *columns], names=["row", "col", "break_date", "break_mag"])
+
+    return pixels.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "ts").mapInArrow(run, "row int, col int, break_date double, break_mag double")

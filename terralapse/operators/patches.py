@@ -54,8 +54,13 @@ def label_tile(row: np.ndarray, col: np.ndarray, value: np.ndarray) -> np.ndarra
     return out
 
 
-def labelled(cells: DataFrame, *, same_value: bool, tile: int = 256) -> DataFrame:
-    """(row, col, value, label). ``same_value``: only cells of equal value are connected, else all cells are."""
+def labelled(cells: DataFrame, *, same_value: bool, tile: int = 256) -> tuple[DataFrame, DataFrame]:
+    """Cells (row, col, value, label) with labels of their own tile, stored; and the patch of each label: (label, patch, n, value).
+
+    ``same_value``: only cells of equal value are connected, else all cells are. A tile's label
+    has at most tile x tile cells, so a join with labels has no hot key, however large a patch
+    is. ``n`` and ``value`` are of the label's cells alone.
+    """
     spark_tile = lambda x: F.floor(F.col(x) / tile).cast("int")
 
     def label(pdf):
@@ -74,4 +79,6 @@ def labelled(cells: DataFrame, *, same_value: bool, tile: int = 256) -> DataFram
     met = mine.join(at_edge.select("row", "col", F.col("label").alias("b"), F.col("value").alias("vb")), ["row", "col"]).where(F.col("a") != F.col("b"))
     seams = (met.where("va = vb") if same_value else met).select("a", "b")
     merged = components(seams, "a", "b", "patch-seams").withColumnRenamed("node", "label")
-    return local.join(merged, "label", "left").select("row", "col", "value", F.coalesce("component", "label").alias("label"))
+    sums = local.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("value"))
+    parts = sums.join(merged, "label", "left").select("label", F.coalesce("component", "label").alias("patch"), "n", "value")
+    return local, stored(parts, "patch-parts")

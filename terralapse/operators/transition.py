@@ -12,6 +12,8 @@ from terralapse.operators.patches import labelled
 from terralapse.operators.summarize import percent
 from terralapse.plans.storage import stored
 
+#: More than any code.
+PAIR = 1 << 31
 CELLS = "row int, col int, from_code int, to_code int"
 
 
@@ -84,14 +86,15 @@ def transition(
     found = stored(found.withColumn("code", F.col("from_code") * 1000 + F.col("to_code")), "transition")
     removed = None
     if patch_area_min:
-        changed = found.where("from_code <> to_code")
-        patch = labelled(changed.select("row", "col", F.col("code").alias("value")), same_value=False, tile=tile)
-        small = patch.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * grid.cell_area < patch_area_min).select("label")
-        gone = patch.join(small, "label", "left_semi").select("row", "col")
-        removed = found.join(gone, ["row", "col"], "left_semi")
-        found = found.join(gone, ["row", "col"], "left_anti")
-        if removed.isEmpty() or found.isEmpty():
-            removed = None
+        local, parts = labelled(pair_values(found.where("from_code <> to_code")), same_value=False, tile=tile)
+        sizes = parts.groupBy("patch").agg(F.sum("n").alias("whole"))
+        small = parts.join(sizes, "patch").where(F.col("whole") * grid.cell_area < patch_area_min).select("label", F.lit(True).alias("small"))
+        # The cells of patches have all that is needed, so they aren't looked up among the others.
+        marked = stored(of_values(local.join(small, "label", "left")).select(*found.columns, "small"), "changed")
+        gone = marked.where("small").drop("small")
+        kept = found.where("from_code = to_code").unionByName(marked.where("small is null").drop("small"))
+        removed = None if gone.isEmpty() or kept.isEmpty() else gone
+        found = kept
     counts = found.groupBy("from_code", "to_code").agg(F.count(F.lit(1)).alias("n"))
     named = labels(counts, table).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(0))))
     summary = named.orderBy(F.desc("n"), "from_code", "to_code").select(
@@ -101,43 +104,72 @@ def transition(
     return Transition(found, levels, summary, removed, grid)
 
 
-def patch_cells(found: Transition, *, changes_only: bool = False, patch_area_min: float | None = None, tile: int = 256) -> DataFrame:
-    """(row, col, from_code, to_code, label, patch_id): each transition's own patches, numbered in scan order."""
+def pair_values(cells: DataFrame) -> DataFrame:
+    """(row, col, value): both codes in one number, whatever they are."""
+    return cells.select("row", "col", (F.col("from_code").cast("long") * F.lit(PAIR) + F.col("to_code")).alias("value"))
+
+
+def of_values(rows: DataFrame) -> DataFrame:
+    """Adds the codes of ``pair_values``, and ``code``."""
+    of = {"from_code": F.floor(F.col("value") / F.lit(PAIR)).cast("int"), "to_code": F.pmod("value", F.lit(PAIR)).cast("int")}
+    return rows.withColumns(of).withColumn("code", F.col("from_code") * 1000 + F.col("to_code"))
+
+
+def patch_parts(found: Transition, *, changes_only: bool = False, patch_area_min: float | None = None, tile: int = 256) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells with labels, the patch of each label, and the patches (patch, patch_id, n, value), numbered in scan order.
+
+    Small patches go after they have been numbered, so that numbers don't depend on the threshold.
+    """
     check_patch_area(patch_area_min)
     check_crs(found.grid, "patch_cells")
     if not isinstance(changes_only, bool):
         raise ValueError("changes_only must be one logical value")
     rows = found.cells.where("from_code <> to_code") if changes_only else found.cells
-    patch = labelled(rows.select("row", "col", F.col("code").alias("value")), same_value=True, tile=tile)
-    kept = patch.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    if patch_area_min:
-        kept = kept.where(F.col("n") * found.grid.cell_area >= patch_area_min)
-    return patch.join(numbered(kept.select("label", "n")), "label").select(
-        "row", "col", F.floor(F.col("value") / 1000).cast("int").alias("from_code"), (F.col("value") % 1000).cast("int").alias("to_code"), "label", "patch_id", "n"
-    )
+    local, parts = labelled(pair_values(rows), same_value=True, tile=tile)
+    whole = numbered(stored(parts.groupBy("patch").agg(F.sum("n").alias("n"), F.min("value").alias("value")), "patches"), "patch")
+    return local, parts, whole.where(F.col("n") * found.grid.cell_area >= patch_area_min) if patch_area_min else whole
 
 
-def numbered(patches: DataFrame) -> DataFrame:
-    """Dense numbers from 1 in the order of labels, without bringing all rows to one task.
+def cells_of(local: DataFrame, parts: DataFrame, whole: DataFrame) -> DataFrame:
+    names = parts.select("label", "patch").join(whole.select("patch", "patch_id", "n"), "patch")
+    return of_values(local.join(names, "label")).select("row", "col", "from_code", "to_code", F.col("patch").alias("label"), "patch_id", "n")
+
+
+def patch_cells(found: Transition, **options) -> DataFrame:
+    """(row, col, from_code, to_code, label, patch_id, n): each transition's own patches, numbered in scan order."""
+    return cells_of(*patch_parts(found, **options))
+
+
+def numbered(patches: DataFrame, by: str) -> DataFrame:
+    """Dense numbers from 1 in the order of a column, without bringing all rows to one task.
 
     Rows are sorted by range; each range's count gives where the next one starts. The counts
     are a row per partition.
     """
-    ordered = stored(patches.repartitionByRange("label").sortWithinPartitions("label").withColumn("part", F.spark_partition_id()), "patch-order")
+    ordered = stored(patches.repartitionByRange(by).sortWithinPartitions(by).withColumn("part", F.spark_partition_id()), "patch-order")
     starts = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("k")).withColumn("before", F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    inside = ordered.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy("label")))
+    inside = ordered.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy(by)))
     return inside.join(F.broadcast(starts.select("part", F.coalesce("before", F.lit(0)).alias("before"))), "part").withColumn("patch_id", (F.col("before") + F.col("i")).cast("int")).drop("part", "before", "i")
 
 
 def patches(found: Transition, table: DataFrame, **options) -> DataFrame:
-    """(patch_id, transition, area_ha, n_cells): area is the number of cells times their area."""
-    cells = patch_cells(found, **options)
-    each = cells.groupBy("patch_id").agg(F.min("from_code").alias("from_code"), F.min("to_code").alias("to_code"), F.count(F.lit(1)).alias("n"))
-    return labels(each, table).select(
+    """(patch_id, transition, area_ha, n_cells): area is the number of cells times their area. Cells are counted by label and never joined."""
+    return patch_table(found, patch_parts(found, **options)[2], table)
+
+
+def patch_table(found: Transition, whole: DataFrame, table: DataFrame) -> DataFrame:
+    return labels(of_values(whole), table).select(
         "patch_id", F.concat("from_class", F.lit(" -> "), "to_class").alias("transition"), (F.col("n") * F.lit(found.grid.cell_area * 1e-4)).alias("area_ha"), F.col("n").cast("int").alias("n_cells")
     )
 
 
+def patches_and_runs(found: Transition, table: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """The patches and their runs of cells, of one labelling."""
+    local, parts, whole = patch_parts(found, **options)
+    whole = stored(whole, "patches")
+    return patch_table(found, whole, table), runs(cells_of(local, parts, whole))
+
+
 def runs(cells: DataFrame) -> DataFrame:
     """(patch_id, row, col_start, col_end): the patches as maximal runs of cells, both ends included."""
     island = F.col("col") - F.row_number().over(Window.partitionBy("patch_id", "row").orderBy("col"))

@@ -55,7 +55,9 @@ def trend(stack: DataFrame, min_obs: int = 6) -> DataFrame:
 
     def with_tail(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(trend_p=[None if x is None or x != x else erfc(abs(x) / sqrt(2)) for x in pdf["z"]])
+            # A function of n and s alone, so few different values.
+            known = {x: erfc(abs(x) / sqrt(2)) for x in pdf["z"].dropna().unique()}
+            yield pdf.assign(trend_p=pdf["z"].map(known))
 
     # A filter on trend_p then runs after the batches, and isn't moved into them.
     return scored.mapInPandas(with_tail, "row int, col int, n int, trend double, s int, z double, trend_p double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from terralapse.plans.storage import stored
@@ -40,13 +40,14 @@ def components(edges: DataFrame, left: str, right: str, tag: str = "components")
     """
     ends = [F.col(left), F.col(right)]
     now = edges.where(F.col(left) != F.col(right)).select(F.greatest(*ends).alias("u"), F.least(*ends).alias("v")).distinct()
-    now, before = stored(now, tag), None
+    before, seen = None, {}
     while True:
-        n, total = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if (n, total) == before:
+        # Counted while it is written: a second pass over the edges isn't needed.
+        told = Observation()
+        counted = now.observe(told, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("total"))
+        now, seen = stored(counted, tag), told.get
+        if not seen["n"] or (seen["n"], seen["total"]) == before:
             break
-        before = (n, total)
-        if not n:
-            break
-        now = stored(_star(_star(now, True), False), tag)
+        before = (seen["n"], seen["total"])
+        now = _star(_star(now, True), False)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

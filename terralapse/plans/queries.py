@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,16 +15,16 @@ from terralapse.mapspec import legend, rgb
 from terralapse.operators import attribute as at
 from terralapse.operators.breaks import break_monitor
 from terralapse.operators.classify import classify, remap_classes
-from terralapse.operators.consensus import consensus
+from terralapse.operators.consensus import consensus, consensus_levels
 from terralapse.operators.summarize import net_change, summarize
-from terralapse.operators.transition import Transition, compared, patch_cells, patches, regrouped, runs, transition
+from terralapse.operators.transition import Transition, compared, patch_cells, patches, patches_and_runs, regrouped, runs, transition
 from terralapse.operators.trend import trend
 from terralapse.plans.panels import GRID, PANEL_SQL, SCENE_GRID, SCENES_SQL, class_panel, scenes
 from terralapse.sources.catalog import search
 from terralapse.sources.classes import CLASSES, ITEMS_SCHEMA, class_table, classes_of_items
 from terralapse.sources.config import SOURCES
-from terralapse.sources.cube import composite, index_stack, month_spine
-from terralapse.sources.warp import met, resampled
+from terralapse.sources.cube import composite, index_stack, month_spine, stac_cube, stac_fetch
+from terralapse.sources.warp import met, mosaic, resampled
 from terralapse.streaming.composites import month_of_days
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,8 +203,8 @@ def patch_filter_comparison(spark, sf):
 
 def patches_sql(where: str, least: int = 0) -> str:
     return f"""{BASE}, {FOUND}, {patch_sql(f'SELECT {ID} AS id, "row", col, f * 1000 + t AS v FROM found WHERE {where}', "AND a.v = b.v")},
-  p AS (SELECT label, count(*) AS n, any_value(v) AS v FROM lab JOIN nodes USING (id) GROUP BY 1 HAVING count(*) * 100.0 >= {least}),
-  num AS (SELECT *, CAST(row_number() OVER (ORDER BY label) AS INTEGER) AS patch_id FROM p),
+  p AS (SELECT label, count(*) AS n, any_value(v) AS v FROM lab JOIN nodes USING (id) GROUP BY 1),
+  num AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (ORDER BY label) AS INTEGER) AS patch_id FROM p) WHERE n * 100.0 >= {least}),
   out AS (SELECT patch_id, coalesce(a.class_name, 'NA') || ' -> ' || coalesce(b.class_name, 'NA') AS transition, n * CAST(0.01 AS DOUBLE) AS area_ha, CAST(n AS INTEGER) AS n_cells
     FROM num LEFT JOIN ct a ON a.code = v // 1000 LEFT JOIN ct b ON b.code = v % 1000),
   cells AS (SELECT patch_id, "row", col FROM num JOIN lab USING (label) JOIN nodes USING (id))"""
@@ -235,9 +236,15 @@ def patch_runs(spark, sf):
     return runs(patch_cells(found(spark, sf), changes_only=True, patch_area_min=200))
 
 
-@query()
+# Of the four cells around a vertex, one or three of a patch make a corner, two across make two.
+@query(patches_sql("f <> t", 200) + """, v AS (SELECT patch_id, "row" + i AS r, col + j AS c, count(*) AS k, min(2 * i + j) AS a, max(2 * i + j) AS b FROM cells, unnest([0, 1]) x(i), unnest([0, 1]) y(j) GROUP BY 1, 2, 3)
+  SELECT patch_id, CAST(sum(CASE WHEN k IN (1, 3) THEN 1 WHEN k = 2 AND (a, b) IN ((0, 3), (1, 2)) THEN 2 ELSE 0 END) AS BIGINT) AS n_corners, any_value(n) * 100.0 AS area
+  FROM v JOIN (SELECT patch_id, n_cells AS n FROM out) USING (patch_id) GROUP BY 1""")
 def patch_outlines(spark, sf):
-    return at.outlines(patch_cells(found(spark, sf), changes_only=True, patch_area_min=200), GRID)
+    rings = at.outlines(patch_cells(found(spark, sf), changes_only=True, patch_area_min=200), GRID)
+    twice = lambda ring: F.aggregate(F.sequence(F.lit(0), F.size(ring) - 2), F.lit(0.0), lambda s, i: s + F.get(ring, i)["x"] * F.get(ring, i + 1)["y"] - F.get(ring, i + 1)["x"] * F.get(ring, i)["y"])
+    add = lambda values, start: F.aggregate(values, F.lit(start), lambda s, x: s + x)
+    return rings.select("patch_id", add(F.transform("geometry", lambda r: F.size(r) - 1), 0).cast("long").alias("n_corners"), F.round(F.abs(add(F.transform("geometry", twice), 0.0)) / 2, 3).alias("area"))
 
 
 # Overlays: rectangles in cells (key, col0, row0, col1, row1, cause, year), so that SQL can measure them
@@ -262,9 +269,7 @@ MET = patches_sql("f <> t") + f""", {RECT},
 
 
 def overlay_inputs(spark, sf):
-    own = found(spark, sf)
-    cells = patch_cells(own, changes_only=True)
-    return patches(own, class_table(spark), changes_only=True), runs(cells)
+    return patches_and_runs(found(spark, sf), class_table(spark), changes_only=True)
 
 
 @query(MET + " SELECT out.*, cause, year FROM out LEFT JOIN met USING (patch_id)")
@@ -293,6 +298,34 @@ def zone_patches(spark, sf):
     return out.withColumn("zone_area_ha", F.floor(F.col("zone_area_ha") * 1e6 + 0.5) / 1e6)
 
 
+# Rectangles whose sides pass through cells, so that a last digit of the projection changes no result.
+INNER = [(1, 0.31, 0.21, 12.61, 9.33, "fire", 2018), (2, 12.81, 0.27, 49.73, 9.41, "harvest", 2022), (3, 5.13, 4.57, 30.29, 20.19, "flood", 2020)]
+MET_INNER = MET.replace(RECT, f"rect(key, c0, r0, c1, r1, cause, year) AS ({values(INNER)})")
+
+
+def lonlat_rectangles(spark) -> DataFrame:
+    own = spark.createDataFrame([(k, ring(*b), cause, year) for k, *b, cause, year in INNER], f"overlay_ix long, geometry {RINGS}, cause string, year int")
+    return at.in_crs(own, GRID.crs, "EPSG:4326")
+
+
+@query(MET_INNER + " SELECT out.*, cause, year FROM out LEFT JOIN met USING (patch_id)")
+def attribute_other_crs(spark, sf):
+    return at.attribute(*overlay_inputs(spark, sf), lonlat_rectangles(spark), GRID, ["cause", "year"], overlay_crs="EPSG:4326")
+
+
+@query(MET_INNER + " SELECT out.*, cause FROM out LEFT JOIN (SELECT met.* FROM met JOIN out USING (patch_id) WHERE area >= 0.5 * n_cells * 100.0 AND area < 1000) USING (patch_id)")
+def attribute_own_predicate(spark, sf):
+    mostly = lambda area, patch, overlay: (area >= 0.5 * patch) & (area < 1000)
+    return at.attribute(*overlay_inputs(spark, sf), lonlat_rectangles(spark), GRID, ["cause"], predicate=mostly, overlay_crs="EPSG:4326")
+
+
+@query(MET + """, own AS (SELECT patch_id, cause, "row", col FROM cells JOIN rect ON col + 0.5 >= c0 AND col + 0.5 < c1 AND "row" + 0.5 > r0 AND "row" + 0.5 <= r1)
+  SELECT patch_id, cause, "row", min(col) AS col_start, max(col) AS col_end
+  FROM (SELECT *, col - row_number() OVER (PARTITION BY patch_id, cause, "row" ORDER BY col) AS k FROM own) GROUP BY patch_id, cause, "row", k""")
+def zone_patch_runs(spark, sf):
+    return at.zone_runs(overlay_inputs(spark, sf)[1], rectangles(spark), GRID, "cause")
+
+
 @query(f"""{BASE}, {RECT} SELECT layer, "row", col, code FROM panel WHERE layer IN ('1995', '2000')
   AND EXISTS (SELECT 1 FROM rect WHERE key <> 2 AND col + 0.5 >= c0 AND col + 0.5 < c1 AND "row" + 0.5 > r0 AND "row" + 0.5 <= r1)""")
 def clip_aoi(spark, sf):
@@ -399,10 +432,29 @@ def trend_significant(spark, sf):
     return ndvi_trend(spark, sf).where("trend_p < 0.05").select("row", "col", (F.col("trend") > 0).alias("rising"))
 
 
-@query()
+# Least squares by orthogonal columns (intercept, trend, cosine, sine), then moving sums over a quarter of the history.
+BREAK_SQL = f"""{stack_sql("ndvi")},
+  months AS (SELECT CAST(unnest(generate_series((SELECT min(t) FROM stack), (SELECT max(t) FROM stack), INTERVAL 1 MONTH)) AS DATE) AS t),
+  axis AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i, year((SELECT min(t) FROM stack)) + (month((SELECT min(t) FROM stack)) - 1) / CAST(12 AS DOUBLE) AS t0 FROM months),
+  obs AS (SELECT "row", col, t0 + i / CAST(12 AS DOUBLE) AS x, CAST(i + 1 AS DOUBLE) AS c1, cos(2 * pi() * (t0 + i / CAST(12 AS DOUBLE))) AS c2, sin(2 * pi() * (t0 + i / CAST(12 AS DOUBLE))) AS c3, {R6.format(x="y")} AS y,
+    row_number() OVER (PARTITION BY "row", col ORDER BY t) AS k, t0 + i / CAST(12 AS DOUBLE) < 1999 - 1e-9 AS past FROM stack JOIN axis USING (t) WHERE y IS NOT NULL),
+  sizes AS (SELECT "row", col, count(*) AS m, count(*) FILTER (past) AS n, CAST(floor(0.25 * count(*) FILTER (past)) AS INTEGER) AS w FROM obs GROUP BY 1, 2),
+  fit AS (SELECT * FROM obs JOIN sizes USING ("row", col) WHERE m >= 6 AND n > 4 AND w > 1 AND n < m),
+  g0 AS (SELECT *, c1 - avg(c1) FILTER (past) OVER p AS q1, c2 - avg(c2) FILTER (past) OVER p AS a2, c3 - avg(c3) FILTER (past) OVER p AS a3, y - avg(y) FILTER (past) OVER p AS e0 FROM fit WINDOW p AS (PARTITION BY "row", col)),
+  g1 AS (SELECT *, a2 - q1 * sum(a2 * q1) FILTER (past) OVER p / sum(q1 * q1) FILTER (past) OVER p AS q2, a3 - q1 * sum(a3 * q1) FILTER (past) OVER p / sum(q1 * q1) FILTER (past) OVER p AS b3,
+    e0 - q1 * sum(e0 * q1) FILTER (past) OVER p / sum(q1 * q1) FILTER (past) OVER p AS e1 FROM g0 WINDOW p AS (PARTITION BY "row", col)),
+  g2 AS (SELECT *, b3 - q2 * sum(b3 * q2) FILTER (past) OVER p / sum(q2 * q2) FILTER (past) OVER p AS q3, e1 - q2 * sum(e1 * q2) FILTER (past) OVER p / sum(q2 * q2) FILTER (past) OVER p AS e2 FROM g1 WINDOW p AS (PARTITION BY "row", col)),
+  g3 AS (SELECT *, e2 - q3 * sum(e2 * q3) FILTER (past) OVER p / sum(q3 * q3) FILTER (past) OVER p AS r FROM g2 WINDOW p AS (PARTITION BY "row", col)),
+  g4 AS (SELECT *, sqrt(sum(r * r) FILTER (past) OVER p / (n - 4)) AS sigma, sum(r) OVER (PARTITION BY "row", col ORDER BY k) AS total FROM g3 WINDOW p AS (PARTITION BY "row", col)),
+  g5 AS (SELECT a.*, a.total - b.total AS moving FROM g4 a JOIN g4 b ON a."row" = b."row" AND a.col = b.col AND b.k = a.k - a.w),
+  hit AS (SELECT "row", col, min(x) AS break_date FROM g5 WHERE NOT past AND abs(moving) / (sigma * sqrt(CAST(n AS DOUBLE))) > 1.51 * sqrt(2 * CASE WHEN k / CAST(n AS DOUBLE) > exp(1) THEN ln(k / CAST(n AS DOUBLE)) ELSE 1 END) GROUP BY 1, 2),
+  size AS (SELECT "row", col, median(r) FILTER (NOT past) AS break_mag FROM g4 GROUP BY 1, 2)"""
+
+
+@query(f"""{BREAK_SQL} SELECT "row", col, {R6.format(x="break_date")} AS break_date, {R6.format(x="break_mag")} AS break_mag FROM (SELECT DISTINCT "row", col FROM stack) LEFT JOIN hit USING ("row", col) LEFT JOIN size USING ("row", col)""")
 def break_dates(spark, sf):
-    stack = index_stack(clear(spark, sf), "ndvi")
-    return break_monitor(stack, start=(1999, 1), order=1)
+    stack = index_stack(clear(spark, sf), "ndvi").withColumn("y", r6("y"))
+    return break_monitor(stack, start=(1999, 1), order=1).withColumns({c: r6(c) for c in ("break_date", "break_mag")})
 
 
 @query(f"""{SCENES}, d AS (SELECT "row", col, scene_date, CAST(date_trunc('month', scene_date) AS DATE) AS t, CAST(sum(B08) AS BIGINT) AS total, count(*) AS n FROM scenes WHERE {MASKED} GROUP BY 1, 2, 3)
@@ -465,6 +517,136 @@ def catalog_intersects(spark, sf):
     return search(item_table(spark, sf), intersects=triangle).select("id", "item_date")
 
 
+# Fetches: an item for each year of the panel, and one for each scene, all over the panel's area.
+
+
+def year_items(spark) -> DataFrame:
+    made = [(str(y), [-180.0, -90.0, 180.0, 90.0], f"{y}-07-01T00:00:00Z") for y in range(1992, 1999)]
+    rows = spark.createDataFrame(made, "id string, bbox array<double>, day string")
+    return rows.select(F.from_json(F.to_json(F.struct("id", "bbox", F.struct(F.col("day").alias("datetime")).alias("properties"))), ITEMS_SCHEMA).alias("i")).select("i.*")
+
+
+def year_pixels(spark, sf) -> DataFrame:
+    panel = class_panel(spark, sf, [1995, 1997])
+    return panel.select(F.col("layer").alias("scene_id"), F.make_date(F.col("layer").cast("int"), F.lit(7), F.lit(1)).alias("scene_date"), "row", "col", "code")
+
+
+AREA = [(1, 2.31, 0.27, 31.77, 9.41, "area", 0), (2, 40.13, 4.57, 49.29, 20.19, "area", 0)]
+AREA_SQL = f"area(key, c0, r0, c1, r1, cause, year) AS ({values(AREA)})"
+
+
+def area_of_interest(spark) -> DataFrame:
+    """Two rectangles of the panel, in longitude and latitude."""
+    own = spark.createDataFrame([(ring(*b),) for _, *b, _, _ in AREA], f"geometry {RINGS}")
+    return at.in_crs(own, GRID.crs, "EPSG:4326")
+
+
+IN_AREA = "EXISTS (SELECT 1 FROM area WHERE {x} >= c0 AND {x} < c1 AND {y} > r0 AND {y} <= r1)"
+
+
+@query(f"""{BASE}, {AREA_SQL} SELECT layer, CAST(CASE layer WHEN '1995' THEN 0 ELSE 1 END AS INTEGER) AS layer_ix, "row", col, code FROM panel
+  WHERE layer IN ('1995', '1997') AND {IN_AREA.format(x="col + 0.5", y='"row" + 0.5')}""")
+def fetch_years(spark, sf):
+    return stac_fetch(spark, year_items(spark), year_pixels(spark, sf), GRID, aoi=area_of_interest(spark), aoi_crs="EPSG:4326", years=[1995, 1997])
+
+
+# A grid of 20 m from the area's lower left corner (2.31, 20.19 in cells), looked up at the cells' centres; 120 m tiles or none.
+FETCHED = f"""{BASE}, {AREA_SQL},
+  g AS (SELECT c, r, 2.31 + (c + 0.5) * 2.0 AS x, 20.19 - (n - r - 0.5) * 2.0 AS y FROM (SELECT {{rows}} AS n), unnest(range({{rows}})) a(r), unnest(range(24)) b(c))
+  SELECT layer, CAST(CASE layer WHEN '1995' THEN 0 ELSE 1 END AS INTEGER) AS layer_ix, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, code
+  FROM g JOIN panel ON "row" = CAST(floor(y) AS INTEGER) AND col = CAST(floor(x) AS INTEGER) WHERE layer IN ('1995', '1997') AND {IN_AREA.format(x="x", y="y")}"""
+
+
+def fetched(spark, sf, **options) -> DataFrame:
+    return stac_fetch(spark, year_items(spark), year_pixels(spark, sf), GRID, aoi=area_of_interest(spark), aoi_crs="EPSG:4326", years=[1995, 1997], res=20.0, **options)
+
+
+@query(FETCHED.format(rows=10))
+def fetch_resampled(spark, sf):
+    return fetched(spark, sf)
+
+
+@query(FETCHED.format(rows=12))
+def fetch_tiled(spark, sf):
+    return fetched(spark, sf, tile_size=120.0)
+
+
+SCENE_AREA = [(1, 10.37, -0.29, 60.41, 7.83, "area", 0)]
+
+
+def scene_area(spark) -> DataFrame:
+    return spark.createDataFrame([(ring(*b, SCENE_GRID),) for _, *b, _, _ in SCENE_AREA], f"geometry {RINGS}")
+
+
+def scene_items(spark, sf) -> DataFrame:
+    """An item for each scene: its day, its clouds, and a square as its geometry."""
+    lonlat = at.in_crs(scene_area(spark), SCENE_GRID.crs, "EPSG:4326").select(F.element_at(F.element_at("geometry", 1), 1).alias("p")).first().p
+    x, y = lonlat.x, lonlat.y
+    shape = f'{{"type":"Polygon","coordinates":[[[{x - 1},{y - 1}],[{x + 1},{y - 1}],[{x + 1},{y + 1}],[{x - 1},{y + 1}],[{x - 1},{y - 1}]]]}}'
+    made = F.to_json(F.struct(
+        F.col("scene_id").alias("id"), F.array(*map(F.lit, (x - 1, y - 1, x + 1, y + 1))).alias("bbox"), F.lit(shape).alias("geometry"),
+        F.struct(F.date_format("scene_date", "yyyy-MM-dd'T'10:00:00'Z'").alias("datetime"), F.col("cloud_cover").cast("double").alias("eo:cloud_cover")).alias("properties"),
+    ))
+    return scenes(spark, sf).select(F.from_json(made, ITEMS_SCHEMA).alias("i")).select("i.*")
+
+
+CUBE = f"""{stack_sql("ndvi").replace("cloud_cover <= 40", "scene_id IN (SELECT scene_id FROM scenes s WHERE cloud_cover <= 40 AND scene_date BETWEEN DATE '1995-01-01' AND DATE '1996-12-31' AND month(scene_date) IN (6, 7, 8))")},
+  m AS (SELECT CAST(unnest(generate_series((SELECT min(t) FROM stack), (SELECT max(t) FROM stack), INTERVAL 1 MONTH)) AS DATE) AS t)"""
+
+
+def cube(spark, sf, **options) -> DataFrame:
+    return stac_cube(spark, scene_items(spark, sf), scenes(spark, sf), SCENE_GRID, "1995-01-01/1996-12-31", index="ndvi", cloud_cover_max=40, months=[6, 7, 8], aoi=scene_area(spark), **options).withColumn("y", r6("y"))
+
+
+@query(f"""{CUBE} SELECT "row", col, t, CASE WHEN col + 0.5 BETWEEN 10.37 AND 60.41 AND "row" + 0.5 <= 7.83 THEN {R6.format(x="y")} END AS y
+  FROM (SELECT DISTINCT "row", col FROM stack) CROSS JOIN m LEFT JOIN stack USING ("row", col, t)""")
+def cube_index(spark, sf):
+    return cube(spark, sf)
+
+
+# Scenes looked up one by one on a grid of 10 m from the area's lower left (10.37, 7.83), in tiles of 200 m.
+WARPED = CUBE.replace("FROM scenes WHERE SCL", """FROM (SELECT g.r AS "row", g.c AS col, scene_id, scene_date, cloud_cover, B04, B08, B11, SCL FROM g JOIN scenes ON scenes."row" = CAST(floor(g.y) AS INTEGER) AND scenes.col = CAST(floor(g.x) AS INTEGER)) WHERE SCL""").replace(
+    SCENES, f"""{SCENES}, g AS (SELECT CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, 10.37 + c + 0.5 AS x, 7.83 - (20 - r - 0.5) AS y FROM unnest(range(20)) a(r), unnest(range(60)) b(c))""")
+
+
+@query(f"""{WARPED} SELECT "row", col, t, CASE WHEN 10.37 + col + 0.5 < 60.41 AND "row" + 0.5 > 20 - 8.12 THEN {R6.format(x="y")} END AS y
+  FROM (SELECT DISTINCT "row", col FROM stack) CROSS JOIN m LEFT JOIN stack USING ("row", col, t)""")
+def cube_tiled(spark, sf):
+    return cube(spark, sf, tile_size=200.0, resampling="near")
+
+
+@query(f"""{BASE} SELECT layer, "row", col, code FROM panel WHERE layer IN ('1995', '2000')""")
+def mosaic_layers(spark, sf):
+    panel = class_panel(spark, sf, [1995, 2000])
+    parts = [panel.where((F.col("col") >= a) & (F.col("col") < a + 25)) for a in (0, 25)]
+    return mosaic(parts, "layer").drop("layer_ix")
+
+
+@query(f"""{BASE},
+  moved AS (SELECT "row", col, layer, code FROM panel WHERE layer = '1995' UNION ALL
+    SELECT p."row", p.col, '2000', q.code FROM (SELECT DISTINCT "row", col FROM panel) p JOIN panel q ON q.layer = '2000' AND q."row" = CAST(floor(p."row" + 0.5 + 0.3) AS INTEGER) AND q.col = CAST(floor(p.col + 0.5 - 0.7) AS INTEGER)
+    UNION ALL SELECT "row", col, layer, code FROM panel WHERE layer = '1997'),
+  votes AS (SELECT "row", col, code, count(*) AS n, min(layer) AS first FROM moved WHERE code IS NOT NULL GROUP BY 1, 2, 3),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY "row", col ORDER BY n DESC, first) AS k FROM votes)
+  SELECT "row", col, code FROM ranked WHERE k = 1 AND ("row", col) IN (SELECT ("row", col) FROM panel WHERE layer = '1995')""")
+def consensus_aligned(spark, sf):
+    """The layer of 2000 lies on a grid that is moved by 7 m and 3 m; pixels of the first layer."""
+    panel = class_panel(spark, sf, [1995, 1997, 2000])
+    last = panel.agg(F.max("row")).first()[0] or 0
+    own = replace(GRID, nrow=last + 1)
+    moved = replace(own, xmin=own.xmin + 7.0, ymax=own.ymax + 3.0)
+    found = consensus(panel, grids={"1995": own, "1997": own, "2000": moved})
+    return found.join(panel.where("layer = '1995'").select("row", "col"), ["row", "col"], "left_semi")
+
+
+@query(f"""{VOTES.removesuffix('SELECT "row", col, code')} SELECT DISTINCT ct.code AS id, class_name AS label, color FROM ranked JOIN ct ON ct.code = ranked.code
+  WHERE k = 1 AND ct.code IN (SELECT code FROM panel WHERE layer = '1995')""")
+def consensus_labels(spark, sf):
+    panel = class_panel(spark, sf, [1995, 1997, 2000])
+    first = classify(panel.where("layer = '1995'"), class_table(spark)).levels.drop("layer")
+    return consensus_levels(consensus(panel), first)
+
+
 @query(f"WITH {CT} SELECT * FROM ct")
 def class_table_rows(spark, sf):
     return class_table(spark)

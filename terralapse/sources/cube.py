@@ -186,6 +186,8 @@ def index_stack(
     seen = pixels
     if masked and "mask" in roles:
         seen = seen.where(F.col(roles["mask"]).isNull() | ~F.col(roles["mask"]).isin(masked))
+    # Dealt by pixel once: composites, sides, the spine and a trend or break of the stack need no other shuffle.
+    seen = seen.select(*by, "row", "col", "scene_date", "scene_id", *bands).repartition("row", "col")
     before = F.lit(False) if chosen.offset_boundary is None else F.coalesce(F.col("scene_date") < F.lit(chosen.offset_boundary).cast("date"), F.lit(False))
     sided = composite(seen.withColumn("pre", before), bands, dt, aggregation, ["pre", *by])
     offset = F.when(F.col("pre"), F.lit(float(chosen.offset if chosen.offset_before is None else chosen.offset_before))).otherwise(F.lit(chosen.offset))
