@@ -84,14 +84,22 @@ def fitted(odds: np.ndarray, labels: np.ndarray, weights: np.ndarray, hold: floa
     if min((labels == y).sum() for y in (0, 1)) < 20:
         return 1.0, 0.0
     weights = weights * (len(weights) / weights.sum())
-    at = np.array([1.0, 0.0])
-    x = np.stack([odds, np.ones(len(odds))], 1)
-    for _ in range(50):
+    start = np.array([1.0, 0.0])
+    at, x = start, np.stack([odds, np.ones(len(odds))], 1)
+
+    def loss(at: np.ndarray) -> float:
+        z = x @ at
+        return float(weights @ (np.logaddexp(0, z) - labels * z)) + hold * float(((at - start) ** 2).sum()) / 2
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
-        slope = x.T @ (weights * (p - labels)) + hold * (at - [1.0, 0.0])
+        slope = x.T @ (weights * (p - labels)) + hold * (at - start)
         step = np.linalg.solve((x * (weights * p * (1 - p))[:, None]).T @ x + hold * np.eye(2), slope)
-        at = at - step
-        if np.abs(step).max() < 1e-9:
+        size = 1.0
+        while size > 1e-6 and loss(at - size * step) > loss(at):  # a full step may overshoot
+            size /= 2
+        at = at - size * step
+        if np.abs(size * step).max() < 1e-9:
             break
     return (float(at[0]), float(at[1])) if at[0] > 0 else (1.0, 0.0)
 

@@ -502,3 +502,119 @@ def test_toxicity_knows_every_telling_word(spark):
     got = {r.doc_id: r for r in toxicity.toxicity(table.drop("toxic"), table.where("doc_id % 5 != 0").select("doc_id", "toxic")).collect()}
     held = [r for r in plain + toxic if r[0] % 5 == 0]
     assert all(got[i].predicted == y for i, _, y in held) and all(got[10_000 + 100 * k].terms for k in range(40))
+
+
+def brute_toxicity(rows, min_df, min_chi2, strength):
+    """Scores of (id, text, label or None) with every example a neighbour: vocabulary, vectors and votes in plain Python."""
+    import math
+    from zlib import crc32
+
+    known = [(t or "", y) for _, t, y in rows if y is not None]
+    seen = {}
+    for t, y in known:
+        w = toxicity.words_of(t)
+        kin = min((crc32(" ".join(w[i : i + 4]).encode()) for i in range(len(w))), default=0)
+        for term in {x for v in w for x in toxicity.terms_of(v)}:
+            seen[term, kin] = max(y, seen.get((term, kin), 0))
+    df, with_y = Counter(t for t, _ in seen), Counter(t for (t, _), y in seen.items() if y)
+    n1 = sum(y for _, y in known)
+    n0 = len(known) - n1
+
+    def chi2(t):
+        a, b = with_y[t], df[t] - with_y[t]
+        c, d = n1 - a, n0 - b
+        return (n1 + n0) * (a * d - b * c) ** 2 / ((a + b) * (c + d) * n1 * n0) if (a + b) * (c + d) else 0.0
+
+    names = sorted((t for t in df if df[t] >= min_df and chi2(t) >= min_chi2 and with_y[t] * n0 > (df[t] - with_y[t]) * n1), key=lambda t: (-chi2(t), -len(t.lstrip("^")), t))
+    idf = {t: math.log((1 + len(known)) / (1 + df[t])) + 1 for t in names} | {toxicity.REST: toxicity.REST_WEIGHT}
+    place = {t: i for i, t in enumerate(names)}
+
+    def vector(text):
+        tf = Counter(min((t for t in toxicity.terms_of(w) if t in place), key=place.get, default=toxicity.REST) for w in toxicity.words_of(text or ""))
+        v = {t: (1 + math.log(n)) * idf[t] for t, n in tf.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    examples = [(v, y) for t, y in known if (v := vector(t))]
+    prior, out = (sum(y for _, y in known) + 0.5) / (len(known) + 1), {}
+    for i, t, _ in rows:
+        if not (v := vector(t)):
+            out[i] = prior
+            continue
+        near = [(sum(x * v.get(w, 0.0) for w, x in e.items()), y) for e, y in examples]
+        out[i] = (sum(c for c, y in near if y) + strength * prior) / (sum(c for c, _ in near) + strength)
+    return out
+
+
+def test_toxicity_by_brute_force(spark):
+    """All examples vote (fewer than 20 of a class, so the curve is straight); very long texts, copies, and a clashing name among them."""
+    rng = random.Random(23)
+    bad = ["idiot", "scum", "moron"]
+    make = lambda y: " ".join([words(rng, rng.randrange(5, 30), 40), *(rng.choice(bad) for _ in range(3 * y)), words(rng, 4, 40)])
+    rows = [(i, make(int(i % 4 == 0)), int(i % 4 == 0)) for i in range(70)]
+    rows += [(100, None, 0), (101, "", None), (102, "12 345", None), (103, "idiot " * 50_000, None), (104, rows[0][1], None), (105, words(rng, 60), None)]
+    want = brute_toxicity(rows, 3, 5.0, 0.5)
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = table.where("toxic is not null").select("doc_id", "toxic")
+    options = {"k": 1000, "min_df": 3, "min_chi2": 5.0, "block": 8}
+    got = {r.doc_id: r.score for r in toxicity.toxicity(table.withColumnRenamed("toxic", "score"), labels, **options).collect()}
+    assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-5 for i in want)
+
+
+def test_toxicity_of_other_ids(spark):
+    """The same texts under other ids, dealt otherwise, have the same scores; repeated rows too."""
+    rng = random.Random(24)
+    texts = [words(rng, 12, 30) + (" scum " + rng.choice(["moron", "clown", "scum"]) if i % 3 == 0 else "") for i in range(150)]
+    texts += texts[:30]
+    scores = []
+    for ids in (range(len(texts)), rng.sample(range(10**6), len(texts))):
+        table = spark.createDataFrame([(i, t, int("scum" in t)) for i, t in zip(ids, texts)], "doc_id long, text string, toxic int").repartition(1 + len(scores) * 5)
+        got = toxicity.toxicity(table.select("doc_id", "text"), table.select("doc_id", "toxic"), k=5).collect()
+        of = {r.doc_id: r.score for r in got}
+        scores.append([of[i] for i in ids])
+    assert scores[0] == pytest.approx(scores[1], abs=1e-12) and scores[0][:30] == scores[0][-30:]
+
+
+def test_toxicity_is_calibrated():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    truth = rng.random(4000)
+    labels, odds = (rng.random(4000) < truth).astype(float), 3 * np.log(truth / (1 - truth)) + 1
+    slope, shift = toxicity.fitted(odds, labels, np.ones(4000))
+    assert slope == pytest.approx(1 / 3, abs=0.03) and shift == pytest.approx(-1 / 3, abs=0.1)
+    assert toxicity.fitted(odds, np.zeros(4000), np.ones(4000)) == (1.0, 0.0) == toxicity.fitted(-odds, labels, np.ones(4000))
+
+
+def test_urls_by_brute_force(spark):
+    """Counts, splits and weights in plain Python; a host in most rows, rows repeated, very long names."""
+    import math
+    import re
+
+    rng = random.Random(31)
+    parts, seeds = ["quiet", "garden", "win", "news", "shop", "free", "blue"], ["casino", "bet", "loans"]
+    host = lambda: "".join(rng.choice(parts + seeds) for _ in range(rng.randrange(1, 4))) + rng.choice([".org", ".net", "-x.com"])
+    rows = [(i, f"http://{'hot.example.org' if i % 3 else host()}/{rng.choice(parts)}{rng.choice(parts)}/{i % 7}?q", " ".join(rng.choice(parts) for _ in range(20))) for i in range(150)]
+    rows += [rows[4], (200, None, None), (201, "http://" + "quietgarden" * 300 + "/", "<b casino>zz</b>"), (202, "nothing", ""), (203, "http://casinowin.org", "<p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    counts = Counter(w for *_, h in rows for w in re.split("[^a-z]+", re.sub("<[^>]*>", " ", (h or "").lower())) if 2 <= len(w) <= 20)
+    total, least = sum(counts.values()), max(counts.values()) // 1000 + 1
+    split = url_filter.Segmenter(counts | {w: max(counts.get(w, 0), least) for w in url_filter.SEEDS}, total=total).split
+
+    def tokens(url):
+        m = re.search("://([^/?#]*)([^?#]*)", url or "")
+        return [kind + w for kind, text in zip(("h:", "p:"), m.groups() if m else ()) for x in url_filter.NAME.findall(text.lower()) for w in (["0"] if x[0].isdigit() else split(x))]
+
+    each = [tokens(u) for _, u, _ in rows]
+    block = [any(t[:2] == "h:" and t[2:] in url_filter.SEEDS for t in x) for x in each]
+    b, a = (Counter(t for x, y in zip(each, block) if y == side for t in x) for side in (True, False))
+    names = set(b) | set(a)
+    weight = {t: math.log((b[t] + 1) / (sum(b.values()) + len(names))) - math.log((a[t] + 1) / (sum(a.values()) + len(names))) for t in names}
+    bias = math.log((sum(block) + 1) / (len(block) - sum(block) + 1))
+    for few in (200_000, 0):
+        got = {r.page_id: r for r in url_filter.judge(pages, [], max_broadcast=few).collect()}
+        for (i, *_), x in zip(rows, each):
+            odds = bias + sum(weight[t] for t in x)
+            assert got[i].tokens == x and got[i].log_odds == pytest.approx(odds) and got[i].verdict == ("block" if odds > 0 else "allow")
+            assert got[i].rest_odds == pytest.approx(bias + sum(weight[t] for t in x if not (t[:2] == "h:" and t[2:] in url_filter.SEEDS)))
+    assert 10 < sum(block) < 60 and url_filter.judge(pages, []).count() == len(rows)

@@ -61,3 +61,26 @@ def test_further_columns_stay(spark):
     rows = got.collect()
     assert len(rows) == 30 and all((r.kept, r.given, r.n_removed, r.row) == tuple(f"{n}{r.doc_id}" for n in ("kept", "given", "n_removed", "row")) for r in rows)
     assert all(len(r.text) == r.n_chars and r.lang for r in rows)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_stages_on_odd_tables(spark):
+    """Nulls in any column, empty, repeated and very long texts, a clashing column, no rows: each stage ends, and rows without an id stay."""
+    base = spark.read.parquet(f"{SF}/documents.parquet").limit(25)
+    long = " ".join(r.text for r in base.collect() if r.text) * 4
+    odd = [(9_000_001, None, None, None, None), (9_000_002, "", "en", "s", 0), (9_000_003, long, "en", "s", len(long)), (9_000_003, long, "en", "s", len(long)), (None, "one two three", "de", None, 13), (None, None, None, None, None)]
+    docs = base.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long"))
+    docs = docs.withColumn("row", F.lit("x")).withColumn("kept", F.col("n_chars"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert sum(r.doc_id is None for r in rows) == 2 and len(rows) <= docs.count()
+        assert stage(spark, docs.where("false"), SF).count() == 0
+    assert {r.doc_id for r in corpus_pipeline.language(spark, docs, SF).collect()}.isdisjoint({9_000_001, 9_000_002})
+    copies = corpus_pipeline.near_copies(spark, docs, SF)
+    assert copies.where("doc_id = 9000003").count() == 2
+    cut = {r.doc_id: r for r in corpus_pipeline.passages(spark, docs, SF).collect()}
+    assert cut[9_000_002].text == "" and len(cut[9_000_003].text) < len(long) // 3
+    last = corpus_pipeline.encoded(spark, docs, SF)
+    assert last.count() == docs.count() and last.where("doc_id = 9000001").first().n_tokens == 0
