@@ -35,6 +35,38 @@ def dense_raster(spark, side: int = 2000, block: int = 20):
     return both.selectExpr("row", "col", "stack(2, 'before', 0, b, 'after', 1, a) AS (layer, layer_ix, code)")
 
 
+def sparse_transition(spark, nrow: int, ncol: int, block: int = 10, share: float = 0.02):
+    """Transitions on about ``share`` of a grid, in blocks; 48 pairs of classes. Stored, so that only what follows is timed."""
+    from pyspark.sql import functions as F
+
+    from terralapse.grid import GridSpec
+    from terralapse.operators.transition import Transition
+    from terralapse.plans.storage import stored
+
+    across = -(-ncol // block)
+    blocks = spark.range(-(-nrow // block) * across, numPartitions=16).where(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    inner = blocks.select("id", F.explode(F.sequence(F.lit(0), F.lit(block * block - 1))).alias("k"), F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(48)).alias("pair"))
+    cells = inner.select(
+        (F.floor(F.col("id") / across) * block + F.floor(F.col("k") / block)).cast("int").alias("row"), (F.col("id") % across * block + F.col("k") % block).cast("int").alias("col"),
+        F.floor(F.col("pair") / 7).cast("int").alias("from_code"), (F.col("pair") % 7).cast("int").alias("to_code"),
+    )
+    cells = stored(cells.withColumn("code", F.col("from_code") * 1000 + F.col("to_code")), "bench-cells")
+    return Transition(cells, cells.limit(0), cells.limit(0), None, GridSpec(0.0, nrow * 10.0, 10.0, 10.0, nrow, ncol))
+
+
+def long_stack(spark, pixels: int = 102_400, months: int = 72):
+    """A stack of noisy seasons, some of which drop at the end, stored."""
+    from pyspark.sql import functions as F
+
+    from terralapse.plans.storage import stored
+
+    each = spark.range(pixels, numPartitions=16).select("id", F.explode(F.sequence(F.lit(0), F.lit(months - 1))).alias("m"))
+    noise = F.pmod(F.xxhash64("id", "m"), F.lit(1000)) / 20_000.0
+    drop = F.when((F.col("id") % 5 == 0) & (F.col("m") > 54), -0.3).otherwise(0.0)
+    y = F.when(F.pmod(F.xxhash64("m", "id"), F.lit(10)) > 0, 0.6 + 0.15 * F.sin(F.col("m") * 3.141592653589793 / 6) + noise + drop)
+    return stored(each.select((F.col("id") / 320).cast("int").alias("row"), (F.col("id") % 320).cast("int").alias("col"), F.add_months(F.lit("2018-01-01").cast("date"), F.col("m")).alias("t"), y.alias("y")), "bench-stack")
+
+
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "8"))
@@ -57,6 +89,14 @@ def main() -> None:
 
     grid, table = GridSpec(0.0, 20_000.0, 10.0, 10.0, 2000, 2000), class_table(spark)
     timed("vectors_4m_cells", lambda: patches(transition(dense_raster(spark), grid, "before", "after", table), table, changes_only=True))
+    # The operators alone, on inputs that are stored before.
+    from terralapse.operators.breaks import break_monitor
+
+    for name, size in (("patches_alone_24m_cells", (4899, 4899)), ("patches_alone_102m_cells", (8637, 11_875))):
+        sparse = sparse_transition(spark, *size)
+        timed(name, lambda sparse=sparse: patches(sparse, table))
+    stack = long_stack(spark)
+    timed("break_alone_102k_pixels", lambda: break_monitor(stack))
     print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf}))
 
 

@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next one's docs. All but the last return the columns of documents.
 
+Every stage keeps all columns of its input, however they are named. Repeated rows meet the
+same fate. A row without an id can't be named as dropped, so it stays (its text is cut like
+others); null and empty texts are rejected by the first stage, as no language is told, and
+stay in the others. An empty table gives an empty one.
+
 No SQL can express the pipeline (its first stage is a compressor), so ORACLE_SQL is None and
 tests hold run() against a brute-force version.
 """
