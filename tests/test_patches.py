@@ -59,7 +59,9 @@ def test_tile_against_flood(cells, same):
 def test_tiles_make_no_difference(spark, tile, same):
     cells = engineered()
     df = spark.createDataFrame([(r, c, v) for (r, c), v in cells.items()], "row int, col int, value int")
-    got = {(r.row, r.col): r.label for r in labelled(df, same_value=same, tile=tile).collect()}
+    local, parts = labelled(df, same_value=same, tile=tile)
+    got = {(r.row, r.col): r.patch for r in local.join(parts.select("label", "patch"), "label").collect()}
+    assert parts.agg({"n": "sum"}).first()[0] == len(cells)
     assert got == flood(cells, same)
     if same:
         by_class = {}
