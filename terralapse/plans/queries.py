@@ -465,21 +465,20 @@ def monthly_means(spark, sf):
     return month_of_days(days.withColumn("t", F.trunc("scene_date", "month")))
 
 
-# Resampling of the class panel to other grids, as far down as the panel goes. The SQL has ranges of
-# rows that reach the panel's end up to sf0.01.
+# Resampling of the class panel to other grids, as far down as the panel goes.
 
 COARSE = GridSpec(0.0, 1_000_000.0, 25.0, 25.0, 40_000, 20)
 SHIFTED = GridSpec(3.0, 999_996.0, 10.0, 10.0, 100_000, 49)
 
 
-@query(f"""{BASE}, g AS (SELECT r, c, CAST(floor((r + 0.5) * 25.0 / 10.0) AS INTEGER) AS "row", CAST(floor((c + 0.5) * 25.0 / 10.0) AS INTEGER) AS col FROM unnest(range(12)) a(r), unnest(range(20)) b(c))
+@query(f"""{BASE}, g AS (SELECT r, c, CAST(floor((r + 0.5) * 25.0 / 10.0) AS INTEGER) AS "row", CAST(floor((c + 0.5) * 25.0 / 10.0) AS INTEGER) AS col FROM (SELECT unnest(range(CAST(ceil((max("row") + 1) * 0.4 - 0.5) AS BIGINT))) AS r FROM panel WHERE layer = '2000') a, unnest(range(20)) b(c))
   SELECT CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, code FROM g JOIN panel USING ("row", col) WHERE layer = '2000'""")
 def resample_near(spark, sf):
     panel = class_panel(spark, sf, [2000])
     return resampled(panel, GRID, met(panel, GRID, COARSE), "code")
 
 
-@query(f"""{BASE}, g AS (SELECT r, c, 4.0 / 10 + r AS fy, 3.0 / 10 + c AS fx FROM unnest(range(30)) a(r), unnest(range(49)) b(c)),
+@query(f"""{BASE}, g AS (SELECT r, c, 4.0 / 10 + r AS fy, 3.0 / 10 + c AS fx FROM (SELECT unnest(range(max("row") + 1)) AS r FROM panel WHERE layer = '2000') a, unnest(range(49)) b(c)),
   k AS (SELECT r, c, r + i AS "row", c + j AS col, CAST(CASE i WHEN 1 THEN 0.4 ELSE 0.6 END * CASE j WHEN 1 THEN 0.3 ELSE 0.7 END AS DOUBLE) AS w FROM g, unnest([0, 1]) a(i), unnest([0, 1]) b(j))
   SELECT CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, {R6.format(x="(sum(code * w) / sum(w))")} AS code FROM k JOIN panel USING ("row", col) WHERE layer = '2000' AND code IS NOT NULL GROUP BY 1, 2""")
 def resample_bilinear(spark, sf):

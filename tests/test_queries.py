@@ -50,14 +50,13 @@ def test_query(spark, duck, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(LARGE), reason="no test data")
-@pytest.mark.parametrize("name, short, whole", [("resample_near", "range(12)", "range(120)"), ("resample_bilinear", "range(30)", "range(300)")])
-def test_resampling_reaches_the_last_row(spark, name, short, whole):
+@pytest.mark.parametrize("name", ["resample_near", "resample_bilinear"])
+def test_resampling_reaches_the_last_row(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW orders AS SELECT * FROM '{LARGE}/orders.parquet'")
     df = QUERIES[name](spark, LARGE)
-    assert short in ORACLES[name]
-    found = con.execute(ORACLES[name].replace(short, whole))
-    assert rows(df.columns, df.collect()) == rows([c[0] for c in found.description], found.fetchall())
+    found = con.execute(ORACLES[name])
+    assert df.agg({"row": "max"}).first()[0] > 100 and rows(df.columns, df.collect()) == rows([c[0] for c in found.description], found.fetchall())
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terralapse import mapspec
 from terralapse.functions import geometry
 from terralapse.functions.geometry import RINGS
-from terralapse.grid import GridSpec, check_crs, lonlat_from_utm, snapped_tile_size, utm_epsg, utm_from_lonlat
+from terralapse.grid import GridSpec, check_crs, lonlat_from_utm, reprojected, snapped_tile_size, utm_epsg, utm_from_lonlat
 from terralapse.operators import attribute as at
 from terralapse.operators.classify import classify
 from terralapse.operators.consensus import consensus
@@ -263,3 +263,114 @@ def test_resampling(spark):
     assert fine[0, 0] == pytest.approx(27.5)
     with warnings.catch_warnings(), pytest.raises(ValueError, match="method"):
         warp.resampled(cells, of, to, "v", "cubic")
+
+
+# Grids, CRSs, tiles
+
+
+def test_projections_of_arrays():
+    x, y = np.array([300_000.0, 500_000.0, 690_000.0]), np.array([5_900_000.0, 6_100_000.0, 100.0])
+    for source, target in (("EPSG:32609", "EPSG:32610"), ("EPSG:32609", "EPSG:4326"), ("EPSG:32733", "EPSG:4326")):
+        there = reprojected(x, y, source, target)
+        back = reprojected(*there, target, source)
+        assert np.allclose(back[0], x, atol=1e-5) and np.allclose(back[1], y, atol=1e-5) and not np.allclose(there[0], x)
+    with pytest.raises(ValueError, match="neither"):
+        reprojected(x, y, "EPSG:3005", "EPSG:4326")
+
+
+def test_a_grid_in_the_next_zone(spark):
+    """Each target cell looks where its centre lies in the source's CRS."""
+    of = GridSpec(690_000.0, 6_000_400.0, 10.0, 10.0, 40, 40, "EPSG:32609")
+    cells = spark.createDataFrame([(r, c, 100 * r + c) for r in range(40) for c in range(40)], "row int, col int, v int")
+    to = warp.target_grid(of, res=20.0, crs="EPSG:32610")
+    assert to.crs == "EPSG:32610" and (to.resx, to.resy) == (20.0, 20.0) and to.nrow > 20
+    got = {(r.row, r.col): r.v for r in warp.resampled(cells, of, to, "v").collect()}
+    want = {}
+    for r in range(to.nrow):
+        for c in range(to.ncol):
+            x, y = reprojected(to.xmin + (c + 0.5) * 20, to.ymax - (r + 0.5) * 20, to.crs, of.crs)
+            i, j = int(np.floor((of.ymax - y) / 10)), int(np.floor((x - of.xmin) / 10))
+            if 0 <= i < 40 and 0 <= j < 40:
+                want[r, c] = 100 * i + j
+    assert got == want and len(want) > 300
+    smooth = {(r.row, r.col): r.v for r in warp.resampled(cells, of, to, "v", "bilinear").collect()}
+    assert all(abs(smooth[k] - v) < 120 for k, v in want.items())
+    assert warp.chosen_crs("auto", of, None, of.crs) == "EPSG:32609" and warp.chosen_crs("auto", of, features(spark, [(box(-120, 54, -119, 55), "a")], "name string"), "EPSG:4326") == "EPSG:32611"
+
+
+def test_tiles_make_the_whole(spark):
+    grid = GridSpec(0.0, 80.0, 10.0, 10.0, 8, 8)
+    cells = spark.createDataFrame([(f"2020-0{t}-01", r, c, 100 * t + 8 * r + c) for t in (1, 2, 3) for r in range(8) for c in range(8)], "t string, row int, col int, y int")
+    parts = [cells.where(f"row >= {r} and row < {r + 4} and col >= {c} and col < {c + 4}") for r in (0, 4) for c in (0, 4)]
+    assert sorted(map(tuple, warp.mosaic(parts).collect())) == sorted(map(tuple, cells.collect()))
+    with pytest.raises(ValueError, match="number of layers"):
+        warp.mosaic([parts[0], parts[1].where("t <> '2020-01-01'")])
+    with pytest.raises(ValueError, match="overlap"):
+        warp.mosaic([parts[0], parts[0]])
+    with pytest.raises(ValueError, match="at least one"):
+        warp.mosaic([])
+    marked = parts[0].withColumn("tile", F.lit(0)).union(parts[1].withColumn("tile", F.lit(1)))
+    assert warp.of_tiles(marked).count() == 96
+    with pytest.raises(ValueError, match="number of layers"):
+        warp.of_tiles(marked.where("tile = 0 or t = '2020-01-01'"))
+    area = features(spark, [(box(1, 1, 35, 38), "a"), (box(61, 61, 79, 79), "b")], "name string")
+    to = warp.target_grid(grid, aoi=area, tile_size=20.0)
+    assert (to.xmin, to.ymin, to.nrow, to.ncol) == (1.0, 1.0, 8, 8)
+    got = warp.targets(spark, to, warp.tiled(area, 20.0))
+    seen = {(r.row, r.col) for r in got.collect()}
+    assert got.count() == len(seen) == got.select("tile").distinct().count() * 4 and (7, 0) in seen and (0, 0) not in seen and (0, 7) in seen
+
+
+def test_searches_by_an_items_own_shape(spark):
+    """A box that meets the area around a shape that doesn't; several areas; collections."""
+    far = '{"type":"MultiPolygon","coordinates":[[[[0,0],[1,0],[0,1],[0,0]]]]}'
+    rows = [{"id": "shape", "bbox": [0, 0, 1, 1], "geometry": far, "collection": "a"}, {"id": "box", "bbox": [0, 0, 1, 1]}, {"id": "point", "bbox": [0, 0, 1, 1], "geometry": '{"type":"Point","coordinates":[0,0]}', "collection": "b"}]
+    items = spark.createDataFrame([(json.dumps(r | {"properties": {"datetime": "2020-01-01"}}),) for r in rows], "j string").select(F.from_json("j", ITEMS_SCHEMA).alias("i")).select("i.*")
+    ids = lambda **k: sorted(r.id for r in catalog.search(items, **k).collect())
+    corner, both = [[(0.8, 0.8), (2, 0.8), (2, 2), (0.8, 2)]], [[(-1, -1), (0.1, -1), (0.1, 0.1), (-1, 0.1)]]
+    assert ids(intersects=corner) == ["box", "point"] and ids(areas=[corner, both]) == ["box", "point", "shape"]
+    assert ids(intersects=both, collection="a") == ["box", "shape"]
+    inner = np.array(geometry.edges([[(0.4, 0.4), (0.6, 0.4), (0.6, 0.6)]]))
+    outer = geometry.edges([[(0, 0), (1, 0), (1, 1), (0, 1)]])
+    assert geometry.meet(inner, outer) and geometry.meet(outer, inner) and not geometry.meet(inner, outer + 5)
+
+
+def test_fetch_reads_signed_addresses(spark, tmp_path):
+    """The reader gets the signed address, the area bounds the search, and the catalog may be a path."""
+    for name in ("a", "b"):
+        spark.createDataFrame([(name, r, c, 2 if name == "a" else 5) for r in range(2) for c in range(2)], "scene_id string, row int, col int, code int").withColumn("scene_date", F.lit("2018-05-01").cast("date")).write.parquet(f"{tmp_path}/{name}.signed")
+    lines = [{"id": n, "collection": "io-lulc-annual-v02", "bbox": b, "properties": {"datetime": "2018-05-01T00:00:00Z"}, "assets": {"data": {"href": f"{tmp_path}/{n}"}}} for n, b in (("a", [-130, 50, -128, 51]), ("b", [10, 10, 11, 11]))]
+    (tmp_path / "items.json").write_text("\n".join(map(json.dumps, lines)))
+    grid = GridSpec(500_000.0, 5_600_020.0, 10.0, 10.0, 2, 2)
+    area = features(spark, [(box(500_001, 5_600_001, 500_012, 5_600_019), "x")], "name string")
+    options = {"years": [2018], "aoi": area, "sign": lambda u: u + ".signed"}
+    got = cube.stac_fetch(spark, str(tmp_path / "items.json"), lambda items: catalog.read_assets(items, "data"), grid, **options).collect()
+    assert [(r.layer, r.row, r.col, r.code) for r in sorted(got)] == [("2018", 0, 0, 2), ("2018", 1, 0, 2)]
+    with pytest.raises(ValueError, match="No STAC items"):
+        cube.stac_fetch(spark, str(tmp_path / "items.json"), lambda items: items, grid, collection="other", **options)
+    with pytest.raises(ValueError, match="tile_size needs"):
+        cube.stac_fetch(spark, str(tmp_path / "items.json"), lambda items: items, grid, years=[2018], tile_size=50.0)
+
+
+def test_cubes_that_differ_have_their_own_cache(spark, tmp_path):
+    """No mask and the default mask, and two areas for the search, aren't one result."""
+    grid = GridSpec(0.0, 20.0, 10.0, 10.0, 2, 2)
+    rows = [{"id": n, "bbox": b, "properties": {"datetime": f"2020-0{m}-05", "eo:cloud_cover": 1.0}} for n, b, m in (("a", [0, 0, 1, 1], 1), ("b", [5, 5, 6, 6], 2))]
+    items = spark.createDataFrame([(json.dumps(r),) for r in rows], "j string").select(F.from_json("j", ITEMS_SCHEMA).alias("i")).select("i.*")
+    pixels = spark.createDataFrame([("a", 0, 0, 2000, 4000, 4), ("a", 0, 1, 2000, 3000, 8), ("b", 0, 0, 1000, 4000, 4)], "scene_id string, row int, col int, B04 int, B08 int, SCL int").join(items.selectExpr("id AS scene_id", "to_date(properties.datetime) AS scene_date"), "scene_id")
+    made = lambda **k: {(r.col, str(r.t)): r.y for r in cube.stac_cube(spark, items, pixels, grid, "2020-01-01/2020-12-31", index="ndvi", cache_dir=str(tmp_path), **k).collect() if r.y is not None}
+    one, two = [[(0, 0), (2, 0), (2, 2), (0, 2)]], [[(4, 4), (7, 4), (7, 7), (4, 7)]]
+    assert len(made(mask_values=[])) == 3 and len(made()) == 2 and len(made(mask_values=[])) == 3
+    assert list(made(area_lonlat=one)) == [(0, "2020-01-01")] and list(made(area_lonlat=two)) == [(0, "2020-02-01")]
+    assert cache.cache_info(str(tmp_path))["n_files"] > 8 and cache.cache_clear(str(tmp_path), "sentinel-2-l2a") > 8
+
+
+def test_an_own_condition(spark):
+    grid = GridSpec(0.0, 100.0, 10.0, 10.0, 10, 40)
+    runs = spark.createDataFrame([(1, 0, 0, 9), (2, 0, 20, 29)], "patch_id int, row int, col_start int, col_end int")
+    patches = spark.createDataFrame([(1,), (2,)], "patch_id int")
+    overlay = features(spark, [(box(0, 80, 35, 100), "small"), (box(-5, 80, 105, 105), "large"), (box(300, 90, 310, 100), "apart")], "name string")
+    got = lambda predicate: sorted((r.patch_id, r.name) for r in at.attribute(patches, runs, overlay, grid, ["name"], predicate=predicate).collect())
+    assert got("intersects") == [(1, "large"), (1, "small"), (2, "apart")] and got("within") == [(1, "large"), (2, None)]
+    assert got(lambda area, patch, other: (area > 0) & (area < 0.5 * patch)) == [(1, "small"), (2, None)]
+    assert got(lambda area, patch, other: other < 500) == [(1, None), (2, "apart")] and got("touches") == [(1, None), (2, "apart")]
