@@ -10,8 +10,9 @@ votes are mapped by the line that fits these scores to the labels (``fitted``).
 
 The search is exact. Examples lie in an inverted index in blocks of ``block`` rows,
 and for each term and block the index holds the largest weight. The dot product of a
-text with these is a bound on every example of the block; blocks are taken from the
-highest bound down until the k-th best cosine reaches the next bound.
+text with these is a bound on every example of the block; a block is passed over for
+every text whose k-th best cosine is above its bound. Blocks are taken from the highest bounds
+(over a batch of texts) down.
 
 Learning is bounded: at most ``per_class`` labelled documents of each class, chosen
 by a hash of their id and weighted back to their share of all labels; the vocabulary
@@ -25,8 +26,7 @@ large the tables are.
 
 A text without a word (null and empty texts too) gets the smoothed share of label 1
 among all labels. Without any labels every score is 0.5. Among
-neighbours with equal cosines those of the block with the higher bound come first, and examples are
-put into blocks by their labels and terms. Repeated rows are scored
+neighbours with equal cosines those come first that do so in the order of labels and terms. Repeated rows are scored
 one by one; a document with several labels counts once, with the highest. Further
 columns of the input are ignored, so their names can't clash. An empty table gives an
 empty result.
@@ -56,6 +56,8 @@ WORD = re.compile(r"[^\W\d_]+")
 REST = "<rest>"
 #: Its weight in place of an inverse document frequency: it tells how thinly the other terms are spread.
 REST_WEIGHT = 1.0
+#: Entries of the matrix of vectors that are searched for together.
+AT_ONCE = 1 << 19
 
 
 def words_of(text: str) -> list[str]:
@@ -124,7 +126,7 @@ class Index:
 
     def __post_init__(self):
         self.vocabulary = {t: i for i, t in enumerate(self.names[:-1])}
-        self.rest, self.plain, self.cache = len(self.names) - 1, None, Recent(1 << 18)
+        self.rest, self.blocks, self.cache = len(self.names) - 1, {}, Recent(1 << 17)
 
     def __reduce__(self):
         return type(self), tuple(getattr(self, f.name) for f in fields(self))
@@ -154,64 +156,94 @@ class Index:
         weights = np.array([weight[y] for y in labels.tolist()], np.float64)
         return cls(names, idf, [e[0] for e in full], labels, weights, block, starts, np.array([r for _, _, r, _ in posting], np.int64), np.array([x for *_, x in posting], np.float64), most, prior)
 
-    def nearest(self, terms: list[int], tf: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the k examples with the highest positive cosine, and the cosines; of blocks taken first on ties."""
-        q = (1 + np.log(tf)) * self.idf[terms]
-        q /= math.sqrt(float(q @ q))
-        bounds = q @ self.most[terms]
-        n_blocks = self.most.shape[1]
-        rows, scores, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(rows) == k and bounds[b] <= least + 1e-12):
-                break
-            part = np.zeros(self.block)
-            for t, x in zip(terms, q):
+    def _block(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of a block, and their weights as a matrix of (term, row)."""
+        if b not in self.blocks:
+            n_blocks = self.most.shape[1]
+            terms = np.flatnonzero(self.most[:, b] > 0)
+            weights = np.zeros((len(terms), self.block))
+            for i, t in enumerate(terms):
                 lo, hi = self.starts[t * n_blocks + b], self.starts[t * n_blocks + b + 1]
-                part[self.rows[lo:hi]] += x * self.weights[lo:hi]
-            hit = np.flatnonzero(part > 0)
-            rows, scores = np.concatenate([rows, hit + b * self.block]), np.concatenate([scores, part[hit]])
-            keep = np.lexsort((rows, -np.round(scores, 12)))[:k]
-            rows, scores = rows[keep], scores[keep]
-            least = scores[-1] if len(rows) else 0.0
-        return rows, scores
+                weights[i, self.rows[lo:hi]] = self.weights[lo:hi]
+            self.blocks[b] = terms, weights
+        return self.blocks[b]
+
+    def nearest_many(self, vectors: list[list[tuple[int, int]]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector of (term, times): rows of the k examples with the highest positive cosine, and the cosines; lower rows first on ties.
+
+        A block is multiplied with those vectors alone whose bound there reaches their k-th best cosine.
+        """
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        step = max(1, AT_ONCE // len(self.names))
+        n_blocks = self.most.shape[1]
+        bits = max(1, n_blocks * self.block).bit_length()
+        if bits > 20:
+            raise ValueError("too many examples for one index")
+        for first in range(0, len(vectors), step):
+            part = vectors[first : first + step]
+            q = np.zeros((len(part), len(self.names)))
+            for i, v in enumerate(part):
+                for t, n in v:
+                    q[i, t] = (1 + math.log(n)) * self.idf[t]
+            q /= np.maximum(np.sqrt((q * q).sum(1)), 1e-300)[:, None]
+            bounds = q @ self.most
+            # Cosine (12 decimals) and row in one number: the largest are the nearest, and lower rows win ties.
+            best = np.full((len(part), k), -1, np.int64)
+            for b in np.argsort(-bounds.sum(0), kind="stable").tolist():
+                least = (best[:, 0] >> bits) * 1e-12
+                ask = np.flatnonzero((bounds[:, b] > 0) & (bounds[:, b] >= least - 2e-12))
+                if not len(ask):
+                    continue
+                terms, weights = self._block(b)
+                cosine = np.rint((q[np.ix_(ask, terms)] @ weights) * 1e12).astype(np.int64)
+                row = b * self.block + np.arange(self.block)
+                found = np.where(cosine > 0, (cosine << bits) | ((1 << bits) - 1 - row), -1)
+                every = np.concatenate([best[ask], found], 1)
+                best[ask] = np.partition(every, every.shape[1] - k, 1)[:, -k:]
+            best = -np.sort(-best, 1)
+            for line in best:
+                line = line[line >= 0]
+                out.append(((1 << bits) - 1 - (line & ((1 << bits) - 1)), (line >> bits) * 1e-12))
+        return out
+
+    def nearest(self, terms: list[int], tf: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.nearest_many([list(zip(terms, tf))], k)[0]
 
     def counted(self, text: str | None) -> list[tuple[int, int]]:
         """(term, times) of a text, in order of term; the cache keeps the terms of words met lately. A word counts once, as the first of its terms."""
-        words, found = words_of(text or ""), []
-        if not words:
-            return []
+        found: Counter = Counter()
         cache = self.cache
-        for w in words:
+        for w, n in Counter(words_of(text or "")).items():
             if (term := cache.get(w)) is None:
                 cache.put(w, term := min((self.vocabulary[t] for t in terms_of(w) if t in self.vocabulary), default=self.rest))
-            found.append(term)
-        return sorted(Counter(found).items())
+            found[term] += n
+        return sorted(found.items())
 
     def share(self, rows: np.ndarray, near: np.ndarray, strength: float) -> float:
         """The part of the votes that is for label 1, with ``strength`` votes for the prior."""
         vote = near * self.class_weight[rows]
         return (float(vote @ self.labels[rows]) + strength * self.prior) / (float(vote.sum()) + strength)
 
-    def share_without(self, terms: list[int], tf: list[int], label: int, k: int, strength: float) -> float:
-        """The same for an example, as if it weren't one."""
-        rows, near = self.nearest(terms, tf, k + 1)
-        own = np.flatnonzero((near > 1 - 1e-9) & (self.labels[rows] == label))[:1]
-        return self.share(np.delete(rows, own)[:k], np.delete(near, own)[:k], strength)
+    def shares_without(self, vectors: list[list[tuple[int, int]]], labels: list[int], k: int, strength: float) -> list[float]:
+        """The same for examples, each as if it weren't one."""
+        out = []
+        for label, (rows, near) in zip(labels, self.nearest_many(vectors, k + 1)):
+            own = np.flatnonzero((near > 1 - 1e-9) & (self.labels[rows] == label))[:1]
+            out.append(self.share(np.delete(rows, own)[:k], np.delete(near, own)[:k], strength))
+        return out
 
-    def score(self, text: str | None, k: int, strength: float) -> tuple[float, list[int], list[float], list[str]]:
+    def scores(self, texts: list[str | None], k: int, strength: float) -> list[tuple[float, list[int], list[float], list[str]]]:
         """Score, neighbours, their cosines, and the text's vocabulary terms."""
-        found = self.counted(text)
-        if not found:
-            return self.prior, [], [], []
-        terms = [t for t, _ in found]
-        if terms == [self.rest] and self.plain is not None:
-            return self.plain
-        rows, near = self.nearest(terms, [n for _, n in found], k)
+        each = [self.counted(t) for t in texts]
+        # Texts without a term all have one direction, however long they are.
+        lines = [[(self.rest, 1)] if len(v) == 1 and v[0][0] == self.rest else v for v in each]
+        distinct = list({tuple(v): None for v in lines if v})
         slope, shift = self.curve
-        out = expit(slope * logit(self.share(rows, near, strength)) + shift), [self.ids[r] for r in rows], [round(float(x), 6) for x in near], [self.names[t] for t in terms if t != self.rest]
-        if terms == [self.rest]:  # one direction, however long the text
-            self.plain = out
-        return out
+        known = {}
+        for v, (rows, near) in zip(distinct, self.nearest_many([list(v) for v in distinct], k)):
+            score = expit(slope * logit(self.share(rows, near, strength)) + shift)
+            known[v] = score, [self.ids[r] for r in rows], [round(float(x), 6) for x in near], [self.names[t] for t, _ in v if t != self.rest]
+        return [known[tuple(v)] if v else (self.prior, [], [], []) for v in lines]
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, per_class: int, min_df: int, min_chi2: float, block: int, k: int, strength: float) -> Index:
@@ -272,7 +304,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, lab
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             y = batch.column("y").to_pylist()
-            odds = [logit(given.value.share_without(t, n, label, k, strength)) for t, n, label in zip(batch.column("terms").to_pylist(), batch.column("tf").to_pylist(), y)]
+            vectors = [list(zip(t, n)) for t, n in zip(batch.column("terms").to_pylist(), batch.column("tf").to_pylist())]
+            odds = [logit(x) for x in given.value.shares_without(vectors, y, k, strength)]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(odds, pa.float64())], names=["y", "odds"])
 
     # What the others say of each example, in groups of equal ones: no more rows than examples.
@@ -305,7 +338,7 @@ def toxicity(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = given.value
         for batch in slices(batches, text_col):
-            found = [index.score(t, k, strength) for t in batch.column(text_col).to_pylist()]
+            found = index.scores(batch.column(text_col).to_pylist(), k, strength)
             types = (pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.string()))
             columns = [pa.array([x[i] for x in found], t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), *columns], names=[id_col, "score", "neighbours", "cosines", "terms"])
