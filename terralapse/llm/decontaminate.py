@@ -13,7 +13,9 @@ whose Jaccard similarity is near 0.) Documents too small for an item are passed
 
 Candidates are then verified by counting shared shingles as strings. Everything is
 built from Spark's own functions. The sketches are broadcast if they have at most
-``max_broadcast`` rows, and joined by a shuffle beyond that; so are the candidates.
+``max_broadcast`` rows, and joined by a shuffle beyond that; so are the candidates. The items'
+shingles are broadcast if they also have at most ``max_bytes``. An item of fewer than
+``width`` words is one shingle, so only a document that equals it has it inside.
 
 Null and empty texts, of items or documents, match nothing. Repeated items count once;
 repeated documents give the same rows, once for each (id, item). Further columns of the inputs
@@ -72,6 +74,7 @@ def contained(
     width: int = 5,
     threshold: float = 0.75,
     max_broadcast: int = 200_000,
+    max_bytes: int = 64 << 20,
 ) -> DataFrame:
     """(id, item, ``n_shared``, ``n_item``, ``containment``): one row per document and item inside it."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -87,10 +90,10 @@ def contained(
     ids = found.select("id").distinct()
     again = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
     theirs = shingles(again, width).select("id", "h", as_string(width).alias("s"))
-    own = shingles(items.select(F.col("item_id").alias("id"), "text"), width).select(F.col("id").alias("item_id"), "h", as_string(width).alias("s")).distinct()
+    own = stored(shingles(items.select(F.col("item_id").alias("id"), "text"), width).select(F.col("id").alias("item_id"), "h", as_string(width).alias("s")).distinct(), "item-shingles")
+    own_bytes = own.agg(F.sum(F.octet_length("s") + 32)).first()[0] or 0
     sizes = own.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item"))
-    # Items have few times as many shingles as their sketches.
-    shared = theirs.join(F.broadcast(own) if small else own, ["h", "s"]).select("id", "item_id", "s").distinct()
+    shared = theirs.join(F.broadcast(own) if small and own_bytes <= max_bytes else own, ["h", "s"]).select("id", "item_id", "s").distinct()
     counts = shared.groupBy("id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"))
     return (
         counts.join(F.broadcast(sizes) if small else sizes, "item_id")

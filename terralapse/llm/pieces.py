@@ -15,6 +15,8 @@ worker keeps the parts met lately. In each Arrow batch, all parts that the cache
 lacked go through the sentencepiece library too, and a difference fails the task.
 Vocabularies for which the cut would be wrong are encoded whole.
 
+Vocabularies must have the space mark and a piece for every byte; others are refused.
+
 Null text counts as empty: no ids, and the empty string comes back. Repeated rows
 are encoded one by one. Further columns of the input are ignored, so their names
 can't clash. An empty table gives an empty result.
@@ -54,6 +56,8 @@ class Vocabulary:
         # One object each, however often the cache holds it.
         self.digits, self.numbers = [str(i) for i, _ in pieces], [i for i, _ in pieces]
         self.bytes = {int(p[3:5], 16): i for i, p in pieces if model.is_byte(i)}
+        if SPACE not in self.ids or len(self.bytes) < 256:
+            raise ValueError(f"{path} lacks the space mark or pieces for bytes")
         joined = "".join(p for p in self.ids if len(p) > 1)
         # Line ends and tabs stand alone if no longer piece has them.
         alone = "".join(c for c in "\n\t\r" if c not in joined)
