@@ -81,4 +81,4 @@ def labelled(cells: DataFrame, *, same_value: bool, tile: int = 256) -> tuple[Da
     merged = components(seams, "a", "b", "patch-seams").withColumnRenamed("node", "label")
     sums = local.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("value"))
     parts = sums.join(merged, "label", "left").select("label", F.coalesce("component", "label").alias("patch"), "n", "value")
-    return local, stored(parts, "patch-parts")
+    return local, parts

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralapse.grid import GridSpec, check_crs, check_patch_area, check_unit
-from terralapse.operators.patches import labelled
+from terralapse.operators.patches import FAR, labelled
 from terralapse.operators.summarize import percent
 from terralapse.plans.storage import stored
 
@@ -140,16 +140,17 @@ def patch_cells(found: Transition, **options) -> DataFrame:
     return cells_of(*patch_parts(found, **options))
 
 
-def numbered(patches: DataFrame, by: str) -> DataFrame:
-    """Dense numbers from 1 in the order of a column, without bringing all rows to one task.
+def numbered(patches: DataFrame, by: str, rows: int = 64) -> DataFrame:
+    """Dense numbers from 1 in the order of a column of cell numbers, without bringing all rows to one task.
 
-    Rows are sorted by range; each range's count gives where the next one starts. The counts
-    are a row per partition.
+    Patches are numbered within bands of ``rows`` rows of cells; the bands' counts, one row
+    each, give where every band starts.
     """
-    ordered = stored(patches.repartitionByRange(by).sortWithinPartitions(by).withColumn("part", F.spark_partition_id()), "patch-order")
-    starts = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("k")).withColumn("before", F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    inside = ordered.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy(by)))
-    return inside.join(F.broadcast(starts.select("part", F.coalesce("before", F.lit(0)).alias("before"))), "part").withColumn("patch_id", (F.col("before") + F.col("i")).cast("int")).drop("part", "before", "i")
+    banded = patches.withColumn("band", F.floor(F.col(by) / F.lit(FAR * rows)))
+    counts = banded.groupBy("band").agg(F.count(F.lit(1)).alias("k"))
+    starts = counts.select("band", F.coalesce(F.sum("k").over(Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = banded.withColumn("i", F.row_number().over(Window.partitionBy("band").orderBy(by)))
+    return inside.join(F.broadcast(starts), "band").withColumn("patch_id", (F.col("before") + F.col("i")).cast("int")).drop("band", "before", "i")
 
 
 def patches(found: Transition, table: DataFrame, **options) -> DataFrame:
@@ -166,7 +167,7 @@ def patch_table(found: Transition, whole: DataFrame, table: DataFrame) -> DataFr
 def patches_and_runs(found: Transition, table: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     """The patches and their runs of cells, of one labelling."""
     local, parts, whole = patch_parts(found, **options)
-    whole = stored(whole, "patches")
+    whole = stored(whole, "numbered")
     return patch_table(found, whole, table), runs(cells_of(local, parts, whole))
 
 
