@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from terralapse.functions.indices import index_expr, index_roles, resolve, scaled
-from terralapse.operators.breaks import break_monitor, cadence_frequency, design, last_segment, monitor, stable_since
+from terralapse.operators.breaks import CRITICAL, break_monitor, cadence_frequency, critical, design, last_segment, monitor, simulated, stable_since
 from terralapse.operators.trend import trend
 from terralapse.sources import cube
 
@@ -115,3 +115,20 @@ def test_zero_denominator_and_spine(spark):
     pixels = spark.createDataFrame([("a", dt.date(2018, 1, 5), 0, 0, 0, 0, 4), ("b", dt.date(2018, 4, 5), 0, 0, 100, 300, 4)], "scene_id string, scene_date date, row int, col int, B04 int, B08 int, SCL int")
     got = cube.index_stack(pixels, "ndvi").orderBy("t").collect()
     assert [r.y for r in got] == [None, None, None, pytest.approx(0.5)] and got[1].t == dt.date(2018, 2, 1)
+
+
+def test_critical_values():
+    """Known levels, levels between, and the simulation that they come from."""
+    assert critical(0.05) == CRITICAL[0.05] and CRITICAL[0.075] > critical(0.09) > CRITICAL[0.1]
+    assert sorted(CRITICAL.values(), reverse=True) == [CRITICAL[k] for k in sorted(CRITICAL)]
+    for wrong in (0.0001, 0.6, 0, True, "0.05"):
+        with pytest.raises(ValueError, match="level"):
+            critical(wrong)
+    assert simulated([0.05], 4000)[0] == pytest.approx(CRITICAL[0.05], abs=0.04)
+
+
+def test_last_segment_finds_the_jump():
+    rng = np.random.default_rng(8)
+    time = 2018 + np.arange(48) / 12
+    y = 0.5 + 0.1 * np.sin(2 * np.pi * time) + rng.normal(0, 0.01, 48) + np.where(np.arange(48) >= 20, 0.4, 0.0)
+    assert abs(last_segment(design(time, 12, 1), y) - 20) <= 1 and last_segment(design(time, 12, 1), y - np.where(np.arange(48) >= 20, 0.4, 0.0)) == 0
