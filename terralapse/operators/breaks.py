@@ -34,7 +34,7 @@ def critical(level: float) -> float:
 
 
 def simulated(levels: list[float], paths: int, steps: int = 400, period: int = 10, seed: int = 1) -> list[float]:
-    """Critical values at some levels by paths of the limit process: moving increments of a Brownian motion less its drift over the history, against the boundary."""
+    """Critical values at some levels by paths of the limit process: moving increments of a Brownian motion less its rise over the history, against the boundary."""
     rng, width, most = np.random.default_rng(seed), int(WINDOW * steps), []
     time = np.arange(steps + 1, period * steps + 1) / steps
     shape = np.sqrt(2 * np.where(time > np.e, np.log(time), 1.0))
