@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralapse.llm import decontaminate, lang_id, ngram_join, pieces, quality, repeats, token_counts, toxicity, url_filter, warc
+from terralapse.llm import decontaminate, lang_id, ngram_join, pieces, prefix_trie, quality, repeats, token_counts, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,9 +73,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+NUMBERED = (op1_quality, op2_warc, op3_ngram_join, op4_toxicity, op5_url_filter, op6_language, op7_sentencepiece, op8_repeats, op9_token_counts, op10_decontaminate, op11_prefix_trie)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_warc, op3_ngram_join, op4_toxicity, op5_url_filter, op6_language, op7_sentencepiece, op8_repeats, op9_token_counts, op10_decontaminate)}
+    return {f.__name__: f for f in NUMBERED}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": quality.ORACLE, "op2_warc": warc.ORACLE, "op3_ngram_join": ngram_join.ORACLE, "op8_repeats": repeats.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
+    return {"op1_quality": quality.ORACLE, "op2_warc": warc.ORACLE, "op3_ngram_join": ngram_join.ORACLE, "op8_repeats": repeats.ORACLE, "op10_decontaminate": decontaminate.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE}
