@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralapse.llm import decontaminate, lang_id, ngram_join, pieces, prefix_trie, quality, repeats, token_counts, toxicity, url_filter, warc
+from terralapse.llm import align, decontaminate, lang_id, ngram_join, pieces, prefix_trie, quality, repeats, token_counts, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,7 +77,12 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
-NUMBERED = (op1_quality, op2_warc, op3_ngram_join, op4_toxicity, op5_url_filter, op6_language, op7_sentencepiece, op8_repeats, op9_token_counts, op10_decontaminate, op11_prefix_trie)
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align.align(table(spark, sf_dir, "documents"), *paths).documents
+
+
+NUMBERED = (op1_quality, op2_warc, op3_ngram_join, op4_toxicity, op5_url_filter, op6_language, op7_sentencepiece, op8_repeats, op9_token_counts, op10_decontaminate, op11_prefix_trie, op12_align)
 
 
 def queries() -> dict:
