@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralapse.llm import align, decontaminate, lang_id, ngram_join, pieces, prefix_trie, quality, repeats, token_counts, toxicity, url_filter, warc
+from terralapse.llm import align, decontaminate, lang_id, ngram_join, packing, pieces, prefix_trie, quality, repeats, token_counts, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,7 +82,11 @@ def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(table(spark, sf_dir, "documents"), *paths).documents
 
 
-NUMBERED = (op1_quality, op2_warc, op3_ngram_join, op4_toxicity, op5_url_filter, op6_language, op7_sentencepiece, op8_repeats, op9_token_counts, op10_decontaminate, op11_prefix_trie, op12_align)
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+NUMBERED = (op1_quality, op2_warc, op3_ngram_join, op4_toxicity, op5_url_filter, op6_language, op7_sentencepiece, op8_repeats, op9_token_counts, op10_decontaminate, op11_prefix_trie, op12_align, op13_packing)
 
 
 def queries() -> dict:
