@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next one's docs. All but the last return the columns of documents.
 
-Every stage keeps all columns of its input, however they are named. Repeated rows meet the
+Every stage keeps all columns of its input, however they are named (but names that differ from
+``doc_id`` or ``text`` by case alone, which Spark can't tell apart). Repeated rows meet the
 same fate. A row without an id can't be named as dropped, so it stays (its text is cut like
 others); null and empty texts are rejected by the first stage, as no language is told, and
 stay in the others. An empty table gives an empty one.
@@ -30,7 +31,9 @@ CACHE_ENTRIES = 1 << 18
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents whose id isn't among ``ids``, which are broadcast only if they are few."""
     ids = stored(ids.select("doc_id").distinct(), "dropped")
-    return docs.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids, "doc_id", "left_anti").select(docs.columns)
+    ids = F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids
+    # By a condition, so that all columns stay in their order and none needs to be named.
+    return docs.join(ids, docs["doc_id"] == ids["doc_id"], "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +52,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without what an earlier document has too. A character that loses some of its bytes goes as a whole."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     # In one column and by number, so that no name can clash.
-    row = [F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest))).alias("row")] if rest else []
+    row = [F.struct(*(F.col(f"`{c.replace('`', '``')}`").alias(f"c{i}") for i, c in enumerate(rest))).alias("row")] if rest else []
     found = repeats.without_repeats(docs.select("doc_id", "text", *row), carry=("row",) if rest else (), as_text=True)
     own = {c: F.col("row")[f"c{i}"] for i, c in enumerate(rest)} | {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return found.select(*(own[c].alias(c) for c in docs.columns))

@@ -70,7 +70,7 @@ def test_stages_on_odd_tables(spark):
     long = " ".join(r.text for r in base.collect() if r.text) * 4
     odd = [(9_000_001, None, None, None, None), (9_000_002, "", "en", "s", 0), (9_000_003, long, "en", "s", len(long)), (9_000_003, long, "en", "s", len(long)), (None, "one two three", "de", None, 13), (None, None, None, None, None)]
     docs = base.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long"))
-    docs = docs.withColumn("row", F.lit("x")).withColumn("kept", F.col("n_chars"))
+    docs = docs.withColumn("row", F.lit("x")).withColumn("kept", F.col("n_chars")).withColumn("a.b", F.lit(1)).withColumn("c`d", F.lit(2))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns
