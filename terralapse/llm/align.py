@@ -11,9 +11,8 @@ most frequent pairs (``frequent``, a tier and no cut), and what that lacks in a
 A pair outside the tier is rare, so no key of that join is hot.
 
 Tokenizer A is a byte-level one of the tokenizers library, B a SentencePiece model with byte
-pieces that puts a space before each text; A gets that space too. Texts are cut where no token
-of either can cross (before a space that follows another character), and each
-worker keeps the parts met lately.
+pieces that puts a space before each text; A gets that space too. For B, texts are cut where no token
+can cross (before a space that follows another character), and each worker keeps the words met lately.
 
 Defined cases: texts that are null or empty, or whose token bytes aren't those of the text after a space,
 have no tokens, zeros and an empty ``groups``. Repeated rows are documents of their own.
@@ -24,7 +23,7 @@ from __future__ import annotations
 
 import json
 import os
-import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -41,46 +40,26 @@ from terralapse.llm import pieces
 from terralapse.llm._arrow import Recent, slices, small_batches
 from terralapse.plans.storage import stored
 
-#: Before a space or a line end that follows no white space of any kind, every pattern of byte-level tokenizers ends a word.
-CUT = re.compile(r"\s*\S+(?:(?![ \n])\s+(?:\S+|$))*|\s+")
 ROW_BITS = 40
+#: Stands before parts that aren't words; no character.
+WHOLE = "\ufffe"
+#: Fixed value: how byte-level tokenizers of the library cut a text into words.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Encoder:
-    """Ids of texts by way of their parts; ``entries``: the bytes of each id."""
+    """Ids of texts; ``entries``: the bytes of each id."""
 
-    def __init__(self, entries: list[bytes], cache_entries: int):
-        self.entries, self.cache, self.odd = entries, Recent(cache_entries), False
+    def __init__(self, entries: list[bytes]):
+        self.entries = entries
         self.sizes = np.array([len(e) for e in entries], np.int32)
 
-    def parts(self, text: str) -> list[str]:
-        raise NotImplementedError
-
-    def encoded(self, parts: list[str]) -> list[list[int]]:
-        raise NotImplementedError
-
-    def given(self, part: str) -> bytes:
-        """The bytes that the ids of a part should have."""
-        raise NotImplementedError
-
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        get = self.cache.young.get
-        split = [self.parts(t) for t in texts]
-        found = [list(map(get, parts)) for parts in split]
-        missing = {p for parts, ids in zip(split, found) if None in ids for p, i in zip(parts, ids) if i is None}
-        known = {p: ids for p in missing if (ids := self.cache.get(p)) is not None}
-        if ask := [p for p in missing if p not in known]:
-            for part, ids in zip(ask, self.encoded(ask)):
-                if not self.odd and b"".join([self.entries[i] for i in ids]) != self.given(part):
-                    self.odd = True
-                known[part] = packed = np.array(ids, np.int32).tobytes()
-                if len(part) <= 64:
-                    self.cache.put(part, packed)
-        return [np.frombuffer(b"".join([known[p] if i is None else i for p, i in zip(parts, ids)] if None in ids else ids), np.int32) for parts, ids in zip(split, found)]
+        raise NotImplementedError
 
     def is_whole(self, ids: np.ndarray, text: bytes) -> bool:
-        """Whether the bytes of the ids are those of the text after a space; parts were compared when they were met first."""
-        return not self.odd or b"".join([self.entries[i] for i in ids.tolist()]) == b" " + text
+        """Whether the bytes of the ids are those of the text after a space."""
+        return b"".join(map(self.entries.__getitem__, ids.tolist())) == b" " + text
 
 
 def byte_letters() -> dict[str, int]:
@@ -91,62 +70,99 @@ def byte_letters() -> dict[str, int]:
 
 
 class ByteLevel(Encoder):
-    def __init__(self, path: str, cache_entries: int):
+    """A byte-level tokenizer of the tokenizers library; where its file allows, tiktoken does the work on the same vocabulary.
+
+    That needs an own ``normalizer`` of none, words cut by WORDS, and ids in the order of merges (checked).
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        said = json.loads(self.library.to_str())
+        split, model = said["pre_tokenizer"] or {}, said["model"]
+        if split.get("type") != "ByteLevel":
+            raise ValueError(f"{path}: not a byte-level tokenizer")
         letters = byte_letters()
         words = self.library.get_vocab(with_added_tokens=True)
         entries = [b""] * (max(words.values()) + 1)
         for word, i in words.items():
             entries[i] = bytes(letters[c] for c in word) if all(c in letters for c in word) else word.encode()
-        super().__init__(entries, cache_entries)
-        said = json.loads(self.library.to_str())
-        split = said["pre_tokenizer"] or {}
-        if split.get("type") != "ByteLevel":
-            raise ValueError(f"{path}: not a byte-level tokenizer")
-        self.cut = split.get("use_regex") and not split.get("add_prefix_space") and not said["normalizer"]
+        super().__init__(entries)
+        vocabulary = model["vocab"]
+        made = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        singles = [vocabulary[c] for c in letters]
+        plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        self.fast = None
+        if plain and split.get("use_regex") and not split.get("add_prefix_space") and not said["normalizer"] and made == sorted(set(made)) and max(singles) < made[0]:
+            from tiktoken import Encoding
 
-    def parts(self, text: str) -> list[str]:
-        return CUT.findall(" " + text) if self.cut else [" " + text]
+            self.fast = Encoding("own", pat_str=WORDS, mergeable_ranks={entries[i]: i for i in [*singles, *made]}, special_tokens={})
 
-    def encoded(self, parts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.library.encode_batch_fast(parts, add_special_tokens=False)]
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [self.one(" " + t) for t in texts]
 
-    def given(self, part: str) -> bytes:
-        return part.encode()
+    def one(self, text: str) -> np.ndarray:
+        if self.fast:
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
+            except ValueError:  # white space too long for its pattern
+                pass
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
 
 
 class Pieces(Encoder):
+    """A SentencePiece model, by way of words: no piece goes on after a space mark that follows another character."""
+
     def __init__(self, path: str, cache_entries: int):
         self.model = pieces.vocabulary(path)
         self.library = library = self.model.library
-        entries = [bytes([int(p[3:5], 16)]) if library.is_byte(i) else p.replace(pieces.SPACE, " ").encode() for i, p in ((i, library.id_to_piece(i)) for i in range(library.vocab_size()))]
-        super().__init__(entries, cache_entries)
-
-    def parts(self, text: str) -> list[str]:
-        return self.model.parts(text) if self.model.cut else [text]
-
-    def encoded(self, parts: list[str]) -> list[list[int]]:
+        super().__init__([bytes([int(p[3:5], 16)]) if library.is_byte(i) else p.replace(pieces.SPACE, " ").encode() for i, p in ((i, library.id_to_piece(i)) for i in range(library.vocab_size()))])
+        self.cache, self.odd = Recent(cache_entries), False
+        # Where line ends stand alone, words end before them too.
+        self.lines = self.model.cut is not None and not any("\n" in p and len(p) > 1 for p in self.model.ids)
+
+    def words(self, text: str) -> list[str]:
+        """Parts of a text: words that a space precedes, lines' first words after their line end, or (after WHOLE) parts as they are."""
+        if self.lines and not (text[:1] in " \n" or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text or pieces.SPACE in text or WHOLE in text):
+            return text.replace("\n", " \n").split(" ")
+        return [WHOLE + p for p in self.model.parts(text)] if self.model.cut else [text]
+
+    def encoded(self, words: list[str]) -> list[list[int]]:
         if not self.model.cut:
-            return self.library.encode(parts, num_threads=1)
+            return self.library.encode(words, num_threads=1)
         # A line end first keeps the library's own mark apart from the part.
-        return [ids[2:] for ids in self.library.encode(["\n" + p for p in parts], num_threads=1)]
-
-    def given(self, part: str) -> bytes:
-        # A mark may stand for a space or for itself: only the whole text tells.
-        return part.replace(pieces.SPACE, " ").encode() if self.model.cut else b" " + part.encode()
+        marked = ["\n" + w[1:] if w[0] == WHOLE else "\n" + w if w[0] == "\n" else "\n▁" + w for w in words]
+        found = [ids[2:] for ids in self.library.encode(marked, num_threads=1)]
+        plain = "".join(marked).replace("\n", "").replace(pieces.SPACE, " ").encode()
+        self.odd = self.odd or b"".join([self.entries[i] for ids in found for i in ids]).replace(b"\n", b"") != plain
+        return found
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        self.odd = self.odd or any(pieces.SPACE in t for t in texts)
-        return super().ids(texts)
+        self.odd = self.odd or not self.model.cut or any(pieces.SPACE in t for t in texts)
+        young, old, size = self.cache.young, self.cache.old, self.cache.size
+        split = [self.words(t) if t else [] for t in texts]
+        found = [list(map(young.get, words)) for words in split]
+        missing = {w for words, ids in zip(split, found) if None in ids for w, i in zip(words, ids) if i is None}
+        known = {w: ids for w in missing if (ids := old.get(w)) is not None}
+        if ask := [w for w in missing if w not in known]:
+            known |= zip(ask, [array("i", ids).tobytes() for ids in self.encoded(ask)])
+        out = [np.frombuffer(b"".join([known[w] if i is None else i for w, i in zip(words, ids)] if None in ids else ids), np.int32) for words, ids in zip(split, found)]
+        young.update((w, ids) for w, ids in known.items() if len(w) <= 64)
+        if len(young) >= size:
+            self.cache.young, self.cache.old = {}, young
+        return out
+
+    def is_whole(self, ids: np.ndarray, text: bytes) -> bool:
+        # Words were compared when they were met first.
+        return not self.odd or super().is_whole(ids, text)
 
 
 @lru_cache(maxsize=2)
 def encoders(a_path: str, b_path: str, cache_entries: int) -> tuple[ByteLevel, Pieces]:
-    return ByteLevel(a_path, cache_entries), Pieces(b_path, cache_entries)
+    return ByteLevel(a_path), Pieces(b_path, cache_entries)
 
 
 @lru_cache(maxsize=1)
@@ -163,59 +179,68 @@ def intervals(ids: list[np.ndarray], sizes: np.ndarray) -> pa.Table:
 
 
 #: Texts end where both tokenizers end a token, so groups never cross them and one number serves the whole batch.
+#: Tokens of long groups are counted by id before they are paired; short groups, nearly all, are paired as they are.
 STEPS = (
-    "CREATE OR REPLACE TEMP TABLE cuts AS SELECT a.e FROM a ASOF JOIN b ON a.e >= b.e WHERE a.e = b.e",
-    "CREATE OR REPLACE TEMP TABLE groups AS SELECT e - coalesce(e - lag(e) OVER seen, e) AS s, e, CAST(sum(1) OVER seen AS INTEGER) AS g FROM cuts WINDOW seen AS (ORDER BY e)",
-    "CREATE OR REPLACE TEMP TABLE ga AS SELECT a.doc, a.id, a.s, g.g FROM a ASOF JOIN groups g ON a.s >= g.s",
-    "CREATE OR REPLACE TEMP TABLE gb AS SELECT b.doc, b.id, b.s, g.g FROM b ASOF JOIN groups g ON b.s >= g.s",
-    "CREATE OR REPLACE TEMP TABLE links AS SELECT doc, x.id AS a, y.id AS b, CAST(sum(x.n * y.n) AS BIGINT) AS n"
-    " FROM (SELECT doc, g, id, count(*) AS n FROM ga GROUP BY ALL) x JOIN (SELECT g, id, count(*) AS n FROM gb GROUP BY ALL) y ON x.g = y.g GROUP BY ALL",
+    "CREATE OR REPLACE TEMP TABLE cuts AS SELECT a.doc, a.e FROM a ASOF JOIN b ON a.e >= b.e WHERE a.e = b.e",
+    "CREATE OR REPLACE TEMP TABLE groups AS SELECT doc, e - coalesce(e - lag(e) OVER seen, e) AS s, e, CAST(sum(1) OVER seen AS INTEGER) AS g FROM cuts WINDOW seen AS (ORDER BY e)",
+    "CREATE OR REPLACE TEMP TABLE ga AS SELECT g.doc, g.g, a.id, g.e - g.s > 64 AS long FROM a ASOF JOIN groups g ON a.s >= g.s",
+    "CREATE OR REPLACE TEMP TABLE gb AS SELECT g.g, b.id, g.e - g.s > 64 AS long FROM b ASOF JOIN groups g ON b.s >= g.s",
+    "CREATE OR REPLACE TEMP TABLE links AS SELECT doc, a, b, CAST(sum(n) AS BIGINT) AS n FROM ("
+    " SELECT x.doc, x.id AS a, y.id AS b, 1 AS n FROM ga x JOIN gb y ON x.g = y.g WHERE NOT x.long AND NOT y.long"
+    " UNION ALL SELECT x.doc, x.id, y.id, x.n * y.n FROM (SELECT doc, g, id, count(*) AS n FROM ga WHERE long GROUP BY ALL) x"
+    " JOIN (SELECT g, id, count(*) AS n FROM gb WHERE long GROUP BY ALL) y ON x.g = y.g) GROUP BY ALL",
 )
 
 
-def shown(doc_a, ids_a, groups_a, ids_b, groups_b, docs: int, table: tuple[list[str], int]) -> list[str]:
-    """Each text's groups: `a1,a2|b1;a3|b2,b3`."""
+def shown(a: pa.Table, b: pa.Table, ends: np.ndarray, docs: int, table: tuple[list[str], int]) -> list[str]:
+    """Each text's groups: `a1,a2|b1;a3|b2,b3`; ``ends`` of all groups, in order."""
     words, width = table
-    first_a = np.diff(groups_a, prepend=-1) != 0
-    first_b = np.diff(groups_b, prepend=-1) != 0
-    order = np.argsort(np.concatenate([groups_a * 2, groups_b * 2 + 1]), kind="stable")
-    index = np.concatenate([ids_a + width * first_a, ids_b + 2 * width * first_b])[order].tolist()
-    firsts = np.searchsorted(doc_a, np.arange(docs + 1))
-    # Tokens before a text's first one: those of A before it, and those of B in earlier groups.
-    at = [int(k) + int(np.searchsorted(groups_b, groups_a[k])) if k < len(groups_a) else len(index) for k in firsts]
+    (doc_a, ids_a, group_a), (doc_b, ids_b, group_b) = ((t["doc"].to_numpy(), t["id"].to_numpy(), np.searchsorted(ends, t["e"].to_numpy())) for t in (a, b))
+    first_a, first_b = np.diff(group_a, prepend=-1) != 0, np.diff(group_b, prepend=-1) != 0
+    # Both sides come in order: a token's place is its own number and that of the other side's tokens before it.
+    place_a = np.arange(len(ids_a)) + np.searchsorted(group_b, group_a, "left")
+    place_b = np.arange(len(ids_b)) + np.searchsorted(group_a, group_b, "right")
+    index = np.empty(len(ids_a) + len(ids_b), np.int64)
+    index[place_a], index[place_b] = ids_a + width * first_a, ids_b + 2 * width * first_b
+    every = np.arange(docs + 1)
+    at = np.searchsorted(doc_a, every) + np.searchsorted(doc_b, every)
+    index = index.tolist()
     return ["".join(map(words.__getitem__, index[i:j]))[1:] for i, j in zip(at, at[1:])]
 
 
 DOCUMENT = "row long, n_a long, n_b long, n_groups long, n_links long, groups string, groups_sha256 string, partial boolean, a array<int>, b array<int>, n array<long>"
 
 
-def aligned_batch(texts: list[str | None], a: Encoder, b: Encoder, table, keep_groups: bool) -> tuple[dict[str, list], tuple[list, list, list]]:
+def aligned_batch(texts: list[str | None], a: Encoder, b: Encoder, table, keep_groups: bool) -> tuple[dict, tuple]:
     """Columns of DOCUMENT for each text, and the batch's pairs with their numbers of documents."""
     told = [t or "" for t in texts]
     ids_a, ids_b = a.ids(told), b.ids(told)
     good = [i for i, t in enumerate(told) if t and a.is_whole(ids_a[i], t.encode()) and b.is_whole(ids_b[i], t.encode())]
     ids_a, ids_b = [ids_a[i] for i in good], [ids_b[i] for i in good]
-    con = _database()
-    con.register("a", intervals(ids_a, a.sizes))
-    con.register("b", intervals(ids_b, b.sizes))
+    con, tokens = _database(), [intervals(ids, side.sizes) for ids, side in ((ids_a, a), (ids_b, b))]
+    for side, given in zip("ab", tokens):
+        con.register(side, given)
     for step in STEPS:
         con.execute(step)
-    of_a, of_b = (con.execute(f"SELECT doc, id, g FROM {t} ORDER BY s").fetchnumpy() for t in ("ga", "gb"))
-    text = shown(of_a["doc"], of_a["id"], of_a["g"].astype(np.int64), of_b["id"], of_b["g"].astype(np.int64), len(good), table)
-    n_groups = con.execute("SELECT doc, count(DISTINCT g) AS n FROM ga GROUP BY doc ORDER BY doc").fetchnumpy()["n"]
-    links = con.execute("SELECT doc, a, b, n FROM links ORDER BY doc, a, b").fetchnumpy()
+    ends = con.execute("SELECT e FROM groups ORDER BY e").fetchnumpy()["e"]
+    counted = con.execute("SELECT doc, count(*) AS n FROM groups GROUP BY doc ORDER BY doc").fetchnumpy()["n"]
+    links = con.sql("SELECT doc, list(a) AS a, list(b) AS b, list(n) AS n, CAST(sum(n) AS BIGINT) AS total FROM links GROUP BY doc ORDER BY doc").to_arrow_table()
     pairs = con.execute("SELECT a, b, count(*) AS n FROM links GROUP BY ALL").fetchnumpy()
-    con.unregister("a")
-    con.unregister("b")
-    at = np.searchsorted(links["doc"], np.arange(len(good) + 1))
-    rows = {c: [0] * len(texts) for c in ("n_a", "n_b", "n_groups", "n_links")} | {c: [""] * len(texts) for c in ("groups", "groups_sha256")} | {c: [[]] * len(texts) for c in ("a", "b", "n")}
-    for k, i in enumerate(good):
-        mine = slice(at[k], at[k + 1])
-        rows["n_a"][i], rows["n_b"][i], rows["n_groups"][i] = len(ids_a[k]), len(ids_b[k]), int(n_groups[k])
-        rows["n_links"][i] = int(links["n"][mine].sum())
+    for side in "ab":
+        con.unregister(side)
+    text = shown(*tokens, ends, len(good), table)
+    none = [0] * len(texts)
+    rows = {c: none.copy() for c in ("n_a", "n_b", "n_groups", "n_links")} | {c: [""] * len(texts) for c in ("groups", "groups_sha256")}
+    for k, (i, total) in enumerate(zip(good, links["total"].to_pylist())):
+        rows["n_a"][i], rows["n_b"][i], rows["n_groups"][i], rows["n_links"][i] = len(ids_a[k]), len(ids_b[k]), int(counted[k]), total
         rows["groups_sha256"][i] = sha256(text[k].encode()).hexdigest()
         rows["groups"][i] = text[k] if keep_groups else None
-        rows["a"][i], rows["b"][i], rows["n"][i] = links["a"][mine], links["b"][mine], links["n"][mine]
+    # Texts without tokens have empty lists among the others.
+    sizes = np.zeros(len(texts), np.int64)
+    lists = {c: links[c].combine_chunks() for c in ("a", "b", "n")}
+    sizes[good] = np.diff(lists["a"].offsets.to_numpy())
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    rows |= {c: pa.ListArray.from_arrays(offsets, x.flatten().cast(pa.int64() if c == "n" else pa.int32())) for c, x in lists.items()}
     return rows, (pairs["a"], pairs["b"], pairs["n"])
 
 
@@ -227,7 +252,7 @@ class Alignment:
     pairs: DataFrame
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id", text_col: str = "text", keep_groups: bool = False, frequent: int = 1 << 18, cache_entries: int = 1 << 18) -> Alignment:
+def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id", text_col: str = "text", keep_groups: bool = False, frequent: int = 1 << 18, cache_entries: int = 1 << 19) -> Alignment:
     spark = docs.sparkSession
     small_batches(spark)
     name = lambda c: F.col(f"`{c.replace('`', '``')}`")
@@ -245,7 +270,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id",
             n = batch.num_rows
             columns |= {"row": list(range(row, row + n)), "partial": [False] * n}
             row += n
-            found = [pa.array(columns[c], t) for c, t in types.items()]
+            found = [columns[c] if isinstance(columns[c], pa.Array) else pa.array(columns[c], t) for c, t in types.items()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *found], names=["id", *types])
             if len(pairs[0]):
                 last = {"partial": [True], "a": [pairs[0]], "b": [pairs[1]], "n": [pairs[2]]}

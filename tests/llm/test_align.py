@@ -87,7 +87,7 @@ def test_odd_tables(spark):
     assert got.columns == ["d.i", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_best", "count_sum"]
     assert sorted((r["d.i"], r.n_a, r.count_sum) for r in got.collect()) == [(None, 0, 0), (None, 2, 4), (None, 2, 4)]
     with pytest.raises(ValueError, match="byte-level"):
-        align.ByteLevel(public_tokenizers.path("word_bpe_49k.json"), 1)
+        align.ByteLevel(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def test_cuts_fuzz():
@@ -95,7 +95,8 @@ def test_cuts_fuzz():
     a, b = align.encoders(A, B, 1 << 12)
     left, right = libraries.cached
     texts = ["".join(rng.choice(LETTERS) for _ in range(rng.randrange(40))) for _ in range(4000)]
-    texts = [t for t in texts if t]
+    texts = [t for t in texts if t] + ["\n\nnext\nline\n", "a\n\nb", "end \nx", "\n", " " * 300_000, "\ufffea b", "-b c", "b -c"]
+    assert a.fast
     for text, x, y in zip(texts, a.ids(texts), b.ids(texts)):
         assert x.tolist() == left.encode(" " + text, add_special_tokens=False).ids, text
         assert y.tolist() == right.encode(text), text
