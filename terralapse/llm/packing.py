@@ -38,8 +38,8 @@ from terralapse.plans.storage import stored
 
 #: Sequences of one task, and how many windows of pieces a task packs apart.
 TASK_BITS = 40
-#: Marks at the end of a word that stand as tokens of their own after such a letter or digit (others may get a mark as they are normalized).
-TAIL = re.compile(r"(?<=[A-Za-z0-9À-ÖØ-öø-ÿ])[.,;:!?]+$")
+#: A mark at the end of a word that stands as a token of its own after such a letter or digit (others may get a mark as they are normalized).
+TAIL = re.compile(rb"[.,;:!?](?=\s|\Z)(?:(?<=[A-Za-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))")
 #: A further deal of as many tasks is made while it saves this share of the sequences.
 WORTH = 0.01
 
@@ -72,42 +72,37 @@ class Words:
 
     def __init__(self, path: str, cache_entries: int):
         self.library, self.cache = _tokenizer(path), Recent(cache_entries)
-        # Where the marks at a word's end are tokens of their own, words are remembered without them.
-        probes = ["word", "élé", "x1", "Abc"]
+        # Where a mark at a word's end is a token of its own and case is nothing, words are remembered without both.
         apart = lambda a, b: self.encoded([a + b])[0] == b"".join(self.encoded([a, b]))
-        self.tails = all(apart(w, m) for w in probes for m in (".", ",", ";", ":", "!", "?", "?!", "..."))
-        self.folds = self.encoded(["Word"]) == self.encoded(["word"]) and self.encoded(["ABC"]) == self.encoded(["abc"])
-
-    def encoded(self, words: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
-
-    def met(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that the cache lacks."""
-        parts: dict[bytes, list[str]] = {}
-        for w in words:
-            word = w.decode("utf-8", "replace")
-            found = TAIL.search(word) if self.tails else None
-            stem, tail = (word[: found.start()], found[0]) if found else (word, "")
-            if self.folds and stem.isascii() and stem.isalpha():
-                stem = stem.lower()
-            parts[w] = [stem, tail] if tail else [stem]
-        known: dict[str, bytes | None] = {p: self.cache.get(p) for ps in parts.values() for p in ps}
-        if ask := [p for p, ids in known.items() if ids is None]:
-            for p, ids in zip(ask, self.encoded(ask)):
-                known[p] = ids
-                if len(p) <= 64:
-                    self.cache.put(p, ids)
-        return {w: b"".join([known[p] for p in ps]) for w, ps in parts.items()}
+        self.tails = all(apart(w, m) for w in (b"word", "élé".encode(), b"x1", b"Abc") for m in (b".", b",", b";", b":", b"!", b"?"))
+        self.folds = self.encoded([b"Word", b"ABC", b"xYz"]) == self.encoded([b"word", b"abc", b"xyz"])
+        self.special = [t.content.encode().lower() for t in self.library.get_added_tokens_decoder().values()]
+
+    def encoded(self, words: list[bytes]) -> list[bytes]:
+        found = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [np.array(x.ids, "<u4").tobytes() for x in found]
+
+    def plain(self, text: bytes) -> bytes:
+        """The text with the same ids whose words are fewer: small letters, and marks apart."""
+        if self.folds:
+            low = text.lower()  # of ASCII alone
+            if not any(t in low for t in self.special):
+                text = low
+        return TAIL.sub(rb" \g<0>", text) if self.tails else text
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        get = self.cache.young.get
-        split = [t.split() for t in texts]
-        found = [list(map(get, words)) for words in split]
-        rest = self.met({w for words, ids in zip(split, found) if None in ids for w, i in zip(words, ids) if i is None})
-        for w, ids in rest.items():
-            if len(w) <= 64:
-                self.cache.put(w, ids)
-        return [b"".join([rest[w] if i is None else i for w, i in zip(words, ids)] if None in ids else ids) for words, ids in zip(split, found)]
+        young, old, size = self.cache.young, self.cache.old, self.cache.size
+        split = [self.plain(t).split() for t in texts]
+        found = [list(map(young.get, words)) for words in split]
+        missing = {w for words, ids in zip(split, found) if None in ids for w, i in zip(words, ids) if i is None}
+        known = {w: ids for w in missing if (ids := old.get(w)) is not None}
+        if ask := [w for w in missing if w not in known]:
+            known |= zip(ask, self.encoded(ask))
+        out = [b"".join([known[w] if i is None else i for w, i in zip(words, ids)] if None in ids else ids) for words, ids in zip(split, found)]
+        young.update((w, ids) for w, ids in known.items() if len(w) <= 64)
+        if len(young) >= size:
+            self.cache.young, self.cache.old = {}, young
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -218,7 +213,7 @@ def pack(
     window: int = 1 << 16,
     fan_in: int = 8,
     per_task: int = 1 << 18,
-    cache_entries: int = 1 << 19,
+    cache_entries: int = 1 << 20,
 ) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
     small_batches(docs.sparkSession)
