@@ -72,6 +72,12 @@ def labelled(cells: DataFrame, *, same_value: bool, tile: int = 256) -> tuple[Da
     tiles = rows.withColumn("tr", spark_tile("row")).withColumn("tc", spark_tile("col"))
     local = stored(tiles.groupBy("tr", "tc").applyInPandas(label, "row int, col int, value long, label long"), "patch-labels")
     at_edge = local.where((F.pmod("row", F.lit(tile)).isin(0, tile - 1)) | (F.pmod("col", F.lit(tile)).isin(0, tile - 1)))
+    sums = local.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("value"))
+    return local, seamed(at_edge, sums, same_value)
+
+
+def seamed(at_edge: DataFrame, sums: DataFrame, same_value: bool) -> DataFrame:
+    """(label, patch, n, value): the patch of each label of (label, n, value), by the cells (row, col, value, label) at the edges of tiles."""
     steps = F.array(*(F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in ((0, 1), (1, -1), (1, 0), (1, 1))))
     mine = at_edge.withColumn("s", F.explode(steps)).select(
         (F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"), F.col("label").alias("a"), F.col("value").alias("va")
@@ -79,6 +85,4 @@ def labelled(cells: DataFrame, *, same_value: bool, tile: int = 256) -> tuple[Da
     met = mine.join(at_edge.select("row", "col", F.col("label").alias("b"), F.col("value").alias("vb")), ["row", "col"]).where(F.col("a") != F.col("b"))
     seams = (met.where("va = vb") if same_value else met).select("a", "b")
     merged = components(seams, "a", "b", "patch-seams").withColumnRenamed("node", "label")
-    sums = local.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("value"))
-    parts = sums.join(merged, "label", "left").select("label", F.coalesce("component", "label").alias("patch"), "n", "value")
-    return local, parts
+    return sums.join(merged, "label", "left").select("label", F.coalesce("component", "label").alias("patch"), "n", "value")

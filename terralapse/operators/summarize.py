@@ -15,9 +15,14 @@ def percent(part: Column, whole: Column) -> Column:
 
 def summarize(cells: DataFrame, grid: GridSpec, table: DataFrame, unit: str = "ha") -> DataFrame:
     """(layer, code, class_name, color, n_cells, area, pct): pct is of the layer's cells that aren't null."""
-    factor = check_unit(unit)
+    check_unit(unit)
     check_crs(grid, "summarize")
-    counts = cells.where(F.col("code").isNotNull()).groupBy("layer", "code").agg(F.count(F.lit(1)).alias("n"))
+    return areas(cells.where(F.col("code").isNotNull()).groupBy("layer", "code").agg(F.count(F.lit(1)).alias("n")), grid, table, unit)
+
+
+def areas(counts: DataFrame, grid: GridSpec, table: DataFrame, unit: str) -> DataFrame:
+    """The summary of (layer, code, n)."""
+    factor = check_unit(unit)
     whole = F.sum("n").over(Window.partitionBy("layer"))
     return counts.withColumn("total", whole).join(F.broadcast(table.select("code", "class_name", "color")), "code", "left").select(
         "layer",

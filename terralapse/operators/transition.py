@@ -12,8 +12,8 @@ from terralapse.operators.patches import FAR, labelled
 from terralapse.operators.summarize import percent
 from terralapse.plans.storage import stored
 
-#: More than any code.
-PAIR = 1 << 31
+#: A pair of codes in one number is from * PAIR + to; more than twice any code, so that codes below 0 do no harm.
+PAIR = 1 << 32
 CELLS = "row int, col int, from_code int, to_code int"
 
 
@@ -30,6 +30,13 @@ class Transition:
     grid: GridSpec
 
 
+def check_layers(rows: DataFrame, *layers: str) -> None:
+    known = {r.layer for r in rows.where(F.col("layer").isin(*layers)).select("layer").distinct().collect()}  # at most as many as asked for
+    for layer in layers:
+        if layer not in known:
+            raise ValueError(f"Layer '{layer}' not found")
+
+
 def pairs(cells: DataFrame, from_layer: str, to_layer: str) -> DataFrame:
     """(row, col, from_code, to_code) where both layers have a code: one aggregate in place of a join."""
     both = cells.where(F.col("layer").isin(from_layer, to_layer)).groupBy("row", "col").agg(
@@ -74,16 +81,15 @@ def transition(
     Class filters come first. Then, with ``patch_area_min`` (square metres), changed cells
     that touch form patches whatever their classes, and smaller patches go; unchanged cells stay.
     """
-    factor = check_unit(unit)
+    check_unit(unit)
     check_patch_area(patch_area_min)
     check_crs(grid, "transition")
     if "layer" not in cells.columns:
         raise ValueError("cells must be a named list of rasters, with a layer column")
-    for layer in (from_layer, to_layer):
-        if cells.where(F.col("layer") == layer).isEmpty():
-            raise ValueError(f"Layer '{layer}' not found")
     found = of_classes(of_classes(pairs(cells, from_layer, to_layer), "from_code", from_class, table), "to_code", to_class, table)
     found = stored(found.withColumn("code", F.col("from_code") * 1000 + F.col("to_code")), "transition")
+    if found.isEmpty():  # the only case in which a layer can be missing
+        check_layers(cells, from_layer, to_layer)
     removed = None
     if patch_area_min:
         local, parts = labelled(pair_values(found.where("from_code <> to_code")), same_value=False, tile=tile)
@@ -96,12 +102,18 @@ def transition(
         removed = None if gone.isEmpty() or kept.isEmpty() else gone
         found = kept
     counts = found.groupBy("from_code", "to_code").agg(F.count(F.lit(1)).alias("n"))
+    return Transition(found, *matrix(counts, grid, table, unit), removed, grid)
+
+
+def matrix(counts: DataFrame, grid: GridSpec, table: DataFrame, unit: str) -> tuple[DataFrame, DataFrame]:
+    """Levels and summary of (from_code, to_code, n)."""
+    factor = check_unit(unit)
     named = labels(counts, table).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(0))))
     summary = named.orderBy(F.desc("n"), "from_code", "to_code").select(
         "from_class", "to_class", F.col("n").cast("int").alias("n_cells"), (F.col("n") * F.lit(grid.cell_area * factor)).alias("area", metadata={"unit": unit}), percent(F.col("n"), F.col("total")).alias("pct")
     )
     levels = named.orderBy("from_code", "to_code").select((F.col("from_code") * 1000 + F.col("to_code")).alias("id"), F.concat("from_class", F.lit(" -> "), "to_class").alias("transition"))
-    return Transition(found, levels, summary, removed, grid)
+    return levels, summary
 
 
 def pair_values(cells: DataFrame) -> DataFrame:
@@ -111,14 +123,15 @@ def pair_values(cells: DataFrame) -> DataFrame:
 
 def of_values(rows: DataFrame) -> DataFrame:
     """Adds the codes of ``pair_values``, and ``code``."""
-    of = {"from_code": F.floor(F.col("value") / F.lit(PAIR)).cast("int"), "to_code": F.pmod("value", F.lit(PAIR)).cast("int")}
+    last = F.pmod(F.col("value") + F.lit(PAIR // 2), F.lit(PAIR)) - F.lit(PAIR // 2)
+    of = {"from_code": F.shiftright(F.col("value") - last, 32).cast("int"), "to_code": last.cast("int")}
     return rows.withColumns(of).withColumn("code", F.col("from_code") * 1000 + F.col("to_code"))
 
 
 def patch_parts(found: Transition, *, changes_only: bool = False, patch_area_min: float | None = None, tile: int = 256) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Cells with labels, the patch of each label, and the patches (patch, patch_id, n, value), numbered in scan order.
 
-    Small patches go after they have been numbered, so that numbers don't depend on the threshold.
+    Small patches go before that, so that numbers are dense.
     """
     check_patch_area(patch_area_min)
     check_crs(found.grid, "patch_cells")
@@ -126,8 +139,9 @@ def patch_parts(found: Transition, *, changes_only: bool = False, patch_area_min
         raise ValueError("changes_only must be one logical value")
     rows = found.cells.where("from_code <> to_code") if changes_only else found.cells
     local, parts = labelled(pair_values(rows), same_value=True, tile=tile)
-    whole = numbered(stored(parts.groupBy("patch").agg(F.sum("n").alias("n"), F.min("value").alias("value")), "patches"), "patch")
-    return local, parts, whole.where(F.col("n") * found.grid.cell_area >= patch_area_min) if patch_area_min else whole
+    whole = parts.groupBy("patch").agg(F.sum("n").alias("n"), F.min("value").alias("value"))
+    whole = whole.where(F.col("n") * found.grid.cell_area >= patch_area_min) if patch_area_min else whole
+    return local, parts, numbered(stored(whole, "patches"), "patch")
 
 
 def cells_of(local: DataFrame, parts: DataFrame, whole: DataFrame) -> DataFrame:

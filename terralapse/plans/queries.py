@@ -13,6 +13,7 @@ from terralapse.functions.indices import index_table
 from terralapse.grid import GridSpec
 from terralapse.mapspec import legend, rgb
 from terralapse.operators import attribute as at
+from terralapse.operators import blocks as bl
 from terralapse.operators.breaks import break_monitor
 from terralapse.operators.classify import classify, remap_classes
 from terralapse.operators.consensus import consensus, consensus_levels
@@ -20,6 +21,7 @@ from terralapse.operators.summarize import net_change, summarize
 from terralapse.operators.transition import Transition, compared, patch_cells, patches, patches_and_runs, regrouped, runs, transition
 from terralapse.operators.trend import trend
 from terralapse.plans.panels import GRID, PANEL_SQL, SCENE_GRID, SCENES_SQL, class_panel, scenes
+from terralapse.plans.storage import stored
 from terralapse.sources.catalog import search
 from terralapse.sources.classes import CLASSES, ITEMS_SCHEMA, class_table, classes_of_items
 from terralapse.sources.config import SOURCES
@@ -204,7 +206,7 @@ def patch_filter_comparison(spark, sf):
 def patches_sql(where: str, least: int = 0) -> str:
     return f"""{BASE}, {FOUND}, {patch_sql(f'SELECT {ID} AS id, "row", col, f * 1000 + t AS v FROM found WHERE {where}', "AND a.v = b.v")},
   p AS (SELECT label, count(*) AS n, any_value(v) AS v FROM lab JOIN nodes USING (id) GROUP BY 1),
-  num AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (ORDER BY label) AS INTEGER) AS patch_id FROM p) WHERE n * 100.0 >= {least}),
+  num AS (SELECT *, CAST(row_number() OVER (ORDER BY label) AS INTEGER) AS patch_id FROM p WHERE n * 100.0 >= {least}),
   out AS (SELECT patch_id, coalesce(a.class_name, 'NA') || ' -> ' || coalesce(b.class_name, 'NA') AS transition, n * CAST(0.01 AS DOUBLE) AS area_ha, CAST(n AS INTEGER) AS n_cells
     FROM num LEFT JOIN ct a ON a.code = v // 1000 LEFT JOIN ct b ON b.code = v % 1000),
   cells AS (SELECT patch_id, "row", col FROM num JOIN lab USING (label) JOIN nodes USING (id))"""
@@ -247,6 +249,45 @@ def patch_outlines(spark, sf):
     return rings.select("patch_id", add(F.transform("geometry", lambda r: F.size(r) - 1), 0).cast("long").alias("n_corners"), F.round(F.abs(add(F.transform("geometry", twice), 0.0)) / 2, 3).alias("area"))
 
 
+# The same on blocks of 64 x 64 cells
+
+
+def panel_blocks(spark, sf, years: list[int] | None = None) -> DataFrame:
+    return stored(bl.blocks(class_panel(spark, sf, years), 64), "panel-blocks")
+
+
+@query(f"{BASE} {summary_sql('panel', 'ct')}")
+def area_by_class_year_blocks(spark, sf):
+    return bl.summarize_blocks(panel_blocks(spark, sf), GRID, class_table(spark))
+
+
+@query(f"{BASE} SELECT layer, layer_ix, \"row\", col, code FROM (SELECT *, CAST(CAST(layer AS INTEGER) - 1990 AS INTEGER) AS layer_ix FROM panel) WHERE code IS NOT NULL")
+def block_cells(spark, sf):
+    return bl.cells(panel_blocks(spark, sf))
+
+
+@query(f"{BASE}, {FOUND} {matrix_sql('found')}")
+def transition_matrix_blocks(spark, sf):
+    return bl.transition_blocks(panel_blocks(spark, sf, [1995, 2000]), GRID, "1995", "2000", class_table(spark)).summary
+
+
+@query(f"{BASE}, {FOUND} {matrix_sql('(SELECT * FROM found WHERE f = 2 AND t IN (5, 8, 11))')}")
+def transition_from_to_blocks(spark, sf):
+    rows = panel_blocks(spark, sf, [1995, 2000])
+    return bl.transition_blocks(rows, GRID, "1995", "2000", class_table(spark), from_class=["Trees"], to_class=["Crops", "Rangeland", "Bare Ground"]).summary
+
+
+@query(patches_sql("f <> t", 200) + " SELECT * FROM out")
+def patches_blocks(spark, sf):
+    found = bl.transition_blocks(panel_blocks(spark, sf, [1995, 2000]), GRID, "1995", "2000", class_table(spark))
+    return bl.patches_of_blocks(found, class_table(spark), changes_only=True, patch_area_min=200)
+
+
+@query(f'{VOTES}, CAST(n AS DOUBLE) / total AS confidence FROM ranked WHERE k = 1')
+def consensus_blocks(spark, sf):
+    return bl.consensus_of_blocks(panel_blocks(spark, sf, [1995, 1997, 2000]))
+
+
 # Overlays: rectangles in cells (key, col0, row0, col1, row1, cause, year), so that SQL can measure them
 
 RECTANGLES = [(1, 0.0, 0.0, 12.5, 9.0, "fire", 2018), (2, 12.5, 0.0, 50.0, 9.0, "harvest", 2022), (3, 5.0, 4.5, 30.25, 20.0, "flood", 2020), (4, 40.0, 25.0, 50.0, 27.0, "pest", 2021)]

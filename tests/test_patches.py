@@ -133,6 +133,15 @@ def test_patch_table(spark, panel):
     assert [first[i] for i in sorted(first)] == sorted(first.values())
 
 
+def test_numbers_are_dense_after_small_patches_go(spark, panel):
+    table = class_table(spark)
+    found = transition(panel, GRID, "2017", "2020", table)
+    every = {r.patch_id: r for r in patches(found, table).collect()}
+    left = sorted(patches(found, table, patch_area_min=500).collect(), key=lambda r: r.patch_id)
+    assert [r.patch_id for r in left] == list(range(1, len(left) + 1)) and 0 < len(left) < len(every)
+    assert [(r.transition, r.n_cells) for r in left] == [(r.transition, r.n_cells) for _, r in sorted(every.items()) if r.n_cells * GRID.cell_area >= 500]
+
+
 def test_empty_raster(spark):
     table = class_table(spark)
     cells = spark.createDataFrame([("a", 0, 0, 0, None), ("b", 1, 0, 0, None)], "layer string, layer_ix int, row int, col int, code int")
