@@ -21,11 +21,12 @@ from terralapse.operators.summarize import net_change, summarize
 from terralapse.operators.transition import Transition, compared, patch_cells, patches, patches_and_runs, regrouped, runs, transition
 from terralapse.operators.trend import trend
 from terralapse.plans.panels import GRID, PANEL_SQL, SCENE_GRID, SCENES_SQL, class_panel, scenes
-from terralapse.plans.storage import stored
+from terralapse.plans.storage import new_path, stored
 from terralapse.sources.catalog import search
 from terralapse.sources.classes import CLASSES, ITEMS_SCHEMA, class_table, classes_of_items
 from terralapse.sources.config import SOURCES
 from terralapse.sources.cube import composite, index_stack, month_spine, stac_cube, stac_fetch
+from terralapse.sources.scenes import scan_scenes, write_scenes
 from terralapse.sources.warp import met, mosaic, resampled
 from terralapse.streaming.composites import month_of_days
 
@@ -655,6 +656,33 @@ def cube_tiled(spark, sf):
     return cube(spark, sf, tile_size=200.0, resampling="near")
 
 
+# A scene for each month, written out by tile and scanned.
+
+MONTHS = f"""{SCENES}, months AS (SELECT strftime(scene_date, '%Y-%m') AS scene_id, CAST(date_trunc('month', scene_date) AS DATE) AS scene_date, "row", col,
+    CAST((year(scene_date) * 12 + month(scene_date)) % 50 AS DOUBLE) AS cloud_cover, min(B04) AS B04, max(B08) AS B08 FROM scenes GROUP BY ALL)"""
+
+
+def month_scenes(spark, sf) -> str:
+    """The path of the store."""
+    made = scenes(spark, sf).groupBy(F.date_format("scene_date", "yyyy-MM").alias("scene_id"), F.trunc("scene_date", "month").alias("scene_date"), "row", "col").agg(F.min("B04").alias("B04"), F.max("B08").alias("B08"))
+    path = new_path(spark, "scene-store")
+    write_scenes(made.withColumn("cloud_cover", ((F.year("scene_date") * 12 + F.month("scene_date")) % 50).cast("double")), path, tile=64)
+    return path
+
+
+@query(f"""{MONTHS} SELECT scene_id, scene_date, cloud_cover, "row", col, B04, B08 FROM months
+  WHERE scene_date BETWEEN DATE '1994-01-01' AND DATE '1997-12-31' AND cloud_cover <= 25 AND col + 0.5 >= 10.37 AND col + 0.5 < 60.41 AND "row" + 0.5 > -0.29 AND "row" + 0.5 <= 7.83""")
+def scan_area(spark, sf):
+    found = scan_scenes(spark, month_scenes(spark, sf), start="1994-01-01", end="1997-12-31", cloud_cover_max=25, aoi=scene_area(spark), grid=SCENE_GRID)
+    return found.select("scene_id", "scene_date", "cloud_cover", "row", "col", "B04", "B08")
+
+
+@query(f"""{MONTHS} SELECT "row", col, CAST(date_trunc('year', scene_date) AS DATE) AS t, median(B04) AS B04, median(B08) AS B08 FROM months WHERE scene_date < DATE '1996-01-01' AND cloud_cover > 10 GROUP BY 1, 2, 3""")
+def scan_composite(spark, sf):
+    found = scan_scenes(spark, month_scenes(spark, sf), end="1995-12-31").where("cloud_cover > 10")
+    return composite(found, ["B04", "B08"], "P1Y", "median")
+
+
 @query(f"""{BASE} SELECT layer, "row", col, code FROM panel WHERE layer IN ('1995', '2000')""")
 def mosaic_layers(spark, sf):
     panel = class_panel(spark, sf, [1995, 2000])
