@@ -72,3 +72,18 @@ class Recent:
         if len(self.young) >= self.size:
             self.young, self.old = {}, self.young
         self.young[key] = value
+
+    def with_all(self, keys: set, found) -> dict:
+        """A mapping that has all of ``keys``; those that are new come from ``found`` (of a list of keys)."""
+        young = self.young
+        if new := keys.difference(young):
+            known = {k: v for k in new if (v := self.old.get(k)) is not None} if self.old else {}
+            if ask := [k for k in new if k not in known]:
+                known |= zip(ask, found(ask))
+            young.update(known)
+            long = [k for k in ask if len(k) > 64]
+            if long or len(young) >= self.size:
+                # Long keys are for this call alone; a full generation grows old after it.
+                kept = {k: v for k, v in young.items() if len(k) <= 64} if long else young
+                self.young, self.old = ({}, kept) if len(kept) >= self.size else (kept, self.old)
+        return young

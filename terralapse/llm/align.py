@@ -2,8 +2,8 @@
 
 Tokens are byte intervals of the same text. In every Arrow batch the two token tables go
 to DuckDB: an ASOF join of ends finds the places where both tokenizers end a token, a window
-sum numbers the groups between them, ASOF joins give each token its group, and a join by
-group gives the links. The batch then yields a row for each document and one with the batch's
+sum gives each token of A its group, an ASOF join (a range join with the groups' ends) each token of B,
+and a join by group gives the links. The batch then yields a row for each document and one with the batch's
 own count of documents for each id pair; Spark adds up these partial counts.
 
 Each document's links then look up their pair's count: first in a broadcast table of the
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralapse.llm import pieces
-from terralapse.llm._arrow import Recent, slices, small_batches
+from terralapse.llm._arrow import Recent, flat, slices, small_batches
 from terralapse.plans.storage import stored
 
 ROW_BITS = 40
@@ -104,6 +104,9 @@ class ByteLevel(Encoder):
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [self.one(" " + t) for t in texts]
 
+    def is_whole(self, ids: np.ndarray, text: bytes) -> bool:
+        return self.fast is not None or super().is_whole(ids, text)
+
     def one(self, text: str) -> np.ndarray:
         if self.fast:
             try:
@@ -142,18 +145,12 @@ class Pieces(Encoder):
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         self.odd = self.odd or not self.model.cut or any(pieces.SPACE in t for t in texts)
-        young, old, size = self.cache.young, self.cache.old, self.cache.size
         split = [self.words(t) if t else [] for t in texts]
-        found = [list(map(young.get, words)) for words in split]
-        missing = {w for words, ids in zip(split, found) if None in ids for w, i in zip(words, ids) if i is None}
-        known = {w: ids for w in missing if (ids := old.get(w)) is not None}
-        if ask := [w for w in missing if w not in known]:
-            known |= zip(ask, [array("i", ids).tobytes() for ids in self.encoded(ask)])
-        out = [np.frombuffer(b"".join([known[w] if i is None else i for w, i in zip(words, ids)] if None in ids else ids), np.int32) for words, ids in zip(split, found)]
-        young.update((w, ids) for w, ids in known.items() if len(w) <= 64)
-        if len(young) >= size:
-            self.cache.young, self.cache.old = {}, young
-        return out
+        known = self.cache.with_all(set().union(*split), self.encoded_words)
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
+
+    def encoded_words(self, words: list[str]) -> list[bytes]:
+        return [array("i", ids).tobytes() for ids in self.encoded(words)]
 
     def is_whole(self, ids: np.ndarray, text: bytes) -> bool:
         # Words were compared when they were met first.
@@ -171,41 +168,41 @@ def _database():
 
 
 def intervals(ids: list[np.ndarray], sizes: np.ndarray) -> pa.Table:
-    """Tokens of all texts one after another: doc, id, s and e, by bytes from the start of the batch."""
+    """Tokens of all texts one after another: doc, id and where they end, by bytes from the start of the batch (a token starts where the one before ends)."""
     joined = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-    n = sizes[joined].astype(np.int64)
-    e = np.cumsum(n)
-    return pa.table({"doc": np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids]), "id": joined, "s": e - n, "e": e})
+    e = np.cumsum(sizes[joined], dtype=np.int64)
+    return pa.table({"doc": np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids]), "id": joined, "e": e.astype(np.int32) if len(e) and e[-1] < 1 << 31 else e})
 
 
+#: More tokens of one side make a group large.
+LARGE = 8
 #: Texts end where both tokenizers end a token, so groups never cross them and one number serves the whole batch.
-#: Tokens of long groups are counted by id before they are paired; short groups, nearly all, are paired as they are.
+#: Tokens of large groups are counted by id before they are paired; the others, nearly all, are paired as they are.
 STEPS = (
-    "CREATE OR REPLACE TEMP TABLE cuts AS SELECT a.doc, a.e FROM a ASOF JOIN b ON a.e >= b.e WHERE a.e = b.e",
-    "CREATE OR REPLACE TEMP TABLE groups AS SELECT doc, e - coalesce(e - lag(e) OVER seen, e) AS s, e, CAST(sum(1) OVER seen AS INTEGER) AS g FROM cuts WINDOW seen AS (ORDER BY e)",
-    "CREATE OR REPLACE TEMP TABLE ga AS SELECT g.doc, g.g, a.id, g.e - g.s > 64 AS long FROM a ASOF JOIN groups g ON a.s >= g.s",
-    "CREATE OR REPLACE TEMP TABLE gb AS SELECT g.g, b.id, g.e - g.s > 64 AS long FROM b ASOF JOIN groups g ON b.s >= g.s",
+    "CREATE OR REPLACE TEMP TABLE met AS SELECT a.doc, a.id, a.e, coalesce(b.e = a.e, false) AS cut FROM a ASOF LEFT JOIN b ON a.e >= b.e",
+    "CREATE OR REPLACE TEMP TABLE ga AS SELECT doc, id, e, cut, CAST(sum(CAST(cut AS INTEGER)) OVER (ORDER BY e ROWS UNBOUNDED PRECEDING) - CAST(cut AS INTEGER) AS INTEGER) AS g FROM met",
+    "CREATE OR REPLACE TEMP TABLE gb AS SELECT b.id, g.g FROM b ASOF JOIN (SELECT e, g FROM ga WHERE cut) g ON b.e <= g.e",
     "CREATE OR REPLACE TEMP TABLE links AS SELECT doc, a, b, CAST(sum(n) AS BIGINT) AS n FROM ("
-    " SELECT x.doc, x.id AS a, y.id AS b, 1 AS n FROM ga x JOIN gb y ON x.g = y.g WHERE NOT x.long AND NOT y.long"
-    " UNION ALL SELECT x.doc, x.id, y.id, x.n * y.n FROM (SELECT doc, g, id, count(*) AS n FROM ga WHERE long GROUP BY ALL) x"
-    " JOIN (SELECT g, id, count(*) AS n FROM gb WHERE long GROUP BY ALL) y ON x.g = y.g) GROUP BY ALL",
+    " SELECT x.doc, x.id AS a, y.id AS b, 1 AS n FROM ga x JOIN gb y ON x.g = y.g WHERE x.g NOT IN (FROM large)"
+    " UNION ALL SELECT x.doc, x.id, y.id, x.n * y.n FROM (SELECT doc, g, id, count(*) AS n FROM ga WHERE g IN (FROM large) GROUP BY ALL) x"
+    " JOIN (SELECT g, id, count(*) AS n FROM gb WHERE g IN (FROM large) GROUP BY ALL) y ON x.g = y.g) GROUP BY ALL",
 )
 
 
-def shown(a: pa.Table, b: pa.Table, ends: np.ndarray, docs: int, table: tuple[list[str], int]) -> list[str]:
-    """Each text's groups: `a1,a2|b1;a3|b2,b3`; ``ends`` of all groups, in order."""
+def shown(a: pa.Table, b: pa.Table, groups: list[np.ndarray], sizes: list[np.ndarray], docs: int, table: tuple[pa.Array, int]) -> list[bytes]:
+    """Each text's groups: `a1,a2|b1;a3|b2,b3`; ``groups`` of all tokens and their ``sizes`` on each side. ``table``: each id after each of `,;|`."""
     words, width = table
-    (doc_a, ids_a, group_a), (doc_b, ids_b, group_b) = ((t["doc"].to_numpy(), t["id"].to_numpy(), np.searchsorted(ends, t["e"].to_numpy())) for t in (a, b))
+    (doc_a, ids_a), (doc_b, ids_b) = ((t["doc"].to_numpy(), t["id"].to_numpy()) for t in (a, b))
+    (group_a, group_b), (sizes_a, sizes_b) = groups, sizes
     first_a, first_b = np.diff(group_a, prepend=-1) != 0, np.diff(group_b, prepend=-1) != 0
     # Both sides come in order: a token's place is its own number and that of the other side's tokens before it.
-    place_a = np.arange(len(ids_a)) + np.searchsorted(group_b, group_a, "left")
-    place_b = np.arange(len(ids_b)) + np.searchsorted(group_a, group_b, "right")
     index = np.empty(len(ids_a) + len(ids_b), np.int64)
-    index[place_a], index[place_b] = ids_a + width * first_a, ids_b + 2 * width * first_b
+    index[np.arange(len(ids_a)) + (np.cumsum(sizes_b) - sizes_b)[group_a]] = ids_a + width * first_a
+    index[np.arange(len(ids_b)) + np.cumsum(sizes_a)[group_b]] = ids_b + 2 * width * first_b
     every = np.arange(docs + 1)
     at = np.searchsorted(doc_a, every) + np.searchsorted(doc_b, every)
-    index = index.tolist()
-    return ["".join(map(words.__getitem__, index[i:j]))[1:] for i, j in zip(at, at[1:])]
+    raw, starts = flat(words.take(pa.array(index)))  # the bytes of all tokens, one after another
+    return [raw[i:j].tobytes()[1:] for i, j in zip(starts[at], starts[at[1:]])]
 
 
 DOCUMENT = "row long, n_a long, n_b long, n_groups long, n_links long, groups string, groups_sha256 string, partial boolean, a array<int>, b array<int>, n array<long>"
@@ -220,26 +217,30 @@ def aligned_batch(texts: list[str | None], a: Encoder, b: Encoder, table, keep_g
     con, tokens = _database(), [intervals(ids, side.sizes) for ids, side in ((ids_a, a), (ids_b, b))]
     for side, given in zip("ab", tokens):
         con.register(side, given)
-    for step in STEPS:
+    for step in STEPS[:-1]:
         con.execute(step)
-    ends = con.execute("SELECT e FROM groups ORDER BY e").fetchnumpy()["e"]
-    counted = con.execute("SELECT doc, count(*) AS n FROM groups GROUP BY doc ORDER BY doc").fetchnumpy()["n"]
+    ends = con.execute("SELECT e FROM ga WHERE cut ORDER BY e").fetchnumpy()["e"]
+    groups = [np.searchsorted(ends, t["e"].to_numpy()) for t in tokens]
+    sizes = [np.bincount(g, minlength=len(ends)) for g in groups]
+    con.register("large", pa.table({"g": np.flatnonzero(np.maximum(*sizes) > LARGE).astype(np.int32)}))
+    con.execute(STEPS[-1])
+    counted = con.execute("SELECT doc, count(*) AS n FROM ga WHERE cut GROUP BY doc ORDER BY doc").fetchnumpy()["n"]
     links = con.sql("SELECT doc, list(a) AS a, list(b) AS b, list(n) AS n, CAST(sum(n) AS BIGINT) AS total FROM links GROUP BY doc ORDER BY doc").to_arrow_table()
     pairs = con.execute("SELECT a, b, count(*) AS n FROM links GROUP BY ALL").fetchnumpy()
-    for side in "ab":
-        con.unregister(side)
-    text = shown(*tokens, ends, len(good), table)
+    for name in ("a", "b", "large"):
+        con.unregister(name)
+    text = shown(*tokens, groups, sizes, len(good), table)
     none = [0] * len(texts)
     rows = {c: none.copy() for c in ("n_a", "n_b", "n_groups", "n_links")} | {c: [""] * len(texts) for c in ("groups", "groups_sha256")}
     for k, (i, total) in enumerate(zip(good, links["total"].to_pylist())):
         rows["n_a"][i], rows["n_b"][i], rows["n_groups"][i], rows["n_links"][i] = len(ids_a[k]), len(ids_b[k]), int(counted[k]), total
-        rows["groups_sha256"][i] = sha256(text[k].encode()).hexdigest()
-        rows["groups"][i] = text[k] if keep_groups else None
+        rows["groups_sha256"][i] = sha256(text[k]).hexdigest()
+        rows["groups"][i] = text[k].decode() if keep_groups else None
     # Texts without tokens have empty lists among the others.
-    sizes = np.zeros(len(texts), np.int64)
+    held = np.zeros(len(texts), np.int64)
     lists = {c: links[c].combine_chunks() for c in ("a", "b", "n")}
-    sizes[good] = np.diff(lists["a"].offsets.to_numpy())
-    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    held[good] = np.diff(lists["a"].offsets.to_numpy())
+    offsets = pa.array(np.concatenate([[0], np.cumsum(held)]).astype(np.int32))
     rows |= {c: pa.ListArray.from_arrays(offsets, x.flatten().cast(pa.int64() if c == "n" else pa.int32())) for c, x in lists.items()}
     return rows, (pairs["a"], pairs["b"], pairs["n"])
 
@@ -263,7 +264,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = encoders(a_path, b_path, cache_entries)
         width = max(len(a.entries), len(b.entries))
-        table = [f"{mark}{i}" for mark in ",;|" for i in range(width)], width
+        table = pa.array([f"{mark}{i}" for mark in ",;|" for i in range(width)], pa.large_string()), width
         row = TaskContext.get().partitionId() << ROW_BITS
         for batch in slices(batches, "text", 1 << 20):
             columns, pairs = aligned_batch(batch.column(1).to_pylist(), a, b, table, keep_groups)

@@ -91,18 +91,9 @@ class Words:
         return TAIL.sub(rb" \g<0>", text) if self.tails else text
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        young, old, size = self.cache.young, self.cache.old, self.cache.size
         split = [self.plain(t).split() for t in texts]
-        found = [list(map(young.get, words)) for words in split]
-        missing = {w for words, ids in zip(split, found) if None in ids for w, i in zip(words, ids) if i is None}
-        known = {w: ids for w in missing if (ids := old.get(w)) is not None}
-        if ask := [w for w in missing if w not in known]:
-            known |= zip(ask, self.encoded(ask))
-        out = [b"".join([known[w] if i is None else i for w, i in zip(words, ids)] if None in ids else ids) for words, ids in zip(split, found)]
-        young.update((w, ids) for w, ids in known.items() if len(w) <= 64)
-        if len(young) >= size:
-            self.cache.young, self.cache.old = {}, young
-        return out
+        known = self.cache.with_all(set().union(*split), self.encoded)
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 @lru_cache(maxsize=2)
