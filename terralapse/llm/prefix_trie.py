@@ -46,7 +46,7 @@ ROOT = 1
 #: Ids of a chunk of a node's ends.
 CHUNK = 8192
 #: A node with more ends than this and than the NODE_SHARE-th part of all ends is hashed in chunks; likewise parents of many.
-MANY_ENDS, NODE_SHARE = 4096, 5000
+MANY_ENDS, NODE_SHARE = 512, 5000
 
 NODE = "base long, conv_id long, key binary, parent binary, depth long, bytes long, least long, members int, ends int, shift binary"
 
