@@ -3,7 +3,8 @@
 Patches are given as runs of cells. Runs are cut at the edges of a coarse grid of buckets, and
 polygons are dealt to the buckets that their bounding boxes meet, so patches and polygons meet
 by an equality of buckets, and every piece of a run meets a polygon once. The exact geometry
-runs on these candidates in Arrow batches.
+runs on these candidates in Arrow batches: polygons are made valid once, by tasks, and sorted
+by the rows of the grid, so that a run looks at the edges of its own row only.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terralapse.functions import geometry
+from terralapse.functions import geometry, planar
+from terralapse.functions.strips import Strips
 from terralapse.grid import GridSpec, reprojected
+from terralapse.plans.storage import stored
 
 X, Y = (lambda p: p["x"]), (lambda p: p["y"])
 #: Conditions on a patch and an overlay that touch: their common area, and the area of each.
@@ -60,93 +63,108 @@ def pieces(runs: DataFrame, bucket: int) -> DataFrame:
     return cut.withColumn("col_start", F.greatest("col_start", F.col("bx") * bucket)).withColumn("col_end", F.least("col_end", (F.col("bx") + 1) * bucket - 1))
 
 
-def shapes_of(polygons: DataFrame) -> dict | None:
-    """Edges and crossings of each polygon of (key, geometry), for every task; None if they have more than MOST_POINTS points."""
-    points = polygons.agg(F.sum(F.size(F.flatten("geometry")))).first()[0] or 0
-    if points > MOST_POINTS:
-        return None
-    return {r.key: prepared(r.geometry) for r in polygons.select("key", "geometry").collect()}
+def shaped(polygons: DataFrame) -> DataFrame:
+    """(key, edges): each polygon of (key, geometry) as valid edges with the inside to the left, worked out once and by tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[["key"]].assign(edges=[planar.boundary([geometry.edges([] if g is None else g)]).ravel() for g in pdf["geometry"]])
+
+    return stored(polygons.select("key", "geometry").mapInPandas(run, "key long, edges array<double>"), "shapes")
 
 
-def prepared(rings) -> tuple:
-    e = geometry.edges([] if rings is None else rings)
-    return e, geometry.crossings(e)
+def table_of(edges) -> np.ndarray:
+    return np.asarray(edges, float).reshape(-1, 4)
+
+
+def sent_to_all(shapes: DataFrame):
+    """Keys and edges of all shapes, broadcast; None if they have more than MOST_POINTS edges."""
+    if (shapes.agg(F.sum(F.size("edges"))).first()[0] or 0) > 4 * MOST_POINTS:
+        return None
+    rows = sorted(shapes.collect(), key=lambda r: r.key)
+    return shapes.sparkSession.sparkContext.broadcast((np.array([r.key for r in rows], np.int64), [table_of(r.edges) for r in rows]))
 
 
 class Shapes:
-    """Polygons by key: those sent to every task, or those that came with the rows, each worked out once."""
+    """Strips of the polygons that were sent to every task, or of those that came with a batch's rows."""
 
-    def __init__(self, sent: dict | None):
-        self.sent, self.known = sent, {}
+    def __init__(self, sent, grid: GridSpec):
+        self.sent, self.grid, self.keys = sent, grid, None
+        if sent is not None:
+            self.keys, edges = sent.value
+            self.strips = Strips(grid, edges)
 
-    def of(self, key, rings) -> tuple:
+    def of(self, pdf: pd.DataFrame) -> tuple[Strips, np.ndarray]:
+        """The strips, and the number of each row's polygon."""
         if self.sent is not None:
-            return self.sent[key]
-        if key not in self.known:
-            self.known = self.known if len(self.known) < 1000 else {}
-            self.known[key] = prepared(rings)
-        return self.known[key]
-
-
-def dealt(polygons: DataFrame, grid: GridSpec, bucket: int, sent: dict | None) -> DataFrame:
-    """(key, bx, by) of each polygon and every bucket that it meets, boundary included; with the geometry if it isn't sent to every task."""
-    flat = F.flatten("geometry")
-    xs, ys = F.transform(flat, lambda p: p["x"]), F.transform(flat, lambda p: p["y"])
-    col = lambda x: F.floor((x - grid.xmin) / grid.resx / bucket)
-    row = lambda y: F.floor((grid.ymax - y) / grid.resy / bucket)
-    # A polygon that ends on a bucket's edge touches the cells on both sides.
-    slack = 1e-9 * max(grid.resx, grid.resy)
-    last = (max(grid.ncol, grid.nrow) - 1) // bucket
-    inside = lambda c: F.greatest(F.lit(0), F.least(F.lit(last), c))
-    boxes = polygons.where(F.size(flat) > 0).withColumns({"x0": F.array_min(xs) - slack, "x1": F.array_max(xs) + slack, "y0": F.array_min(ys) - slack, "y1": F.array_max(ys) + slack})
-    meets = (F.col("x1") >= grid.xmin) & (F.col("x0") <= grid.xmax) & (F.col("y0") <= grid.ymax) & (F.col("y1") >= grid.ymin)
-    keep = ["key"] if sent is not None else ["key", "geometry"]
-    each = boxes.where(meets).withColumn("bx", F.explode(F.sequence(inside(col(F.col("x0"))), inside(col(F.col("x1"))))))
-    each = each.withColumn("by", F.explode(F.sequence(inside(row(F.col("y1"))), inside(row(F.col("y0")))))).select(*keep, "bx", "by")
-    wide, high = bucket * grid.resx, bucket * grid.resy
+            return self.strips, np.searchsorted(self.keys, pdf["key"].to_numpy())
+        # A polygon's edges come by rows of buckets: each such part is a shape of its own.
+        parts = pd.MultiIndex.from_arrays([pdf["key"], pdf["by"]])
+        number, own = pd.factorize(parts)
+        if self.keys is None or not own.equals(self.keys):
+            first = pd.Series(range(len(pdf))).groupby(number).first()
+            self.keys, self.strips = own, Strips(self.grid, [table_of(pdf["edges"].iloc[i]) for i in first])
+        return self.strips, number
+
+
+def dealt(shapes: DataFrame, grid: GridSpec, bucket: int, sent) -> DataFrame:
+    """(key, bx, by) of each polygon and every bucket that it meets, boundary included; with its edges in the bucket's rows if they aren't sent to every task."""
+    coarse = GridSpec(grid.xmin, grid.ymax, grid.resx * bucket, grid.resy * bucket, -(-grid.nrow // bucket), -(-grid.ncol // bucket), grid.crs)
+    rides = sent is None
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shapes = Shapes(sent)
         for pdf in batches:
-            rings = pdf["geometry"] if "geometry" in pdf else [None] * len(pdf)
-            edge = lambda b, top: (grid.xmin + b * wide - slack, grid.ymax - (top + 1) * high - slack, grid.xmin + (b + 1) * wide + slack, grid.ymax - top * high + slack)
-            yield pdf[[geometry.touches(shapes.of(k, g)[0], *edge(x, y)) for k, g, x, y in zip(pdf["key"], rings, pdf["bx"], pdf["by"])]]
+            edges = [table_of(e) for e in pdf["edges"]]
+            poly, by, bx = Strips(coarse, edges).met()
+            out = pd.DataFrame({"key": pdf["key"].to_numpy()[poly], "bx": bx, "by": by})
+            if rides:
+                parts = {}
+                for p, row in set(zip(poly.tolist(), by.tolist())):
+                    e = edges[p]
+                    low, high = grid.ymax - (row + 1) * coarse.resy, grid.ymax - row * coarse.resy
+                    parts[p, row] = e[(np.minimum(e[:, 1], e[:, 3]) <= high) & (np.maximum(e[:, 1], e[:, 3]) >= low)].ravel()
+                out["edges"] = [parts[k] for k in zip(poly.tolist(), by.tolist())]
+            yield out
+
+    return shapes.mapInPandas(near, "key long, bx long, by long" + (", edges array<double>" if rides else ""))
+
+
+def meetings(runs: DataFrame, shapes: DataFrame, grid: GridSpec, bucket: int, sent) -> DataFrame:
+    """(patch_id, key, row, col_start, col_end) of pieces of runs and the polygons in their bucket."""
+    found = pieces(runs, bucket).join(dealt(shapes, grid, bucket, sent), ["bx", "by"])
+    return found.select("patch_id", "key", *(() if sent is not None else ("by", "edges")), "row", "col_start", "col_end")
 
-    return each.mapInPandas(near, each.schema)
 
+def of_runs(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(pdf[c].to_numpy().astype(np.int64) for c in ("row", "col_start", "col_end"))
 
-def overlaps(runs: DataFrame, polygons: DataFrame, grid: GridSpec, bucket: int = 64) -> DataFrame:
-    """(patch_id, key, area, touches): of runs (patch_id, row, col_start, col_end) and polygons (key, geometry).
 
-    Polygons of at most MOST_POINTS points go to every task once; larger ones ride with the rows.
+def overlaps(runs: DataFrame, shapes: DataFrame, grid: GridSpec, bucket: int = 64) -> DataFrame:
+    """(patch_id, key, area, touches): of runs (patch_id, row, col_start, col_end) and ``shaped`` polygons.
+
+    Polygons of at most MOST_POINTS edges go to every task once; larger ones ride with the rows.
     """
-    sent = shapes_of(polygons)
+    sent = sent_to_all(shapes)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shapes = Shapes(sent)
+        known = Shapes(sent, grid)
         for pdf in batches:
-            areas, met = [], []
-            rings = pdf["geometry"] if "geometry" in pdf else [None] * len(pdf)
-            for key, shape, row, a, b in zip(pdf["key"], rings, pdf["row"], pdf["col_start"], pdf["col_end"]):
-                e, crossed = shapes.of(key, shape)
-                box = (grid.xmin + a * grid.resx, grid.ymax - (row + 1) * grid.resy, grid.xmin + (b + 1) * grid.resx, grid.ymax - row * grid.resy)
-                areas.append(x := geometry.overlap(e, *box, crossed))
-                met.append(x > 0 or geometry.touches(e, *box))
-            yield pdf[["patch_id", "key"]].assign(area=areas, touches=met)
-
-    found = pieces(runs, bucket).join(dealt(polygons, grid, bucket, sent), ["bx", "by"])
-    rows = found.select("patch_id", "key", *(() if sent is not None else ("geometry",)), "row", "col_start", "col_end").mapInPandas(measure, "patch_id int, key long, area double, touches boolean")
+            strips, poly = known.of(pdf)
+            area, touch = strips.measured(poly, *of_runs(pdf))
+            yield pdf[["patch_id", "key"]].assign(area=area, touches=touch)
+
+    rows = meetings(runs, shapes, grid, bucket, sent).mapInPandas(measure, "patch_id int, key long, area double, touches boolean")
     return rows.groupBy("patch_id", "key").agg(F.sum("area").alias("area"), F.max("touches").alias("touches")).where("touches")
 
 
-def sizes_of(polygons: DataFrame) -> DataFrame:
+def sizes_of(shapes: DataFrame) -> DataFrame:
     """(key, overlay_area)."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf[["key"]].assign(overlay_area=[geometry.area(geometry.edges([] if g is None else g)) for g in pdf["geometry"]])
+            yield pdf[["key"]].assign(overlay_area=[planar.edges_area(table_of(e)) for e in pdf["edges"]])
 
-    return polygons.select("key", "geometry").mapInPandas(measure, "key long, overlay_area double")
+    return shapes.mapInPandas(measure, "key long, overlay_area double")
 
 
 def attribute(
@@ -199,10 +217,11 @@ def attribute(
         overlay = overlay.where(F.col(time_col).between(*time_interval))
     overlay = in_crs(overlay, overlay_crs or grid.crs, grid.crs)
     keyed = overlay.withColumn("key", F.col("overlay_ix").cast("long") if "overlay_ix" in overlay.columns else F.xxhash64(F.to_json(F.struct("geometry", *cols))))
-    found = overlaps(runs, keyed.select("key", "geometry"), grid, bucket)
+    shapes = shaped(keyed)
+    found = overlaps(runs, shapes, grid, bucket)
     if predicate != "intersects":
         size = runs.groupBy("patch_id").agg((F.sum(F.col("col_end") - F.col("col_start") + 1) * F.lit(grid.cell_area)).alias("whole"))
-        both = found.join(size, "patch_id").join(sizes_of(keyed), "key")
+        both = found.join(size, "patch_id").join(sizes_of(shapes), "key")
         found = both.where((predicate if callable(predicate) else PREDICATES[predicate])(F.col("area"), F.col("whole"), F.col("overlay_area")))
     if match_mode == "largest":
         best = Window.partitionBy("patch_id").orderBy(F.desc("area"), "key")
@@ -221,29 +240,24 @@ def zone_keys(zone: DataFrame, zone_col: str, crs: str | None, grid: GridSpec) -
 def zones(patches: DataFrame, runs: DataFrame, zone: DataFrame, grid: GridSpec, zone_col: str, bucket: int = 64, *, zone_crs: str | None = None) -> DataFrame:
     """A row for each patch and zone that overlap: the patch's own area_ha stays whole, zone_area_ha is the part inside."""
     keyed = zone_keys(zone, zone_col, zone_crs, grid)
-    found = overlaps(runs, keyed.select("key", "geometry"), grid, bucket).where("area > 0")
+    found = overlaps(runs, shaped(keyed), grid, bucket).where("area > 0")
     return patches.join(found, "patch_id").join(keyed.select("key", zone_col), "key").select(*patches.columns, zone_col, (F.col("area") * 1e-4).alias("zone_area_ha"))
 
 
 def zone_runs(runs: DataFrame, zone: DataFrame, grid: GridSpec, zone_col: str, bucket: int = 64, *, zone_crs: str | None = None) -> DataFrame:
     """(patch_id, zone, row, col_start, col_end): the patches cut by zones, as runs of the cells whose centres lie inside."""
     keyed = zone_keys(zone, zone_col, zone_crs, grid)
-    polygons = keyed.select("key", "geometry")
-    sent = shapes_of(polygons)
+    shapes = shaped(keyed)
+    sent = sent_to_all(shapes)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shapes = Shapes(sent)
+        known = Shapes(sent, grid)
         for pdf in batches:
-            rings, out = pdf["geometry"] if "geometry" in pdf else [None] * len(pdf), []
-            for patch, key, shape, row, a, b in zip(pdf["patch_id"], pdf["key"], rings, pdf["row"], pdf["col_start"], pdf["col_end"]):
-                col = np.arange(a, b + 1)
-                here = geometry.contains(shapes.of(key, shape)[0], grid.xmin + (col + 0.5) * grid.resx, np.full(len(col), grid.ymax - (row + 0.5) * grid.resy))
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], here.astype(np.int8), [0]])))
-                out += [(patch, key, row, a + int(i), a + int(j) - 1) for i, j in zip(edge[::2], edge[1::2])]
-            yield pd.DataFrame(out, columns=["patch_id", "key", "row", "col_start", "col_end"])
-
-    found = pieces(runs, bucket).join(dealt(polygons, grid, bucket, sent), ["bx", "by"])
-    rows = found.select("patch_id", "key", *(() if sent is not None else ("geometry",)), "row", "col_start", "col_end").mapInPandas(cut, "patch_id int, key long, row int, col_start int, col_end int")
+            strips, poly = known.of(pdf)
+            of, first, last = strips.centres(poly, *of_runs(pdf))
+            yield pdf[["patch_id", "key", "row"]].iloc[of].assign(col_start=first, col_end=last)
+
+    rows = meetings(runs, shapes, grid, bucket, sent).mapInPandas(cut, "patch_id int, key long, row int, col_start int, col_end int")
     # Runs that the buckets had cut are put together again.
     before = F.lag("col_end").over(Window.partitionBy("patch_id", "key", "row").orderBy("col_start"))
     new = F.when(F.col("col_start") == before + 1, 0).otherwise(1)
@@ -255,27 +269,24 @@ def zone_runs(runs: DataFrame, zone: DataFrame, grid: GridSpec, zone_col: str, b
 def clip(cells: DataFrame, area: DataFrame, grid: GridSpec, *, drop: bool = True, bucket: int = 64, area_crs: str | None = None) -> DataFrame:
     """Cells whose centre lies in the union of the area's polygons; with ``drop=False`` the others stay, with a null value.
 
-    An area of at most MOST_POINTS points is tested where the cells are; a larger one meets their pixels by buckets.
+    An area of at most MOST_POINTS edges is tested where the cells are; a larger one meets their pixels by buckets.
     """
     check_features(area, "aoi")
     keyed = in_crs(area, area_crs or grid.crs, grid.crs).withColumn("key", F.xxhash64(F.to_json("geometry"))).select("key", "geometry").dropDuplicates(["key"])
     values = [c for c in cells.columns if c not in ("layer", "layer_ix", "t", "row", "col")]
-    sent = shapes_of(keyed)
+    shapes = shaped(keyed)
+    sent = sent_to_all(shapes)
     if sent is not None:
-        edges = [e for e, _ in sent.values() if len(e)]
-        if not edges:
+        every = np.concatenate([*sent.value[1], np.zeros((0, 4))])
+        if not len(every):
             return cells.where("false") if drop else cells.select(*(F.lit(None).cast(cells.schema[c].dataType).alias(c) if c in values else c for c in cells.columns))
-        every = np.concatenate(edges)
         x0, x1, y0, y1 = every[:, [0, 2]].min(), every[:, [0, 2]].max(), every[:, [1, 3]].min(), every[:, [1, 3]].max()
 
         @F.pandas_udf("boolean")
-        def within(row: pd.Series, col: pd.Series) -> pd.Series:
-            x, y = grid.xmin + (col.to_numpy() + 0.5) * grid.resx, grid.ymax - (row.to_numpy() + 0.5) * grid.resy
-            out = np.zeros(len(x), bool)
-            for e in edges:
-                near = ~out & (x >= e[:, [0, 2]].min()) & (x <= e[:, [0, 2]].max()) & (y >= e[:, [1, 3]].min()) & (y <= e[:, [1, 3]].max())
-                out[near] = geometry.contains(e, x[near], y[near])
-            return pd.Series(out)
+        def within(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            strips = Strips(grid, sent.value[1], together=True)
+            for row, col in parts:
+                yield pd.Series(strips.inside(np.zeros(len(row), np.int64), row.to_numpy().astype(np.int64), col.to_numpy().astype(np.int64)))
 
         x, y = F.lit(grid.xmin) + (F.col("col") + 0.5) * grid.resx, F.lit(grid.ymax) - (F.col("row") + 0.5) * grid.resy
         boxed = x.between(float(x0), float(x1)) & y.between(float(y0), float(y1))
@@ -285,21 +296,52 @@ def clip(cells: DataFrame, area: DataFrame, grid: GridSpec, *, drop: bool = True
         return marked.select(*(F.when(F.col("in_area"), F.col(c)).alias(c) if c in values else F.col(c) for c in cells.columns))
 
     def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Shapes(None, grid)
         for pdf in batches:
-            keep = pd.Series(False, index=pdf.index)
-            for _, part in pdf.groupby("key"):
-                x, y = grid.xmin + (part["col"].to_numpy() + 0.5) * grid.resx, grid.ymax - (part["row"].to_numpy() + 0.5) * grid.resy
-                keep.loc[part.index] = geometry.contains(geometry.edges(part["geometry"].iloc[0]), x, y)
-            yield pdf.loc[keep, ["row", "col"]]
+            strips, poly = known.of(pdf)
+            yield pdf.loc[strips.inside(poly, pdf["row"].to_numpy().astype(np.int64), pdf["col"].to_numpy().astype(np.int64)), ["row", "col"]]
 
     pixels = cells.select("row", "col").distinct().withColumn("bx", F.floor(F.col("col") / bucket)).withColumn("by", F.floor(F.col("row") / bucket))
-    kept = pixels.join(dealt(keyed, grid, bucket, None), ["bx", "by"]).select("row", "col", "key", "geometry").mapInPandas(inside, "row int, col int").distinct()
+    kept = pixels.join(dealt(shapes, grid, bucket, None), ["bx", "by"]).select("row", "col", "key", "by", "edges").mapInPandas(inside, "row int, col int").distinct()
     if drop:
-        return cells.join(kept, ["row", "col"], "left_semi")
+        return cells.join(kept, ["row", "col"], "left_semi").select(*cells.columns)
     marked = cells.join(kept.withColumn("in_area", F.lit(True)), ["row", "col"], "left")
     return marked.select(*(F.when(F.col("in_area"), F.col(c)).alias(c) if c in values else F.col(c) for c in cells.columns))
 
 
+def rings_column(rings: list) -> list[list[dict]]:
+    return [[{"x": x, "y": y} for x, y in ring] for ring in rings]
+
+
+def make_valid(features: DataFrame) -> DataFrame:
+    """The features with rings that don't cross or overlap, of the same inside: outer rings counter-clockwise, holes clockwise."""
+    check_features(features, "features")
+
+    @F.pandas_udf(geometry.RINGS)
+    def valid(shapes: pd.Series) -> pd.Series:
+        return shapes.map(lambda g: None if g is None else rings_column(planar.made_valid(geometry.edges(g))))
+
+    return features.withColumn("geometry", valid("geometry"))
+
+
+def zone_shapes(outlines: DataFrame, runs: DataFrame, zone: DataFrame, grid: GridSpec, zone_col: str, bucket: int = 64, *, zone_crs: str | None = None) -> DataFrame:
+    """(patch_id, zone, geometry, zone_area_ha): the patches' ``outlines`` cut at the zones' sides. Patches wholly inside a zone aren't cut."""
+    keyed = zone_keys(zone, zone_col, zone_crs, grid)
+    shapes = shaped(keyed)
+    whole = runs.groupBy("patch_id").agg((F.sum(F.col("col_end") - F.col("col_start") + 1) * F.lit(grid.cell_area)).alias("whole"))
+    found = overlaps(runs, shapes, grid, bucket).where("area > 0").join(whole, "patch_id").withColumn("within", F.col("area") >= F.col("whole") * (1 - 1e-9))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rings = [planar.intersection(geometry.edges(g), table_of(e)) for g, e in zip(pdf["geometry"], pdf["edges"])]
+            yield pdf[["patch_id", "key"]].assign(geometry=[rings_column(r) for r in rings], area=[planar.ring_area(r) for r in rings])
+
+    pairs = found.join(outlines.select("patch_id", "geometry"), "patch_id")
+    crossing = pairs.where("not within").join(shapes, "key").select("patch_id", "key", "geometry", "edges").mapInPandas(cut, f"patch_id int, key long, geometry {geometry.RINGS}, area double")
+    every = pairs.where("within").select("patch_id", "key", "geometry", "area").unionByName(crossing)
+    return every.join(keyed.select("key", zone_col), "key").select("patch_id", zone_col, "geometry", (F.col("area") * 1e-4).alias("zone_area_ha"))
+
+
 def tile_grid(area: DataFrame, tile_size: float) -> DataFrame:
     """(tile, xmin, ymin, xmax, ymax): square tiles from the lower left of the area's bounding box, those that meet the area."""
     check_features(area, "aoi")

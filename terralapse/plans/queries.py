@@ -49,6 +49,10 @@ def values(rows: list[tuple]) -> str:
     return "VALUES " + ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
 
 
+def r6(column: str):
+    return F.floor(F.col(column) * 1e6 + 0.5) / 1e6
+
+
 CT = f"ct(code, class_name, color, description) AS ({values(CLASSES['io-lulc'])})"
 BASE = f"WITH RECURSIVE {PANEL_SQL}, {CT}"
 PCT = "floor(CAST({n} AS DOUBLE) * 10000.0 / {total} + 0.5) / 100.0"
@@ -374,6 +378,71 @@ def clip_aoi(spark, sf):
     return at.clip(class_panel(spark, sf, [1995, 2000]), rectangles(spark).where("overlay_ix <> 2"), GRID).drop("layer_ix")
 
 
+# Overlays made of a table, a rectangle (or a bow-tie in it) for each supplier, so that their number and reach grow with it
+
+SUPPLIED = """rect AS (SELECT s_suppkey AS key, CAST(s_suppkey * 7 % 45 AS DOUBLE) + 0.31 AS c0, s_suppkey * CAST(0.3 AS DOUBLE) + 0.013 AS r0,
+    CAST(s_suppkey * 7 % 45 AS DOUBLE) + 0.31 + (3 + s_suppkey % 4) AS c1, s_suppkey * CAST(0.3 AS DOUBLE) + (1 + s_suppkey % 3) + 0.613 AS r1,
+    'cause ' || s_suppkey % 5 AS cause, CAST(2015 + s_suppkey % 8 AS INTEGER) AS year FROM supplier)"""
+MET_SUPPLIED = MET.replace(RECT, SUPPLIED)
+
+
+def supplier_shapes(spark, sf, corners=((0, 0), (1, 0), (1, 1), (0, 1))) -> DataFrame:
+    """A ring for each supplier through corners (column side, row side) of its rectangle."""
+    k = F.col("s_suppkey")
+    columns = [(k * 7 % 45).cast("double") + 0.31, (k * 7 % 45).cast("double") + 0.31 + (3 + k % 4)]
+    rows = [k * F.lit(0.3) + 0.013, k * F.lit(0.3) + (1 + k % 3) + 0.613]
+    point = lambda c, r: F.struct((F.lit(GRID.xmin) + columns[c] * GRID.resx).alias("x"), (F.lit(GRID.ymax) - rows[r] * GRID.resy).alias("y"))
+    ring_ = F.array(F.array(*(point(c, r) for c, r in (*corners, corners[0]))))
+    suppliers = spark.read.parquet(f"{sf}/supplier.parquet")
+    return suppliers.select(k.alias("overlay_ix"), ring_.cast(RINGS).alias("geometry"), F.concat(F.lit("cause "), (k % 5).cast("string")).alias("cause"), (2015 + k % 8).cast("int").alias("year"))
+
+
+@query(MET_SUPPLIED + " SELECT out.*, cause, year FROM out LEFT JOIN met USING (patch_id)")
+def attribute_suppliers(spark, sf):
+    return at.attribute(*overlay_inputs(spark, sf), supplier_shapes(spark, sf), GRID, ["cause", "year"])
+
+
+@query(MET_SUPPLIED + " SELECT out.*, cause, year FROM out LEFT JOIN (SELECT met.* FROM met JOIN out USING (patch_id) WHERE area >= n_cells * 100.0 - 1e-6) USING (patch_id)")
+def attribute_suppliers_within(spark, sf):
+    return at.attribute(*overlay_inputs(spark, sf), supplier_shapes(spark, sf), GRID, ["cause", "year"], predicate="within")
+
+
+ZONE_AREA = "floor(area * 1e-4 * 1e6 + 0.5) / 1e6 AS zone_area_ha"
+
+
+@query(MET_SUPPLIED + f" SELECT out.*, cause, {ZONE_AREA} FROM out JOIN met USING (patch_id) WHERE area > 1e-6")
+def zone_suppliers(spark, sf):
+    return at.zones(*overlay_inputs(spark, sf), supplier_shapes(spark, sf), GRID, "cause").withColumn("zone_area_ha", r6("zone_area_ha"))
+
+
+@query(MET_SUPPLIED + f" SELECT patch_id, cause, {ZONE_AREA} FROM met WHERE area > 1e-6")
+def zone_geometry(spark, sf):
+    """The area of what is left of each patch inside each zone, by its own corners."""
+    cells = patch_cells(found(spark, sf), changes_only=True)
+    out = at.zone_shapes(at.outlines(cells, GRID), runs(cells), supplier_shapes(spark, sf), GRID, "cause")
+    return out.select("patch_id", "cause", F.floor(shape_area("geometry") * 1e-4 * 1e6 + 0.5).alias("zone_area_ha")).withColumn("zone_area_ha", F.col("zone_area_ha") / 1e6)
+
+
+def shape_area(column: str):
+    """Of rings whose holes go the other way."""
+    twice = lambda ring: F.aggregate(F.sequence(F.lit(0), F.size(ring) - 2), F.lit(0.0), lambda s, i: s + (F.get(ring, i)["x"] - F.get(ring, F.lit(0))["x"]) * (F.get(ring, i + 1)["y"] - F.get(ring, F.lit(0))["y"]) - (F.get(ring, i + 1)["x"] - F.get(ring, F.lit(0))["x"]) * (F.get(ring, i)["y"] - F.get(ring, F.lit(0))["y"]))
+    return F.abs(F.aggregate(F.transform(column, twice), F.lit(0.0), lambda s, x: s + x)) / 2
+
+
+@query(f"""{BASE}, {SUPPLIED} SELECT layer, "row", col, code FROM panel WHERE layer IN ('1995', '2000')
+  AND EXISTS (SELECT 1 FROM rect WHERE col + 0.5 >= c0 AND col + 0.5 < c1 AND "row" + 0.5 > r0 AND "row" + 0.5 <= r1)""")
+def clip_suppliers(spark, sf):
+    return at.clip(class_panel(spark, sf, [1995, 2000]), supplier_shapes(spark, sf), GRID).drop("layer_ix")
+
+
+@query(f"WITH {SUPPLIED} SELECT key, 2 AS n_rings, 6 AS n_corners, floor((c1 - c0) * (r1 - r0) * 100.0 / 2 + 0.5) AS area FROM rect")
+def valid_bowties(spark, sf):
+    """Rings that cross themselves in the middle come back as two that don't."""
+    shapes = at.make_valid(supplier_shapes(spark, sf, ((0, 0), (1, 1), (1, 0), (0, 1))))
+    corners = F.aggregate("geometry", F.lit(0), lambda s, ring: s + F.size(ring) - 1)
+    return shapes.select(F.col("overlay_ix").alias("key"), F.size("geometry").alias("n_rings"), corners.alias("n_corners"), F.floor(shape_area("geometry") + 0.5).alias("area"))
+
+
 @query(f"""WITH {RECT}, box AS (SELECT min(c0) * 10.0 AS x0, 1000000.0 - max(r1) * 10.0 AS y0, max(c1) * 10.0 AS x1, 1000000.0 - min(r0) * 10.0 AS y1 FROM rect WHERE key IN (1, 4)),
   t AS (SELECT x0 + tx * 70.0 AS xmin, y0 + ty * 70.0 AS ymin, x0 + (tx + 1) * 70.0 AS xmax, y0 + (ty + 1) * 70.0 AS ymax, tx, ty, CAST(ceil((x1 - x0) / 70.0) AS INTEGER) AS nx
     FROM box, unnest(range(CAST(ceil((x1 - x0) / 70.0) AS INTEGER))) a(tx), unnest(range(CAST(ceil((y1 - y0) / 70.0) AS INTEGER))) b(ty))
@@ -390,10 +459,6 @@ SCENES = f"WITH {SCENES_SQL}"
 R6 = "floor({x} * 1000000.0 + 0.5) / 1000000.0"
 
 
-def r6(column: str):
-    return F.floor(F.col(column) * 1e6 + 0.5) / 1e6
-
-
 def stack_sql(index: str) -> str:
     o = "CASE WHEN pre THEN 0.0 ELSE -0.1 END"
     band = lambda b: f"(CAST({b} AS DOUBLE) * 1e-4 + {o})"
