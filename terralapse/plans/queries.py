@@ -17,6 +17,7 @@ from terralapse.operators import blocks as bl
 from terralapse.operators.breaks import break_monitor
 from terralapse.operators.classify import classify, remap_classes
 from terralapse.operators.consensus import consensus, consensus_levels
+from terralapse.operators.rings import outline_points
 from terralapse.operators.summarize import net_change, summarize
 from terralapse.operators.transition import Transition, compared, patch_cells, patches, patches_and_runs, regrouped, runs, transition
 from terralapse.operators.trend import trend
@@ -244,9 +245,12 @@ def patch_runs(spark, sf):
 
 
 # Of the four cells around a vertex, one or three of a patch make a corner, two across make two.
-@query(patches_sql("f <> t", 200) + """, v AS (SELECT patch_id, "row" + i AS r, col + j AS c, count(*) AS k, min(2 * i + j) AS a, max(2 * i + j) AS b FROM cells, unnest([0, 1]) x(i), unnest([0, 1]) y(j) GROUP BY 1, 2, 3)
+CORNERS = patches_sql("f <> t", 200) + """, v AS (SELECT patch_id, "row" + i AS r, col + j AS c, count(*) AS k, min(2 * i + j) AS a, max(2 * i + j) AS b FROM cells, unnest([0, 1]) x(i), unnest([0, 1]) y(j) GROUP BY 1, 2, 3)
   SELECT patch_id, CAST(sum(CASE WHEN k IN (1, 3) THEN 1 WHEN k = 2 AND (a, b) IN ((0, 3), (1, 2)) THEN 2 ELSE 0 END) AS BIGINT) AS n_corners, any_value(n) * 100.0 AS area
-  FROM v JOIN (SELECT patch_id, n_cells AS n FROM out) USING (patch_id) GROUP BY 1""")
+  FROM v JOIN (SELECT patch_id, n_cells AS n FROM out) USING (patch_id) GROUP BY 1"""
+
+
+@query(CORNERS)
 def patch_outlines(spark, sf):
     rings = at.outlines(patch_cells(found(spark, sf), changes_only=True, patch_area_min=200), GRID)
     twice = lambda ring: F.aggregate(F.sequence(F.lit(0), F.size(ring) - 2), F.lit(0.0), lambda s, i: s + F.get(ring, i)["x"] * F.get(ring, i + 1)["y"] - F.get(ring, i + 1)["x"] * F.get(ring, i)["y"])
@@ -254,6 +258,17 @@ def patch_outlines(spark, sf):
     return rings.select("patch_id", add(F.transform("geometry", lambda r: F.size(r) - 1), 0).cast("long").alias("n_corners"), F.round(F.abs(add(F.transform("geometry", twice), 0.0)) / 2, 3).alias("area"))
 
 
+@query(CORNERS)
+def patch_outline_points(spark, sf):
+    """The same corners and areas, from points in order: no task holds a patch."""
+    points = outline_points(patch_cells(found(spark, sf), changes_only=True, patch_area_min=200), GRID, tile=16)
+    ahead = points.select("patch_id", "ring", (F.col("ordinal") - 1).alias("ordinal"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    first = points.where("ordinal = 0").select("patch_id", "ring", F.col("x").alias("x0"), F.col("y").alias("y0"))
+    twice = (F.col("x") - F.col("x0")) * (F.coalesce("y1", "y0") - F.col("y0")) - (F.coalesce("x1", "x0") - F.col("x0")) * (F.col("y") - F.col("y0"))
+    both = points.join(ahead, ["patch_id", "ring", "ordinal"], "left").join(first, ["patch_id", "ring"])
+    return both.groupBy("patch_id").agg(F.count(F.lit(1)).alias("n_corners"), F.round(F.abs(F.sum(twice)) / 2, 3).alias("area"))
+
+
 # The same on blocks of 64 x 64 cells
 
 
