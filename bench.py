@@ -16,6 +16,10 @@ from terralapse.plans.queries import QUERIES  # noqa: E402
 from terralapse.session import local_session  # noqa: E402
 
 HEADLINE = [
+    "transition_matrix_blocks",
+    "attribute_suppliers",
+    "zone_suppliers",
+    "clip_suppliers",
     "area_by_class_year", "transition_matrix", "transition_patch_min", "patches_all", "patches_changes_only", "attribute_largest",
     "consensus_confidence", "net_change_pivot", "index_kndvi_monthly", "trend_slope", "break_dates", "clip_aoi",
 ]
@@ -67,6 +71,29 @@ def long_stack(spark, pixels: int = 102_400, months: int = 72):
     return stored(each.select((F.col("id") / 320).cast("int").alias("row"), (F.col("id") % 320).cast("int").alias("col"), F.add_months(F.lit("2018-01-01").cast("date"), F.col("m")).alias("t"), y.alias("y")), "bench-stack")
 
 
+def dense_blocks(spark, rows: int = 34, cols: int = 47, size: int = 256):
+    """Two layers of blocks (104 million cells), every cell with a code."""
+    import numpy as np
+    import pyarrow as pa
+
+    from terralapse.operators import blocks as bl
+    from terralapse.plans.storage import stored
+
+    def make(batches):
+        for batch in batches:
+            out = []
+            for i in batch.column(0).to_pylist():
+                rng = np.random.default_rng(i)
+                before = np.kron(rng.choice([1, 2, 5, 7, 11], (size // 8, size // 8)), np.ones((8, 8), int))
+                after = np.where(np.kron(rng.random((size // 8, size // 8)) < 0.05, np.ones((8, 8), bool)), 5, before)
+                for k, (layer, codes) in enumerate((("before", before), ("after", after))):
+                    wide, counts, data = bl.packed(codes, np.ones(codes.shape, bool))
+                    out.append({"layer": layer, "layer_ix": k, "tr": i // cols, "tc": i % cols, "size": size, "wide": wide, "counts": [{"code": c, "n": n} for c, n in counts], "data": data})
+            yield from pa.Table.from_pylist(out, schema=bl.SCHEMA).to_batches()
+
+    return stored(spark.range(rows * cols, numPartitions=16).mapInArrow(make, bl.BLOCK), "bench-blocks")
+
+
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "8"))
@@ -95,6 +122,12 @@ def main() -> None:
     for name, size in (("patches_alone_24m_cells", (4899, 4899)), ("patches_alone_102m_cells", (8637, 11_875))):
         sparse = sparse_transition(spark, *size)
         timed(name, lambda sparse=sparse: patches(sparse, table))
+    from terralapse.operators.blocks import patches_of_blocks, summarize_blocks, transition_blocks
+
+    dense, wide = dense_blocks(spark), GridSpec(0.0, 90_000.0, 10.0, 10.0, 34 * 256, 47 * 256)
+    timed("block_areas_104m_dense_cells", lambda: summarize_blocks(dense, wide, table))
+    timed("block_transition_104m_dense_cells", lambda: transition_blocks(dense, wide, "before", "after", table).summary)
+    timed("block_patches_104m_dense_cells", lambda: patches_of_blocks(transition_blocks(dense, wide, "before", "after", table), table, changes_only=True))
     stack = long_stack(spark)
     timed("break_alone_102k_pixels", lambda: break_monitor(stack))
     print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf}))

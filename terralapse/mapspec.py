@@ -46,7 +46,7 @@ def overlays(found: Transition, table: DataFrame) -> DataFrame:
     """(id, transition, color): a layer for each change in the summary, in the color of the class it leads to."""
     changes = found.summary.where("from_class <> to_class").select(F.concat("from_class", F.lit(" -> "), "to_class").alias("transition"), "to_class")
     colors = table.select(F.col("class_name").alias("to_class"), "color")
-    return changes.join(F.broadcast(found.levels), "transition").join(F.broadcast(colors), "to_class", "left").select("id", "transition", F.coalesce("color", F.lit(OTHER_COLOR)).alias("color"))
+    return changes.join(found.levels, "transition").join(colors, "to_class", "left").select("id", "transition", F.coalesce("color", F.lit(OTHER_COLOR)).alias("color"))
 
 
 def map_spec(

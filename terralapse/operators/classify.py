@@ -46,5 +46,5 @@ def classify(cells: DataFrame, table: DataFrame, remap: dict[str, list[str]] | N
     if remap:
         cells, table = remap_classes(cells, table, remap)
     present = cells.where(F.col("code").isNotNull()).select("layer", "code").distinct()
-    levels = present.join(F.broadcast(table), "code").select("layer", F.col("code").alias("id"), F.col("class_name").alias("label"), "color")
+    levels = present.join(table, "code").select("layer", F.col("code").alias("id"), F.col("class_name").alias("label"), "color")
     return Classified(cells, levels, table)

@@ -23,7 +23,7 @@ def aligned(cells: DataFrame, grids: dict[str, GridSpec]) -> DataFrame:
 
 def consensus_levels(found: DataFrame, levels: DataFrame) -> DataFrame:
     """The first layer's levels (id, label, ...) of the classes that the consensus has."""
-    return levels.join(F.broadcast(found.select(F.col("code").alias("id")).where("id is not null").distinct()), "id", "left_semi")
+    return levels.join(found.select(F.col("code").alias("id")).where("id is not null").distinct(), "id", "left_semi")
 
 
 def consensus(cells: DataFrame, confidence: bool = False, grids: dict[str, GridSpec] | None = None) -> DataFrame:

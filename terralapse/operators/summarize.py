@@ -24,7 +24,7 @@ def areas(counts: DataFrame, grid: GridSpec, table: DataFrame, unit: str) -> Dat
     """The summary of (layer, code, n)."""
     factor = check_unit(unit)
     whole = F.sum("n").over(Window.partitionBy("layer"))
-    return counts.withColumn("total", whole).join(F.broadcast(table.select("code", "class_name", "color")), "code", "left").select(
+    return counts.withColumn("total", whole).join(table.select("code", "class_name", "color"), "code", "left").select(
         "layer",
         "code",
         F.coalesce("class_name", F.concat(F.lit("Unknown_"), F.col("code"))).alias("class_name"),

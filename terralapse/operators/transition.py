@@ -59,7 +59,7 @@ def labels(rows: DataFrame, table: DataFrame) -> DataFrame:
     names = table.select("code", "class_name")
     for side in ("from", "to"):
         own = names.select(F.col("code").alias(f"{side}_code"), F.col("class_name").alias(f"{side}_class"))
-        rows = rows.join(F.broadcast(own), f"{side}_code", "left")
+        rows = rows.join(own, f"{side}_code", "left")
     return rows.withColumns({f"{s}_class": F.coalesce(f"{s}_class", F.lit("NA")) for s in ("from", "to")})
 
 

@@ -513,15 +513,13 @@ def first_composite(spark, sf):
     return composite(scenes(spark, sf), ["B11"], "P1Y", "first")
 
 
-@query(f"""{SCENES},
-  s AS (SELECT *, scene_date < DATE '1998-06-25' AS pre FROM scenes WHERE {MASKED}),
-  c AS (SELECT "row", col, CAST(date_trunc('month', scene_date) AS DATE) AS t, max(B08) FILTER (pre) AS a, max(B08 - 1000) FILTER (NOT pre) AS b FROM s GROUP BY 1, 2, 3)
-  SELECT "row", col, t, coalesce(a, b) AS v FROM c""")
+# A boundary that pixels lie on both sides of, often in one month.
+SPLIT = stack_sql("ndvi").replace("2022-01-25", "1998-06-25").replace("median(", "max(")
+
+
+@query(f'{SPLIT} SELECT "row", col, t, {R6.format(x="y")} AS y FROM stack')
 def offset_split_cover(spark, sf):
-    masked = list(SOURCES["sentinel-2-l2a"].mask_values)
-    sided = scenes(spark, sf).where(~F.col("SCL").isin(masked)).withColumn("pre", F.col("scene_date") < F.lit("1998-06-25").cast("date"))
-    both = composite(sided, ["B08"], "P1M", "max", ["pre"])
-    return both.groupBy("row", "col", "t").agg(F.coalesce(F.max(F.when(F.col("pre"), F.col("B08"))), F.max(F.when(~F.col("pre"), F.col("B08") - 1000))).alias("v"))
+    return index_stack(clear(spark, sf), "ndvi", aggregation="max", boundary="1998-06-25", spine=False).withColumn("y", r6("y"))
 
 
 @query(f"""{stack_sql("ndvi")},

@@ -172,14 +172,16 @@ def index_stack(
     mask_values: list[int] | None = None,
     spine: bool = True,
     by: tuple[str, ...] = (),
+    boundary: str | None = None,
 ) -> DataFrame:
     """(row, col, t, y): the index of each period's composites.
 
     Pixels whose mask band holds a masked class go first. Bands are composited on each side of
     the offset's boundary, the index is taken of these composites with the side's own offset, and
-    where a period has both sides the earlier one counts (a null one doesn't).
+    where a period has both sides the earlier one counts (a null one doesn't). ``boundary`` stands in for the source's.
     """
     chosen = config.cube(source)
+    boundary = boundary or chosen.offset_boundary
     roles = roles or chosen.roles
     masked = list(chosen.mask_values if mask_values is None else mask_values)
     bands = sorted({roles[r] for r in index_roles(index) if r in roles})
@@ -188,7 +190,7 @@ def index_stack(
         seen = seen.where(F.col(roles["mask"]).isNull() | ~F.col(roles["mask"]).isin(masked))
     # Dealt by pixel once: composites, sides, the spine and a trend or break of the stack need no other shuffle.
     seen = seen.select(*by, "row", "col", "scene_date", "scene_id", *bands).repartition("row", "col")
-    before = F.lit(False) if chosen.offset_boundary is None else F.coalesce(F.col("scene_date") < F.lit(chosen.offset_boundary).cast("date"), F.lit(False))
+    before = F.lit(False) if boundary is None else F.coalesce(F.col("scene_date") < F.lit(boundary).cast("date"), F.lit(False))
     sided = composite(seen.withColumn("pre", before), bands, dt, aggregation, ["pre", *by])
     offset = F.when(F.col("pre"), F.lit(float(chosen.offset if chosen.offset_before is None else chosen.offset_before))).otherwise(F.lit(chosen.offset))
     valued = sided.withColumn("y", index_column(index, roles, chosen.scale, offset))
