@@ -108,7 +108,7 @@ class Shapes:
 
 
 def dealt(shapes: DataFrame, grid: GridSpec, bucket: int, sent) -> DataFrame:
-    """(key, bx, by) of each polygon and every bucket that it meets, boundary included; with its edges in the bucket's rows if they aren't sent to every task."""
+    """(key, bx, by) of each polygon and every bucket that it meets, boundary included, and its box in cells (r0, r1, c0, c1); with its edges in the bucket's rows if they aren't sent to every task."""
     coarse = GridSpec(grid.xmin, grid.ymax, grid.resx * bucket, grid.resy * bucket, -(-grid.nrow // bucket), -(-grid.ncol // bucket), grid.crs)
     rides = sent is None
 
@@ -117,6 +117,10 @@ def dealt(shapes: DataFrame, grid: GridSpec, bucket: int, sent) -> DataFrame:
             edges = [table_of(e) for e in pdf["edges"]]
             poly, by, bx = Strips(coarse, edges).met()
             out = pd.DataFrame({"key": pdf["key"].to_numpy()[poly], "bx": bx, "by": by})
+            # Cells that a polygon's box can meet, sides included.
+            boxes = np.array([(e[:, [1, 3]].max(), e[:, [1, 3]].min(), e[:, [0, 2]].min(), e[:, [0, 2]].max()) if len(e) else (0, 0, 0, 0) for e in edges]).reshape(-1, 4)[poly]
+            out["r0"], out["r1"] = np.ceil((grid.ymax - boxes[:, 0]) / grid.resy) - 1, np.floor((grid.ymax - boxes[:, 1]) / grid.resy)
+            out["c0"], out["c1"] = np.ceil((boxes[:, 2] - grid.xmin) / grid.resx) - 1, np.floor((boxes[:, 3] - grid.xmin) / grid.resx)
             if rides:
                 parts = {}
                 for p, row in set(zip(poly.tolist(), by.tolist())):
@@ -126,12 +130,13 @@ def dealt(shapes: DataFrame, grid: GridSpec, bucket: int, sent) -> DataFrame:
                 out["edges"] = [parts[k] for k in zip(poly.tolist(), by.tolist())]
             yield out
 
-    return shapes.mapInPandas(near, "key long, bx long, by long" + (", edges array<double>" if rides else ""))
+    return shapes.mapInPandas(near, "key long, bx long, by long, r0 double, r1 double, c0 double, c1 double" + (", edges array<double>" if rides else ""))
 
 
 def meetings(runs: DataFrame, shapes: DataFrame, grid: GridSpec, bucket: int, sent) -> DataFrame:
     """(patch_id, key, row, col_start, col_end) of pieces of runs and the polygons in their bucket."""
     found = pieces(runs, bucket).join(dealt(shapes, grid, bucket, sent), ["bx", "by"])
+    found = found.where("row between r0 and r1 and col_end >= c0 and col_start <= c1")
     return found.select("patch_id", "key", *(() if sent is not None else ("by", "edges")), "row", "col_start", "col_end")
 
 
