@@ -28,8 +28,13 @@ PREDICATES: dict[str, Callable[[Column, Column, Column], Column]] = {
     "intersects": lambda area, patch, overlay: F.lit(True),
     "within": lambda area, patch, overlay: area >= patch * (1 - 1e-9),
     "contains": lambda area, patch, overlay: area >= overlay * (1 - 1e-9),
-    "overlaps": lambda area, patch, overlay: (area > 0) & (area < patch * (1 - 1e-9)),
+    "overlaps": lambda area, patch, overlay: (area > 0) & (area < patch * (1 - 1e-9)) & (area < overlay * (1 - 1e-9)),
     "touches": lambda area, patch, overlay: area <= 0,
+    "equals": lambda area, patch, overlay: (area >= patch * (1 - 1e-9)) & (area >= overlay * (1 - 1e-9)),
+    "covers": lambda area, patch, overlay: area >= overlay * (1 - 1e-9),
+    "covered_by": lambda area, patch, overlay: area >= patch * (1 - 1e-9),
+    # Two areas never cross.
+    "crosses": lambda area, patch, overlay: F.lit(False),
 }
 #: Points of polygons that may be sent to every task: some 16 MB.
 MOST_POINTS = 500_000
@@ -172,30 +177,9 @@ def sizes_of(shapes: DataFrame) -> DataFrame:
     return shapes.mapInPandas(measure, "key long, overlay_area double")
 
 
-def attribute(
-    patches: DataFrame,
-    runs: DataFrame,
-    overlay: DataFrame,
-    grid: GridSpec,
-    cols: list[str],
-    *,
-    predicate: str | Callable[[Column, Column, Column], Column] = "intersects",
-    overlay_crs: str | None = None,
-    match_mode: str = "all",
-    time_col: str | None = None,
-    time_interval: tuple[float, float] | None = None,
-    bucket: int = 64,
-) -> DataFrame:
-    """Patches with the columns ``cols`` of the overlay: every match, or the one that overlaps most.
-
-    ``predicate`` is one of PREDICATES or a function of three columns: the area in common, the
-    patch's and the overlay's; it is asked of all that touch. An overlay in another CRS is brought
-    to the grid's. ``overlay_ix`` numbers the overlay; on equal overlaps the first wins. Patches without a
-    match keep nulls. ``time_interval`` keeps overlays whose ``time_col`` lies in it, ends included.
-    """
+def checked_overlay(patches: DataFrame, overlay: DataFrame, cols: list[str], predicate, match_mode: str, time_col: str | None, time_interval) -> DataFrame:
+    """The overlay's rows in the interval of time; wrong arguments are refused."""
     check_features(overlay, "overlay")
-    if not callable(predicate) and predicate not in PREDICATES:
-        raise ValueError(f"predicate must be one of {', '.join(PREDICATES)}")
     if match_mode not in ("all", "largest"):
         raise ValueError("match_mode must be one of all, largest")
     if match_mode == "largest" and predicate != "intersects":
@@ -220,9 +204,37 @@ def attribute(
         if time_interval[0] > time_interval[1]:
             raise ValueError("time_interval must not be decreasing")
         overlay = overlay.where(F.col(time_col).between(*time_interval))
+    return overlay
+
+
+def attribute(
+    patches: DataFrame,
+    runs: DataFrame,
+    overlay: DataFrame,
+    grid: GridSpec,
+    cols: list[str],
+    *,
+    predicate: str | Callable[[Column, Column, Column], Column] = "intersects",
+    overlay_crs: str | None = None,
+    match_mode: str = "all",
+    time_col: str | None = None,
+    time_interval: tuple[float, float] | None = None,
+    bucket: int = 64,
+) -> DataFrame:
+    """Patches with the columns ``cols`` of the overlay: every match, or the one that overlaps most.
+
+    ``predicate`` is one of PREDICATES or a function of three columns: the area in common, the
+    patch's and the overlay's; it is asked of all that touch. An overlay in another CRS is brought
+    to the grid's. ``overlay_ix`` numbers the overlay; on equal overlaps the first wins. Patches without a
+    match keep nulls. ``time_interval`` keeps overlays whose ``time_col`` lies in it, ends included.
+    """
+    if not callable(predicate) and predicate not in PREDICATES:
+        raise ValueError(f"predicate must be one of {', '.join(PREDICATES)}")
+    overlay = checked_overlay(patches, overlay, cols, predicate, match_mode, time_col, time_interval)
     overlay = in_crs(overlay, overlay_crs or grid.crs, grid.crs)
     keyed = overlay.withColumn("key", F.col("overlay_ix").cast("long") if "overlay_ix" in overlay.columns else F.xxhash64(F.to_json(F.struct("geometry", *cols))))
-    shapes = shaped(keyed)
+    # A row that comes twice is measured once and matched twice.
+    shapes = shaped(keyed.dropDuplicates(["key"]))
     found = overlaps(runs, shapes, grid, bucket)
     if predicate != "intersects":
         size = runs.groupBy("patch_id").agg((F.sum(F.col("col_end") - F.col("col_start") + 1) * F.lit(grid.cell_area)).alias("whole"))

@@ -17,6 +17,7 @@ from terralapse.operators import blocks as bl
 from terralapse.operators.breaks import break_monitor
 from terralapse.operators.classify import classify, remap_classes
 from terralapse.operators.consensus import consensus, consensus_levels
+from terralapse.operators.relate import attribute_features
 from terralapse.operators.rings import outline_points
 from terralapse.operators.summarize import net_change, summarize
 from terralapse.operators.transition import Transition, compared, patch_cells, patches, patches_and_runs, regrouped, runs, transition
@@ -450,6 +451,80 @@ def clip_suppliers(spark, sf):
     return at.clip(class_panel(spark, sf, [1995, 2000]), supplier_shapes(spark, sf), GRID).drop("layer_ix")
 
 
+# Overlays of points and lines, made of tables: quarters and halves of cells, so that many lie on sides and corners
+
+ITEM_SQL = """,
+  met AS (SELECT patch_id, key, item, any_value(kind) AS kind, any_value(len) AS len, count(*) = any_value((CASE WHEN c = floor(c) THEN 2 ELSE 1 END) * (CASE WHEN r = floor(r) THEN 2 ELSE 1 END)) AS inner_
+    FROM items JOIN cells ON col <= c AND col + 1 >= c AND "row" <= r AND "row" + 1 >= r GROUP BY 1, 2, 3),
+  totals AS (SELECT key, count(*) FILTER (kind = 0) AS pieces, count(*) FILTER (kind = 2) AS ends, count(*) FILTER (kind = 3) AS points FROM items GROUP BY 1),
+  said AS (SELECT patch_id, key, sum(len) AS length, count(*) FILTER (kind = 3) AS n_points,
+      CASE WHEN bool_or(kind = 0 AND inner_) THEN '1' WHEN bool_or(kind = 3 AND inner_) THEN '0' ELSE 'F' END || CASE WHEN bool_or(kind = 2 AND inner_) THEN '0' ELSE 'F' END || '2'
+      || CASE WHEN bool_or(kind = 0 AND NOT inner_) THEN '1' WHEN bool_or(kind IN (1, 3) AND NOT inner_) THEN '0' ELSE 'F' END || CASE WHEN bool_or(kind = 2 AND NOT inner_) THEN '0' ELSE 'F' END || '1'
+      || CASE WHEN count(*) FILTER (kind = 0) < any_value(pieces) THEN '1' WHEN count(*) FILTER (kind = 3) < any_value(points) THEN '0' ELSE 'F' END || CASE WHEN count(*) FILTER (kind = 2) < any_value(ends) THEN '0' ELSE 'F' END || '2' AS relation
+    FROM met JOIN totals USING (key) GROUP BY 1, 2)"""
+# A point for each order, beside its customer's cell.
+POINT_SQL = """, items AS (SELECT o_orderkey AS key, 0 AS item, 3 AS kind, CAST(0 AS DOUBLE) AS len, CAST(o_custkey % 50 AS DOUBLE) + o_orderkey % 4 * CAST(0.25 AS DOUBLE) AS c, CAST(o_custkey // 50 AS DOUBLE) + o_orderkey % 3 * CAST(0.5 AS DOUBLE) AS r FROM orders)"""
+# A line for each supplier: two legs of n cells, in directions of its own, from a multiple of half a cell.
+LINE_SQL = """,
+  legs AS (SELECT s_suppkey AS key, CAST(s_suppkey * 7 % 45 AS DOUBLE) + s_suppkey % 2 * CAST(0.5 AS DOUBLE) AS c, CAST(s_suppkey // 4 AS DOUBLE) + s_suppkey // 2 % 2 * CAST(0.5 AS DOUBLE) AS r, s_suppkey % 4 + 2 AS n, CASE s_suppkey % 3 WHEN 0 THEN 1 ELSE 0 END AS dr FROM supplier),
+  halves AS (SELECT key, 2 * n AS m, unnest(range(4 * n + 1)) AS i, c, r, dr FROM legs),
+  items AS (SELECT key, i * 2 AS item, CASE WHEN i IN (0, 2 * m) THEN 2 ELSE 1 END AS kind, CAST(0 AS DOUBLE) AS len, c + least(i, m) * CAST(0.5 AS DOUBLE) AS c, r + (dr * least(i, m) + greatest(i - m, 0)) * CAST(0.5 AS DOUBLE) AS r FROM halves
+    UNION ALL SELECT key, i * 2 + 1, 0, CASE WHEN i < m AND dr = 1 THEN sqrt(CAST(50 AS DOUBLE)) ELSE 5 END, c + least(i + 0.5, m) * CAST(0.5 AS DOUBLE), r + (dr * least(i + 0.5, m) + greatest(i + 0.5 - m, 0)) * CAST(0.5 AS DOUBLE) FROM halves WHERE i < 2 * m)"""
+MET_POINTS = patches_sql("f <> t") + POINT_SQL + ITEM_SQL
+MET_LINES = patches_sql("f <> t") + LINE_SQL + ITEM_SQL
+MEASURED = "floor(length * 1000000.0 + 0.5) / 1000000.0 AS measure"
+
+
+def place(c, r):
+    """A point at a column and a row of the panel, in cells."""
+    return F.struct((F.lit(GRID.xmin) + c * GRID.resx).alias("x"), (F.lit(GRID.ymax) - r * GRID.resy).alias("y"))
+
+
+def order_points(spark, sf) -> DataFrame:
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return orders.select(k.alias("overlay_ix"), k.alias("orderkey"), F.array(place((c % 50) + k % 4 * 0.25, F.floor(c / 50) + k % 3 * 0.5)).alias("geometry"))
+
+
+def supplier_lines(spark, sf) -> DataFrame:
+    k = F.col("s_suppkey")
+    c, r, n, down = (k * 7 % 45) + k % 2 * 0.5, F.floor(k / 4) + F.floor(k / 2) % 2 * 0.5, k % 4 + 2, F.when(k % 3 == 0, 1).otherwise(0)
+    line = F.array(place(c, r), place(c + n, r + down * n), place(c + n, r + down * n + n))
+    return spark.read.parquet(f"{sf}/supplier.parquet").select(k.alias("overlay_ix"), k.alias("suppkey"), F.array(line).alias("geometry"))
+
+
+@query(MET_POINTS + " SELECT out.*, key AS orderkey, relation, CAST(n_points AS DOUBLE) AS measure FROM out LEFT JOIN said USING (patch_id)")
+def attribute_points(spark, sf):
+    return attribute_features(*overlay_inputs(spark, sf), order_points(spark, sf), GRID, ["orderkey"], kind="points", with_relation=True)
+
+
+@query(MET_POINTS + " SELECT out.*, key AS orderkey FROM out LEFT JOIN (SELECT * FROM said WHERE relation LIKE '0%') USING (patch_id)")
+def attribute_points_inside(spark, sf):
+    """Points on a patch's boundary aren't contained."""
+    return attribute_features(*overlay_inputs(spark, sf), order_points(spark, sf), GRID, ["orderkey"], kind="points", predicate="contains")
+
+
+@query(MET_LINES + f" SELECT out.*, key AS suppkey, relation, {MEASURED} FROM out LEFT JOIN said USING (patch_id)")
+def attribute_lines(spark, sf):
+    return attribute_features(*overlay_inputs(spark, sf), supplier_lines(spark, sf), GRID, ["suppkey"], kind="lines", with_relation=True).withColumn("measure", r6("measure"))
+
+
+@query(MET_LINES + " SELECT out.*, key AS suppkey FROM out LEFT JOIN (SELECT * FROM said WHERE relation[1] <> 'F' AND relation[7] <> 'F') USING (patch_id)")
+def attribute_crosses(spark, sf):
+    return attribute_features(*overlay_inputs(spark, sf), supplier_lines(spark, sf), GRID, ["suppkey"], kind="lines", predicate="crosses")
+
+
+@query(MET_LINES + " SELECT out.*, key AS suppkey FROM out LEFT JOIN (SELECT * FROM said WHERE relation[1] = 'F' AND relation[2] = 'F') USING (patch_id)")
+def attribute_touches(spark, sf):
+    return attribute_features(*overlay_inputs(spark, sf), supplier_lines(spark, sf), GRID, ["suppkey"], kind="lines", predicate="touches")
+
+
+@query(MET_LINES + f" SELECT out.*, key AS suppkey, {MEASURED} FROM out LEFT JOIN (SELECT * FROM said QUALIFY row_number() OVER (PARTITION BY patch_id ORDER BY floor(length * 1000.0 + 0.5) DESC, key) = 1) USING (patch_id)")
+def attribute_lines_longest(spark, sf):
+    found = attribute_features(*overlay_inputs(spark, sf), supplier_lines(spark, sf), GRID, ["suppkey"], kind="lines", match_mode="largest", with_relation=True)
+    return found.drop("relation").withColumn("measure", r6("measure"))
+
+
 @query(f"WITH {SUPPLIED} SELECT key, 2 AS n_rings, 6 AS n_corners, floor((c1 - c0) * (r1 - r0) * 100.0 / 2 + 0.5) AS area FROM rect")
 def valid_bowties(spark, sf):
     """Rings that cross themselves in the middle come back as two that don't."""
