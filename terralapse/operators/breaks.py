@@ -63,50 +63,135 @@ def design(time: np.ndarray, frequency: int, order: int) -> np.ndarray:
     return np.stack(columns, 1)
 
 
-def stable_since(x: np.ndarray, y: np.ndarray) -> int:
-    """First observation of the stable end of a history: reverse recursive residuals, CUSUM test."""
-    n, k = x.shape
-    xr, yr = x[::-1], y[::-1]
-    out = []
-    for i in range(k, n):
-        q, *_ = np.linalg.lstsq(xr[:i], yr[:i], rcond=None)
-        spread = 1 + xr[i] @ np.linalg.pinv(xr[:i].T @ xr[:i]) @ xr[i]
-        out.append((yr[i] - xr[i] @ q) / np.sqrt(spread))
-    w = np.array(out)
-    scale = w.std(ddof=1) if len(w) > 1 else 0.0
-    if not scale > 1e-12:
-        return 0
-    path = np.abs(np.cumsum(w)) / (scale * np.sqrt(len(w)))
-    over = np.flatnonzero(path > CUSUM_CRITICAL * (1 + 2 * np.arange(1, len(w) + 1) / len(w)))
-    return n - (k + int(over[0])) if len(over) else 0
-
-
-def last_segment(x: np.ndarray, y: np.ndarray, least: float = 0.15, most: int = 5) -> int:
-    """First observation of the last segment: least squares over segments (Bai and Perron), their number by BIC.
-
-    The squares of every segment come from running sums of products.
+#: A history determines a fit if the least eigenvalue of its products isn't below this share of the greatest.
+DETERMINED = 1e-10
+
+
+def advance(inverse: np.ndarray, beta: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Takes one more observation into many fits (last axis) at once, in place: the errors of its forecast, and their spread."""
+    gain = np.einsum("ijs,js->is", inverse, x)
+    spread, error = 1 + (x * gain).sum(0), y - (x * beta).sum(0)
+    share = gain / spread
+    inverse -= gain[:, None] * share[None]
+    beta += share * error
+    return error, spread
+
+
+def centred(x: np.ndarray) -> np.ndarray:
+    """The same designs with a trend from -1 to 1, which changes no fit but keeps products near one another."""
+    out = x.copy()
+    low, high = x[..., 1].min(initial=np.inf), x[..., 1].max(initial=-np.inf)
+    out[..., 1] = (2 * x[..., 1] - low - high) / max(high - low, 1.0)
+    return out
+
+
+def stable_since(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """First observation of the stable end of each history (pixel, time): reverse recursive residuals, CUSUM test.
+
+    ``n`` observations of each count. Residuals begin where the later observations determine a fit. All
+    pixels go through the steps together.
     """
-    n, k = x.shape
-    h = max(int(least * n), k + 1)
-    running = lambda v: np.concatenate([np.zeros((1, *v.shape[1:])), np.cumsum(v, 0)])
-    xx, xy, yy = running(x[:, :, None] * x[:, None, :]), running(x * y[:, None]), running(y * y)
-    a, b = np.triu_indices(n + 1, h)
-    right = xy[b] - xy[a]
-    beta = np.einsum("pij,pj->pi", np.linalg.pinv(xx[b] - xx[a], hermitian=True), right)
-    rss = np.full((n, n + 1), np.inf)
-    rss[a, b] = np.maximum((yy[b] - yy[a]) - np.einsum("pi,pi->p", beta, right), 0)
-    best, back = [rss[0]], []
-    for _ in range(most):
-        cost = best[-1][:n, None] + rss
-        back.append(cost.argmin(0))
-        best.append(cost.min(0))
-    score = lambda m: n * np.log(max(best[m][n], 1e-300) / n) + ((m + 1) * (k + 1)) * np.log(n)
-    m = min((m for m in range(most + 1) if np.isfinite(best[m][n])), key=score)
-    return int(back[m - 1][n]) if m else 0
+    x, k = centred(x), x.shape[2]
+    pixels, steps = np.arange(len(x)), int(n.max(initial=0))
+    back = np.maximum(n[:, None] - 1 - np.arange(steps), 0)
+    x, y = np.take_along_axis(x, back[:, :, None], 1), np.take_along_axis(y, back, 1)
+    inverse, beta = np.zeros((k, k, len(x))), np.zeros((k, len(x)))
+    began, residual = np.full(len(x), steps), np.zeros((len(x), steps))
+    products = np.einsum("pti,ptj->pij", x[:, : k - 1], x[:, : k - 1]) if steps >= k else None
+    for i in range(k, steps):
+        products = products + x[:, i - 1, :, None] * x[:, i - 1, None]
+        waiting = pixels[(began == steps) & (n > i)]
+        if len(waiting):
+            values = np.linalg.eigvalsh(products[waiting])
+            new = waiting[values[:, 0] > DETERMINED * values[:, -1]]
+            if len(new):
+                root = np.linalg.pinv(x[new, :i])
+                inverse[:, :, new] = (root @ root.transpose(0, 2, 1)).transpose(1, 2, 0)
+                beta[:, new] = np.einsum("pit,pt->ip", root, y[new, :i])
+                began[new] = i
+        if len(on := pixels[(began <= i) & (n > i)]):
+            own, fit = inverse[:, :, on], beta[:, on]
+            error, spread = advance(own, fit, x[on, i].T, y[on, i])
+            inverse[:, :, on], beta[:, on] = own, fit
+            residual[on, i] = error / np.sqrt(spread)
+    count = np.maximum(n - began, 0)
+    told = (np.arange(steps) >= began[:, None]) & (np.arange(steps) < n[:, None])
+    mean = residual.sum(1) / np.maximum(count, 1)
+    scale = np.sqrt((np.where(told, residual - mean[:, None], 0.0) ** 2).sum(1) / np.maximum(count - 1, 1))
+    steady = (count < 2) | ~(scale > 1e-12)
+    path = np.abs(np.cumsum(residual, 1)) / np.where(steady, 1.0, scale * np.sqrt(np.maximum(count, 1)))[:, None]
+    bound = CUSUM_CRITICAL * (1 + 2 * (np.arange(steps) - began[:, None] + 1) / np.maximum(count, 1)[:, None])
+    over = (path > bound) & told & ~steady[:, None]
+    return np.where(over.any(1), n - over.argmax(1), 0) if steps else np.zeros(len(x), np.int64)
+
+
+#: Segments of histories (numbers of a table) that are worked on together.
+SEGMENTS = 2_000_000
+
+
+def last_segment(x: np.ndarray, y: np.ndarray, n: np.ndarray, least: float = 0.15, most: int = 5) -> np.ndarray:
+    """First observation of the last segment of each history: least squares over segments (Bai and Perron), their number by BIC.
+
+    A segment's squares grow by those of the forecast of each further observation, so that all starts of
+    all pixels grow together. ``n`` observations of each history (pixel, time) count.
+    """
+    x, steps = centred(x), int(n.max(initial=0))
+    out, size = np.zeros(len(x), np.int64), max(1, SEGMENTS // max(1, steps * (steps + 1)))
+    for at in range(0, len(x) if steps else 0, size):
+        some = slice(at, at + size)
+        out[some] = _last_segment(x[some, :steps], y[some, :steps], n[some], least, most)
+    return out
+
+
+def _last_segment(x: np.ndarray, y: np.ndarray, n: np.ndarray, least: float, most: int) -> np.ndarray:
+    count, steps, k = x.shape
+    h = np.maximum((least * n).astype(np.int64), k + 1)
+    running = lambda v: np.concatenate([np.zeros((count, 1, *v.shape[2:])), np.cumsum(v, 1)], 1)
+    xx, xy, yy = running(x[..., :, None] * x[..., None, :]), running(x * y[..., None]), running(y * y)
+    pixel, start = np.nonzero(np.arange(steps) + h[:, None] <= n[:, None])
+    stop = start + h[pixel]
+    products, right = xx[pixel, stop] - xx[pixel, start], xy[pixel, stop] - xy[pixel, start]
+    values = np.linalg.eigvalsh(products)
+    clear = values[:, 0] > DETERMINED * values[:, -1]
+    inverse = np.empty_like(products)
+    inverse[clear] = np.linalg.inv(products[clear])
+    inverse[~clear] = np.linalg.pinv(products[~clear], rcond=DETERMINED, hermitian=True)
+    beta = np.einsum("sij,sj->si", inverse, right)
+    squares = np.maximum(yy[pixel, stop] - yy[pixel, start] - np.einsum("si,si->s", beta, right), 0)
+    rss = np.full((count, steps, steps + 1), np.inf)
+    rss[pixel, start, stop] = squares
+    # Starts that don't determine a fit by their first h observations are rare: each length of theirs is solved anew.
+    for p, a in zip(pixel[~clear], start[~clear]):
+        ends = np.arange(a + h[p] + 1, n[p] + 1)
+        own, to = xx[p, ends] - xx[p, a], xy[p, ends] - xy[p, a]
+        fit = np.einsum("sij,sj->si", np.linalg.pinv(own, rcond=DETERMINED, hermitian=True), to)
+        rss[p, a, ends] = np.maximum(yy[p, ends] - yy[p, a] - np.einsum("si,si->s", fit, to), 0)
+    pixel, start, stop, squares = (v[clear] for v in (pixel, start, stop, squares))
+    inverse, beta = np.ascontiguousarray(inverse[clear].transpose(1, 2, 0)), np.ascontiguousarray(beta[clear].T)
+    flat_x, flat_y = np.ascontiguousarray(x.reshape(-1, k).T), y.ravel()
+    while len(pixel):
+        on = stop < n[pixel]
+        if not on.all():
+            pixel, start, stop, squares, inverse, beta = pixel[on], start[on], stop[on], squares[on], inverse[:, :, on], beta[:, on]
+        row = pixel * steps + stop
+        error, spread = advance(inverse, beta, flat_x[:, row], flat_y[row])
+        squares, stop = squares + error**2 / spread, stop + 1
+        rss[pixel, start, stop] = squares
+    own, end = np.arange(count), np.minimum(n, steps)
+    best, back, told = rss[:, 0], [np.zeros(count, np.int64)], []
+    floor = n * (1e-9 * (1 + np.abs(y).max(1, initial=0))) ** 2
+    for m in range(most + 1):
+        whole = best[own, end]
+        told.append(np.where(np.isfinite(whole), n * np.log(np.maximum(whole, floor) / np.maximum(n, 1)) + (m + 1) * (k + 1) * np.log(np.maximum(n, 1)), np.inf))
+        if m < most:
+            cost = best[:, :steps, None] + rss
+            back.append(cost[own, :, end].argmin(1))
+            best = cost.min(1)
+    return np.stack(back)[np.argmin(told, 0), own]
 
 
 def monitor(values: np.ndarray, time: np.ndarray, frequency: int, start: float, order: int, level: float, history: str, min_obs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Break time and magnitude of each row; NaN where there is none.
+    """Break time and magnitude of each row; NaN where there is none, as where a history doesn't determine the fit.
 
     All rows at once: the observations of each are moved to its front, whatever its gaps, and
     the fits are solved as one stack of normal equations.
@@ -121,10 +206,11 @@ def monitor(values: np.ndarray, time: np.ndarray, frequency: int, start: float,
     x_all = design(time, frequency, order)
     first = np.zeros(len(rows), np.int64)
     if history != "all":
-        find = stable_since if history == "ROC" else last_segment
-        for i, r in enumerate(rows):
-            past, at = past_all[r], order_[i, : past_all[r]]
-            first[i] = find(x_all[at], values[r, at]) if past > x_all.shape[1] else 0
+        some = np.flatnonzero(past_all[rows] > x_all.shape[1])
+        most = int(past_all[rows[some]].max(initial=0))
+        at = order_[some, :most]
+        own = np.where(np.arange(most) < past_all[rows[some], None], np.take_along_axis(values[rows[some]], at, 1), 0.0)
+        first[some] = (stable_since if history == "ROC" else last_segment)(x_all[at], own, past_all[rows[some]])
     steps = np.arange(values.shape[1])
     n, m = past_all[rows] - first, count_all[rows] - first
     width = np.floor(WINDOW * n).astype(np.int64)
@@ -136,7 +222,14 @@ def monitor(values: np.ndarray, time: np.ndarray, frequency: int, start: float,
     inside, told = steps < m[:, None], steps < n[:, None]
     y = np.where(inside, np.take_along_axis(values[rows], at, 1), 0.0)
     x = x_all[at]
+    x = centred(x)
     weighed = x * told[:, :, None]
+    spread = np.linalg.eigvalsh(weighed.transpose(0, 2, 1) @ weighed)
+    clear = spread[:, 0] > DETERMINED * spread[:, -1]
+    rows, n, m, width, at, inside, told, y, x = (v[clear] for v in (rows, n, m, width, at, inside, told, y, x))
+    if not len(rows):
+        return dates, sizes
+    weighed = weighed[clear]
     beta = np.einsum("pij,pj->pi", np.linalg.pinv(weighed.transpose(0, 2, 1) @ x, hermitian=True), np.einsum("pti,pt->pi", weighed, y))
     residual = np.where(inside, y - np.einsum("pti,pi->pt", x, beta), 0.0)
     sigma = np.sqrt((np.where(told, residual, 0.0) ** 2).sum(1) / (n - x.shape[2]))

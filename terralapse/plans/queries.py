@@ -627,31 +627,73 @@ def trend_significant(spark, sf):
     return ndvi_trend(spark, sf).where("trend_p < 0.05").select("row", "col", (F.col("trend") > 0).alias("rising"))
 
 
-# Least squares by orthogonal columns (intercept, trend, cosine, sine), then moving sums over a quarter of the history.
-BREAK_SQL = f"""{stack_sql("ndvi")},
+def least_squares_sql(name: str, source: str, columns: list[str], part: str) -> str:
+    """``name``: the rows of ``source`` with residuals r of y, fitted to an intercept and columns on rows that are ``past``, by orthogonal columns one after another; and lev, what a row's forecast adds to its spread."""
+    rest = [*columns, "y"]
+    steps = [f"{name}0 AS (SELECT *, {', '.join(f'{c} - avg({c}) FILTER (past) OVER p AS {c}_0' for c in rest)}, 1 / CAST(count(*) FILTER (past) OVER p AS DOUBLE) AS lev_0 FROM {source} WINDOW p AS (PARTITION BY {part}))"]
+    for i, q in enumerate(columns):
+        rest, norm = rest[1:], f"nullif(sum({q}_{i} * {q}_{i}) FILTER (past) OVER p, 0)"
+        new = [f"{c}_{i} - {q}_{i} * sum({c}_{i} * {q}_{i}) FILTER (past) OVER p / {norm} AS {c}_{i + 1}" for c in rest]
+        steps.append(f"{name}{i + 1} AS (SELECT *, {', '.join(new)}, lev_{i} + {q}_{i} * {q}_{i} / {norm} AS lev_{i + 1}, {norm} AS norm_{i} FROM {name}{i} WINDOW p AS (PARTITION BY {part}))")
+    n = len(columns)
+    return ", ".join(steps) + f""",
+  {name} AS (SELECT *, y_{n} AS r, lev_{n} AS lev, least({', '.join(f'norm_{i}' for i in range(n))}) AS norm FROM {name}{n})"""
+
+
+# Observations in time order with a trend (c1) and harmonics, the history being ``past``.
+HARMONICS = ", ".join(f"{f}(2 * pi() * {h} * (t0 + i / CAST(12 AS DOUBLE))) AS c{2 * h + d}" for h in (1, 2, 3) for d, f in enumerate(("cos", "sin")))
+OBS_SQL = f"""{stack_sql("ndvi")},
   months AS (SELECT CAST(unnest(generate_series((SELECT min(t) FROM stack), (SELECT max(t) FROM stack), INTERVAL 1 MONTH)) AS DATE) AS t),
   axis AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i, year((SELECT min(t) FROM stack)) + (month((SELECT min(t) FROM stack)) - 1) / CAST(12 AS DOUBLE) AS t0 FROM months),
-  obs AS (SELECT "row", col, t0 + i / CAST(12 AS DOUBLE) AS x, CAST(i + 1 AS DOUBLE) AS c1, cos(2 * pi() * (t0 + i / CAST(12 AS DOUBLE))) AS c2, sin(2 * pi() * (t0 + i / CAST(12 AS DOUBLE))) AS c3, {R6.format(x="y")} AS y,
-    row_number() OVER (PARTITION BY "row", col ORDER BY t) AS k, t0 + i / CAST(12 AS DOUBLE) < 1999 - 1e-9 AS past FROM stack JOIN axis USING (t) WHERE y IS NOT NULL),
+  every AS (SELECT "row", col, t0 + i / CAST(12 AS DOUBLE) AS x, CAST(i + 1 AS DOUBLE) AS c1, {HARMONICS}, {R6.format(x="y")} AS y,
+    row_number() OVER (PARTITION BY "row", col ORDER BY t) AS k, t0 + i / CAST(12 AS DOUBLE) < 1999 - 1e-9 AS past FROM stack JOIN axis USING (t) WHERE y IS NOT NULL)"""
+
+
+R4 = "floor({x} * 10000.0 + 0.5) / 10000.0"
+
+
+def break_sql(order: int, first: str = ", obs AS (SELECT * FROM every)", size: str = R6) -> str:
+    """Least squares on the history, then moving sums over a quarter of it; ``first`` makes obs of what history is used."""
+    terms = 2 * order + 2
+    return f"""{OBS_SQL}{first},
   sizes AS (SELECT "row", col, count(*) AS m, count(*) FILTER (past) AS n, CAST(floor(0.25 * count(*) FILTER (past)) AS INTEGER) AS w FROM obs GROUP BY 1, 2),
-  fit AS (SELECT * FROM obs JOIN sizes USING ("row", col) WHERE m >= 6 AND n > 4 AND w > 1 AND n < m),
-  g0 AS (SELECT *, c1 - avg(c1) FILTER (past) OVER p AS q1, c2 - avg(c2) FILTER (past) OVER p AS a2, c3 - avg(c3) FILTER (past) OVER p AS a3, y - avg(y) FILTER (past) OVER p AS e0 FROM fit WINDOW p AS (PARTITION BY "row", col)),
-  g1 AS (SELECT *, a2 - q1 * sum(a2 * q1) FILTER (past) OVER p / sum(q1 * q1) FILTER (past) OVER p AS q2, a3 - q1 * sum(a3 * q1) FILTER (past) OVER p / sum(q1 * q1) FILTER (past) OVER p AS b3,
-    e0 - q1 * sum(e0 * q1) FILTER (past) OVER p / sum(q1 * q1) FILTER (past) OVER p AS e1 FROM g0 WINDOW p AS (PARTITION BY "row", col)),
-  g2 AS (SELECT *, b3 - q2 * sum(b3 * q2) FILTER (past) OVER p / sum(q2 * q2) FILTER (past) OVER p AS q3, e1 - q2 * sum(e1 * q2) FILTER (past) OVER p / sum(q2 * q2) FILTER (past) OVER p AS e2 FROM g1 WINDOW p AS (PARTITION BY "row", col)),
-  g3 AS (SELECT *, e2 - q3 * sum(e2 * q3) FILTER (past) OVER p / sum(q3 * q3) FILTER (past) OVER p AS r FROM g2 WINDOW p AS (PARTITION BY "row", col)),
-  g4 AS (SELECT *, sqrt(sum(r * r) FILTER (past) OVER p / (n - 4)) AS sigma, sum(r) OVER (PARTITION BY "row", col ORDER BY k) AS total FROM g3 WINDOW p AS (PARTITION BY "row", col)),
-  g5 AS (SELECT a.*, a.total - b.total AS moving FROM g4 a JOIN g4 b ON a."row" = b."row" AND a.col = b.col AND b.k = a.k - a.w),
-  hit AS (SELECT "row", col, min(x) AS break_date FROM g5 WHERE NOT past AND abs(moving) / (sigma * sqrt(CAST(n AS DOUBLE))) > 1.51 * sqrt(2 * CASE WHEN k / CAST(n AS DOUBLE) > exp(1) THEN ln(k / CAST(n AS DOUBLE)) ELSE 1 END) GROUP BY 1, 2),
-  size AS (SELECT "row", col, median(r) FILTER (NOT past) AS break_mag FROM g4 GROUP BY 1, 2)"""
-
-
-@query(f"""{BREAK_SQL} SELECT "row", col, {R6.format(x="break_date")} AS break_date, {R6.format(x="break_mag")} AS break_mag FROM (SELECT DISTINCT "row", col FROM stack) LEFT JOIN hit USING ("row", col) LEFT JOIN size USING ("row", col)""")
+  fit AS (SELECT * FROM obs JOIN sizes USING ("row", col) JOIN (SELECT "row", col FROM every GROUP BY ALL HAVING count(*) >= 6) USING ("row", col) WHERE n > {terms} AND w > 1 AND n < m),
+  {least_squares_sql("g", "fit", [f"c{i}" for i in range(1, terms)], '"row", col')},
+  sums AS (SELECT *, sqrt(sum(r * r) FILTER (past) OVER p / (n - {terms})) AS sigma, sum(r) OVER (PARTITION BY "row", col ORDER BY k) AS total FROM g WHERE norm > 1e-7 WINDOW p AS (PARTITION BY "row", col)),
+  moved AS (SELECT a.*, a.total - b.total AS moving FROM sums a JOIN sums b ON a."row" = b."row" AND a.col = b.col AND b.k = a.k - a.w),
+  hit AS (SELECT "row", col, min(x) AS break_date FROM moved WHERE NOT past AND abs(moving) / (sigma * sqrt(CAST(n AS DOUBLE))) > 1.51 * sqrt(2 * CASE WHEN k / CAST(n AS DOUBLE) > exp(1) THEN ln(k / CAST(n AS DOUBLE)) ELSE 1 END) GROUP BY 1, 2),
+  size AS (SELECT "row", col, median(r) FILTER (NOT past) AS break_mag FROM sums GROUP BY 1, 2)
+  SELECT "row", col, {R6.format(x="break_date")} AS break_date, {size.format(x="break_mag")} AS break_mag FROM (SELECT DISTINCT "row", col FROM stack) LEFT JOIN hit USING ("row", col) LEFT JOIN size USING ("row", col)"""
+
+
+# Reverse CUSUM: each observation of the history against a fit to all later ones that determine it; obs begins after the first crossing.
+STABLE_SQL = f""", turned AS (SELECT *, count(*) OVER (PARTITION BY "row", col) - k + 1 AS j FROM every WHERE past),
+  prefixes AS (SELECT a."row", a.col, a.j AS i, a.k AS own, b.* EXCLUDE ("row", col, past), b.j < a.j AS past FROM turned a JOIN turned b ON a."row" = b."row" AND a.col = b.col AND b.j <= a.j WHERE a.j > 4),
+  {least_squares_sql("s", "prefixes", ["c1", "c2", "c3"], '"row", col, i')},
+  w AS (SELECT "row", col, i, own, r / sqrt(1 + lev) AS w FROM s WHERE j = i AND norm > 1e-7),
+  path AS (SELECT *, abs(sum(w) OVER (PARTITION BY "row", col ORDER BY i)) AS total, row_number() OVER (PARTITION BY "row", col ORDER BY i) AS step, count(*) OVER p AS many, stddev_samp(w) OVER p AS scale FROM w WINDOW p AS (PARTITION BY "row", col)),
+  since AS (SELECT "row", col, max(own) AS own FROM path WHERE scale > 1e-12 AND total / (scale * sqrt(CAST(many AS DOUBLE))) > 0.948 * (1 + 2 * CAST(step AS DOUBLE) / many) GROUP BY 1, 2),
+  obs AS (SELECT every.* EXCLUDE (k), k - coalesce(own, 0) AS k FROM every LEFT JOIN since USING ("row", col) WHERE k > coalesce(own, 0))"""
+
+
+@query(break_sql(1))
 def break_dates(spark, sf):
     stack = index_stack(clear(spark, sf), "ndvi").withColumn("y", r6("y"))
     return break_monitor(stack, start=(1999, 1), order=1).withColumns({c: r6(c) for c in ("break_date", "break_mag")})
 
 
+@query(break_sql(1, STABLE_SQL))
+def break_dates_stable_history(spark, sf):
+    stack = index_stack(clear(spark, sf), "ndvi").withColumn("y", r6("y"))
+    return break_monitor(stack, start=(1999, 1), order=1, history="ROC").withColumns({c: r6(c) for c in ("break_date", "break_mag")})
+
+
+@query(break_sql(3, size=R4))
+def break_dates_order_3(spark, sf):
+    stack = index_stack(clear(spark, sf), "ndvi").withColumn("y", r6("y"))
+    return break_monitor(stack, start=(1999, 1), order=3).withColumns({"break_date": r6("break_date"), "break_mag": F.floor(F.col("break_mag") * 1e4 + 0.5) / 1e4})
+
+
 @query(f"""{SCENES}, d AS (SELECT "row", col, scene_date, CAST(date_trunc('month', scene_date) AS DATE) AS t, CAST(sum(B08) AS BIGINT) AS total, count(*) AS n FROM scenes WHERE {MASKED} GROUP BY 1, 2, 3)
   SELECT "row", col, t, CAST(sum(total) AS BIGINT) / CAST(sum(n) AS DOUBLE) AS mean, CAST(sum(n) AS BIGINT) AS n FROM d GROUP BY 1, 2, 3""")
 def monthly_means(spark, sf):

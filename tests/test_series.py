@@ -68,7 +68,7 @@ def test_break_histories(history):
     time = 2012 + t / 12
     y = 0.5 + 0.1 * np.sin(2 * np.pi * t / 12) + rng.normal(0, 0.01, 144)
     y[:24] += 0.4
-    first = {"ROC": stable_since, "BP": last_segment}[history](design(time, 12, 1)[:120], y[:120])
+    first = {"ROC": stable_since, "BP": last_segment}[history](design(time, 12, 1)[None, :120], y[None, :120], np.array([120]))[0]
     assert 12 <= first <= 26
     if history == "BP":
         y[132:] -= 0.3
@@ -131,4 +131,52 @@ def test_last_segment_finds_the_jump():
     rng = np.random.default_rng(8)
     time = 2018 + np.arange(48) / 12
     y = 0.5 + 0.1 * np.sin(2 * np.pi * time) + rng.normal(0, 0.01, 48) + np.where(np.arange(48) >= 20, 0.4, 0.0)
-    assert abs(last_segment(design(time, 12, 1), y) - 20) <= 1 and last_segment(design(time, 12, 1), y - np.where(np.arange(48) >= 20, 0.4, 0.0)) == 0
+    both = np.stack([y, y - np.where(np.arange(48) >= 20, 0.4, 0.0)])
+    found = last_segment(np.stack([design(time, 12, 1)] * 2), both, np.array([48, 48]))
+    assert abs(found[0] - 20) <= 1 and found[1] == 0
+
+
+def plain_stable_since(x, y):
+    (n, k), w, began = x.shape, [], None
+    for i in range(k, n):
+        later, values = x[n - i :], y[n - i :]
+        fit, _, rank, _ = np.linalg.lstsq(later, values, rcond=1e-6)
+        if rank == k:
+            began = began if began is not None else i
+            new = x[n - 1 - i]
+            w.append((y[n - 1 - i] - new @ fit) / np.sqrt(1 + new @ np.linalg.pinv(later.T @ later) @ new))
+    scale = np.std(w, ddof=1) if len(w) > 1 else 0.0
+    for i in range(len(w) if scale > 1e-12 else 0):
+        if abs(sum(w[: i + 1])) / (scale * np.sqrt(len(w))) > 0.948 * (1 + 2 * (i + 1) / len(w)):
+            return n - (began + i)
+    return 0
+
+
+def plain_last_segment(x, y):
+    (n, k), h = x.shape, max(int(0.15 * len(x)), x.shape[1] + 1)
+    squares = {(a, b): float(((y[a:b] - x[a:b] @ np.linalg.lstsq(x[a:b], y[a:b], rcond=None)[0]) ** 2).sum()) for a in range(n) for b in range(a + h, n + 1)}
+    best, scores = {b: (squares[0, b], 0) for b in range(h, n + 1)}, []
+    for m in range(6):
+        if n in best:
+            scores.append((n * np.log(best[n][0] / n) + (m + 1) * (k + 1) * np.log(n), m, best[n][1]))
+        best = {b: min((best[a][0] + squares[a, b], a) for a in best if (a, b) in squares) for b in range(n + 1) if any((a, b) in squares for a in best)}
+    return min(scores)[2]
+
+
+@pytest.mark.parametrize("order", [1, 3])
+def test_histories_of_many_pixels(order):
+    """Histories of different lengths with gaps and jumps, all at once, as each for itself."""
+    rng = np.random.default_rng(order)
+    design_ = design(2014 + np.arange(54) / 12, 12, order)
+    n = rng.integers(40, 55, 40)
+    x, y = np.zeros((40, 54, design_.shape[1])), np.zeros((40, 54))
+    for p in range(40):
+        at = np.sort(rng.choice(54, n[p], replace=False))
+        x[p, : n[p]] = design_[at]
+        y[p, : n[p]] = 0.5 + 0.1 * np.sin(at * np.pi / 6) + rng.normal(0, 0.02, n[p]) + np.where(at < rng.integers(0, 54), 0.3 * (p % 3 > 0), 0)
+    since, last = stable_since(x, y, n), last_segment(x, y, n)
+    assert since.tolist() == [plain_stable_since(x[p, : n[p]], y[p, : n[p]]) for p in range(40)] and len(set(since.tolist())) > 3
+    assert last.tolist() == [plain_last_segment(x[p, : n[p]], y[p, : n[p]]) for p in range(40)] and len(set(last.tolist())) > 3
+    assert stable_since(x[:0], y[:0], n[:0]).tolist() == last_segment(x[:0], y[:0], n[:0]).tolist() == []
+    flat = np.full((1, 54), 0.25)
+    assert stable_since(design_[None], flat, np.array([54]))[0] == last_segment(design_[None], flat, np.array([54]))[0] == 0
