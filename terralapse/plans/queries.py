@@ -619,7 +619,7 @@ def ndvi_trend(spark, sf) -> DataFrame:
 
 @query(f'{PAIRS} SELECT "row", col, CAST(n AS INTEGER) AS n, {R6.format(x="slope")} AS trend, s, {R6.format(x="z")} AS z FROM z')
 def trend_slope(spark, sf):
-    return ndvi_trend(spark, sf).where("trend is not null").select("row", "col", "n", r6("trend").alias("trend"), "s", r6("z").alias("z"))
+    return ndvi_trend(spark, sf).where("trend is not null").select("row", "col", "n", r6("trend").alias("trend"), F.col("s").cast("int").alias("s"), r6("z").alias("z"))
 
 
 @query(f'{PAIRS} SELECT "row", col, slope > 0 AS rising FROM z WHERE abs(z) > 1.959963984540054')

@@ -8,7 +8,7 @@ import pytest
 
 from terralapse.functions.indices import index_expr, index_roles, resolve, scaled
 from terralapse.operators.breaks import CRITICAL, break_monitor, cadence_frequency, critical, design, last_segment, monitor, simulated, stable_since
-from terralapse.operators.trend import trend
+from terralapse.operators.trend import PAIRS, concordance, selected, trend
 from terralapse.sources import cube
 
 
@@ -49,6 +49,30 @@ def test_trend(spark):
         trend(stack(spark, series, times).drop("t"))
 
 
+@pytest.mark.parametrize("most", [PAIRS, 2000, 20])
+def test_trends_of_long_series(most):
+    """The median slope by selection and the signs by bits equal those of all pairs, whatever the ties and gaps."""
+    rng = np.random.default_rng(3)
+    for n in (17, 60, 300, 701):
+        t = np.sort(rng.choice(20_000, n, replace=False)) / 365.25
+        for y in (rng.normal(0, 1, n), rng.integers(0, 3, n).astype(float), np.full(n, 0.5), 0.3 * t + rng.normal(0, 0.1, n)):
+            i, j = np.triu_indices(n, 1)
+            assert selected(t, y, most) == pytest.approx(np.median((y[j] - y[i]) / (t[j] - t[i])), abs=1e-12)
+            assert concordance(np.zeros(n, int), np.unique(y, return_inverse=True)[1])[0] == np.sign(y[j] - y[i]).sum()
+
+
+def test_a_long_series_beside_short_ones(spark):
+    """5,000 observations of one pixel: its 12 million slopes are never held."""
+    rng = np.random.default_rng(5)
+    days = [dt.date(2000, 1, 1) + dt.timedelta(k) for k in range(5000)]
+    long = 0.1 * np.arange(5000) / 365.25 + rng.normal(0, 0.1, 5000)
+    got = {r.col: r for r in trend(stack(spark, [long, long[:40], [None] * 5000, long[:1]], days)).collect()}
+    i, j = np.triu_indices(5000, 1)
+    assert got[0].trend == pytest.approx(np.median((long[j] - long[i]) / ((j - i) / 365.25)), abs=1e-12) and got[0].s == np.sign(long[j] - long[i]).sum()
+    assert got[1].trend == pytest.approx(brute(long[:40], days)[0], abs=1e-12) and got[2].n == 0 and got[2].s is None and got[3].trend is None
+    assert trend(stack(spark, [], days)).count() == 0
+
+
 def test_break(spark):
     t = np.arange(72)
     stable = 0.6 + 0.15 * np.sin(2 * np.pi * t / 12)
