@@ -439,6 +439,14 @@ def zone_geometry(spark, sf):
     return out.select("patch_id", "cause", F.floor(shape_area("geometry") * 1e-4 * 1e6 + 0.5).alias("zone_area_ha")).withColumn("zone_area_ha", F.col("zone_area_ha") / 1e6)
 
 
+@query(MET_SUPPLIED + f" SELECT patch_id, cause, floor(area * 1e-4 * 1000.0 + 0.5) / 1000.0 AS zone_area_ha FROM met WHERE area > 100")
+def zone_albers(spark, sf):
+    """Zones whose corners come in an equal-area projection."""
+    zones = at.in_crs(supplier_shapes(spark, sf), GRID.crs, "EPSG:3005")
+    out = at.zones(*overlay_inputs(spark, sf), zones, GRID, "cause", zone_crs="EPSG:3005").where("zone_area_ha > 0.01")
+    return out.select("patch_id", "cause", (F.floor(F.col("zone_area_ha") * 1e3 + 0.5) / 1e3).alias("zone_area_ha"))
+
+
 def shape_area(column: str):
     """Of rings whose holes go the other way."""
     twice = lambda ring: F.aggregate(F.sequence(F.lit(0), F.size(ring) - 2), F.lit(0.0), lambda s, i: s + (F.get(ring, i)["x"] - F.get(ring, F.lit(0))["x"]) * (F.get(ring, i + 1)["y"] - F.get(ring, F.lit(0))["y"]) - (F.get(ring, i + 1)["x"] - F.get(ring, F.lit(0))["x"]) * (F.get(ring, i)["y"] - F.get(ring, F.lit(0))["y"]))

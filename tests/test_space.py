@@ -1,6 +1,7 @@
 """Geometry, overlays, areas, tiles, classes, consensus, catalog, cache and map."""
 
 import json
+import math
 import warnings
 
 import numpy as np
@@ -275,7 +276,7 @@ def test_projections_of_arrays():
         back = reprojected(*there, target, source)
         assert np.allclose(back[0], x, atol=1e-5) and np.allclose(back[1], y, atol=1e-5) and not np.allclose(there[0], x)
     with pytest.raises(ValueError, match="neither"):
-        reprojected(x, y, "EPSG:3005", "EPSG:4326")
+        reprojected(x, y, "EPSG:27700", "EPSG:4326")
 
 
 def test_a_grid_in_the_next_zone(spark):
@@ -374,3 +375,34 @@ def test_an_own_condition(spark):
     assert got("intersects") == [(1, "large"), (1, "small"), (2, "apart")] and got("within") == [(1, "large"), (2, None)]
     assert got(lambda area, patch, other: (area > 0) & (area < 0.5 * patch)) == [(1, "small"), (2, None)]
     assert got(lambda area, patch, other: other < 500) == [(1, None), (2, "apart")] and got("touches") == [(1, None), (2, "apart")]
+
+
+def test_other_projections():
+    """Published points (Snyder 1987, page 292, on Clarke's ellipsoid; EPSG guidance 7-2), round trips, equal areas."""
+    from terralapse.grid import ALBERS, Albers, projection, reprojected
+
+    clarke = (6378206.4, 1 - math.sqrt(1 - 0.00676866))
+    x, y = Albers(23, -96, 29.5, 45.5, 0, 0, clarke).forward(-75.0, 35.0)
+    assert x == pytest.approx(1885472.7, abs=0.06) and y == pytest.approx(1535925.0, abs=0.06)
+    x, y = projection("EPSG:3857").forward(-(100 + 20 / 60), 24 + 22 / 60 + 54.433 / 3600)
+    assert x == pytest.approx(-11169055.58, abs=0.006) and y == pytest.approx(2800000.00, abs=0.02)
+    rng = np.random.default_rng(2)
+    for crs, (lat0, lon0, south, north, _, _) in ALBERS.items():
+        lon, lat = lon0 + rng.uniform(-25, 25, 500), rng.uniform(min(south, north) - 8, max(south, north) + 8, 500)
+        there = reprojected(lon, lat, "EPSG:4326", crs)
+        back = reprojected(*there, crs, "EPSG:4326")
+        assert np.abs(back[0] - lon).max() < 1e-10 and np.abs(back[1] - lat).max() < 1e-10
+        # A small cell keeps its area: that of the ellipsoid between two parallels.
+        own, d = projection(crs), 1e-3
+        ring = np.array([own.forward(lon0 + 7 + a * d, north + b * d) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1))])
+        area = 0.5 * abs(np.sum(ring[:, 0] * np.roll(ring[:, 1], -1) - ring[:, 1] * np.roll(ring[:, 0], -1)))
+        phi = np.radians(north + d / 2)
+        e2 = own.e**2
+        true = own.a**2 * (1 - e2) * math.cos(phi) / (1 - e2 * math.sin(phi) ** 2) ** 2 * math.radians(d) ** 2
+        assert area == pytest.approx(true, rel=1e-6)
+    there = reprojected(rng.uniform(3e5, 7e5, 50), rng.uniform(5e6, 6e6, 50), "EPSG:32609", "EPSG:3005")
+    assert np.isfinite(there).all()
+    assert np.allclose(reprojected(*reprojected(4e5, 5.6e6, "EPSG:32609", "EPSG:3857"), "EPSG:3857", "EPSG:32609"), (4e5, 5.6e6), atol=1e-4)
+    for wrong in ("EPSG:27700", "EPSG:abc"):
+        with pytest.raises(ValueError, match="neither"):
+            projection(wrong)
