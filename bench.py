@@ -21,7 +21,7 @@ HEADLINE = [
     "zone_suppliers",
     "clip_suppliers",
     "area_by_class_year", "transition_matrix", "transition_patch_min", "patches_all", "patches_changes_only", "attribute_largest",
-    "consensus_confidence", "net_change_pivot", "index_kndvi_monthly", "trend_slope", "break_dates", "clip_aoi",
+    "consensus_confidence", "net_change_pivot", "index_kndvi_monthly", "trend_slope", "break_dates", "break_dates_stable_history", "attribute_points", "attribute_lines", "clip_aoi",
 ]
 
 
@@ -130,6 +130,7 @@ def main() -> None:
     timed("block_patches_104m_dense_cells", lambda: patches_of_blocks(transition_blocks(dense, wide, "before", "after", table), table, changes_only=True))
     stack = long_stack(spark)
     timed("break_alone_102k_pixels", lambda: break_monitor(stack))
+    timed("break_stable_history_102k_pixels", lambda: break_monitor(stack, history="ROC"))
     print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf}))
 
 
