@@ -10,7 +10,7 @@ bytes; every window is in one context. Documents send a hash of the gram and a s
 context, packed by bucket of the gram; of the copies that a packet of documents holds only
 the first goes there, the others are known to be covered. In a bucket, a context that an
 earlier document has too is covered whole. Where a gram has several contexts, the first
-document of each is asked for its bytes.
+document of each is asked for its bytes, and told about every place where it has them.
 
 **Seals.** Whether two contexts are equal is decided by a seal of 124 bits: the values of
 their bytes, as polynomials over the field of 2^31 - 1 elements, at four random points that
@@ -268,10 +268,10 @@ def compared(rows: DataFrame, parts: int) -> DataFrame:
         ids, keys, numbers, gram, seal = ids[order], keys[order], numbers[order], gram[order], seal[order]
         first, counts = runs_of(gram, seal[:, 0], seal[:, 1])
         covered = np.flatnonzero(ids > np.repeat(ids[first], counts))
-        # Grams with several contexts that don't all start in one document: the first document of each is asked.
+        # Grams with several contexts that don't all start in one document: the first document of each is asked, for every place where it has the context.
         starts, many = runs_of(gram[first])
         low, high = np.minimum.reduceat(ids[first], starts), np.maximum.reduceat(ids[first], starts)
-        asked = first[np.repeat(low < high, many)]
+        asked = np.flatnonzero((ids == np.repeat(ids[first], counts)) & np.repeat(np.repeat(low < high, many), counts))
         for kind, of in ((COVERED, covered), (ASKED, asked)):
             if len(of):
                 yield batch_of(of_parts(kind, keys[of], numbers[of]), FOUND)
@@ -338,18 +338,29 @@ GIVEN = ["bucket", "ids", "keys", "counts", "numbers", "sizes", "bytes"]
 
 
 def given(docs: DataFrame, length: int, buckets: int, entries: int = 1 << 15) -> DataFrame:
-    """The bytes that were asked for, of ``by_document``, packed by bucket of the gram."""
+    """The bytes that were asked for, of ``by_document``, packed by bucket of the gram; size 0 for a context that equals the one before it in its document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, texts_held, size = [], [], 0
 
         def combined() -> pa.RecordBatch:
             doc_id, doc_key, number, gram, sizes = (np.concatenate([h[i] for h in held]) for i in range(5))
+            # What a document has in several places is sent once.
+            names: dict[bytes, int] = {}
+            name = np.array([names.setdefault(x, len(names)) for x in texts_held])
+            beside_equal = np.lexsort((name, doc_key))
+            at, _ = runs_of(doc_key[beside_equal], name[beside_equal])
+            doc_id, doc_key, number, gram = (x[beside_equal] for x in (doc_id, doc_key, number, gram))
+            sizes, ours = np.zeros_like(sizes), sizes[beside_equal]
+            sizes[at] = ours[at]
+            texts = [b""] * len(sizes)
+            for i, j in zip(at.tolist(), beside_equal[at].tolist()):
+                texts[i] = texts_held[j]
             place = bucket_of(gram, buckets)
             order = np.lexsort((doc_key, place))
             starts, counts = runs_of(place[order])
             rows = packed(place, (doc_id, doc_key), [number, sizes])
-            return batch_of([(*r, b"".join([texts_held[i] for i in order[a : a + k].tolist()])) for r, a, k in zip(rows, starts, counts)], GIVEN)
+            return batch_of([(*r, b"".join([texts[i] for i in order[a : a + k].tolist()])) for r, a, k in zip(rows, starts, counts)], GIVEN)
 
         for marks, keys, batch in beside(batches):
             doc_id, doc_key = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "key"))
@@ -446,6 +457,8 @@ def ordered(rows: DataFrame, length: int, parts: int) -> DataFrame:
         numbers, size = joined(columns["numbers"], np.uint32), joined(columns["sizes"], np.uint8).astype(np.int64)
         buffer = joined(columns["bytes"], np.uint8)
         columns.clear()
+        sent_once = size > 0
+        ids, size = ids[sent_once], size[sent_once]
         order = np.argsort(ids, kind="stable")
         windows = (size - length + 1)[order]
         first = (np.cumsum(size) - size)[order]
@@ -455,6 +468,7 @@ def ordered(rows: DataFrame, length: int, parts: int) -> DataFrame:
         owner = np.repeat(order, windows)[hit]
         mask = np.zeros(len(size), np.int64)
         np.bitwise_or.at(mask, owner, np.int64(1) << inner[hit])
+        mask = mask[np.cumsum(sent_once) - 1]
         some = np.flatnonzero(mask)
         if len(some):
             yield batch_of(packed(part_of(keys[some], parts), (keys[some],), [numbers[some], mask[some].astype(np.int32)]), ["part", "keys", "counts", "numbers", "masks"])

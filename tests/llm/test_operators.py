@@ -226,6 +226,20 @@ def test_repeats(docs, by_id, empty, options, monkeypatch):
         assert carried.columns == ["doc_id", "lang", "source", "n_bytes", "n_removed", "n_spans", "kept"] and carried.where("lang != 'en'").count() == 0
 
 
+def test_repeats_of_contexts_that_a_document_has_twice(spark):
+    """A document's own repeats aren't removed, but what an earlier one has of them is: in every place."""
+    rng = random.Random(16)
+    base = ["".join(rng.choice("abcdefgh ijkl\n") for _ in range(rng.randint(30, 300))) for _ in range(8)] + ["ab" * 40, "abc" * 60]
+    rows = {}
+    for k in range(60):
+        parts = [rng.choice(base) for _ in range(rng.randint(0, 6))]
+        text = "".join(p[rng.randint(0, len(p) // 2) :][: rng.randint(1, 200)] for p in parts)
+        rows[k * 7 - 100] = text + "x" + text
+    want = brute_repeats(rows, 50)
+    got = repeats.digests(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in got} == want and sum(x[1] for x in want.values()) > 1000
+
+
 def test_repeats_without_ids(spark):
     """Rows without an id come after all others and are no copies of one another, whatever their texts."""
     rng = random.Random(6)
