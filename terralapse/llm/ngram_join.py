@@ -61,7 +61,7 @@ from pyspark.sql import functions as F
 from terralapse.llm._arrow import as_bytes, flat, given_back, slices, small_batches
 from terralapse.llm._shingles import drawn_key, flat_sets, groups, mix, shingle_sets
 from terralapse.plans.graph import components
-from terralapse.plans.storage import stored
+from terralapse.plans.storage import dropped, stored
 
 U = np.uint64
 #: The band below which all segments are designated.
@@ -279,7 +279,8 @@ class Hubs:
 
 def linked(pairs: DataFrame, texts: DataFrame, width: int, key: int, t: Fraction, max_broadcast: int, tag: str) -> DataFrame:
     """The pairs (a, b) of ids whose sets reach the threshold."""
-    both = with_texts(stored(pairs, tag), texts, max_broadcast).select("a", "b", "text_a", "text_b")
+    pairs = stored(pairs, tag)
+    both = with_texts(pairs, texts, max_broadcast).select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hubs = Hubs(width, key)
@@ -293,7 +294,9 @@ def linked(pairs: DataFrame, texts: DataFrame, width: int, key: int, t: Fraction
                 keep.append(every > 0 and common * t.denominator >= every * t.numerator)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return stored(both.mapInArrow(run, "a long, b long"), f"{tag}-linked")
+    out = stored(both.mapInArrow(run, "a long, b long"), f"{tag}-linked")
+    dropped(pairs)
+    return out
 
 
 DIFFERENCES = "a long, b long, n int, asked boolean, c long, d int, e long, small int, large int, place int, token long"
@@ -428,6 +431,7 @@ def near_copies(
     known = components(links, "a", "b").withColumnRenamed("node", "rep")
 
     # Then the lists that still hold several components, without the dearest of each set.
+    lists = member
     member = member.join(known, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
     mixed = member.groupBy("list").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("cost")).where("c0 != c1").select("list", "cost")
     by_cost = Window.partitionBy("rep", "lower").orderBy(F.desc("cost"), "list").rowsBetween(Window.unboundedPreceding, 0)
@@ -435,8 +439,10 @@ def near_copies(
     some = open_.groupBy("list").agg(F.max("asked").alias("any")).where("any").select("list").join(hubs, "list")
     around = open_.join(some, "list").where("a != rep").groupBy("a", F.col("rep").alias("b")).agg(F.max("n").alias("n"), F.max("asked").alias("asked"), F.max("c").alias("c"))
     around = stored(around, "around-hubs")
-    around = stored(around.join(common_of_hubs(around, docs, width, key, max_broadcast), "a", "left"), "ordered-hubs")
+    dropped(lists, hubs, open_)
+    around, bare = stored(around.join(common_of_hubs(around, docs, width, key, max_broadcast), "a", "left"), "ordered-hubs"), around
     told = stored(differences(around, docs, width, key, t, max_broadcast), "differences")
+    dropped(bare, around)
     links = links.union(told.where("place = 0").select("a", "b"))
     mark = lambda role, of: told.where(F.col("place").between(1, F.col(of))).select("a", "token", *(F.col(c).alias(c + role) for c in ("b", "n", "asked", "c", "d", "e", "place")))
     share = F.ceil((F.col("e0") + F.col("e1")) / (2 * q.denominator))
@@ -455,6 +461,7 @@ def near_copies(
         pairs = pairs.union(met.where(size_fits & (F.col("a") != F.col("b"))).select("a", "b")).distinct()
     links = links.union(linked(pairs, docs, width, key, t, max_broadcast, "list-pairs"))
     found = components(links, "a", "b")
+    dropped(told)
 
     named = sets.join(reps.select("digest", "rep"), "digest", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))

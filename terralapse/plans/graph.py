@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from terralapse.plans.storage import stored
+from terralapse.plans.storage import dropped, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,16 +36,19 @@ def components(edges: DataFrame, left: str, right: str, tag: str = "components")
 
     Large and small stars by turns (Kiveris et al., Connected Components in MapReduce and
     Beyond, 2014) until no edge changes; each round is written to the shared folder, which
-    cuts lineage. Nulls and loops are ignored; nodes without an edge don't appear.
+    cuts lineage, and the round before it is removed. Nulls and loops are ignored; nodes without an edge don't appear.
     """
     ends = [F.col(left), F.col(right)]
     now = edges.where(F.col(left) != F.col(right)).select(F.greatest(*ends).alias("u"), F.least(*ends).alias("v")).distinct()
-    before, seen = None, {}
+    before, seen, last = None, {}, None
     while True:
         # Counted while it is written: a second pass over the edges isn't needed.
         told = Observation()
         counted = now.observe(told, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("total"))
         now, seen = stored(counted, tag), told.get
+        if last is not None:
+            dropped(last)
+        last = now
         if not seen["n"] or (seen["n"], seen["total"]) == before:
             break
         before = (seen["n"], seen["total"])
