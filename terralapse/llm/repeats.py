@@ -529,7 +529,7 @@ def without_repeats(
     if not asked.isEmpty():
         # A context has many suffixes, so these buckets are smaller.
         theirs = given(by_document(asked, own, parts), length, 4 * parts).repartitionById(4 * parts, F.col("bucket"))
-        about = about.union(ordered(theirs, length, parts))
+        about = about.union(stored(ordered(theirs, length, parts), "masks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for marks, keys, batch in beside(batches):

@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from terralapse.llm import ngram_join
+from terralapse.llm import ngram_join, repeats
 from terralapse.plans.graph import components
 from terralapse.plans.storage import CLEANUP, shared_dir, stored
 
@@ -44,3 +44,16 @@ def test_near_copies_keep_only_what_their_result_reads(spark):
     kept = {f.rpartition("-")[0] for f in folders(spark) - had}
     assert not kept & {"lists", "hubs", "open-lists", "around-hubs", "ordered-hubs", "differences", "hub-pairs", "list-pairs"}
     assert {r.doc_id: r.component_id for r in found.collect()} == {i: 0 for i in range(40)} | {90: 90, 91: 91}
+
+
+def test_repeats_bring_one_shuffle_of_texts_to_the_result(spark):
+    """Contexts and masks are made before, so their shuffles don't lie beside that of the result."""
+    had = shuffle_files(spark)
+    text = " ".join(f"w{i}" for i in range(60))
+    found = repeats.without_repeats(spark.createDataFrame([(1, "a" + text), (2, "b" + text), (3, "c" + text[20:])], "doc_id long, text string"))
+    for _ in range(50):
+        if not (left := shuffle_files(spark) - had):
+            break
+        time.sleep(0.1)
+    assert not left and found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {r.doc_id: r.n_removed for r in found.collect()} == {1: 0, 2: len(text), 3: len(text) - 20}
