@@ -1,9 +1,12 @@
 """Alignment of two tokenizers over a corpus: which tokens of one stand for which of the other.
 
-Tokens are byte intervals of the same text. In every Arrow batch the two token tables go
+Tokens are byte intervals of the same text. Texts are cut where neither tokenizer can have a token go on (before a
+space or line end that follows something else than white space), so no group crosses a cut, and a part is aligned once
+for all the texts that have it. In every Arrow batch the two token tables of the parts not met lately go
 to DuckDB: an ASOF join of ends finds the places where both tokenizers end a token, a window
 sum gives each token of A its group, an ASOF join (a range join with the groups' ends) each token of B,
-and a join by group gives the links. The batch then yields a row for each document and one with the batch's
+and a join by group gives the parts' links. A join of the texts' parts with these gives the texts' links.
+The batch then yields a row for each document and one with the batch's
 own count of documents for each id pair; Spark adds up these partial counts.
 
 Each document's links then look up their pair's count: first in a broadcast table of the
@@ -11,8 +14,9 @@ most frequent pairs (``frequent``, a tier and no cut), and what that lacks in a
 A pair outside the tier is rare, so no key of that join is hot.
 
 Tokenizer A is a byte-level one of the tokenizers library, B a SentencePiece model with byte
-pieces that puts a space before each text; A gets that space too. For B, texts are cut where no token
-can cross (before a space that follows another character), and each worker keeps the words met lately.
+pieces that puts a space before each text; A gets that space too. Each worker keeps the parts met lately. The bytes
+and ends of every part's tokens are checked; texts with a part that fails, and all texts where the tokenizers
+don't allow cuts, are encoded and aligned as they are.
 
 Defined cases: texts that are null or empty, or whose token bytes aren't those of the text after a space,
 have no tokens, zeros and an empty ``groups``. Repeated rows are documents of their own.
@@ -23,11 +27,12 @@ from __future__ import annotations
 
 import json
 import os
-from array import array
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -37,12 +42,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralapse.llm import pieces
-from terralapse.llm._arrow import Recent, flat, slices, small_batches
+from terralapse.llm._arrow import flat, slices, small_batches
 from terralapse.plans.storage import stored
 
 ROW_BITS = 40
-#: Stands before parts that aren't words; no character.
-WHOLE = "\ufffe"
+#: Stand before parts that aren't words but given as they are, and before texts that aren't cut; no characters.
+RAW, WHOLE = "\ufffe", "\uffff"
+#: A space or line end before which a text can't be cut, and places where it can.
+UNCUT, CUT = re.compile(r"\s[ \n]"), re.compile(r"(?<=\S)(?=[ \n])")
+#: Stands before parts when they are encoded.
+FILL = " a"
+#: Parts of at most so many characters are encoded and kept with others, so many at once.
+SHORT, TOGETHER = 64, 256
 #: Fixed value: how byte-level tokenizers of the library cut a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -53,13 +64,19 @@ class Encoder:
     def __init__(self, entries: list[bytes]):
         self.entries = entries
         self.sizes = np.array([len(e) for e in entries], np.int32)
+        self.strings = pa.array(entries, pa.large_binary())
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text after a space."""
         raise NotImplementedError
 
-    def is_whole(self, ids: np.ndarray, text: bytes) -> bool:
-        """Whether the bytes of the ids are those of the text after a space."""
-        return b"".join(map(self.entries.__getitem__, ids.tolist())) == b" " + text
+    def counted(self, ids: np.ndarray, raw: bytes, ends: np.ndarray) -> np.ndarray | None:
+        """How many of the ids make up each part of ``raw`` (parts end at ``ends``); none if their bytes are others or a token crosses an end."""
+        if flat(self.strings.take(pa.array(ids)))[0].tobytes() != raw:
+            return None
+        e = np.cumsum(self.sizes[ids])
+        at = np.searchsorted(e, ends)
+        return np.diff(at + 1, prepend=0) if (e[at] == ends).all() else None
 
 
 def byte_letters() -> dict[str, int]:
@@ -104,9 +121,6 @@ class ByteLevel(Encoder):
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [self.one(" " + t) for t in texts]
 
-    def is_whole(self, ids: np.ndarray, text: bytes) -> bool:
-        return self.fast is not None or super().is_whole(ids, text)
-
     def one(self, text: str) -> np.ndarray:
         if self.fast:
             try:
@@ -117,49 +131,17 @@ class ByteLevel(Encoder):
 
 
 class Pieces(Encoder):
-    """A SentencePiece model, by way of words: no piece goes on after a space mark that follows another character."""
+    """A SentencePiece model."""
 
-    def __init__(self, path: str, cache_entries: int):
-        self.model = pieces.vocabulary(path)
-        self.library = library = self.model.library
+    def __init__(self, path: str):
+        model = pieces.vocabulary(path)
+        self.library = library = model.library
         super().__init__([bytes([int(p[3:5], 16)]) if library.is_byte(i) else p.replace(pieces.SPACE, " ").encode() for i, p in ((i, library.id_to_piece(i)) for i in range(library.vocab_size()))])
-        self.cache, self.odd = Recent(cache_entries), False
-        # Where line ends stand alone, words end before them too.
-        self.lines = self.model.cut is not None and not any("\n" in p and len(p) > 1 for p in self.model.ids)
-
-    def words(self, text: str) -> list[str]:
-        """Parts of a text: words that a space precedes, lines' first words after their line end, or (after WHOLE) parts as they are."""
-        if self.lines and not (text[:1] in " \n" or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text or pieces.SPACE in text or WHOLE in text):
-            return text.replace("\n", " \n").split(" ")
-        return [WHOLE + p for p in self.model.parts(text)] if self.model.cut else [text]
-
-    def encoded(self, words: list[str]) -> list[list[int]]:
-        if not self.model.cut:
-            return self.library.encode(words, num_threads=1)
-        # A line end first keeps the library's own mark apart from the part.
-        marked = ["\n" + w[1:] if w[0] == WHOLE else "\n" + w if w[0] == "\n" else "\n▁" + w for w in words]
-        found = [ids[2:] for ids in self.library.encode(marked, num_threads=1)]
-        plain = "".join(marked).replace("\n", "").replace(pieces.SPACE, " ").encode()
-        self.odd = self.odd or b"".join([self.entries[i] for ids in found for i in ids]).replace(b"\n", b"") != plain
-        return found
+        # No piece goes on after a space mark that follows another character, and line ends stand alone.
+        self.cuts = model.cut is not None and not any("\n" in p and len(p) > 1 for p in model.ids)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        self.odd = self.odd or not self.model.cut or any(pieces.SPACE in t for t in texts)
-        split = [self.words(t) if t else [] for t in texts]
-        known = self.cache.with_all(set().union(*split), self.encoded_words)
-        return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
-
-    def encoded_words(self, words: list[str]) -> list[bytes]:
-        return [array("i", ids).tobytes() for ids in self.encoded(words)]
-
-    def is_whole(self, ids: np.ndarray, text: bytes) -> bool:
-        # Words were compared when they were met first.
-        return not self.odd or super().is_whole(ids, text)
-
-
-@lru_cache(maxsize=2)
-def encoders(a_path: str, b_path: str, cache_entries: int) -> tuple[ByteLevel, Pieces]:
-    return ByteLevel(a_path), Pieces(b_path, cache_entries)
+        return [np.array(x, np.int32) for x in self.library.encode(texts, num_threads=1)]
 
 
 @lru_cache(maxsize=1)
@@ -167,16 +149,15 @@ def _database():
     return duckdb.connect(config={"threads": 1})
 
 
-def intervals(ids: list[np.ndarray], sizes: np.ndarray) -> pa.Table:
-    """Tokens of all texts one after another: doc, id and where they end, by bytes from the start of the batch (a token starts where the one before ends)."""
-    joined = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+def intervals(joined: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> pa.Table:
+    """Tokens of all parts one after another: part (``doc``), id and where they end, by bytes from the start of the first (a token starts where the one before ends)."""
     e = np.cumsum(sizes[joined], dtype=np.int64)
-    return pa.table({"doc": np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids]), "id": joined, "e": e.astype(np.int32) if len(e) and e[-1] < 1 << 31 else e})
+    return pa.table({"doc": np.repeat(np.arange(len(counts), dtype=np.int32), counts), "id": joined, "e": e.astype(np.int32) if len(e) and e[-1] < 1 << 31 else e})
 
 
 #: More tokens of one side make a group large.
 LARGE = 8
-#: Texts end where both tokenizers end a token, so groups never cross them and one number serves the whole batch.
+#: Parts end where both tokenizers end a token, so groups never cross them and one number serves all parts of a call.
 #: Tokens of large groups are counted by id before they are paired; the others, nearly all, are paired as they are.
 STEPS = (
     "CREATE OR REPLACE TEMP TABLE met AS SELECT a.doc, a.id, a.e, coalesce(b.e = a.e, false) AS cut FROM a ASOF LEFT JOIN b ON a.e >= b.e",
@@ -187,10 +168,12 @@ STEPS = (
     " UNION ALL SELECT x.doc, x.id, y.id, x.n * y.n FROM (SELECT doc, g, id, count(*) AS n FROM ga WHERE g IN (FROM large) GROUP BY ALL) x"
     " JOIN (SELECT g, id, count(*) AS n FROM gb WHERE g IN (FROM large) GROUP BY ALL) y ON x.g = y.g) GROUP BY ALL",
 )
+#: The links of each text: those of its parts.
+TEXTS = "CREATE OR REPLACE TEMP TABLE texts AS SELECT doc, pair, CAST(sum(o.n * l.n) AS BIGINT) AS n FROM (SELECT doc, part, count(*) AS n FROM parts GROUP BY ALL) o JOIN held l USING (part) GROUP BY ALL"
 
 
-def shown(a: pa.Table, b: pa.Table, groups: list[np.ndarray], sizes: list[np.ndarray], docs: int, table: tuple[pa.Array, int]) -> list[bytes]:
-    """Each text's groups: `a1,a2|b1;a3|b2,b3`; ``groups`` of all tokens and their ``sizes`` on each side. ``table``: each id after each of `,;|`."""
+def shown(a: pa.Table, b: pa.Table, groups: list[np.ndarray], sizes: list[np.ndarray], parts: int, table: tuple[pa.Array, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Each part's groups as `;a1,a2|b1;a3|b2,b3`: all bytes, and where each part starts and the last ends. ``groups`` of all tokens and their ``sizes`` on each side. ``table``: each id after each of `,;|`."""
     words, width = table
     (doc_a, ids_a), (doc_b, ids_b) = ((t["doc"].to_numpy(), t["id"].to_numpy()) for t in (a, b))
     (group_a, group_b), (sizes_a, sizes_b) = groups, sizes
@@ -199,49 +182,186 @@ def shown(a: pa.Table, b: pa.Table, groups: list[np.ndarray], sizes: list[np.nda
     index = np.empty(len(ids_a) + len(ids_b), np.int64)
     index[np.arange(len(ids_a)) + (np.cumsum(sizes_b) - sizes_b)[group_a]] = ids_a + width * first_a
     index[np.arange(len(ids_b)) + np.cumsum(sizes_a)[group_b]] = ids_b + 2 * width * first_b
-    every = np.arange(docs + 1)
+    every = np.arange(parts + 1)
     at = np.searchsorted(doc_a, every) + np.searchsorted(doc_b, every)
     raw, starts = flat(words.take(pa.array(index)))  # the bytes of all tokens, one after another
-    return [raw[i:j].tobytes()[1:] for i, j in zip(starts[at], starts[at[1:]])]
+    return raw, starts[at]
+
+
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind):
+        self.held, self.n = np.zeros(1024, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        n = self.n + len(values)
+        if n > len(self.held):
+            self.held = np.concatenate([self.held[: self.n], np.zeros(2 * n - self.n, self.held.dtype)])
+        self.held[self.n : n] = values
+        self.n = n
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
+class Known:
+    """Parts of texts with their alignment; those met first are aligned by DuckDB, and all are forgotten once ``room`` is taken."""
+
+    def __init__(self, a: ByteLevel, b: Pieces, room: int):
+        self.a, self.b, self.room = a, b, room
+        self.cuts = a.fast is not None and b.cuts
+        width = max(len(a.entries), len(b.entries))
+        self.table = pa.array([f"{mark}{i}" for mark in ",;|" for i in range(width)], pa.large_string()), width
+        self.forget()
+
+    def forget(self) -> None:
+        self.number, self.odd, self.long = {}, set(), set()
+        #: n_a, n_b, n_groups of each part; where its shown groups and its links end; these.
+        self.sums = [Grown(np.int64) for _ in range(3)]
+        self.text_ends, self.link_ends = Grown(np.int64), Grown(np.int64)
+        self.text, self.pair, self.n = Grown(np.uint8), Grown(np.int64), Grown(np.int64)
+        for ends in (self.text_ends, self.link_ends):
+            ends.add(np.zeros(1, np.int64))
+
+    def parts(self, text: str) -> list[str]:
+        """Words that a space precedes, lines' first words after their line end, or parts after RAW or WHOLE."""
+        if not text:
+            return []
+        if not self.cuts or pieces.SPACE in text:
+            return [WHOLE + text]
+        if text[0] in " \n" or UNCUT.search(text) or RAW in text or WHOLE in text:
+            return [RAW + p for p in CUT.split(" " + text)]
+        return text.replace("\n", " \n").split(" ")
+
+    def encoded(self, parts: list[str]) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
+        """The parts whose tokens have their bytes, in some order, and for each side their ids and how many each part has."""
+        told = {p: p[1:] if p[:1] == RAW else p if p[:1] == "\n" else " " + p for p in parts if p[:1] != WHOLE}
+        # White space at an end isn't followed by another part: the two could share a token.
+        many = [p for p, t in told.items() if len(t) <= SHORT and not t[-1].isspace()]
+        alone = set(parts).difference(many)
+        left = [many[i : i + TOGETHER] for i in range(0, len(many), TOGETHER)] + [[p] for p in parts if p in alone]
+        good, ids, counts = [], ([np.zeros(0, np.int32)], [np.zeros(0, np.int32)]), ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)])
+        while left:
+            runs, left = left, []
+            strings = [[" " + x[0][1:]] if x[0][:1] == WHOLE else [FILL, *map(told.__getitem__, x)] for x in runs]
+            texts = ["".join(x)[1:] for x in strings]
+            for run, string, *both in zip(runs, strings, self.a.ids(texts), self.b.ids(texts)):
+                each = [t.encode() for t in string]
+                raw, ends = b"".join(each), np.cumsum([len(t) for t in each])
+                found = [side.counted(x, raw, ends) for side, x in zip((self.a, self.b), both)]
+                if any(n is None for n in found):
+                    left += [[p] for p in run] if len(run) > 1 else []
+                    continue
+                good += run
+                filled = len(string) - len(run)
+                for side, (x, n) in enumerate(zip(both, found)):
+                    ids[side].append(x[n[:filled].sum() :])
+                    counts[side].append(n[filled:])
+        return good, [(np.concatenate(x), np.concatenate(n)) for x, n in zip(ids, counts)]
+
+    def learn(self, parts: list[str]) -> None:
+        good, sides = self.encoded(parts)
+        bad = list(set(parts).difference(good))
+        self.odd.update(p for p in bad if p[:1] != WHOLE)
+        self.long.update(p for p in parts if len(p) > SHORT)
+        con, tokens = _database(), [intervals(*x, side.sizes) for x, side in zip(sides, (self.a, self.b))]
+        for side, given in zip("ab", tokens):
+            con.register(side, given)
+        for step in STEPS[:-1]:
+            con.execute(step)
+        ends = con.execute("SELECT e FROM ga WHERE cut ORDER BY e").fetchnumpy()["e"]
+        groups = [np.searchsorted(ends, t["e"].to_numpy()) for t in tokens]
+        sizes = [np.bincount(g, minlength=len(ends)) for g in groups]
+        con.register("large", pa.table({"g": np.flatnonzero(np.maximum(*sizes) > LARGE).astype(np.int32)}))
+        con.execute(STEPS[-1])
+        links = con.execute("SELECT doc, (CAST(a AS BIGINT) << 32) | b AS pair, n FROM links ORDER BY doc").fetchnumpy()
+        for name in ("a", "b", "large"):
+            con.unregister(name)
+        text, starts = shown(*tokens, groups, sizes, len(good), self.table)
+        n_groups = np.bincount(tokens[0]["doc"].to_numpy()[np.diff(groups[0], prepend=-1) != 0], minlength=len(good))
+        none = np.zeros(len(bad), np.int64)
+        for held, n in zip(self.sums, (sides[0][1], sides[1][1], n_groups)):
+            held.add(np.concatenate([n, none]))
+        self.text_ends.add(self.text.n + np.concatenate([starts[1:], none + len(text)]))
+        self.link_ends.add(self.pair.n + np.searchsorted(links["doc"], np.arange(len(parts)), side="right"))
+        self.text.add(text)
+        self.pair.add(links["pair"])
+        self.n.add(links["n"])
+        first = self.sums[0].n - len(parts)
+        self.number.update(zip([*good, *bad], range(first, self.sums[0].n)))
+
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all texts' parts, one after another, and where each text's start and the last's end."""
+        if max(self.sums[0].n, self.pair.n // 8, self.text.n // 64) >= self.room:
+            self.forget()
+        split, left = [self.parts(t) for t in texts], list(range(len(texts)))
+        while left:
+            if new := set().union(*(split[i] for i in left)).difference(self.number):
+                self.learn(list(new))
+            left = [i for i in left if not self.odd.isdisjoint(split[i])] if self.odd else []
+            for i in left:
+                split[i] = [WHOLE + texts[i]]
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in split], dtype=np.int64)])
+        found = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int32, starts[-1])
+        # Long parts are for this call alone.
+        for p in self.long:
+            del self.number[p]
+        self.odd -= self.long
+        self.long = set()
+        return found, starts
+
+    def texts(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What ``shown`` gave for these parts: all bytes, and where each starts and the last ends."""
+        held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), self.text_ends.n - 1, [None, pa.py_buffer(self.text_ends.values), pa.py_buffer(self.text.values)])
+        return flat(held.take(pa.array(numbers)))
+
+    def links(self, numbers: np.ndarray) -> pa.Table:
+        """part, pair and n of the parts with these numbers."""
+        ends = self.link_ends.values
+        parts = np.flatnonzero(np.bincount(numbers))
+        sizes = ends[parts + 1] - ends[parts]
+        at = np.repeat(ends[parts] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        return pa.table({"part": np.repeat(parts, sizes).astype(np.int32), "pair": self.pair.values[at], "n": self.n.values[at]})
+
+
+@lru_cache(maxsize=2)
+def known(a_path: str, b_path: str, cache_entries: int) -> Known:
+    return Known(ByteLevel(a_path), Pieces(b_path), cache_entries)
+
+
+def encoders(a_path: str, b_path: str, cache_entries: int) -> tuple[ByteLevel, Pieces]:
+    held = known(a_path, b_path, cache_entries)
+    return held.a, held.b
 
 
 DOCUMENT = "row long, n_a long, n_b long, n_groups long, n_links long, groups string, groups_sha256 string, partial boolean, a array<int>, b array<int>, n array<long>"
 
 
-def aligned_batch(texts: list[str | None], a: Encoder, b: Encoder, table, keep_groups: bool) -> tuple[dict, tuple]:
+def aligned_batch(texts: list[str | None], known: Known, keep_groups: bool) -> tuple[dict, tuple]:
     """Columns of DOCUMENT for each text, and the batch's pairs with their numbers of documents."""
-    told = [t or "" for t in texts]
-    ids_a, ids_b = a.ids(told), b.ids(told)
-    good = [i for i, t in enumerate(told) if t and a.is_whole(ids_a[i], t.encode()) and b.is_whole(ids_b[i], t.encode())]
-    ids_a, ids_b = [ids_a[i] for i in good], [ids_b[i] for i in good]
-    con, tokens = _database(), [intervals(ids, side.sizes) for ids, side in ((ids_a, a), (ids_b, b))]
-    for side, given in zip("ab", tokens):
-        con.register(side, given)
-    for step in STEPS[:-1]:
-        con.execute(step)
-    ends = con.execute("SELECT e FROM ga WHERE cut ORDER BY e").fetchnumpy()["e"]
-    groups = [np.searchsorted(ends, t["e"].to_numpy()) for t in tokens]
-    sizes = [np.bincount(g, minlength=len(ends)) for g in groups]
-    con.register("large", pa.table({"g": np.flatnonzero(np.maximum(*sizes) > LARGE).astype(np.int32)}))
-    con.execute(STEPS[-1])
-    counted = con.execute("SELECT doc, count(*) AS n FROM ga WHERE cut GROUP BY doc ORDER BY doc").fetchnumpy()["n"]
-    links = con.sql("SELECT doc, list(a) AS a, list(b) AS b, list(n) AS n, CAST(sum(n) AS BIGINT) AS total FROM links GROUP BY doc ORDER BY doc").to_arrow_table()
-    pairs = con.execute("SELECT a, b, count(*) AS n FROM links GROUP BY ALL").fetchnumpy()
-    for name in ("a", "b", "large"):
+    numbers, starts = known.numbers([t or "" for t in texts])
+    con, docs = _database(), np.arange(len(texts), dtype=np.int32)
+    con.register("held", known.links(numbers))
+    con.register("parts", pa.table({"doc": np.repeat(docs, np.diff(starts)), "part": numbers}))
+    con.execute(TEXTS)
+    links = con.sql("SELECT doc, list(CAST(pair >> 32 AS INTEGER)) AS a, list(CAST(pair & 4294967295 AS INTEGER)) AS b, list(n) AS n, CAST(sum(n) AS BIGINT) AS total FROM texts GROUP BY doc ORDER BY doc").to_arrow_table()
+    pairs = con.execute("SELECT CAST(pair >> 32 AS INTEGER) AS a, CAST(pair & 4294967295 AS INTEGER) AS b, n FROM (SELECT pair, count(*) AS n FROM texts GROUP BY pair)").fetchnumpy()
+    for name in ("held", "parts"):
         con.unregister(name)
-    text = shown(*tokens, groups, sizes, len(good), table)
-    none = [0] * len(texts)
-    rows = {c: none.copy() for c in ("n_a", "n_b", "n_groups", "n_links")} | {c: [""] * len(texts) for c in ("groups", "groups_sha256")}
-    for k, (i, total) in enumerate(zip(good, links["total"].to_pylist())):
-        rows["n_a"][i], rows["n_b"][i], rows["n_groups"][i], rows["n_links"][i] = len(ids_a[k]), len(ids_b[k]), int(counted[k]), total
-        rows["groups_sha256"][i] = sha256(text[k]).hexdigest()
-        rows["groups"][i] = text[k].decode() if keep_groups else None
+    rows = {c: np.diff(np.concatenate([[0], np.cumsum(x.values[numbers])])[starts]) for c, x in zip(("n_a", "n_b", "n_groups"), known.sums)}
+    raw, at = known.texts(numbers)
+    text = [raw[i:j].tobytes()[1:] for i, j in zip(at[starts], at[starts[1:]])]
+    rows["groups_sha256"] = [sha256(x).hexdigest() if x else "" for x in text]
+    rows["groups"] = [x.decode() if keep_groups else None for x in text]
     # Texts without tokens have empty lists among the others.
-    held = np.zeros(len(texts), np.int64)
-    lists = {c: links[c].combine_chunks() for c in ("a", "b", "n")}
-    held[good] = np.diff(lists["a"].offsets.to_numpy())
+    of, lists = links["doc"].to_numpy(), {c: links[c].combine_chunks() for c in ("a", "b", "n")}
+    rows["n_links"], held = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    rows["n_links"][of] = links["total"].to_numpy()
+    held[of] = np.diff(lists["a"].offsets.to_numpy())
     offsets = pa.array(np.concatenate([[0], np.cumsum(held)]).astype(np.int32))
-    rows |= {c: pa.ListArray.from_arrays(offsets, x.flatten().cast(pa.int64() if c == "n" else pa.int32())) for c, x in lists.items()}
+    rows |= {c: pa.ListArray.from_arrays(offsets, x.flatten()) for c, x in lists.items()}
     return rows, (pairs["a"], pairs["b"], pairs["n"])
 
 
@@ -262,12 +382,10 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id",
     types = {"row": pa.int64(), "n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_links": pa.int64(), "groups": pa.string(), "groups_sha256": pa.string(), "partial": pa.bool_(), "a": pa.list_(pa.int32()), "b": pa.list_(pa.int32()), "n": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = encoders(a_path, b_path, cache_entries)
-        width = max(len(a.entries), len(b.entries))
-        table = pa.array([f"{mark}{i}" for mark in ",;|" for i in range(width)], pa.large_string()), width
+        parts = known(a_path, b_path, cache_entries)
         row = TaskContext.get().partitionId() << ROW_BITS
         for batch in slices(batches, "text", 1 << 20):
-            columns, pairs = aligned_batch(batch.column(1).to_pylist(), a, b, table, keep_groups)
+            columns, pairs = aligned_batch(batch.column(1).to_pylist(), parts, keep_groups)
             n = batch.num_rows
             columns |= {"row": list(range(row, row + n)), "partial": [False] * n}
             row += n

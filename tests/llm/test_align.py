@@ -100,3 +100,46 @@ def test_cuts_fuzz():
     for text, x, y in zip(texts, a.ids(texts), b.ids(texts)):
         assert x.tolist() == left.encode(" " + text, add_special_tokens=False).ids, text
         assert y.tolist() == right.encode(text), text
+
+
+def shown(text):
+    return ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in grouped(text))
+
+
+def test_parts_meet_duckdb_once(monkeypatch):
+    given, intervals = [], align.intervals
+    monkeypatch.setattr(align, "intervals", lambda *a: given.append(t := intervals(*a)) or t)
+    held = align.Known(align.ByteLevel(A), align.Pieces(B), 1 << 12)
+    texts = ["The cat's on 10 mats.\nThe mats", "mats.\nThe cat's", "10 10 10 on", ""] * 30
+    want = [shown(t) for t in texts]
+    for _ in range(2):
+        rows, pairs = align.aligned_batch(texts, held, True)
+        assert rows["groups"] == want
+    # Seven parts in 420 places: the tokens of each are joined once.
+    assert sum(t.num_rows for t in given) == sum(len(side) for side in tokens("The cat's on 10 mats. mats\nThe"))
+    assert len(given) == 2
+
+
+@pytest.mark.parametrize("room", [1 << 12, 50, 1])
+def test_parts_fuzz(room):
+    rng = random.Random(room)
+    held = align.Known(align.ByteLevel(A), align.Pieces(B), room)
+    letters = LETTERS + ["\n\n", "\n\n\n", "￾", "￿", " ￾", "\n￿", "x" * 70, " " * 5]
+    for _ in range(4):
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(300)] + ["a\n", "a ", "a\n\n", "\n" * 90 + "b"]
+        rows, pairs = align.aligned_batch(texts, held, True)
+        assert rows["groups"] == [shown(t) for t in texts]
+        counts = Counter(p for t in texts for p in {(a, b) for x, y in grouped(t) for a in x for b in y})
+        assert {(a, b): n for a, b, n in zip(*(x.tolist() for x in pairs))} == counts
+
+
+def test_parts_with_other_bytes():
+    a = align.ByteLevel(A)
+    (one,) = a.ids(["cat"])
+    a.strings = align.pa.array([b"dog" if [i] == one.tolist() else e for i, e in enumerate(a.entries)], align.pa.large_binary())
+    held = align.Known(a, align.Pieces(B), 1 << 12)
+    texts = ["the cat sat", "the dog sat", "cat", "dog cat dog", "sat"]
+    for _ in range(2):
+        rows, _ = align.aligned_batch(texts, held, True)
+        assert rows["groups"] == ["", shown("the dog sat"), "", "", shown("sat")]
+        assert rows["n_a"].tolist() == [0, 3, 0, 0, len(tokens("sat")[0])] and rows["groups_sha256"][0] == ""
