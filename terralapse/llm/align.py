@@ -192,12 +192,14 @@ class Grown:
     """An array that grows at its end."""
 
     def __init__(self, kind):
-        self.held, self.n = np.zeros(1024, kind), 0
+        self.held, self.n = np.empty(1024, kind), 0
 
     def add(self, values: np.ndarray) -> None:
         n = self.n + len(values)
         if n > len(self.held):
-            self.held = np.concatenate([self.held[: self.n], np.zeros(2 * n - self.n, self.held.dtype)])
+            wide = np.empty(2 * n, self.held.dtype)  # takes memory as it is filled
+            wide[: self.n] = self.values
+            self.held = wide
         self.held[self.n : n] = values
         self.n = n
 
