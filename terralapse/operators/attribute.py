@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,11 +72,26 @@ def pieces(runs: DataFrame, bucket: int) -> DataFrame:
 def shaped(polygons: DataFrame) -> DataFrame:
     """(key, edges): each polygon of (key, geometry) as valid edges with the inside to the left, worked out once and by tasks."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf[["key"]].assign(edges=[planar.boundary([geometry.edges([] if g is None else g)]).ravel() for g in pdf["geometry"]])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in portioned(batches):
+            e, of = geometry.edges_of(part.column("geometry"))
+            pieces, of = planar.boundaries(e, np.zeros(len(e), np.int64), of, 1)
+            ends = np.searchsorted(of, np.arange(part.num_rows + 1)) * 4
+            edges = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pieces.ravel(), pa.float64()))
+            yield pa.RecordBatch.from_arrays([part.column("key"), edges], names=["key", "edges"])
+
+    return stored(polygons.select("key", "geometry").mapInArrow(run, "key long, edges array<double>"), "shapes")
 
-    return stored(polygons.select("key", "geometry").mapInPandas(run, "key long, edges array<double>"), "shapes")
+
+def portioned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of so many polygons (``geometry``, and ``edges`` if they have them) as are worked out together."""
+    for batch in batches:
+        points = np.concatenate([[0], np.cumsum(geometry.lengths(batch.column("geometry").flatten()))])
+        sizes = np.diff(points[np.concatenate([[0], np.cumsum(geometry.lengths(batch.column("geometry")))])])
+        if "edges" in batch.schema.names:
+            sizes = sizes + geometry.lengths(batch.column("edges")) // 4
+        for start, stop in planar.portions(sizes):
+            yield batch.slice(start, stop - start)
 
 
 def table_of(edges) -> np.ndarray:
@@ -348,13 +364,19 @@ def zone_shapes(outlines: DataFrame, runs: DataFrame, zone: DataFrame, grid: Gri
     whole = runs.groupBy("patch_id").agg((F.sum(F.col("col_end") - F.col("col_start") + 1) * F.lit(grid.cell_area)).alias("whole"))
     found = overlaps(runs, shapes, grid, bucket).where("area > 0").join(whole, "patch_id").withColumn("within", F.col("area") >= F.col("whole") * (1 - 1e-9))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rings = [planar.intersection(geometry.edges(g), table_of(e)) for g, e in zip(pdf["geometry"], pdf["edges"])]
-            yield pdf[["patch_id", "key"]].assign(geometry=[rings_column(r) for r in rings], area=[planar.ring_area(r) for r in rings])
-
-    pairs = found.join(outlines.select("patch_id", "geometry"), "patch_id")
-    crossing = pairs.where("not within").join(shapes, "key").select("patch_id", "key", "geometry", "edges").mapInPandas(cut, f"patch_id int, key long, geometry {geometry.RINGS}, area double")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in portioned(batches):
+            n = part.num_rows
+            patch, of_patch = geometry.edges_of(part.column("geometry"))
+            sides_, of_zone = table_of(part.column("edges").flatten()), np.repeat(np.arange(n), geometry.lengths(part.column("edges")) // 4)
+            kind = np.repeat([0, 1], [len(patch), len(sides_)])
+            xy, ends, of = planar.traced_groups(*planar.boundaries(np.concatenate([patch, sides_]), kind, np.concatenate([of_patch, of_zone]), 2, np.logical_and))
+            area = np.bincount(of, planar.ring_areas(xy, ends), n)
+            yield pa.RecordBatch.from_arrays([part.column("patch_id"), part.column("key"), geometry.shapes_of(xy, ends, of, n), pa.array(area, pa.float64())], names=["patch_id", "key", "geometry", "area"])
+
+    # Both ways below read these, so that patches are outlined and measured once.
+    pairs = stored(found.join(outlines.select("patch_id", "geometry"), "patch_id"), "zone-pairs")
+    crossing = pairs.where("not within").join(shapes, "key").select("patch_id", "key", "geometry", "edges").mapInArrow(cut, f"patch_id int, key long, geometry {geometry.RINGS}, area double")
     every = pairs.where("within").select("patch_id", "key", "geometry", "area").unionByName(crossing)
     return every.join(keyed.select("key", zone_col), "key").select("patch_id", zone_col, "geometry", (F.col("area") * 1e-4).alias("zone_area_ha"))
 
@@ -409,12 +431,23 @@ def sides(cells: DataFrame) -> DataFrame:
 def outlines(cells: DataFrame, grid: GridSpec) -> DataFrame:
     """(patch_id, geometry): each patch's boundary as rings, of cells (patch_id, row, col).
 
-    Spark finds the straight pieces; a task holds a patch's corners only, as the ring that it makes does.
+    Spark finds the straight pieces and gathers them by patch; tasks trace the patches of a batch one after another.
     """
 
-    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
-        rings = geometry.rings_of_sides(zip(pdf["r0"].tolist(), pdf["c0"].tolist(), pdf["r1"].tolist(), pdf["c1"].tolist()))
-        shape = [[{"x": grid.xmin + c * grid.resx, "y": grid.ymax - r * grid.resy} for c, r in ring] for ring in rings]
-        return pd.DataFrame({"patch_id": [int(pdf["patch_id"].iloc[0])], "geometry": [shape]})
-
-    return sides(cells).groupBy("patch_id").applyInPandas(trace, f"patch_id int, geometry {geometry.RINGS}")
+    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = geometry.lengths(batch.column("pieces"))
+            for start, stop in planar.portions(n):
+                part = batch.slice(start, stop - start)
+                pieces_ = np.stack([c.to_numpy(zero_copy_only=False) for c in part.column("pieces").flatten().flatten()], 1).tolist()
+                ends = np.concatenate([[0], np.cumsum(n[start:stop])]).tolist()
+                shapes = [geometry.rings_of_sides(pieces_[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+                rings = [ring for shape in shapes for ring in shape]
+                at = np.array([p for ring in rings for p in ring], float).reshape(-1, 2)
+                xy = np.stack([grid.xmin + at[:, 0] * grid.resx, grid.ymax - at[:, 1] * grid.resy], 1)
+                of = np.repeat(np.arange(len(shapes)), [len(shape) for shape in shapes])
+                made = geometry.shapes_of(xy, np.cumsum([0, *map(len, rings)]), of, len(shapes))
+                yield pa.RecordBatch.from_arrays([part.column("patch_id"), made], names=["patch_id", "geometry"])
+
+    gathered = sides(cells).groupBy(F.col("patch_id").cast("int").alias("patch_id")).agg(F.collect_list(F.struct("r0", "c0", "r1", "c1")).alias("pieces"))
+    return gathered.mapInArrow(trace, f"patch_id int, geometry {geometry.RINGS}")

@@ -39,6 +39,21 @@ def test_known_shapes():
     assert planar.made_valid(twice) == [] and planar.made_valid(np.zeros((0, 4))) == [] and planar.made_valid(geometry.edges([[(1, 1), (1, 1)]])) == []
 
 
+def test_groups_together_are_as_alone():
+    rng = random.Random(3)
+    pairs = [(some(rng, m) + shift, some(rng, m, 1) + shift) for m, shift in ((rng.choice([4, 6, 1000]), rng.choice([0.0, 1e6, -3.31])) for _ in range(200))] + [(np.zeros((0, 4)), np.zeros((0, 4)))]
+    e, sizes = np.concatenate([x for p in pairs for x in p]), np.array([len(x) for p in pairs for x in p])
+    xy, ends, of = planar.traced_groups(*planar.boundaries(e, np.repeat(np.arange(len(sizes)) % 2, sizes), np.repeat(np.arange(len(sizes)) // 2, sizes), 2, np.logical_and))
+    found = [[] for _ in pairs]
+    for k, a, b in zip(of, ends[:-1], ends[1:]):
+        found[k].append([*map(tuple, xy[a:b].tolist())])
+    alone = [planar.intersection(a, b) for a, b in pairs]
+    assert found == alone and sum(map(len, found)) > 200
+    assert np.bincount(of, planar.ring_areas(xy, ends), len(pairs)) == pytest.approx([planar.ring_area(r) for r in alone], abs=1e-9)
+    assert [(int(a), int(b)) for a, b in planar.portions(np.array([3, 4, 9, 1, 0, 5]), 7)] == [(0, 2), (2, 3), (3, 6)]
+    assert planar.traced(np.array([[0.0, 0, 1, 0], [1, 0, 2, 0], [2, 0, 0, 0]])) == []  # without an inside
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_random_shapes(seed):
     """Lattice points on small grids, so that edges meet in ends, overlap and cross many at a time."""
@@ -131,6 +146,19 @@ def test_shapes_that_ride_with_the_rows(spark, monkeypatch):
     assert small == everything() and all(small)
 
 
+def test_zone_shapes_of_many_patches(spark):
+    """Patches and their cuts are worked out many at a time, so that they cost far less than some milliseconds each."""
+    grid = GridSpec(0.0, 1e6, 10.0, 10.0, 1000, 50)
+    cells = spark.range(15_000).selectExpr("cast(id div 3 + 1 as int) as patch_id", "cast(id div 30 * 2 as int) as row", "cast(id div 3 % 10 * 5 + id % 3 as int) as col")
+    runs = cells.groupBy("patch_id", "row").agg({"col": "min"}).selectExpr("patch_id", "row", "`min(col)` as col_start", "`min(col)` + 2 as col_end")
+    zone = spark.createDataFrame([(dicts([square(50 * k + 5, 0, 50 * k + 45, 1e6)]), k) for k in range(10)], f"geometry {RINGS}, name int")
+    began = time.time()
+    got = at.zone_shapes(at.outlines(cells, grid), runs, zone, grid, "name").collect()
+    assert time.time() - began < 20
+    assert len(got) == 5000 and all(r.name == (r.patch_id - 1) % 10 and len(r.geometry) == 1 and len(r.geometry[0]) == 5 for r in got)
+    assert {round(r.zone_area_ha, 9) for r in got} == {0.025} and {p.x % 50 for r in got for p in r.geometry[0]} == {5, 30}
+
+
 def test_zone_shapes(spark):
     """A patch's ring cut by a bow-tie: the area that runs give, and no piece outside either."""
     runs = spark.createDataFrame([(1, r, 5, 19) for r in range(20, 50)] + [(2, 60, 0, 3)], "patch_id int, row int, col_start int, col_end int")
